@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from admeridian.llm import exact_dedup, mixing, quality, sharding, token_counts
+from admeridian.llm import exact_dedup, mixing, packing, quality, sharding, token_counts, token_files
 from admeridian.llm.common import documents
 
 
+def op1_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(documents(spark, sf_dir))
+
+
 def op2_quality_rules(spark, sf_dir):
     table = quality.apply_policy(quality.ledger(documents(spark, sf_dir)), "web-v1")
     base = table["failed_bits"].bitwiseAND(quality.policy_mask("base-v1")) != 0
@@ -21,6 +25,10 @@ def op7_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (mixed["size"] * mixed["copies"]).alias("taken"))
 
 
+def op8_token_files(spark, sf_dir):
+    return token_files.stored_documents(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark, sf_dir):
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -31,9 +39,11 @@ def op10_exact_dedup(spark, sf_dir):
 
 def queries():
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op2_quality_rules": op2_quality_rules,
         "op6_feistel_sharding": op6_feistel_sharding,
         "op7_source_mixing": op7_source_mixing,
+        "op8_token_files": op8_token_files,
         "op9_token_counts": op9_token_counts,
         "op10_exact_dedup": op10_exact_dedup,
     }
