@@ -128,6 +128,8 @@ def plan_large(histogram: dict[int, int], capacity: int = CAPACITY, groups: int
         total += histogram[x]
     firsts = sorted({total * g // groups for g in range(groups)} - {total})
     cuts = np.array(firsts, np.int64)
+    if not total:
+        return LargePlan(longer, cuts)
     starts = np.array([longer[x] for x in lengths], np.int64)
     sizes = [lengths[int(np.searchsorted(starts, c, side="right")) - 1] for c in firsts]
     counts = [b - a for a, b in zip(firsts, [*firsts[1:], total], strict=True)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from admeridian.llm import exact_dedup, mixing, packing, quality, sharding, token_counts, token_files
+from admeridian.llm import exact_dedup, mixing, packing, pii, quality, sharding, simhash, token_counts, token_files, toxicity
 from admeridian.llm.common import documents
 
 
@@ -16,6 +16,19 @@ def op2_quality_rules(spark, sf_dir):
     return table.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_bits")
 
 
+def op3_simhash_near_dedup(spark, sf_dir):
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.as_hex(found["fp"]).alias("fingerprint"), "component_id")
+
+
+def op4_personal_data(spark, sf_dir):
+    return pii.personal_data_digest(documents(spark, sf_dir))
+
+
+def op5_toxicity(spark, sf_dir):
+    return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_feistel_sharding(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -37,13 +50,23 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup_decisions(documents(spark, sf_dir))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_quality_rules": op2_quality_rules,
+        "op3_simhash_near_dedup": op3_simhash_near_dedup,
+        "op4_personal_data": op4_personal_data,
+        "op5_toxicity": op5_toxicity,
         "op6_feistel_sharding": op6_feistel_sharding,
         "op7_source_mixing": op7_source_mixing,
         "op8_token_files": op8_token_files,
         "op9_token_counts": op9_token_counts,
         "op10_exact_dedup": op10_exact_dedup,
+        "pipeline": pipeline,
     }
