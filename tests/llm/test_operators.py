@@ -362,6 +362,28 @@ def test_token_counts(docs, plain, chunk):
     same(got, [(i, len(t.encode()), n, n > 1024) for i, t in plain for n in [len(BYTE.encode(t, add_special_tokens=False).ids)]])
 
 
+@pytest.mark.parametrize("file, drops, width, library", [("byte_bpe_50k.json", False, 4, BYTE), ("word_bpe_49k.json", True, 2, WORDPIECE)])
+def test_segments_agree_with_the_library(file, drops, width, library):
+    from admeridian.llm.segments import SegmentEncoder
+
+    own = SegmentEncoder(public_tokenizers.path(file), drops, width)
+    rng = np.random.default_rng(8)
+    texts = [t for c in [*range(0x300), *range(0x1680, 0x1690), *range(0x2000, 0x2070), 0x3000, 0xFEFF, 0x180E] for t in (f"ab{chr(c)}cd", f"ab {chr(c)}{chr(c)} Cd", chr(c), f"x{chr(c)}<|endoftext|>{chr(c)}", f"'S{chr(c)}'ll")]
+    letters = "aaeeiioouutnrsldABCéßñü'.,!?-_0123456789 \n\t"
+    texts += ["".join(rng.choice(list(letters), rng.integers(1, 80))) for _ in range(4000)]
+    for t in texts:
+        assert list(np.frombuffer(own.encode(t), f"<u{width}")) == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_tokens_side_by_side():
+    machine = token_counts.transducer(*token_counts.default_tokenizer())
+    rng, ids = np.random.default_rng(4), sorted(machine.whole)
+    common = ids[:3000]
+    for a, b in [*rng.choice(ids, (3000, 2)), *rng.choice(common, (6000, 2))]:
+        x, y = machine.bytes_of[int(a)], machine.bytes_of[int(b)]
+        assert machine._stay(int(a), int(b)) == (machine._merged(x + y) == [x, y]), (x, y)
+
+
 def test_exact_dedup(docs, plain):
     groups = defaultdict(list)
     for i, t in plain:
