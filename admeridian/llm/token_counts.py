@@ -1,11 +1,11 @@
 """Token counts by a compiled finite-state tokenizer.
 
-``TokenTransducer`` compiles a byte-level BPE vocabulary into a deterministic transducer over bytes. Its state inside a
-pretoken is the row of last tokens of the prefixes read so far; reading a byte moves to the next state and emits the change
-of the token count. (The last token of a prefix is the one vocabulary entry that ends there and that BPE leaves beside the
-last token of what precedes it; so every prefix has exactly one, and a byte costs at most as many look-ups as the longest
-token has bytes.) Between pretokens the machine is back in its start state; paths from start to start are kept as macro
-transitions with their emitted counts.
+``TokenTransducer`` compiles a byte-level BPE vocabulary into a deterministic transducer over bytes: an Aho-Corasick machine
+names the vocabulary entries that end at each byte, and the state inside a pretoken adds the last tokens of the prefixes read
+so far; reading a byte moves to the next state and emits the change of the token count. (The last token of a prefix is the
+one entry that ends there and that BPE leaves beside the last token of what precedes it; every prefix has exactly one.)
+Between pretokens the machine is back in its start state; paths from start to start are kept as macro transitions with their
+emitted counts.
 
 A text is cut into chunks of ``CHUNK`` characters, wherever that falls. Each chunk gives a map of states: what it does to the
 pending fragment it is entered with (``head``), what it emits by itself, and the fragment it leaves pending (``tail``). These
@@ -27,75 +27,102 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from admeridian.llm.segments import SEGMENT, WHITE
 from admeridian.llm.common import text_or_empty
+from admeridian.llm.segments import SEGMENT, WHITE, byte_of_char
 
-CHUNK, LIMIT, MEMO = 1 << 16, 1024, 400_000
+CHUNK, LIMIT, MEMO, NEVER = 1 << 16, 1024, 400_000, 1 << 60
 #: Where a chunk may be cut into independent parts: in front of white space that follows something else.
 RESET = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 
 
-def _byte_of_char() -> dict[str, int]:
-    """The vocabulary file writes bytes as characters: printable ones as themselves, the others from U+0100 on, in order."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class TokenTransducer:
     def __init__(self, path: str, pattern: str, memo: int = MEMO):
+        import ahocorasick
         import regex
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        chars = _byte_of_char()
+        chars = byte_of_char()
         self.special = [x["content"] for x in model["added_tokens"]]
         as_bytes = lambda token: bytes(chars[c] for c in token)
         self.ids = {as_bytes(t): i for t, i in model["model"]["vocab"].items() if t not in self.special}
         self.bytes_of = {i: b for b, i in self.ids.items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
         self.rank = {(as_bytes(a), as_bytes(b)): r for r, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.ids))
+        self.machine = ahocorasick.Automaton()
+        for b, i in self.ids.items():
+            self.machine.add_word(b.decode("latin-1"), i)
+        self.machine.make_automaton()
+        self.size = {i: len(b) for b, i in self.ids.items()}
         self.pretokens = regex.compile(pattern).findall
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.beside: dict[int, bool] = {}
+        self.spines: dict[int, tuple[list, list]] = {}
         self.macro: dict[str, int] = {}
         self.paths: dict[str, int] = {}
         self.limit = memo
         self.whole = {i for b, i in self.ids.items() if self._merged(b) == [b]}
 
     def _merged(self, word: bytes) -> list[bytes]:
-        """Plain BPE; only applied to vocabulary entries and pairs of them, at compile time."""
+        """Plain BPE; only applied to vocabulary entries, at compile time."""
         parts = [word[i : i + 1] for i in range(len(word))]
         while len(parts) > 1:
-            best = min((self.rank.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-            if best[0] == 1 << 60:
+            best = min((self.rank.get(p, NEVER), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
+            if best[0] == NEVER:
                 break
             i = best[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _stay(self, left: int, right: int) -> bool:
-        """Whether BPE leaves the two tokens side by side."""
-        known = self.beside.get((left, right))
+    def _spines(self, token: int) -> tuple[list, list]:
+        """The first and the last parts of a token while BPE builds it, each with the rank of the merge that absorbs it."""
+        known = self.spines.get(token)
         if known is None:
-            if len(self.beside) > 4 * self.limit:
-                self.beside.clear()
-            a, b = self.bytes_of[left], self.bytes_of[right]
-            known = self.beside[left, right] = self._merged(a + b) == [a, b]
+            word = self.bytes_of[token]
+            parts = [word[i : i + 1] for i in range(len(word))]
+            first, last = [], []
+            while len(parts) > 1:
+                rank, i = min((self.rank.get(p, NEVER), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
+                if rank == NEVER:
+                    break
+                if i == 0:
+                    first.append((parts[0], rank))
+                if i == len(parts) - 2:
+                    last.append((parts[-1], rank))
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            known = self.spines[token] = ([*first, (parts[0], NEVER)], [*last, (parts[-1], NEVER)])
+        return known
+
+    def _stay(self, left: int, right: int) -> bool:
+        """Whether BPE leaves the two tokens side by side: no merge across the seam comes before those beside it."""
+        if len(self.beside) > 8 * self.limit:
+            self.beside.clear()
+        rank, known = self.rank.get, True
+        for a, a_gone in self._spines(left)[1]:
+            for b, b_gone in self._spines(right)[0]:
+                r = rank((a, b))
+                if r is not None and r < a_gone and r <= b_gone:
+                    known = False
+        self.beside[left << 20 | right] = known
         return known
 
     def path(self, word: bytes) -> int:
-        """Runs the machine over one pretoken; the emitted count."""
-        last, count = [-1], [0]
-        ids, whole, longest = self.ids, self.whole, self.longest
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(word[start:end])
-                if token is not None and (token in whole if not start else self._stay(last[start], token)):
-                    last.append(token)
-                    count.append(count[start] + 1)
-                    break
+        """Runs the machine over one pretoken; the emitted count. Entries that end at a byte come longest first."""
+        last, count = [-1] * (len(word) + 1), [0] * (len(word) + 1)
+        size, whole, beside, found = self.size, self.whole, self.beside, -1
+        for end, token in self.machine.iter(word.decode("latin-1")):
+            if end != found:
+                start = end + 1 - size[token]
+                if start:
+                    good = beside.get(last[start] << 20 | token)
+                    if good is None:
+                        good = self._stay(last[start], token)
+                else:
+                    good = token in whole
+                if good:
+                    found = end
+                    last[end + 1] = token
+                    count[end + 1] = count[start] + 1
         return count[-1]
 
     def _plain(self, text: str) -> int:
