@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from admeridian.plans import detector_queries
+from admeridian.plans import detector_queries, learn_queries
 
-MODULES = [detector_queries]
+MODULES = [detector_queries, learn_queries]
 
 
 def queries() -> dict:

@@ -33,7 +33,7 @@ TABLES: dict[str, str] = {
           {_DAY} AS date,
           CAST(sum(CAST(l_quantity AS BIGINT)) * 40 AS BIGINT) AS impressions,
           CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS clicks,
-          CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) * 100 AS BIGINT) AS cost_micros,
+          CAST(sum(CAST(round(l_extendedprice) AS BIGINT)) * 10000 AS BIGINT) AS cost_micros,
           CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS DOUBLE) / 4 AS conversions,
           CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(round(l_extendedprice * (1 - l_discount)) AS BIGINT) ELSE 0 END) AS DOUBLE) / 8 AS conversion_value,
           nullif(1 - round(CAST(sum(CAST(round(l_discount * 100) + round(l_tax * 100) AS BIGINT)) AS DOUBLE) * 64 / (30 * count(*))) / 64, 0) AS search_impression_share,
@@ -59,7 +59,7 @@ TABLES: dict[str, str] = {
           CASE p_partkey % 3 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'PHRASE' ELSE 'BROAD' END AS match_type,
           CAST(nullif(p_size % 11, 0) AS INT) AS quality_score,
           CAST(sum(CAST(l_quantity AS BIGINT)) * 40 AS BIGINT) AS impressions, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS clicks,
-          CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) * 100 AS BIGINT) AS cost_micros,
+          CAST(sum(CAST(round(l_extendedprice) AS BIGINT)) * 10000 AS BIGINT) AS cost_micros,
           CAST(sum(CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) AS DOUBLE) / 4 AS conversions
         FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey
         GROUP BY l_suppkey, l_partkey % 12, l_partkey % 4, p_partkey, p_name, p_size""",
@@ -90,7 +90,7 @@ TABLES: dict[str, str] = {
               WHEN 'network' THEN CASE WHEN l_orderkey % 5 = 0 THEN 'SEARCH_PARTNERS' ELSE 'SEARCH' END
               WHEN 'hour' THEN CAST(l_orderkey % 24 AS STRING) WHEN 'dow' THEN CAST([[days:l_shipdate]] % 7 AS STRING)
               ELSE 'g' || CAST(l_orderkey % 6 AS STRING) END AS segment_value,
-            CAST(l_quantity AS BIGINT) AS q, CAST(round(l_extendedprice * 100) AS BIGINT) * 100 AS c, CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS v
+            CAST(l_quantity AS BIGINT) AS q, CAST(round(l_extendedprice) AS BIGINT) * 10000 AS c, CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS v
           FROM {{lineitem}} CROSS JOIN (SELECT 'device' AS dimension UNION ALL SELECT 'network' UNION ALL SELECT 'hour' UNION ALL SELECT 'dow' UNION ALL SELECT 'geo') d) x
         GROUP BY account_id, campaign_id, dimension, segment_value""",
     "ad_strength": """
