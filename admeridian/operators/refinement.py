@@ -21,10 +21,10 @@ def no_action_baseline(daily: DataFrame, changes: DataFrame, accounts: DataFrame
     # each event day silences the at most two anchors within a week of it
     busy = events.withColumn("at", F.explode(F.sequence(F.date_sub("day", POST - 1), F.date_add("day", PRE)))).select("account_id", "campaign_id", "at").distinct()
     quiet = anchors.join(busy, ["account_id", "campaign_id", "at"], "left_anti")
-    facts = daily.groupBy("account_id", "campaign_id", "date").agg((F.sum("cost_micros") / 1e6).alias("cost"), F.sum("conversions").alias("conv"))
+    facts = daily.groupBy("account_id", "campaign_id", "date").agg(F.sum("cost_micros").alias("micros"), F.sum("conversions").alias("conv"))
     near = quiet.join(facts, ["account_id", "campaign_id"]).filter(F.col("date").between(F.date_sub("at", PRE), F.date_add("at", POST - 1)))
     before = F.col("date") < F.col("at")
-    part = lambda side: div(F.sum(F.when(side, F.col("cost"))), F.sum(F.when(side, F.col("conv"))))
+    part = lambda side: div(F.sum(F.when(side, F.col("micros"))) / 1e6, F.sum(F.when(side, F.col("conv"))))
     rows = near.groupBy("account_id", "campaign_id", "at").agg(part(before).alias("pre_cpa"), part(~before).alias("post_cpa")).filter("pre_cpa > 0 AND post_cpa IS NOT NULL")
     rows = rows.withColumn("key", F.concat_ws("|", "account_id", "campaign_id", F.col("at").cast("string")))
     rows = T.with_state(rows, rows.select("key", "account_id", "campaign_id", "at"), daily, accounts, "key", "pre_cpa", "at")

@@ -195,10 +195,10 @@ def _bench(date: str) -> str:
 
 def _states(name: str, keys: str) -> str:
     """``keys`` is a table of key, account_id, campaign_id, at, pre_cpa."""
-    return f"""{name}_d AS (SELECT k.key, d.date, sum(d.cost_micros) / 1e6 AS cost, sum(d.conversions) AS conv FROM {keys} k JOIN daily_metrics d ON d.account_id = k.account_id AND (k.campaign_id = '' OR d.campaign_id = k.campaign_id) AND d.date >= k.at - 30 AND d.date < k.at GROUP BY ALL),
+    return f"""{name}_d AS (SELECT k.key, d.date, sum(d.cost_micros) AS micros, sum(d.cost_micros) / 1e6 AS cost, sum(d.conversions) AS conv FROM {keys} k JOIN daily_metrics d ON d.account_id = k.account_id AND (k.campaign_id = '' OR d.campaign_id = k.campaign_id) AND d.date >= k.at - 30 AND d.date < k.at GROUP BY ALL),
 {name}_p AS (SELECT key, 'cpa' AS metric, date, cost / nullif(conv, 0) AS value FROM {name}_d WHERE cost > 0),
 {_trend(name + '_t', name + '_p', 'key')},
-{name}_c AS (SELECT key, coalesce(sum(cost) / nullif(sum(conv), 0), 0) AS avg_cpa, coalesce(CASE WHEN count(CASE WHEN conv > 0 AND cost > 0 THEN 1 END) >= 2 THEN stddev_pop(CASE WHEN conv > 0 AND cost > 0 THEN cost / conv END) / avg(CASE WHEN conv > 0 AND cost > 0 THEN cost / conv END) ELSE 0 END, 0) AS cv FROM {name}_d GROUP BY key),
+{name}_c AS (SELECT key, coalesce(sum(micros) / 1e6 / nullif(sum(conv), 0), 0) AS avg_cpa, coalesce(CASE WHEN count(CASE WHEN conv > 0 AND cost > 0 THEN 1 END) >= 2 THEN stddev_pop(CASE WHEN conv > 0 AND cost > 0 THEN cost / conv END) / avg(CASE WHEN conv > 0 AND cost > 0 THEN cost / conv END) ELSE 0 END, 0) AS cv FROM {name}_d GROUP BY key),
 {name}_r AS (SELECT k.*, coalesce(classification, 'stable') AS cls, coalesce({name}_c.cv, 0) AS vol, CASE WHEN avg_cpa > 0 THEN k.pre_cpa / avg_cpa ELSE 1 END AS own, {_bench('k.at')} AS bench FROM {keys} k LEFT JOIN {name}_c USING (key) LEFT JOIN {name}_t USING (key) LEFT JOIN accounts USING (account_id)),
 {name}_s AS (SELECT *, CASE WHEN bench > 0 THEN pre_cpa / bench ELSE own END AS bra FROM {name}_r),
 {name} AS (SELECT *, CASE WHEN own > 2 AND bra > 2 THEN 'crisis' WHEN cls = 'declining' AND own > 1 THEN 'struggling' WHEN cls = 'improving' AND own > 1 THEN 'recovering' WHEN cls = 'declining' THEN 'declining' WHEN own <= 1 AND bra <= 1 THEN 'performing_well' WHEN own <= 1 THEN 'above_average' WHEN vol > 0.3 THEN 'volatile' ELSE 'stable' END AS state FROM {name}_s)"""

@@ -48,7 +48,7 @@ TABLES: dict[str, str] = {
           CAST(DATE '2024-01-01' + CAST([[days:o_orderdate]] % 84 AS INT) AS TIMESTAMP) AS change_timestamp, 'UPDATE' AS change_type,
           CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'CAMPAIGN_BUDGET' WHEN '2' THEN 'BIDDING_STRATEGY' WHEN '3' THEN 'CAMPAIGN' WHEN '4' THEN 'AD_GROUP_CRITERION' ELSE 'AD_GROUP_AD' END AS resource_type,
           'customers/' || CAST(o_custkey AS STRING) || '/changes/' || CAST(o_orderkey AS STRING) AS resource_name,
-          CASE WHEN o_orderkey % 20 = 0 THEN '' ELSE 'a' || CAST(o_custkey % n.n + 1 AS STRING) || '-c' || CAST(o_custkey % 12 AS STRING) END AS campaign_id,
+          CASE WHEN o_orderkey % 20 = 0 THEN '' ELSE 'a' || CAST(o_custkey % n.n + 1 AS STRING) || '-c' || CAST(CAST(floor(o_custkey / n.n) AS INT) % 12 AS STRING) END AS campaign_id,
           CASE WHEN o_orderstatus = 'F' THEN 'human' ELSE 'auto_applied' END AS actor,
           'amount_micros: ' || CAST(CAST(round(o_totalprice) AS BIGINT) * 1000 AS STRING) AS old_value,
           'amount_micros: ' || CAST(CAST(round(o_totalprice) AS BIGINT) * (850 + o_orderkey % 300) AS STRING) AS new_value
