@@ -7,8 +7,8 @@ content, PMI(t; c) = log(p(c|t) / p(c)) >= DISCLOSURE * -log p(c), and at least
 Such terms become spans of kind ``term`` where they stand in the context of a span of c; ``sanitised`` generalises base spans to
 the name of their kind and removes terms.
 
-Only DataFrame and SQL functions are used. Term counts over the corpus are made for the terms with enough support only, by a
-join whose strategy Spark picks from the size of the written candidates.
+Only DataFrame and SQL functions are used. Term counts over the corpus are pre-aggregated in each task and then joined to the
+terms with enough support.
 
 Defined results: a null or empty text has no spans; positions are code points, ends exclusive; spans of different kinds may
 overlap; repeated rows get equal spans; an empty table gives an empty table; ids may be null.
@@ -107,7 +107,8 @@ def _revealing(docs: DataFrame, found: DataFrame, text_col: str, disclosure: flo
     pairs = staged(seen.groupBy("kind", "term").agg(F.count("*").alias("n_pair")).filter(F.col("n_pair") >= support), "candidates")
     candidates = pairs.select("term").distinct()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(F.col(text_col))), F.lit(TERM), F.lit(0)))).alias("term"))
-    in_docs = words.join(candidates, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    # counted first: each task sends a term once, and the join yields one row per candidate
+    in_docs = words.groupBy("term").agg(F.count("*").alias("n_term")).join(candidates, "term")
     kinds = found.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["kind"]))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n_kind"))
     total = found.agg(F.count("*").alias("n_docs"))
     scored = pairs.join(in_docs, "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(total))  # four rows and one row
