@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from admeridian.plans import detector_queries, learn_queries, web_queries
+from admeridian.plans import detector_queries, learn_queries, operate_queries, web_queries
 
-MODULES = [detector_queries, learn_queries, web_queries]
+MODULES = [detector_queries, learn_queries, web_queries, operate_queries]
 
 
 def queries() -> dict:
