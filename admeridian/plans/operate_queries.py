@@ -81,10 +81,10 @@ res AS (SELECT *, CASE WHEN actual <= -0.1 THEN 'improved' WHEN actual >= 0.1 TH
 rsv AS (SELECT *, mode = adir AS dok, CASE rec WHEN 'DO_NOT_ACT' THEN acost > 0.1 WHEN 'ACT' THEN acost < -0.1 WHEN 'EITHER' THEN NOT (acost < -0.1) AND NOT (acost > 0.1) ELSE NOT (acost < -0.1) END AS rok FROM res)"""
 _DM = "WITH " + ctes("daily_metrics")
 ORACLES = {
-    "ops01_register": _w(_ALL, f"{_PRED} SELECT prediction_id, tid AS template_id, episode_id, state, mode AS prediction_direction, round(med, 8) AS prediction_magnitude, round(nm, 8) AS natural_magnitude, round(cost, 8) AS action_cost, rec AS recommendation FROM pred"),
-    "ops02_resolve": _w(_ALL, f"{_RES} SELECT prediction_id, w AS window_days, round(actual, 8) AS actual_magnitude, adir AS actual_direction, dok AS direction_correct, CASE WHEN err <= 0.05 THEN 'exact' WHEN err <= 0.1 THEN 'close' WHEN err <= 0.2 THEN 'ballpark' ELSE 'miss' END AS magnitude_score, rok AS recommendation_correct FROM rsv"),
-    "ops03_health": _w(_ALL, f"{_RES}, h AS (SELECT tid, count(*) AS n, avg(dok::INT) AS live, avg(rok::INT) AS lr, avg(err) AS e FROM rsv WHERE w = 14 GROUP BY tid) SELECT h.tid AS template_id, h.n AS n_resolved, round(live, 8) AS live, round(lr, 8) AS live_recommendation, round(e, 8) AS mae, round(acc, 8) AS backtest, CASE WHEN h.n >= 10 AND live < acc - 0.15 THEN 'DRIFT' WHEN h.n >= 10 AND live > acc + 0.05 THEN 'IMPROVING' ELSE '' END AS drift_flag, CASE WHEN h.n >= 10 AND live > 0.55 THEN 'ACTIVE' WHEN h.n < 10 OR live BETWEEN 0.45 AND 0.55 THEN 'SHADOW_ONLY' ELSE 'RETIRED' END AS status FROM h JOIN cat USING (tid)"),
-    "ops04_accuracy": _w(_ALL, f"{_RES} SELECT coalesce(w::VARCHAR, 'all') AS window_days, coalesce(rec, 'all') AS recommendation, count(*) AS n, round(avg(rok::INT), 8) AS accuracy, round(avg(dok::INT), 8) AS direction_accuracy, round(avg((rec = 'EITHER')::INT), 8) AS abstention FROM rsv GROUP BY CUBE (w, rec)"),
+    "ops01_register": _w(_ALL, f"{_PRED} SELECT prediction_id, tid AS template_id, episode_id, state, mode AS prediction_direction, round(med, 6) AS prediction_magnitude, round(nm, 6) AS natural_magnitude, round(cost, 6) AS action_cost, rec AS recommendation FROM pred"),
+    "ops02_resolve": _w(_ALL, f"{_RES} SELECT prediction_id, w AS window_days, round(actual, 6) AS actual_magnitude, adir AS actual_direction, dok AS direction_correct, CASE WHEN err <= 0.05 THEN 'exact' WHEN err <= 0.1 THEN 'close' WHEN err <= 0.2 THEN 'ballpark' ELSE 'miss' END AS magnitude_score, rok AS recommendation_correct FROM rsv"),
+    "ops03_health": _w(_ALL, f"{_RES}, h AS (SELECT tid, count(*) AS n, avg(dok::INT) AS live, avg(rok::INT) AS lr, avg(err) AS e FROM rsv WHERE w = 14 GROUP BY tid) SELECT h.tid AS template_id, h.n AS n_resolved, round(live, 6) AS live, round(lr, 6) AS live_recommendation, round(e, 6) AS mae, round(acc, 6) AS backtest, CASE WHEN h.n >= 10 AND live < acc - 0.15 THEN 'DRIFT' WHEN h.n >= 10 AND live > acc + 0.05 THEN 'IMPROVING' ELSE '' END AS drift_flag, CASE WHEN h.n >= 10 AND live > 0.55 THEN 'ACTIVE' WHEN h.n < 10 OR live BETWEEN 0.45 AND 0.55 THEN 'SHADOW_ONLY' ELSE 'RETIRED' END AS status FROM h JOIN cat USING (tid)"),
+    "ops04_accuracy": _w(_ALL, f"{_RES} SELECT coalesce(w::VARCHAR, 'all') AS window_days, coalesce(rec, 'all') AS recommendation, count(*) AS n, round(avg(rok::INT), 6) AS accuracy, round(avg(dok::INT), 6) AS direction_accuracy, round(avg((rec = 'EITHER')::INT), 6) AS abstention FROM rsv GROUP BY CUBE (w, rec)"),
     "ver07_checksums": f"{_DM} SELECT CAST(date AS VARCHAR) AS date, count(*) AS n_rows, CAST(sum(('0x' || substr(md5(concat_ws('|', account_id, campaign_id, CAST(clicks AS VARCHAR), CAST(cost_micros AS VARCHAR), CAST(date AS VARCHAR))), 1, 8))::BIGINT) AS BIGINT) AS content FROM daily_metrics GROUP BY 1",
     "obs05_inventory": f"WITH {ctes('accounts', 'daily_metrics', 'change_events', 'keyword_metrics', 'conversion_actions')} " + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows, count(DISTINCT account_id) AS n_accounts FROM {n}" for n in ("accounts", "daily_metrics", "change_events", "keyword_metrics", "conversion_actions")),
     "snk01_upsert_replace": f"{_DM} SELECT CASE WHEN date >= DATE '2024-02-12' THEN 2 ELSE 1 END AS loaded, count(*) AS n, CAST(sum(clicks + CASE WHEN date >= DATE '2024-02-12' THEN 1 ELSE 0 END) AS BIGINT) AS clicks FROM daily_metrics GROUP BY 1",

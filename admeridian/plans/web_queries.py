@@ -67,7 +67,7 @@ _FC = ("mobile_traffic_share", "mobile_cvr_gap", "search_partners_spend_share",
 _ST = [("device_mobile_drag", "warning", "mobile_cvr_gap", "1.1", "mobile_traffic_share > 0.6 AND mobile_cvr_gap >= 1.1"), ("search_partners_waste", "warning", "partners_cpa_ratio", "1.5", "search_partners_spend_share > 0.15 AND partners_cpa_ratio >= 1.5"),
        ("dead_zone_spend", "info", "greatest(hour_dead_zone_spend_share, dow_dead_zone_spend_share)", "0.1", "has_dead_zones"), ("geo_cpa_outlier", "info", "geo_cpa_variance", "0.4", "geo_cpa_variance > 0.4"), ("weak_ad_strength", "warning", "poor_ad_share", "0.4", "n_rsa >= 3 AND poor_ad_share > 0.4")]
 ORACLES = {
-    "seg01_features": f"{_FEAT} SELECT account_id, campaign_id, {', '.join(f'round({c}, 8) AS {c}' for c in _FC)}, n_rsa, has_dead_zones FROM f",
+    "seg01_features": f"{_FEAT} SELECT account_id, campaign_id, {', '.join(f'round({c}, 6) AS {c}' for c in _FC)}, n_rsa, has_dead_zones FROM f",
     "seg02_attributes": f"{_FEAT} SELECT account_id, campaign_id, CASE WHEN mobile_traffic_share > 0.5 THEN 'mobile_heavy' ELSE 'desktop_heavy' END AS device_profile, CASE WHEN mobile_cvr_gap IS NULL THEN 'unknown' WHEN mobile_cvr_gap >= 1.5 THEN 'mobile_drag' ELSE 'no_drag' END AS mobile_cvr_drag, CASE WHEN search_partners_spend_share > 0.1 THEN 'partners' ELSE 'no_partners' END AS partners_exposed, CASE WHEN has_dead_zones THEN 'dead_zones' ELSE 'no_dead_zones' END AS dead_zones, CASE WHEN geo_cpa_variance IS NULL THEN 'unknown' WHEN geo_cpa_variance > 0.5 THEN 'high_geo_var' ELSE 'low_geo_var' END AS geo_variance, CASE WHEN n_rsa IS NULL THEN 'unknown' WHEN poor_ad_share > 0.5 THEN 'weak_ads' ELSE 'ok_ads' END AS ad_quality FROM f",
     "seg03_07_signals": f"{_FEAT} " + " UNION ALL ".join(f"{_sig(repr(k), repr(sev), v, th, 'campaign_id')} FROM f WHERE {w}" for k, sev, v, th, w in _ST),
     "ga4_01_engagement_drop": _p(f"{_PW} {_sig(repr('ga4_engagement_drop'), 'CASE WHEN be - re >= 0.25 THEN ' + repr('critical') + ' ELSE ' + repr('warning') + ' END', 're', 'be - 0.05')} FROM w WHERE rs >= 5 AND bs >= 10 AND be > 0 AND be - re >= 0.05"),
@@ -80,8 +80,8 @@ e AS (SELECT account_id, event_name, sum(CASE WHEN date > d - 7 THEN event_count
 st AS (SELECT u.account_id, v.i, v.down, x.r / nullif(u.r, 0) AS rr, x.b / nullif(u.b, 0) AS br FROM (VALUES (1, 'view_item', 'add_to_cart'), (2, 'add_to_cart', 'begin_checkout'), (3, 'begin_checkout', 'purchase')) v(i, up, down) JOIN e u ON u.event_name = v.up JOIN e x ON x.event_name = v.down AND x.account_id = u.account_id WHERE u.b >= 5),
 ra AS (SELECT *, (br - rr) / br AS fall, row_number() OVER (PARTITION BY account_id ORDER BY (br - rr) / br DESC, i) AS rn FROM st WHERE br > 0 AND rr IS NOT NULL)
 {_sig(repr('ga4_funnel_dropoff'), 'CASE WHEN down = ' + repr('purchase') + ' THEN ' + repr('critical') + ' ELSE ' + repr('warning') + ' END', 'rr', 'br * 0.95')} FROM ra WHERE rn = 1 AND fall >= 0.05""",
-    "ga4_07_page_evidence": _p(" SELECT account_id, landing_page, CAST(sum(sessions) AS BIGINT) AS sessions, " + ", ".join(f"round(sum(engaged_sessions) FILTER ({c}) / nullif(sum(sessions) FILTER ({c}), 0), 8) AS {n}" for n, c in (("mobile_engagement", "device = 'mobile'"), ("desktop_engagement", "device = 'desktop'"), ("recent_engagement", "date > d - 7"), ("base_engagement", "date <= d - 7"))) + " FROM ga4_landing_pages, a WHERE date > d - 28 GROUP BY ALL"),
-    "ga4_09_page_trends": _p(f", {_TC}, dy AS (SELECT account_id, landing_page, date, sum(sessions) AS s, sum(engaged_sessions) AS e FROM ga4_landing_pages GROUP BY ALL), py AS (SELECT account_id, landing_page, 'cvr' AS metric, date, e / nullif(s, 0) AS value FROM dy WHERE (account_id, landing_page) IN (SELECT account_id, landing_page FROM dy GROUP BY ALL HAVING count(*) >= 10 AND sum(s) >= 20)), {_trend('tp', 'py', 'account_id, landing_page')} SELECT account_id, landing_page, n, round(slope, 8) AS slope, classification FROM tp WHERE n >= 10"),
+    "ga4_07_page_evidence": _p(" SELECT account_id, landing_page, CAST(sum(sessions) AS BIGINT) AS sessions, " + ", ".join(f"round(sum(engaged_sessions) FILTER ({c}) / nullif(sum(sessions) FILTER ({c}), 0), 6) AS {n}" for n, c in (("mobile_engagement", "device = 'mobile'"), ("desktop_engagement", "device = 'desktop'"), ("recent_engagement", "date > d - 7"), ("base_engagement", "date <= d - 7"))) + " FROM ga4_landing_pages, a WHERE date > d - 28 GROUP BY ALL"),
+    "ga4_09_page_trends": _p(f", {_TC}, dy AS (SELECT account_id, landing_page, date, sum(sessions) AS s, sum(engaged_sessions) AS e FROM ga4_landing_pages GROUP BY ALL), py AS (SELECT account_id, landing_page, 'cvr' AS metric, date, e / nullif(s, 0) AS value FROM dy WHERE (account_id, landing_page) IN (SELECT account_id, landing_page FROM dy GROUP BY ALL HAVING count(*) >= 10 AND sum(s) >= 20)), {_trend('tp', 'py', 'account_id, landing_page')} SELECT account_id, landing_page, n, round(slope, 6) AS slope, classification FROM tp WHERE n >= 10"),
     "ga4_12_url_coverage": _p(", u AS (SELECT DISTINCT account_id, '/page' || regexp_extract(final_url, 'Page(\\d)', 1) AS landing_page FROM campaign_final_urls) SELECT count(*) AS paths, count(*) FILTER ((account_id, landing_page) IN (SELECT account_id, landing_page FROM ga4_landing_pages)) AS matched FROM u", "ga4_landing_pages campaign_final_urls"),
     "nrm11_paths": f"WITH {ctes('campaign_final_urls')} SELECT DISTINCT account_id, campaign_id, '/page' || regexp_extract(final_url, 'Page(\\d)', 1) AS path FROM campaign_final_urls",
 }
