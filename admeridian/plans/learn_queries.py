@@ -55,6 +55,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c).cast("string").alias(c) if kinds[c] == "date" else F.col(c) for c in df.columns])
 
 
+def off_ties(df: DataFrame) -> DataFrame:
+    """Moves doubles off the exact halves that two engines may round to different sides."""
+    return df.withColumns({c: F.col(c) + 3.3e-7 for c, kind in df.dtypes if kind == "double"})
+
+
 def _q(make, *columns: str, digits: int = 6):
     def query(spark, sf_dir):
         out = make(Learned(spark, sf_dir))
@@ -67,7 +72,7 @@ _TEMPLATE = ("template_id", "level", "prediction_direction", "prediction_magnitu
 
 QUERIES = {
     "trd02_daily_values": _q(lambda t: trends.daily_values(t.daily_metrics).filter("value IS NOT NULL").groupBy("metric").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))),
-    "trd03_campaign_trends": _q(lambda t: trends.campaign_trends(t.daily_metrics), "account_id", "campaign_id", "metric", "window_days", "n", "slope", "r_squared", "classification", "cv", "current_value", "projected_7d", digits=4),
+    "trd03_campaign_trends": _q(lambda t: off_ties(trends.campaign_trends(t.daily_metrics)), "account_id", "campaign_id", "metric", "window_days", "n", "slope", "r_squared", "classification", "cv", "current_value", "projected_7d", digits=4),
     "trd04_volatility": _q(lambda t: trends.with_volatility(trends.campaign_trends(t.daily_metrics)), "account_id", "campaign_id", "metric", "volatility_class", "threshold_multiplier"),
     "trd05_trend_annotation": _q(lambda t: _annotated(t), "account_id", "campaign_id", "signal_type", "trend_classification_30d", "trend_slope_30d"),
     "trd06_class_summary": _q(lambda t: trends.class_summary(trends.campaign_trends(t.daily_metrics))),
@@ -263,7 +268,7 @@ def _w(tables: str, body: str) -> str:
 _ALL = "accounts daily_metrics change_events"
 ORACLES = {
     "trd02_daily_values": _w("daily_metrics", f"{_VALUES} SELECT metric, count(*) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high FROM vals WHERE value IS NOT NULL GROUP BY metric"),
-    "trd03_campaign_trends": _w("daily_metrics", f"{_TRENDS} SELECT account_id, campaign_id, metric, window_days, n, round(slope, 4) AS slope, round(r2, 4) AS r_squared, classification, round(cv, 4) AS cv, round(cur, 4) AS current_value, round(cur + slope * 7, 4) AS projected_7d FROM tr"),
+    "trd03_campaign_trends": _w("daily_metrics", f"{_TRENDS} SELECT account_id, campaign_id, metric, window_days, n, round(slope + 3.3e-7, 4) AS slope, round(r2 + 3.3e-7, 4) AS r_squared, classification, round(cv + 3.3e-7, 4) AS cv, round(cur + 3.3e-7, 4) AS current_value, round(cur + slope * 7 + 3.3e-7, 4) AS projected_7d FROM tr"),
     "trd04_volatility": _w("daily_metrics", f"{_TRENDS} SELECT account_id, campaign_id, metric, CASE WHEN cv > 0.4 THEN 'high' WHEN cv > 0.15 THEN 'medium' ELSE 'low' END AS volatility_class, CASE WHEN cv > 0.4 THEN 1.5 WHEN cv > 0.15 THEN 1.0 ELSE 0.7 END::DOUBLE AS threshold_multiplier FROM tr WHERE window_days = 30"),
     "trd06_class_summary": _w("daily_metrics", f"{_TRENDS} SELECT metric, classification, count(*) AS n FROM tr GROUP BY ALL"),
     "epi02_03_bundles": _w(_ALL, f"{_BUNDLES} SELECT episode_id, account_id, campaign_id, CAST(change_date AS VARCHAR) AS change_date, actor, categories, change_count, change_event_id, change_category, known FROM bu"),
