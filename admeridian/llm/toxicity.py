@@ -2,7 +2,8 @@
 
 A document is a bag of sentences. A sentence scores sigmoid(bias + weights of its words); the sentence scores combine by
 noisy-or to the document's score, 1 - product(1 - sentence). The weights are trained from document labels alone, by gradient
-steps on the likelihood of the noisy-or; the sentence scores then say where the offence lies.
+steps on the likelihood of the noisy-or; the sentence scores then say where the offence lies. Beginnings of four and five letters
+count beside whole words.
 
 The model is fitted in one task on a sample bounded by ``TRAIN_ROWS`` labelled rows (smallest hashes of their ids, texts up
 to ``TRAIN_BYTES``), held-out rows excluded; its vocabulary holds at most ``VOCABULARY`` words, so model and broadcast are of
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from admeridian.llm.common import staged, text_or_empty
 
-TRAIN_ROWS, TRAIN_BYTES, VOCABULARY, FOLDS, STEPS = 8_000, 65_536, 20_000, 5, 250
+TRAIN_ROWS, TRAIN_BYTES, VOCABULARY, FOLDS, STEPS = 8_000, 65_536, 20_000, 5, 300
 SENTENCES = re.compile(r"[.!?\n]+").split
 TERMS = re.compile(r"[^\W\d_]+").findall
 
@@ -36,11 +37,16 @@ def fold(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
+def _with_stems(words: set[str]) -> set[str]:
+    """The words and, marked by their length, the beginnings of the longer ones, so that inflected forms share evidence."""
+    return words | {"4" + w[:4] for w in words if len(w) > 4} | {"5" + w[:5] for w in words if len(w) > 5}
+
+
 def _sentences(text: str) -> list[set[str]]:
-    return [set(TERMS(x)) for x in SENTENCES(text.lower()) if x.strip()] or [set()]
+    return [_with_stems(set(TERMS(x))) for x in SENTENCES(text.lower()) if x.strip()] or [set()]
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, vocabulary: int = VOCABULARY, ridge: float = 1e-3) -> dict[str, float]:
+def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, vocabulary: int = VOCABULARY, ridge: float = 1e-5) -> dict[str, float]:
     """Weights by word; the bias is under the empty string."""
     labels = np.asarray(labels, float)
     if not len(labels) or labels.min() == labels.max():
@@ -83,7 +89,7 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, vocabulary: in
         pull = labels * none / (1 - none) - (1 - labels)
         by_sentence = p * pull[doc_of]
         g = np.append(np.bincount(word_of, by_sentence[sentence_of], minlength=len(words)), by_sentence.sum()) / len(bags)
-        g[:-1] -= ridge * w[:-1] / 10
+        g[:-1] -= ridge * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w += 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return {"": float(w[-1])} | {x: float(y) for x, y in zip(words, w[:-1], strict=True) if abs(y) > 1e-3}
@@ -117,18 +123,22 @@ def sentence_scores(text: str, model: dict[str, float]) -> list[float]:
 
 def document_scores(text: Column, model: dict[str, float]) -> Column:
     """score, worst (the sentence with the highest score), worst_score."""
-    words, bias = {k: v for k, v in model.items() if k}, model[""]
+    weights, bias = {k: v for k, v in model.items() if k}, model[""]
+    whole, four, five = {k for k in weights if k[0] not in "45"}, {k[1:]: k for k in weights if k[0] == "4"}, {k[1:]: k for k in weights if k[0] == "5"}
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known, base = words.keys(), math.log1p(-1 / (1 + math.exp(-bias)))
+        base = math.log1p(-1 / (1 + math.exp(-bias)))
         for batch in texts:
             out = []
             for text in batch:
                 keep, worst, high, n = 0.0, "", bias, 0
                 for sentence in SENTENCES(text.lower()):
-                    hits = known & TERMS(sentence)
+                    words = set(TERMS(sentence))
+                    hits = whole & words
+                    hits |= {four[w] for w in four.keys() & {w[:4] for w in words if len(w) > 4}}
+                    hits |= {five[w] for w in five.keys() & {w[:5] for w in words if len(w) > 5}}
                     if hits:
-                        z = min(30.0, bias + sum(words[w] for w in sorted(hits)))
+                        z = min(30.0, bias + sum(weights[w] for w in sorted(hits)))
                         keep -= math.log1p(math.exp(z))
                         if z > high:
                             worst, high = sentence, z
