@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,11 +52,11 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, vocabulary: in
     labels = np.asarray(labels, float)
     if not len(labels) or labels.min() == labels.max():
         return {"": -30.0}
-    bags = [_sentences(t) for t in texts]
+    # two passes over the texts: only the words that are chosen are ever held sentence by sentence
     n_pos = labels.sum()
     in_pos, in_all = Counter(), Counter()
-    for bag, y in zip(bags, labels, strict=True):
-        words = set().union(*bag)
+    for text, y in zip(texts, labels, strict=True):
+        words = _with_stems(set(TERMS(text.lower())))
         in_all.update(words)
         if y:
             in_pos.update(words)
@@ -69,14 +70,14 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, vocabulary: in
                 far[w] = abs(z)
     words = sorted(sorted(far, key=lambda w: (-far[w], w))[:vocabulary])
     place = {w: i for i, w in enumerate(words)}
-    doc_of, sentence_of, word_of, s = [], [], [], 0
-    for d, bag in enumerate(bags):
-        for sentence in bag:
+    del in_pos, in_all
+    doc_of, sentence_of, word_of, s = array("l"), array("l"), array("l"), 0
+    for d, text in enumerate(texts):
+        for sentence in _sentences(text):
             doc_of.append(d)
-            for w in sentence:
-                if (i := place.get(w)) is not None:
-                    sentence_of.append(s)
-                    word_of.append(i)
+            for w in place.keys() & sentence:
+                sentence_of.append(s)
+                word_of.append(place[w])
             s += 1
     doc_of, sentence_of, word_of = (np.array(x, np.int64) for x in (doc_of, sentence_of, word_of))
     w, b = np.zeros(len(words) + 1), -6.0
@@ -85,10 +86,10 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, vocabulary: in
     for step in range(1, steps + 1):
         z = w[-1] + np.bincount(sentence_of, w[word_of], minlength=s)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.clip(np.exp(np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(bags))), 1e-9, 1 - 1e-9)
+        none = np.clip(np.exp(np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts))), 1e-9, 1 - 1e-9)
         pull = labels * none / (1 - none) - (1 - labels)
         by_sentence = p * pull[doc_of]
-        g = np.append(np.bincount(word_of, by_sentence[sentence_of], minlength=len(words)), by_sentence.sum()) / len(bags)
+        g = np.append(np.bincount(word_of, by_sentence[sentence_of], minlength=len(words)), by_sentence.sum()) / len(texts)
         g[:-1] -= ridge * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w += 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
