@@ -1,14 +1,14 @@
 """Personal data: base patterns, then information-theoretic sanitisation.
 
 Base spans are found by leftmost non-overlapping patterns per kind (start guards and possessive loops only keep them linear;
-they match what the plain patterns match). Terms near a base span can give it away. The corpus says how much: with documents
+they match what the plain patterns match). Terms outside the base spans can give them away. The corpus says how much: with documents
 as events, a term t reveals a kind c when its pointwise mutual information with c reaches ``DISCLOSURE`` of c's information
-content, PMI(t; c) = log(p(c|t) / p(c)) >= DISCLOSURE * -log p(c), and at least ``SUPPORT`` documents show t in the context of c.
-Such terms become spans of kind ``term`` where they stand in the context of a span of c; ``sanitised`` generalises base spans to
-the name of their kind and removes terms.
+content, PMI(t; c) = log(p(c|t) / p(c)) >= DISCLOSURE * -log p(c), and at least ``SUPPORT`` documents hold both t and a span of c.
+Such terms become spans of kind ``term`` wherever they stand in a document that holds a span of c; ``sanitised`` generalises base
+spans to the name of their kind and removes terms.
 
-Only DataFrame and SQL functions are used. Term counts over the corpus are pre-aggregated in each task and then joined to the
-terms with enough support.
+Only DataFrame and SQL functions are used. Term counts, overall and with each kind, come from one aggregate over the corpus,
+pre-aggregated in each task.
 
 Defined results: a null or empty text has no spans; positions are code points, ends exclusive; spans of different kinds may
 overlap; repeated rows get equal spans; an empty table gives an empty table; ids may be null.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from admeridian.llm.common import staged, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Share of a kind's information that a term must carry; documents that must show the pair; characters of context on a side.
-DISCLOSURE, SUPPORT, CONTEXT = 0.9, 8, 40
+#: Share of a kind's information that a term must carry; documents that must hold the pair.
+DISCLOSURE, SUPPORT = 0.9, 8
 
 #: The base patterns, each with a guard that lets a match start only where a run starts or the last match ended.
 PATTERNS = {
@@ -35,8 +35,8 @@ PATTERNS = {
 TERM = r"\p{L}{3,}"
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """array<start, end, hit> of all matches: the pieces between matches give their places."""
+def _spans(text: Column, pattern: str, wanted=None) -> Column:
+    """array<start, end, hit> of all matches, or of the ``wanted`` ones: the pieces between matches give their places."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
     none = F.expr("array_repeat(named_struct('start', 0, 'end', 0, 'hit', ''), 0)")
@@ -44,7 +44,8 @@ def _spans(text: Column, pattern: str) -> Column:
     def step(state: Column, e: Column) -> Column:
         start = state["at"] + F.length(e["piece"])
         end = start + F.length(e["hit"])
-        return F.struct(end.alias("at"), F.array_append(state["spans"], F.struct(start.alias("start"), end.alias("end"), e["hit"].alias("hit"))).alias("spans"))
+        more = F.array_append(state["spans"], F.struct(start.alias("start"), end.alias("end"), e["hit"].alias("hit")))
+        return F.struct(end.alias("at"), (F.when(wanted(e["hit"]), more).otherwise(state["spans"]) if wanted else more).alias("spans"))
 
     both = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("piece"), hits.alias("hit"))
     folded = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
@@ -84,51 +85,56 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*own))
 
 
-def _context_terms(text: Column, spans: Column, width: int) -> Column:
-    """array<kind, term, start, end> of the terms within ``width`` characters of each span, cut words at the far edges left out."""
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of its base spans, so that every other character keeps its place."""
 
-    def side(low: Column, high: Column, kind: Column) -> Column:
-        part = F.substring(text, low + 1, high - low)
-        # a word that runs over the edge of the context is not a term of it
-        own = F.filter(_spans(part, TERM), lambda t: ((t["start"] > 0) | (low == 0)) & ((t["end"] < high - low) | (high == F.length(text))))
-        return F.transform(own, lambda t: F.struct(kind.alias("kind"), F.lower(t["hit"]).alias("term"), (low + t["start"]).alias("start"), (low + t["end"]).alias("end")))
+    def cut(state: Column, s: Column) -> Column:
+        start = F.greatest(s["start"], state["at"])
+        kept = F.concat(state["text"], F.substring(text, state["at"] + 1, start - state["at"]), F.repeat(F.lit(" "), s["end"] - start))
+        return F.when(s["end"] > state["at"], F.struct(s["end"].alias("at"), kept.alias("text"))).otherwise(state)
+
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    blanked = F.aggregate(spans, first, cut, lambda s: F.concat(s["text"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, blanked).otherwise(text)
 
-    def around(s: Column) -> Column:
-        before = side(F.greatest(s["start"] - width, F.lit(0)), s["start"], s["kind"])
-        after = side(s["end"], F.least(s["end"] + width, F.length(text)), s["kind"])
-        return F.concat(before, after)
 
-    return F.flatten(F.transform(spans, around))
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _revealing(docs: DataFrame, found: DataFrame, text_col: str, disclosure: float, support: int) -> DataFrame:
+def _revealing(found: DataFrame, disclosure: float, support: int) -> DataFrame:
     """(kind, term) that reach the disclosure threshold, from counts over all documents."""
-    seen = found.filter(F.size("context") > 0).select("row", F.explode("context").alias("c")).select("row", "c.kind", "c.term").distinct()
-    pairs = staged(seen.groupBy("kind", "term").agg(F.count("*").alias("n_pair")).filter(F.col("n_pair") >= support), "candidates")
-    candidates = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(F.col(text_col))), F.lit(TERM), F.lit(0)))).alias("term"))
-    # counted first: each task sends a term once, and the join yields one row per candidate
-    in_docs = words.groupBy("term").agg(F.count("*").alias("n_term")).join(candidates, "term")
-    kinds = found.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["kind"]))).alias("kind")).groupBy("kind").agg(F.count("*").alias("n_kind"))
+    base = range(len(KINDS) - 1)
+    kinds_of = F.transform("spans", lambda s: s["kind"])
+    has = [F.array_contains(kinds_of, i).cast("long").alias(f"k{i}") for i in base]
+    words = found.select(*has, _terms(F.col("outside")).alias("terms")).select(*[f"k{i}" for i in base], F.explode("terms").alias("term"))
+    # one event, the document, for both counts; each task sends a term once
+    counts = words.groupBy("term").agg(F.count("*").alias("n_term"), *[F.sum(f"k{i}").alias(f"k{i}") for i in base])
+    pairs = counts.select("term", "n_term", F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"k{i}").alias("n_pair")) for i in base])).alias("p")).select("term", "n_term", "p.*").filter(F.col("n_pair") >= support)
+    kinds = found.select(F.explode(F.array_distinct(kinds_of)).alias("kind")).groupBy("kind").agg(F.count("*").alias("n_kind"))
     total = found.agg(F.count("*").alias("n_docs"))
-    scored = pairs.join(in_docs, "term").join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(total))  # four rows and one row
+    scored = pairs.join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(total))  # four rows and one row
     prior = F.col("n_kind") / F.col("n_docs")
-    pmi = F.log(F.least(F.col("n_pair") / F.col("n_term"), F.lit(1.0)) / prior)
+    pmi = F.log(F.col("n_pair") / F.col("n_term") / prior)
     return staged(scored.filter(pmi >= disclosure * -F.log(prior)).select("kind", "term"), "revealing")
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, context: int = CONTEXT, with_text: bool = False) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, with_text: bool = False) -> DataFrame:
     """One row per row: ``doc_id, spans`` (array<start, kind, end>, base and term) and, if asked for, ``text``."""
     text = text_or_empty(F.col(text_col))
     found = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("spans", base_spans(F.col("text")))
-    found = found.withColumn("context", F.when(F.size("spans") > 0, _context_terms(F.col("text"), F.col("spans"), context)))
-    found = found.withColumn("row", F.monotonically_increasing_id())
+    found = found.withColumn("outside", _outside(F.col("text"), F.col("spans"))).withColumn("row", F.monotonically_increasing_id())
     found = staged(found if with_text else found.drop("text"), "personal")  # fixes the row numbers
-    terms = _revealing(docs, found, text_col, disclosure, support)
-    shown = found.filter(F.size("context") > 0).select("row", F.explode("context").alias("c")).select("row", "c.*").join(terms, ["kind", "term"])
-    more = shown.groupBy("row").agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")).alias("more"))
-    spans = F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "more")))
-    return found.join(more, "row", "left").select("doc_id", spans.alias("spans"), *(["text"] if with_text else []))
+    revealing = _revealing(found, disclosure, support)
+    holders = found.filter(F.size("spans") > 0)
+    held = holders.select("row", F.array_distinct(F.transform("spans", lambda s: s["kind"])).alias("kinds"), F.explode(_terms(F.col("outside"))).alias("term"))
+    by_term = revealing.groupBy("term").agg(F.collect_set("kind").alias("of"))  # four kinds at most
+    shown = held.join(by_term, "term").filter(F.arrays_overlap("kinds", "of")).groupBy("row").agg(F.collect_set("term").alias("shown"))
+    found = found.join(shown, "row", "left")
+    places = _spans(F.col("outside"), TERM, lambda hit: F.array_contains("shown", F.lower(hit)))
+    more = F.transform(places, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), s["end"].alias("end")))
+    spans = F.when(F.col("shown").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", more)))
+    return found.select("doc_id", spans.alias("spans"), *(["text"] if with_text else []))
 
 
 def described(spans: Column) -> Column:

@@ -1,0 +1,31 @@
+"""Terms are counted and marked over whole documents, not near the base spans only."""
+
+from admeridian.llm import pii
+
+
+def test_terms_anywhere_in_a_document_that_holds_an_entity(spark):
+    far = "plain words here without any thing " * 10
+    rows = [(i, f"note {i} {far}") for i in range(200)]
+    # half of the documents show the first term next to the address; the second never stands within 300 characters of it
+    for i in range(20):
+        near, away = ("Zephyrine", far) if i % 2 else (far, "Zephyrine")
+        rows.append((1000 + i, f"{near} mails z{i}@corp.example today. {away} {far} Quillon again"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.personal_data_digest(docs).collect()}
+    for i, text in rows[200:]:
+        for name in ("Zephyrine", "Quillon"):
+            at = text.index(name)
+            assert f"term:{at}:{at + len(name)}" in got[i], (i, name)
+        at = text.index("corp")
+        assert f"term:{at}:{at + 4}" not in got[i]  # part of the address itself
+    assert all(got[i] == [""] for i in range(200))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    assert all("Zephyrine" not in clean[1000 + i] and "Quillon" not in clean[1000 + i] and "[EMAIL]" in clean[1000 + i] for i in range(20))
+
+
+def test_blanked_text_keeps_places(spark):
+    text = "Call +1 (415) 555-2671 or a@b.example, 10.0.0.1 and 4111 1111 1111 1111 end"
+    docs = spark.createDataFrame([(text,), ("none",), ("",)], "text string")
+    got = [r[0] for r in docs.select(pii._outside(pii.F.col("text"), pii.base_spans(pii.F.col("text")))).collect()]
+    assert [len(x) for x in got] == [len(text), 4, 0]
+    assert got[0].split() == ["Call", "or", ",", "and", "end"]
