@@ -1,14 +1,19 @@
-"""Personal data: base patterns, then information-theoretic sanitisation.
+"""Personal data: base patterns and credentials, then information-theoretic sanitisation.
 
 Base spans are found by leftmost non-overlapping patterns per kind (start guards and possessive loops only keep them linear;
-they match what the plain patterns match). Terms outside the base spans can give them away. The corpus says how much: with documents
-as events, a term t reveals a kind c when its pointwise mutual information with c reaches ``DISCLOSURE`` of c's information
-content, PMI(t; c) = log(p(c|t) / p(c)) >= DISCLOSURE * -log p(c), and at least ``SUPPORT`` documents hold both t and a span of c.
-Such terms become spans of kind ``term`` wherever they stand in a document that holds a span of c; ``sanitised`` generalises base
-spans to the name of their kind and removes terms.
+they match what the plain patterns match). Credentials (kind ``secret``) are long unbroken runs of letters and digits that carry
+much information: at least ``SECRET_DISTINCT`` different characters, some of them letters and some digits.
+
+Other terms can give these away. The corpus says how much: events are documents (equal texts are one event), the protected
+entities are the single values (an address, a number, a key) and the kinds. A term t reveals an entity c when
+PMI(t; c) = log(p(c|t) / p(c)) reaches ``DISCLOSURE`` of c's information content -log p(c), with t and c counted over whole
+documents, and at least ``SUPPORT`` events hold both. p(c|t) is the lower end of its Wilson interval (``Z`` deviations), so that a
+rare term has to be seen with c more purely than a common one. Terms that reveal an entity or a kind become spans of kind
+``term`` wherever they stand; ``sanitised`` generalises protected spans to the name of their kind and removes such terms.
 
 Only DataFrame and SQL functions are used. Term counts, overall and with each kind, come from one aggregate over the corpus,
-pre-aggregated in each task.
+pre-aggregated in each task. Values are paired only with terms that are rare enough to reveal them, in documents that hold both;
+values of fewer than ``SUPPORT`` events take no part.
 
 Defined results: a null or empty text has no spans; positions are code points, ends exclusive; spans of different kinds may
 overlap; repeated rows get equal spans; an empty table gives an empty table; ids may be null.
@@ -21,9 +26,13 @@ from pyspark.sql import functions as F
 
 from admeridian.llm.common import staged, text_or_empty
 
-KINDS = ("email", "ip", "card", "phone", "term")
-#: Share of a kind's information that a term must carry; documents that must hold the pair.
-DISCLOSURE, SUPPORT = 0.9, 8
+#: The base kinds come first; a kind's place is its number in spans.
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
+BASE, SECRET, TERM_KIND = 4, KINDS.index("secret"), KINDS.index("term")
+#: Share of an entity's information that a term must carry; events that must hold both; deviations of the interval of p(c|t).
+DISCLOSURE, SUPPORT, Z = 0.9, 3, 2.0
+#: Different characters, letters and digits that a credential has at least.
+SECRET_DISTINCT, SECRET_LETTERS, SECRET_DIGITS = 10, 3, 3
 
 #: The base patterns, each with a guard that lets a match start only where a run starts or the last match ended.
 PATTERNS = {
@@ -31,6 +40,7 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    "secret": r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}+",
 }
 TERM = r"\p{L}{3,}"
 
@@ -69,24 +79,36 @@ def _valid(kind: str, hit: Column) -> Column:
         return F.forall(F.split(hit, r"\."), lambda x: (F.length(part(x)) < 3) | ((F.length(part(x)) == 3) & (part(x) <= "255")))
     digits = F.regexp_replace(hit, "[^0-9]", "")
     n = F.length(digits)
+    if kind == "secret":
+        mixed = (n >= SECRET_DIGITS) & (F.length(F.regexp_replace(hit, "[^A-Za-z]", "")) >= SECRET_LETTERS)
+        return F.when(mixed, F.size(F.array_distinct(F.split(hit, ""))) >= SECRET_DISTINCT).otherwise(False)
     if kind == "card":
         return F.when((n >= 12) & (n <= 19), _luhn(digits)).otherwise(False)
     return (n >= 9) & (n <= 15) if kind == "phone" else F.lit(True)
 
 
-def base_spans(text: Column) -> Column:
-    """array<start, kind, end> of the base kinds, by start, then kind; ``kind`` is a place in ``KINDS``."""
+def protected_spans(text: Column) -> Column:
+    """array<start, kind, end> of base spans and credentials, by start, then kind; ``kind`` is a place in ``KINDS``."""
 
     def of(i: int, kind: str) -> Column:
         kept = F.filter(_spans(text, PATTERNS[kind]), lambda s: _valid(kind, s["hit"]))
         return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end")))
 
-    own = [of(i, kind) for i, kind in enumerate(KINDS[:4])]
-    return F.array_sort(F.concat(*own))
+    return F.array_sort(F.concat(*[of(i, kind) for i, kind in enumerate(KINDS[:TERM_KIND])]))
+
+
+def entities(text: Column, spans: Column) -> Column:
+    """One number for each span's value: letters in one case, cards and phones by their digits."""
+
+    def value(s: Column) -> Column:
+        raw = F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"]))
+        return F.xxhash64(s["kind"], F.when(s["kind"].isin(KINDS.index("card"), KINDS.index("phone")), F.regexp_replace(raw, "[^0-9]", "")).otherwise(raw))
+
+    return F.array_distinct(F.transform(spans, value))
 
 
 def _outside(text: Column, spans: Column) -> Column:
-    """The text with blanks in place of its base spans, so that every other character keeps its place."""
+    """The text with blanks in place of its protected spans, so that every other character keeps its place."""
 
     def cut(state: Column, s: Column) -> Column:
         start = F.greatest(s["start"], state["at"])
@@ -102,37 +124,57 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _revealing(found: DataFrame, disclosure: float, support: int) -> DataFrame:
-    """(kind, term) that reach the disclosure threshold, from counts over all documents."""
-    base = range(len(KINDS) - 1)
+def _discloses(n_pair: Column, n_term: Column, n_entity: Column, n_events: Column, disclosure: float, z: float) -> Column:
+    """PMI against the entity's information content; p(c|t) at the lower end of its Wilson interval."""
+    p, n, zz = n_pair / n_term, n_term.cast("double"), z * z
+    low = (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+    prior = n_entity / n_events
+    return F.log(low) - F.log(prior) >= disclosure * -F.log(prior)
+
+
+def revealing_terms(found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, z: float = Z) -> DataFrame:
+    """(term) of the terms that reveal an entity or a kind. ``found``: row, event, spans, entities, terms."""
+    again = staged(found.groupBy("event").agg(F.min("row").alias("least"), F.count("*").alias("times")).filter("times > 1").select("event", "least"), "repeated")
+    events = found.select("row", "event", "spans", "entities", "terms").join(again, "event", "left").filter("least IS NULL OR least = row")
     kinds_of = F.transform("spans", lambda s: s["kind"])
-    has = [F.array_contains(kinds_of, i).cast("long").alias(f"k{i}") for i in base]
-    words = found.select(*has, _terms(F.col("outside")).alias("terms")).select(*[f"k{i}" for i in base], F.explode("terms").alias("term"))
-    # one event, the document, for both counts; each task sends a term once
-    counts = words.groupBy("term").agg(F.count("*").alias("n_term"), *[F.sum(f"k{i}").alias(f"k{i}") for i in base])
-    pairs = counts.select("term", "n_term", F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"k{i}").alias("n_pair")) for i in base])).alias("p")).select("term", "n_term", "p.*").filter(F.col("n_pair") >= support)
-    kinds = found.select(F.explode(F.array_distinct(kinds_of)).alias("kind")).groupBy("kind").agg(F.count("*").alias("n_kind"))
-    total = found.agg(F.count("*").alias("n_docs"))
-    scored = pairs.join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(total))  # four rows and one row
-    prior = F.col("n_kind") / F.col("n_docs")
-    pmi = F.log(F.col("n_pair") / F.col("n_term") / prior)
-    return staged(scored.filter(pmi >= disclosure * -F.log(prior)).select("kind", "term"), "revealing")
-
-
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, with_text: bool = False) -> DataFrame:
-    """One row per row: ``doc_id, spans`` (array<start, kind, end>, base and term) and, if asked for, ``text``."""
+    has = [F.array_contains(kinds_of, i).cast("long").alias(f"k{i}") for i in range(TERM_KIND)]
+    # one event, the document, for all counts; each task sends a term once
+    words = events.select(*has, F.explode("terms").alias("term"))
+    counts = words.groupBy("term").agg(F.count("*").alias("n_term"), *[F.sum(f"k{i}").alias(f"k{i}") for i in range(TERM_KIND)]).filter(F.col("n_term") >= support)
+    counts = staged(counts, "terms")
+    total = staged(events.agg(F.count("*").alias("n_events"), *[F.coalesce(F.sum(h), F.lit(0)).alias(f"all_k{i}") for i, h in enumerate(has)]), "kinds")  # one row
+    pairs = F.array(*[F.struct(F.col(f"k{i}").alias("n_pair"), F.col(f"all_k{i}").alias("n_entity")) for i in range(TERM_KIND)])
+    by_kind = counts.crossJoin(F.broadcast(total)).select("term", "n_term", "n_events", F.explode(pairs).alias("p")).select("term", "n_term", "n_events", "p.*")
+
+    held = events.filter(F.size("entities") > 0).select("row", "entities", "terms")
+    values = held.select("row", F.explode("entities").alias("entity"))
+    often = values.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
+    values = staged(values.join(often, "entity"), "values")
+    # p(c|t) is at most n_entity / n_term: commoner terms cannot reach the threshold
+    most = lambda n, of: F.pow(n, F.lit(disclosure)) * F.pow(of, F.lit(1 - disclosure))
+    bound = values.agg(F.coalesce(F.max("n_entity"), F.lit(0)).alias("largest"))
+    rare = counts.select("term", "n_term").crossJoin(F.broadcast(total.select("n_events"))).crossJoin(F.broadcast(bound)).filter(F.col("n_term") <= most(F.col("largest"), F.col("n_events")))
+    near = held.join(values.select("row").distinct(), "row", "left_semi").select("row", F.explode("terms").alias("term")).join(rare, "term")
+    both = near.join(values, "row").filter(F.col("n_term") <= most(F.col("n_entity"), F.col("n_events")))
+    by_value = both.groupBy("term", "entity", "n_term", "n_entity", "n_events").agg(F.count("*").alias("n_pair"))
+
+    columns = ["term", "n_term", "n_events", "n_pair", "n_entity"]
+    scored = by_kind.select(*columns).unionByName(by_value.select(*columns)).filter(F.col("n_pair") >= support)
+    return scored.filter(_discloses(F.col("n_pair"), F.col("n_term"), F.col("n_entity"), F.col("n_events"), disclosure, z)).select("term").distinct()
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, z: float = Z, with_text: bool = False) -> DataFrame:
+    """One row per row: ``doc_id, spans`` (array<start, kind, end> of all kinds) and, if asked for, ``text``."""
     text = text_or_empty(F.col(text_col))
-    found = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("spans", base_spans(F.col("text")))
-    found = found.withColumn("outside", _outside(F.col("text"), F.col("spans"))).withColumn("row", F.monotonically_increasing_id())
+    found = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("spans", protected_spans(F.col("text")))
+    found = found.withColumns({"outside": _outside(F.col("text"), F.col("spans")), "entities": entities(F.col("text"), F.col("spans")), "event": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    found = found.withColumn("terms", _terms(F.col("outside")))
     found = staged(found if with_text else found.drop("text"), "personal")  # fixes the row numbers
-    revealing = _revealing(found, disclosure, support)
-    holders = found.filter(F.size("spans") > 0)
-    held = holders.select("row", F.array_distinct(F.transform("spans", lambda s: s["kind"])).alias("kinds"), F.explode(_terms(F.col("outside"))).alias("term"))
-    by_term = revealing.groupBy("term").agg(F.collect_set("kind").alias("of"))  # four kinds at most
-    shown = held.join(by_term, "term").filter(F.arrays_overlap("kinds", "of")).groupBy("row").agg(F.collect_set("term").alias("shown"))
-    found = found.join(shown, "row", "left")
+    revealing = staged(revealing_terms(found, disclosure, support, z), "revealing")
+    shown = found.select("row", F.explode("terms").alias("term")).join(revealing, "term").groupBy("row").agg(F.collect_set("term").alias("shown"))
+    found = found.drop("terms", "entities", "event").join(shown, "row", "left")
     places = _spans(F.col("outside"), TERM, lambda hit: F.array_contains("shown", F.lower(hit)))
-    more = F.transform(places, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), s["end"].alias("end")))
+    more = F.transform(places, lambda s: F.struct(s["start"].alias("start"), F.lit(TERM_KIND).alias("kind"), s["end"].alias("end")))
     spans = F.when(F.col("shown").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", more)))
     return found.select("doc_id", spans.alias("spans"), *(["text"] if with_text else []))
 
@@ -144,17 +186,18 @@ def described(spans: Column) -> Column:
 
 
 def personal_data_digest(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``."""
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term, n_spans``."""
     found = find_personal_data(docs, **options)
-    count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
-    base = F.filter("spans", lambda s: s["kind"] < 4)
-    return found.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])], F.sha2(described(base), 256).alias("base_sha256"), described(F.col("spans")).alias("spans"))
+    of = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
+    count = {k: of(i).alias(f"n_{k}") for i, k in enumerate(KINDS)}
+    base = F.filter("spans", lambda s: s["kind"] < BASE)
+    return found.select("doc_id", *[count[k] for k in KINDS[:BASE]], F.sha2(described(base), 256).alias("base_sha256"), described(F.col("spans")).alias("spans"), *[count[k] for k in KINDS[BASE:]], F.size("spans").cast("long").alias("n_spans"))
 
 
 def sanitised(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, text``: base spans become ``[KIND]``, revealing terms go; of overlapping spans the earlier wins."""
+    """``doc_id, text``: protected spans become ``[KIND]``, revealing terms go; of overlapping spans the earlier wins."""
     found = find_personal_data(docs, with_text=True, **options)
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS[:4]], F.lit(""))
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS[:TERM_KIND]], F.lit(""))
 
     def cut(state: Column, s: Column) -> Column:
         kept = F.concat(state["text"], F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]), F.element_at(names, s["kind"] + 1))
