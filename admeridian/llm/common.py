@@ -13,13 +13,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_dir: list[str] = []
+_paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; where none is set, a folder of the warehouse, which a cluster
+    shares too. Only a session on one machine (a local master, as in tests) takes a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-admeridian-"))
     return _own_dir[0]
@@ -33,6 +37,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends there, any executor may be lost."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    _paths.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
@@ -41,9 +46,20 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 def drop_staged(df: DataFrame) -> None:
     """Removes a table made by ``staged`` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.staged_at)
+
+
+def drop_all_staged(spark: SparkSession, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Removes all tables that ``staged`` has made in this process, but for those to ``keep``; for use between jobs."""
+    kept = [df.staged_at for df in keep]
+    for path in [p for p in _paths if p not in kept]:
+        _delete(spark, path)
+    _paths[:] = kept
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fresh_name(df: DataFrame, base: str) -> str:

@@ -21,12 +21,9 @@ rows that share an id are one document; an empty table gives an empty table; all
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from admeridian.llm.common import drop_staged, fresh_name, staged, text_or_empty
@@ -35,6 +32,8 @@ from admeridian.llm.simhash import SEED, components, links
 WORDS = 5
 #: Rows of a posting list from which it is long; share of sets sampled for common shingles, how often one is seen to be common, most of them.
 LONG, SAMPLE, COMMON, MOST = 64, 16, 4, 1 << 17
+#: Bytes that a worker turns into shingles, and shingles that it hands on, at a time.
+PART = 1 << 20
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> tuple[np.ndarray, int]:
@@ -56,17 +55,47 @@ def shingle_set(text: str | None, words: int = WORDS) -> tuple[np.ndarray, int]:
     return np.unique(hashes), int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _sets(text: Column, words: int) -> Column:
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _in_parts(rows, size, most: int = PART):
+    """Lists of ``rows`` whose sizes add up to about ``most``: what a worker holds at a time."""
+    part, held = [], 0
+    for row in rows:
+        part.append(row)
+        held += size(row)
+        if held >= most:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def _binaries(column: pa.Array) -> list[np.ndarray]:
+    """The hashes in each cell, as views of the column's own memory."""
+    if not len(column):
+        return []
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return [raw[a:b].view("<u8") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """One row per row: ``doc_id, node`` (a hash of the set), ``fp, n, hashes``."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
+
+    def of(batches):
         import xxhash
 
-        for batch in texts:
-            found = [shingle_set(x, words) for x in batch]
-            held = [s.tobytes() for s, _ in found]
-            nodes = np.array([xxhash.xxh64_intdigest(b, SEED) for b in held], np.uint64).view(np.int64)
-            yield pd.DataFrame({"node": nodes, "fp": np.array([f for _, f in found], np.uint64).view(np.int64), "n": np.array([len(s) for s, _ in found], np.int32), "hashes": held})
+        for batch in batches:
+            texts = batch.column(1)
+            for part in _in_parts(range(batch.num_rows), lambda i: len(texts[i].as_buffer() or b"")):
+                found = [shingle_set(texts[i].as_py(), words) for i in part]
+                held = [s.tobytes() for s, _ in found]
+                nodes = np.array([xxhash.xxh64_intdigest(b, SEED) for b in held], np.uint64).view(np.int64)
+                prints = np.array([f for _, f in found], np.uint64).view(np.int64)
+                columns = [batch.column(0).slice(part[0], len(part)), pa.array(nodes), pa.array(prints), pa.array(np.array([len(s) for s, _ in found], np.int32)), pa.array(held, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "fp", "n", "hashes"])
 
-    return F.pandas_udf(of, "node long, fp long, n int, hashes binary")(text_or_empty(text))
+    return slim.mapInArrow(of, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, node long, fp long, n int, hashes binary")
 
 
 def need(n):
@@ -83,8 +112,8 @@ def _common(sets: DataFrame) -> np.ndarray:
 
     def shingles(batches):
         for batch in batches:
-            flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(flat)], names=["shingle"])
+            for part in _in_parts(_binaries(batch.column(0)), len):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).view(np.int64))], names=["shingle"])
 
     seen = sets.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("hashes").mapInArrow(shingles, "shingle long")
     rows = seen.groupBy("shingle").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(MOST).collect()
@@ -112,36 +141,36 @@ def _postings(sets: DataFrame) -> DataFrame:
     def of(batches):
         common, places = held.value
         for batch in batches:
-            sizes = batch.column(1).to_numpy()
-            own = [prefix(np.frombuffer(b, "<u8"), common, places) for b in batch.column(2).to_pylist()]
-            times = [len(x) for x, _ in own]
-            flat = np.concatenate([x for x, _ in own] or [np.zeros(0, np.uint64)])
-            late = np.concatenate([np.arange(len(x)) >= n - c for n, (x, c) in zip(sizes, own, strict=True)] or [np.zeros(0, bool)])
-            columns = [flat.view(np.int64), *(np.repeat(x, times) for x in (batch.column(0).to_numpy(), sizes, np.array([c for _, c in own], np.int32))), late]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shingle", "node", "n", "n_common", "late"])
+            nodes, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            hashes = _binaries(batch.column(2))
+            for part in _in_parts(range(batch.num_rows), lambda i: len(hashes[i])):
+                own = [prefix(hashes[i], common, places) for i in part]
+                times = [len(x) for x, _ in own]
+                late = np.concatenate([np.arange(len(x)) >= n - c for n, (x, c) in zip(sizes[part], own, strict=True)])
+                columns = [np.concatenate([x for x, _ in own]).view(np.int64), *(np.repeat(x, times) for x in (nodes[part], sizes[part], np.array([c for _, c in own], np.int32))), late]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shingle", "node", "n", "n_common", "late"])
 
     lists = sets.select("node", "n", "hashes").mapInArrow(of, "shingle long, node long, n int, n_common int, late boolean")
     mine = Window.partitionBy("shingle")
     return staged(lists.withColumn("size", F.count("*").over(mine)).withColumn("least", F.min("node").over(mine)).filter("size > 1"), "postings")
 
 
-def _similar(a: str, b: str) -> Column:
-    def of(x: bytes, y: bytes) -> bool:
-        x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return 5 * both >= 4 * (len(x) + len(y) - both)
-
-    def each(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([of(x, y) for x, y in zip(xs, ys, strict=True)], dtype=bool)
-
-    each.__annotations__ = {"xs": pd.Series, "ys": pd.Series, "return": pd.Series}
-    return F.pandas_udf(each, "boolean")(a, b)
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets of shingles have similarity 4/5 or more."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 5 * both >= 4 * (len(x) + len(y) - both)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
     other = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
-    return pairs.join(one, "u").join(other, "v").filter(_similar("a", "b")).select("u", "v")
+
+    def of(batches):
+        for batch in batches:
+            good = [similar(x, y) for x, y in zip(_binaries(batch.column(2)), _binaries(batch.column(3)), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.join(one, "u").join(other, "v").select("u", "v", "a", "b").mapInArrow(of, "u long, v long")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -172,7 +201,7 @@ def similar_roots(sets: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per row: ``doc_id, component_id``."""
-    table = docs.select(F.col(id_col).alias("doc_id"), _sets(F.col(text_col), words).alias("s")).select("doc_id", "s.*")
+    table = shingle_sets(docs, id_col, text_col, words)
     table = staged(table.withColumn("row", F.monotonically_increasing_id()), "shingles")  # fixes the row numbers
     again = table.groupBy("node").agg(F.min("row").alias("least_row"), F.count("*").alias("times")).filter("times > 1").select("node", "least_row")
     sets = table.join(staged(again, "repeated"), "node", "left").filter("least_row is null or least_row = row").select("node", "fp", "n", "hashes")
