@@ -7,13 +7,16 @@ one entry that ends there and that BPE leaves beside the last token of what prec
 Between pretokens the machine is back in its start state; paths from start to start are kept as macro transitions with their
 emitted counts.
 
-A text is cut into chunks of ``CHUNK`` characters, wherever that falls. Each chunk gives a map of states: what it does to the
-pending fragment it is entered with (``head``), what it emits by itself, and the fragment it leaves pending (``tail``). These
-maps are associative; ``combine`` folds those of one text in any bracketing, so chunks are worked on in parallel and composed
-by a scan over the chunk number.
+A long text is cut into chunks of ``CHUNK`` characters, wherever that falls, in one pass over it. Each chunk gives a map of
+states: what it does to the pending fragment it is entered with (``head``), what it emits by itself, and the fragment it leaves
+pending (``tail``). A fragment reaches to the next place at which every pretoken ends, whatever came before: in front of white
+space, and where a run of letters or of digits ends. These maps are associative; each level of a tree composes ``FAN`` neighbours,
+by groups of (row, chunk number / FAN), so no task ever meets all chunks of a text. Only a run of one class of characters that
+is longer than a chunk is carried as text; the machine reads it in one go, in time linear in its length.
 
 Defined results: a null text counts as empty and has 0 tokens; strings of special tokens inside a text count as the one token
-the library makes of them; repeated rows are counted alike; an empty table gives an empty table; ids may be null.
+the library makes of them; repeated rows are counted alike; an empty table gives an empty table; ids may be null and of any
+type, which they keep.
 """
 
 from __future__ import annotations
@@ -24,15 +27,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from admeridian.llm.common import text_or_empty
+from admeridian.llm.common import drop_staged, staged, text_or_empty
 from admeridian.llm.segments import SEGMENT, WHITE, byte_of_char
 
-CHUNK, LIMIT, MEMO, NEVER = 1 << 16, 1024, 400_000, 1 << 60
-#: Where a chunk may be cut into independent parts: in front of white space that follows something else.
-RESET = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
+#: Characters of a chunk, the token limit, entries of a memo, chunk maps that one task composes.
+CHUNK, LIMIT, MEMO, FAN, NEVER = 1 << 16, 1024, 400_000, 16, 1 << 60
 
 
 class TokenTransducer:
@@ -55,6 +58,9 @@ class TokenTransducer:
         self.machine.make_automaton()
         self.size = {i: len(b) for b, i in self.ids.items()}
         self.pretokens = regex.compile(pattern).findall
+        # where every pretoken ends; the characters of special strings other than letters are left out
+        marks = regex.escape("".join(sorted({c for x in self.special for c in x if not c.isalnum()})) or " ")
+        self.resets = regex.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])|(?<=\\p{{L}})(?=[^\\p{{L}}{marks}])|(?<=\\p{{N}})(?=[^\\p{{N}}{marks}])").finditer
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
         self.beside: dict[int, bool] = {}
         self.spines: dict[int, tuple[list, list]] = {}
@@ -165,15 +171,10 @@ class TokenTransducer:
 
     def chunk_map(self, text: str) -> tuple[str, int, str, bool]:
         """(head, count, tail, resets): without a reset the whole chunk stays pending, as its head."""
-        first = RESET.search(text)
-        if not first:
+        places = [m.start() for m in self.resets(text)]
+        if not places:
             return text, 0, "", False
-        i, j = first.start(), len(text)
-        blank = re.compile(f"[{WHITE}]").match
-        j -= 1
-        while not (blank(text[j]) and not blank(text[j - 1])):
-            j -= 1
-        return text[:i], self.count(text[i:j]), text[j:], True
+        return text[: places[0]], self.count(text[places[0] : places[-1]]), text[places[-1] :], True
 
     def combine(self, a: tuple, b: tuple) -> tuple:
         """The map of ``a`` followed by ``b``; associative."""
@@ -222,18 +223,34 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in texts:
             yield pd.DataFrame([machine.chunk_map(x) for x in batch], columns=["head", "n", "tail", "resets"])
 
+    def cut(batches):
+        for batch in batches:
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                for i in range(0, len(text), chunk):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([i // chunk], pa.int32()), pa.array([text[i : i + chunk]])], names=["row", "chunk", "part"])
+
     def composed(rows: pd.DataFrame) -> pd.DataFrame:
         machine = transducer(path, pattern)
         rows = rows.sort_values("chunk")
         whole = machine.scan(list(zip(rows["head"], rows["n"], rows["tail"], rows["resets"], strict=True)))
-        return rows.head(1)[["doc_id", "n_bytes"]].assign(n_tokens=machine.emitted(whole))
+        return pd.DataFrame([[rows["row"].iloc[0], rows["chunk"].iloc[0] // FAN, *whole]], columns=["row", "chunk", "head", "n", "tail", "resets"])
+
+    @F.pandas_udf("long")
+    def emitted(head: pd.Series, n: pd.Series, tail: pd.Series, resets: pd.Series) -> pd.Series:
+        machine = transducer(path, pattern)
+        return pd.Series([machine.emitted(m) for m in zip(head, n, tail, resets, strict=True)], dtype="int64")
 
     text = text_or_empty(F.col(text_col))
     slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     short = slim.filter(F.col("n_bytes") <= chunk).select("doc_id", "n_bytes", counts("text").alias("n_tokens"))
-    long = slim.filter(F.col("n_bytes") > chunk).withColumn("row", F.monotonically_increasing_id())
-    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))
-    parts = long.select("row", "doc_id", "n_bytes", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("text"), i * chunk + 1, F.lit(chunk)))).alias("chunk", "part"))
-    parts = parts.repartition("row", "chunk").select("row", "doc_id", "n_bytes", "chunk", maps("part").alias("m")).select("row", "doc_id", "n_bytes", "chunk", "m.*")
-    long = parts.groupBy("row").applyInPandas(composed, "doc_id long, n_bytes long, n_tokens long")
+    long = staged(slim.filter(F.col("n_bytes") > chunk).withColumn("row", F.monotonically_increasing_id()), "long")  # fixes the row numbers
+    parts = long.select("row", "text").mapInArrow(cut, "row long, chunk int, part string").repartition("row", "chunk")
+    level = staged(parts.select("row", "chunk", maps("part").alias("m")).select("row", "chunk", "m.*"), "maps")
+    last = level.agg(F.max("chunk")).first()[0] or 0
+    while last:
+        above = staged(level.groupBy("row", F.floor(F.col("chunk") / FAN).alias("part")).applyInPandas(composed, "row long, chunk int, head string, n long, tail string, resets boolean"), "maps")
+        drop_staged(level)
+        level, last = above, last // FAN
+    counted = level.select("row", emitted("head", "n", "tail", "resets").alias("n_tokens"))
+    long = long.select("row", "doc_id", "n_bytes").join(counted, "row").select("doc_id", "n_bytes", "n_tokens")
     return short.unionByName(long).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -5,14 +5,19 @@ file of the shared folder (a 16-byte header, then unsigned little-endian integer
 task attempt, and only the attempt whose rows are committed is named in the table of entries, so lost executors, retries and
 speculative tasks leave no harm.
 
-The index maps a key (id, and its ordinal where an id repeats) to file, offset and length. Keys are dealt by hash to index
-blocks of about ``BLOCK`` keys; each block gets its own minimal perfect hash by hash-and-displace: keys fall into small
+The index maps a key (id, and its ordinal where an id repeats) to file, offset and length. Keys are hashed to 128 bits and dealt
+to index blocks of about ``BLOCK`` keys; each block gets its own minimal perfect hash by hash-and-displace: keys fall into small
 buckets, each bucket gets the first pilot that sends its keys to free slots of a table a little larger than the block, and slots
-beyond the block's size are remapped to the gaps. A slot stores a 32-bit fingerprint of its key, so that foreign keys are
-recognised (but for one in 2**32), and one lookup costs one pilot, one slot and one ranged read.
+beyond the block's size are remapped to the gaps. A slot stores a 64-bit fingerprint from the other half of its key's hash, so that
+foreign keys are recognised (but for one in 2**64), and one lookup costs one pilot, one slot and one ranged read. Keys of a block
+that agree in the half that places them, or in both, are listed with their text beside the slots and looked up there.
 
-Defined results: a null text counts as empty and holds the end id only; null ids come first; rows that repeat an id are stored
-in the order of their texts' hashes; an empty table gives no files and no rows.
+Ordinals of a repeated id are counted in the tasks that write it; what earlier files hold of it is added from counts by file, so a
+frequent id (null ids, say) never meets in one task.
+
+Defined results: a null text counts as empty and holds the end id only; null ids come first and differ from any text; rows that
+repeat an id are stored in the order of their texts' hashes; ids may be of any type that sorts; an empty table gives no files and
+no rows.
 """
 
 from __future__ import annotations
@@ -72,7 +77,7 @@ def write_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         encode = encoder(path, True, width).encode
         end = int(end_id).to_bytes(width, "little")
         shard = TaskContext.get().partitionId()
-        name, out, at = f"ids-{shard:06d}-{uuid.uuid4().hex}.bin", None, 0
+        name, out, at, last, same = f"ids-{shard:06d}-{uuid.uuid4().hex}.bin", None, 0, (), 0
         store, base = _filesystem(folder)
         try:
             for batch in batches:
@@ -80,26 +85,40 @@ def write_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{base}/{name}", buffer_size=1 << 20)
                     out.write(MAGIC + width.to_bytes(4, "little") + bytes(4))
-                starts, lengths = [], []
-                for text in batch.column(1).to_pylist():
+                starts, lengths, places = [], [], []
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    same, last = (same + 1 if last == (key,) else 0), (key,)
+                    places.append(same)
                     payload = encode(text) + end
                     out.write(payload)
                     starts.append(at)
                     lengths.append(len(payload) // width)
                     at += lengths[-1]
                 n = batch.num_rows
-                columns = [batch.column(0), pa.array([shard] * n, pa.int32()), pa.array([name] * n), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shard", "file", "start", "n_tokens"])
+                columns = [batch.column(0), pa.array([shard] * n, pa.int32()), pa.array([name] * n), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(places, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shard", "file", "start", "n_tokens", "place"])
         finally:
             if out is not None:
                 out.close()
 
-    entries = staged(ranged.mapInArrow(write, f"doc_id {kind}, shard int, file string, start long, n_tokens long"), "entries")
-    again = Window.partitionBy("doc_id").orderBy("shard", "start")
-    entries = entries.withColumn("ordinal", F.row_number().over(again) - 1)
+    entries = staged(ranged.mapInArrow(write, f"doc_id {kind}, shard int, file string, start long, n_tokens long, place long"), "entries")
+    entries = with_ordinals(entries)
     return TokenFiles(folder, width, entries, staged(build_index(entries), "index"))
 
 
+def with_ordinals(entries: DataFrame) -> DataFrame:
+    """``ordinal`` of each row among those of its id: its place in its file, and what earlier files hold of the id."""
+    ends = F.min(F.struct("start", "doc_id")).alias("first"), F.max(F.struct("start", "doc_id", "place")).alias("last")
+    files = entries.groupBy("shard").agg(*ends).select("shard", F.col("first.doc_id").alias("again"), F.col("last.doc_id").alias("last"), (F.col("last.place") + 1).alias("n"))
+    # one row per file; an id goes on in the next file only if it ends one
+    files = files.withColumn("so_far", F.sum("n").over(Window.partitionBy("last").orderBy("shard")))
+    order = Window.partitionBy(F.lit(0)).orderBy("shard")
+    files = files.select(F.col("shard").alias("to"), "again", F.lag("last").over(order).alias("last"), F.lag("so_far").over(order).alias("before"))
+    before = files.filter("before IS NOT NULL AND again <=> last").select("to", "again", "before")
+    joined = entries.join(before, (F.col("shard") == F.col("to")) & F.col("doc_id").eqNullSafe(F.col("again")), "left")
+    return joined.select("doc_id", "shard", "file", "start", "n_tokens", (F.col("place") + F.coalesce("before", F.lit(0))).cast("long").alias("ordinal"))
+
+
 # --- the index ---
 
 
@@ -114,10 +133,6 @@ def _unsigned(x) -> np.ndarray:
     return np.asarray(x, np.int64).view(np.uint64)
 
 
-def fingerprints(h: np.ndarray) -> np.ndarray:
-    return (_mix(h + np.uint64(0xABCD)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-
-
 def build_block(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pilots, remap, slot of each key) of the distinct 64-bit hashes ``h``; slots are exactly 0..len(h)-1."""
     n = len(h)
@@ -166,29 +181,34 @@ def slots_of(h: np.ndarray, n: int, pilots: np.ndarray, remap: np.ndarray) -> np
 
 
 def _hashed(keys: DataFrame, blocks: int) -> DataFrame:
-    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("ordinal").cast("int"))
-    return keys.withColumn("h", h).withColumn("block", F.pmod(F.shiftright("h", 20), F.lit(blocks)).cast("int"))
+    """``key`` (the id, marked if null, and the ordinal), ``h`` that places it, ``mark`` that knows it, and its ``block``."""
+    key = F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("null")), F.lit("#"), F.col("ordinal").cast("string"))
+    half = lambda at: F.conv(F.substring(F.md5("key"), at, 16), 16, -10).cast("long")
+    keys = keys.withColumn("key", key).withColumns({"h": half(1), "mark": half(17)})
+    return keys.withColumn("block", F.pmod(F.shiftright("h", 20), F.lit(blocks)).cast("int"))
 
 
-INDEX = "block int, blocks int, n int, pilots array<long>, remap array<long>, fingerprint array<long>, shard array<int>, start array<long>, n_tokens array<long>, file array<string>, file_no array<int>"
+INDEX = "block int, blocks int, n int, pilots array<long>, remap array<long>, mark array<long>, shard array<int>, start array<long>, n_tokens array<long>, file array<string>, file_no array<int>, listed array<string>"
 
 
 def build_index(entries: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row per block with its pilots and, slot by slot, fingerprint, file, start and length."""
+    """One row per block with its pilots and, slot by slot, fingerprint, file, start and length. The keys in ``listed`` share
+    their hash with another one; their entries stand behind the slots, in the order of the list."""
     blocks = int(entries.count() // block) + 1
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        h = _unsigned(rows["h"])
-        if len(np.unique(h)) < len(h):
-            raise ValueError("two keys have one 64-bit hash")
-        pilots, remap, slots = build_block(h)
-        back = np.argsort(slots)
+        again = rows["h"].duplicated(keep=False).to_numpy()
+        rows = pd.concat([rows[~again], rows[again]])
+        n = int((~again).sum())
+        pilots, remap, slots = build_block(_unsigned(rows["h"].iloc[:n]))
+        back = np.concatenate([np.argsort(slots), np.arange(n, len(rows))])
         files, file_no = np.unique(rows["file"].to_numpy(str), return_inverse=True)
         own = lambda x: np.asarray(x)[back].tolist()
-        return pd.DataFrame([[rows["block"].iloc[0], blocks, len(h), pilots.tolist(), remap.tolist(), own(fingerprints(h)), own(rows["shard"]), own(rows["start"]), own(rows["n_tokens"]), files.tolist(), own(file_no)]], columns=[x.split()[0] for x in INDEX.split(", ")])
+        return pd.DataFrame([[rows["block"].iloc[0], blocks, n, pilots.tolist(), remap.tolist(), own(rows["mark"]), own(rows["shard"]), own(rows["start"]), own(rows["n_tokens"]), files.tolist(), own(file_no), rows["key"].iloc[n:].tolist()]], columns=[x.split()[0] for x in INDEX.split(", ")])
 
-    keyed = _hashed(entries.select("doc_id", "ordinal", "shard", "file", "start", "n_tokens"), blocks).drop("doc_id", "ordinal")
-    return keyed.groupBy("block").applyInPandas(build, INDEX)
+    keyed = _hashed(entries.select("doc_id", "ordinal", "shard", "file", "start", "n_tokens"), blocks)
+    # the text of a key is needed only where its hash repeats
+    return keyed.select("block", "h", "mark", "key", "shard", "file", "start", "n_tokens").groupBy("block").applyInPandas(build, INDEX)
 
 
 def lookup(keys: DataFrame, files: TokenFiles) -> DataFrame:
@@ -206,8 +226,14 @@ def lookup(keys: DataFrame, files: TokenFiles) -> DataFrame:
         if not len(h):
             ints = pa.array([], pa.int64())
             return pa.table({"doc_id": rows.column("doc_id"), "shard": ints.cast(pa.int32()), "file": pa.array([], pa.string()), "start": ints, "n_tokens": ints})
-        slots = slots_of(h, b["n"][0], take("pilots"), take("remap"))
-        good = take("fingerprint")[slots] == fingerprints(h)
+        n, listed = b["n"][0], {key: b["n"][0] + i for i, key in enumerate(b["listed"][0])}
+        slots, marks = np.full(len(h), -1, np.int64), take("mark")
+        if n:
+            spots = slots_of(h, n, take("pilots"), take("remap"))
+            slots = np.where(marks[spots] == rows.column("mark").to_numpy(), spots, slots)
+        if listed:
+            slots = np.array([listed.get(key, slot) for key, slot in zip(rows.column("key").to_pylist(), slots, strict=True)], np.int64)
+        good = slots >= 0
         slots = slots[good]
         names = np.array(b["file"][0], object)[take("file_no")[slots]]
         return pa.table({"doc_id": rows.column("doc_id").filter(pa.array(good)), "shard": pa.array(take("shard")[slots], pa.int32()), "file": pa.array(names, pa.string()), "start": pa.array(take("start")[slots]), "n_tokens": pa.array(take("n_tokens")[slots])})
@@ -245,9 +271,7 @@ def read_payloads(places: DataFrame, files: TokenFiles) -> DataFrame:
 def stored_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Writes all documents, then reads each back by key: ``doc_id, start, n_tokens, ids_crc32``."""
     files = write_files(docs, id_col, text_col, **options)
-    keys = docs.select(F.col(id_col).alias("doc_id"))
-    keys = keys.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")) - 1)
-    found = read_payloads(lookup(keys, files), files)
+    found = read_payloads(lookup(files.entries.select("doc_id", "ordinal"), files), files)
     totals = files.entries.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row per file
     before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
