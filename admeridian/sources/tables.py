@@ -12,9 +12,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, else the warehouse; a session on one machine (a local master) may take a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="spark-admeridian-"))
     return _own[0]
