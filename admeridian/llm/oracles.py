@@ -2,7 +2,7 @@
 
 OP7 = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source
 ), weighed AS (
@@ -17,12 +17,18 @@ WITH sized AS (
 ), targets AS (
   SELECT source, source_size, CASE WHEN common.level IS NULL OR ratio <= common.level THEN most ELSE weight * common.level END AS target
   FROM leveled CROSS JOIN common
+), keyed AS (
+  SELECT *, md5('mix-1:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS ord, coalesce('=' || source, '') AS src,
+    length(bin(size)) * 16 + (size >> greatest(0, length(bin(size)) - 4)) AS class FROM sized
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY class DESC, substr(ord, 1, 3), size DESC, ord) AS r,
+    ('0x' || substr(md5('mix-1:' || src), 1, 13))::UBIGINT::DOUBLE / 4503599627370496 AS start FROM keyed
 ), rated AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-    ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::UBIGINT::DOUBLE / 4503599627370496 AS coin
-  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
+  FROM placed d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
+SELECT doc_id, size, source_size, target,
+  (size * (floor(rate) + floor(start + r * (rate - floor(rate))) - floor(start + (r - 1) * (rate - floor(rate)))))::BIGINT AS taken
 FROM rated
 """
 
