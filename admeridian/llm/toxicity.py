@@ -5,12 +5,14 @@ noisy-or to the document's score, 1 - product(1 - sentence). The weights are tra
 steps on the likelihood of the noisy-or; the sentence scores then say where the offence lies. Beginnings of four and five letters
 count beside whole words.
 
-The model is fitted in one task on a sample bounded by ``TRAIN_ROWS`` labelled rows (smallest hashes of their ids, texts up
-to ``TRAIN_BYTES``), held-out rows excluded; its vocabulary holds at most ``VOCABULARY`` words, so model and broadcast are of
-bounded size. Scoring covers every whole text.
+The model is fitted on a sample bounded by ``TRAIN_ROWS`` labelled rows (smallest hashes of their ids; whole texts of any length),
+held-out rows excluded; its vocabulary holds at most ``VOCABULARY`` words, so model and broadcast are of bounded size. Words are
+counted, and sentences turned into numbers of chosen words, in parallel; only those numbers meet in the one task that takes the
+gradient steps. Scoring covers every whole text.
 
 Defined results: null, empty and blank texts are one empty sentence; words are lower-cased runs of letters; rows without or
-with a null label take no part in training; of several labels of one id the largest counts; without any label or without
+with a null label take no part in training; of several labels of one id the largest counts, of several texts
+the one with the least hash; without any label or without
 both classes all scores are 0.5 of the prior, i.e. 0; repeated rows score alike; an empty table gives an empty table.
 """
 
@@ -18,18 +20,19 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from admeridian.llm.common import staged, text_or_empty
 
-TRAIN_ROWS, TRAIN_BYTES, VOCABULARY, FOLDS, STEPS = 8_000, 65_536, 20_000, 5, 300
+TRAIN_ROWS, VOCABULARY, FOLDS, STEPS = 8_000, 20_000, 5, 300
+#: A word is chosen if it stands in so many documents and its share of toxic ones is so many deviations off.
+LEAST_DOCUMENTS, DEVIATIONS = 4, 3.0
 SENTENCES = re.compile(r"[.!?\n]+").split
 TERMS = re.compile(r"[^\W\d_]+").findall
 
@@ -47,69 +50,77 @@ def _sentences(text: str) -> list[set[str]]:
     return [_with_stems(set(TERMS(x))) for x in SENTENCES(text.lower()) if x.strip()] or [set()]
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS, vocabulary: int = VOCABULARY, ridge: float = 1e-5) -> dict[str, float]:
-    """Weights by word; the bias is under the empty string."""
-    labels = np.asarray(labels, float)
-    if not len(labels) or labels.min() == labels.max():
-        return {"": -30.0}
-    # two passes over the texts: only the words that are chosen are ever held sentence by sentence
-    n_pos = labels.sum()
-    in_pos, in_all = Counter(), Counter()
-    for text, y in zip(texts, labels, strict=True):
-        words = _with_stems(set(TERMS(text.lower())))
-        in_all.update(words)
-        if y:
-            in_pos.update(words)
-    rate = n_pos / len(labels)
-    # words whose share of toxic documents is far from the overall share
-    far = {}
-    for w, n in in_all.items():
-        if n >= 4:
-            z = (in_pos[w] - n * rate) / math.sqrt(n * rate * (1 - rate))
-            if abs(z) > 3:
-                far[w] = abs(z)
-    words = sorted(sorted(far, key=lambda w: (-far[w], w))[:vocabulary])
-    place = {w: i for i, w in enumerate(words)}
-    del in_pos, in_all
-    doc_of, sentence_of, word_of, s = array("l"), array("l"), array("l"), 0
-    for d, text in enumerate(texts):
-        for sentence in _sentences(text):
-            doc_of.append(d)
-            for w in place.keys() & sentence:
-                sentence_of.append(s)
-                word_of.append(place[w])
-            s += 1
-    doc_of, sentence_of, word_of = (np.array(x, np.int64) for x in (doc_of, sentence_of, word_of))
-    w, b = np.zeros(len(words) + 1), -6.0
-    w[-1] = b
+def fit(labels: np.ndarray, plain: np.ndarray, doc_of: np.ndarray, sentence_of: np.ndarray, word_of: np.ndarray, n_words: int, steps: int = STEPS, ridge: float = 1e-5) -> np.ndarray:
+    """Weights of the words, then the bias. ``plain``: sentences of each document without chosen words; ``doc_of``: the document of
+    each other sentence; ``sentence_of`` and ``word_of``: which word stands in which of these."""
+    labels, plain = np.asarray(labels, float), np.asarray(plain, float)
+    w, s = np.zeros(n_words + 1), len(doc_of)
+    w[-1] = -6.0
     m, v = np.zeros_like(w), np.zeros_like(w)
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
-        z = w[-1] + np.bincount(sentence_of, w[word_of], minlength=s)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.clip(np.exp(np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts))), 1e-9, 1 - 1e-9)
+        p, p_plain = sigmoid(w[-1] + np.bincount(sentence_of, w[word_of], minlength=s)), sigmoid(w[-1])
+        keep = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(labels)) + plain * np.log1p(-min(p_plain, 1 - 1e-12))
+        none = np.clip(np.exp(keep), 1e-9, 1 - 1e-9)
         pull = labels * none / (1 - none) - (1 - labels)
         by_sentence = p * pull[doc_of]
-        g = np.append(np.bincount(word_of, by_sentence[sentence_of], minlength=len(words)), by_sentence.sum()) / len(texts)
+        g = np.append(np.bincount(word_of, by_sentence[sentence_of], minlength=n_words), by_sentence.sum() + p_plain * (plain * pull).sum()) / len(labels)
         g[:-1] -= ridge * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w += 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return {"": float(w[-1])} | {x: float(y) for x, y in zip(words, w[:-1], strict=True) if abs(y) > 1e-3}
+    return w
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> DataFrame:
+def chosen_words(sample: DataFrame, n: int, n_toxic: int, vocabulary: int = VOCABULARY) -> list[str]:
+    """The words whose share of toxic documents is furthest from the overall share, at most ``vocabulary``, in order."""
+
+    def words(batches):
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = sorted(_with_stems(set(TERMS(text.lower()))))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([y] * len(own), pa.float64())], names=["word", "y"])
+
+    rate = n_toxic / n
+    counts = sample.select("text", "y").mapInArrow(words, "word string, y double").groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("k")).filter(F.col("n") >= LEAST_DOCUMENTS)
+    z = F.abs((F.col("k") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate))))
+    return sorted(r["word"] for r in counts.select("word", z.alias("z")).filter(F.col("z") > DEVIATIONS).orderBy(F.desc("z"), "word").limit(vocabulary).collect())
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> DataFrame:
     """(word, weight) of a model fitted to at most ``rows`` labelled documents that are not held out."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).dropna()
     known = known.filter(fold(F.col("id")) != 0).groupBy("id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text")).filter(F.octet_length("text") <= TRAIN_BYTES)
-    sample = texts.join(F.broadcast(chosen), "id").withColumn("all", F.lit(1))
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(F.col(text_col)).alias("text")).join(F.broadcast(chosen), "id")
+    sample = texts.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("tie"), "text", "y")).alias("s")).select("id", "s.text", "s.y")
+    sample = staged(sample, "sample")
+    n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    names = chosen_words(sample, n, n_toxic, vocabulary) if 0 < n_toxic < n else []
+    place = {w: i for i, w in enumerate(names)}
+
+    def bags(batches):
+        for batch in batches:
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                hits = [[place[w] for w in sorted(place.keys() & x)] for x in _sentences(text)]
+                own = [x for x in hits if x]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([len(hits) - len(own)], pa.int64()), pa.array([own], pa.list_(pa.list_(pa.int32())))], names=["id", "y", "plain", "hits"])
 
     def fitted(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("id").sort_values("id")
-        model = fit(part["text"].tolist(), part["y"].to_numpy())
-        return pd.DataFrame({"word": list(model), "weight": list(model.values())})
-
-    return staged(sample.groupBy("all").applyInPandas(fitted, "word string, weight double"), "toxicity")
+        part = part.sort_values("id")
+        hits = part["hits"].tolist()
+        sizes = np.array([len(x) for bag in hits for x in bag], np.int64)
+        doc_of = np.repeat(np.arange(len(part)), [len(bag) for bag in hits])
+        word_of = np.array([w for bag in hits for x in bag for w in x], np.int64)
+        w = fit(part["y"].to_numpy(), part["plain"].to_numpy(), doc_of, np.repeat(np.arange(len(sizes)), sizes), word_of, len(names))
+        return pd.DataFrame({"word": ["", *names], "weight": [w[-1], *w[:-1]]})
+
+    if not names:
+        empty = "CAST('' AS STRING) AS word", "CAST(-30.0 AS DOUBLE) AS weight"  # nothing to learn from
+        return docs.sparkSession.range(1).selectExpr(*empty)
+    kind = sample.schema["id"].dataType.simpleString()
+    table = sample.select("id", "y", "text").mapInArrow(bags, f"id {kind}, y double, plain long, hits array<array<int>>").withColumn("all", F.lit(1))
+    learned = table.groupBy("all").applyInPandas(fitted, "word string, weight double")
+    return staged(learned.filter("word = '' OR abs(weight) > 0.001"), "toxicity")
 
 
 def model_of(table: DataFrame) -> dict[str, float]:
