@@ -83,6 +83,7 @@ def rules() -> list[tuple[str, Column]]:
 #: Versioned policies: the rules whose failure rejects a text.
 POLICIES = {
     "base-v1": ("few_words", "repeated_windows"),
+    "web-v2": ("few_words", "repeated_windows", "many_words", "word_length", "symbols", "duplicate_lines", "shouting", "exclamations", "digits"),
     "web-v1": ("few_words", "repeated_windows", "word_length", "symbols", "duplicate_lines", "shouting", "exclamations", "digits"),
 }
 
@@ -104,6 +105,13 @@ def apply_policy(table: DataFrame, policy: str) -> DataFrame:
     return table.withColumns({"policy": F.lit(policy), "kept": F.col("failed_bits").bitwiseAND(F.lit(policy_mask(policy))) == 0})
 
 
+def sole_rule(policy: str) -> Column:
+    """Over a ledger: the rule of the policy that alone rejects the row; null where none or several do."""
+    names = [name for name, _ in rules()]
+    own = F.col("failed_bits").bitwiseAND(F.lit(policy_mask(policy)))
+    return F.coalesce(*[F.when(own == (1 << names.index(x)), F.lit(x)) for x in POLICIES[policy]])
+
+
 def ablation(table: DataFrame, policy: str) -> DataFrame:
     """One row per rule of the policy: rows it fails, rows that it alone rejects, rows kept without it."""
     mask = policy_mask(policy)

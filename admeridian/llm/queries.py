@@ -11,9 +11,11 @@ def op1_best_fit_packing(spark, sf_dir):
 
 
 def op2_quality_rules(spark, sf_dir):
+    """The whole ledger row beside the verdict: any later policy can be judged from it; ``sole_rule`` feeds ablations."""
     table = quality.apply_policy(quality.ledger(documents(spark, sf_dir)), "web-v1")
     base = table["failed_bits"].bitwiseAND(quality.policy_mask("base-v1")) != 0
-    return table.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_bits")
+    others = [m for m in quality.MEASURES if m not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return table.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_bits", quality.sole_rule("web-v1").alias("sole_rule"), *others)
 
 
 def op3_simhash_near_dedup(spark, sf_dir):
