@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from admeridian.llm.common import staged, text_or_empty
+from admeridian.llm.common import fresh_name, staged, text_or_empty
 from admeridian.llm.ranking import ranked
 from admeridian.llm.segments import encoder
 
@@ -213,28 +213,29 @@ def _histogram(df: DataFrame, key: str) -> dict[int, int]:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> DataFrame:
-    """``pieces`` (with a ``length`` from 1 to ``capacity``) with ``sequence_id`` and ``offset``."""
-    rows = ranked(pieces, "length", capacity, "length_rank", "pieces")
+    """``pieces`` (with a ``length`` from 1 to ``capacity``, without these two columns) with ``sequence_id`` and ``offset``."""
+    rank, to, order, slot, room, number = (fresh_name(pieces, x) for x in ("length_rank", "to", "sequence", "slot", "room", "number"))
+    rows = ranked(pieces, "length", capacity, rank, "pieces")
     histogram = _histogram(rows, "length")
     columns = [F.col(f"`{c}`") for c in pieces.columns]
     limit = capacity // small
-    full = rows.filter(F.col("length") == capacity).select(*columns, (F.lit((capacity + 1) * CLASS) + F.col("length_rank")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = rows.filter(F.col("length") == capacity).select(*columns, (F.lit((capacity + 1) * CLASS) + F.col(rank)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
     large_plan = plan_large({x: n for x, n in histogram.items() if limit < x < capacity}, capacity, groups)
-    slot = _placed(large_plan, "sequence slot")
+    place = _placed(large_plan, "sequence slot")
     large = rows.filter((F.col("length") > limit) & (F.col("length") < capacity))
-    large = large.select(*columns, slot("length", "length_rank").alias("to")).select(*columns, "to.sequence", "to.slot")
-    sequence = Window.partitionBy("sequence")
-    before = sequence.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    large = large.withColumns({"offset": F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"), "room": (capacity - F.sum("length").over(sequence)).cast("int")})
+    large = large.select(*columns, place("length", rank).alias(to)).select(*columns, F.col(to)["sequence"].alias(order), F.col(to)["slot"].alias(slot))
+    sequence = Window.partitionBy(order)
+    before = sequence.orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
+    large = large.withColumns({"offset": F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"), room: (capacity - F.sum("length").over(sequence)).cast("int")})
     large = staged(large, "large")
-    rooms = ranked(large.filter(F.col("slot") == 0).select("sequence", "room"), "room", capacity, "number", "rooms")
-    named = rooms.select("sequence", (F.col("room").cast("long") * CLASS + F.col("number")).alias("sequence_id"))
-    large = large.join(named, "sequence").select(*columns, "sequence_id", "offset")
+    rooms = ranked(large.filter(F.col(slot) == 0).select(order, room), room, capacity, number, "rooms")
+    named = rooms.select(order, (F.col(room).cast("long") * CLASS + F.col(number)).alias("sequence_id"))
+    large = large.join(named, order).select(*columns, "sequence_id", "offset")
 
-    small_plan = plan_small({x: n for x, n in histogram.items() if x <= limit}, _histogram(rooms, "room"), capacity)
+    small_plan = plan_small({x: n for x, n in histogram.items() if x <= limit}, _histogram(rooms, room), capacity)
     spot = _placed(small_plan, "sequence_id offset")
-    little = rows.filter(F.col("length") <= limit).select(*columns, spot("length", "length_rank").alias("to")).select(*columns, "to.sequence_id", "to.offset")
+    little = rows.filter(F.col("length") <= limit).select(*columns, spot("length", rank).alias(to)).select(*columns, F.col(to)["sequence_id"].alias("sequence_id"), F.col(to)["offset"].alias("offset"))
     return full.unionByName(large).unionByName(little)
 
 

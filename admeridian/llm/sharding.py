@@ -52,7 +52,7 @@ def permute(numbers: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
 
 def numbered(df: DataFrame, order: list[str], name: str = "row_number", partitions: int | None = None) -> DataFrame:
     """``df`` with the global number of each row in the order of ``order``; the table is written once, so numbers are fixed."""
-    part, place = fresh_name(df, "part"), fresh_name(df, "place")
+    part, place, ahead, n = (fresh_name(df, x) for x in ("part", "place", "before", "n"))
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     schema = T.StructType([*df.schema.fields, T.StructField(part, T.IntegerType()), T.StructField(place, T.LongType())])
 
@@ -67,14 +67,15 @@ def numbered(df: DataFrame, order: list[str], name: str = "row_number", partitio
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     placed = staged(ranged.sortWithinPartitions(*order).mapInArrow(count, schema), "numbered")
-    sizes = placed.groupBy(part).agg(F.count("*").alias("n"))  # one row per partition
+    sizes = placed.groupBy(part).agg(F.count("*").alias(n))  # one row per partition
     before = Window.partitionBy(F.lit(0)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return placed.join(F.broadcast(offsets), part).withColumn(name, F.col("before") + F.col(place)).drop(part, place, "before")
+    offsets = sizes.select(part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(ahead))
+    return placed.join(F.broadcast(offsets), part).withColumn(name, F.col(ahead) + F.col(place)).drop(part, place, ahead)
 
 
 def shards_of(rows: DataFrame, order: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``rows`` with ``shard`` and ``slot`` by the permutation of their numbers in the order of ``order``."""
+    """``rows`` with ``shard`` and ``slot`` (with underscores in front where ``rows`` has such columns) by the permutation of their
+    numbers in the order of ``order``."""
     at, to = fresh_name(rows, "row_number"), fresh_name(rows, "permuted")
     table = numbered(rows, order, at)
     n = table.count()
@@ -84,7 +85,7 @@ def shards_of(rows: DataFrame, order: list[str], shards: int = SHARDS, seed: int
         return pd.Series(permute(numbers.to_numpy(), n, seed))
 
     table = table.withColumn(to, permuted(F.col(at)))
-    return table.withColumns({"shard": (F.col(to) % shards).cast("int"), "slot": F.floor(F.col(to) / shards).cast("long")}).drop(at, to)
+    return table.withColumns({fresh_name(rows, "shard"): (F.col(to) % shards).cast("int"), fresh_name(rows, "slot"): F.floor(F.col(to) / shards).cast("long")}).drop(at, to)
 
 
 def size_of(text: Column) -> Column:
