@@ -1,10 +1,12 @@
 """SimHash near-duplicates through a byte-position index with count filtering.
 
 Fingerprints have 64 bits, i.e. 8 positional bytes. Two that differ in at most ``MAX_BITS`` = 3 bits differ in at most 3 bytes,
-so they share at least 8 - 3 = 5 positional bytes: the guaranteed minimum. The inverted index is keyed by sets of positional
-bytes chosen so that every 5 of the 8 positions contain one of the sets; the more distinct fingerprints, the wider the sets
-(2, 3 or 5 bytes), so lists stay short at any size and no width misses a pair. Within a list the shared positional bytes of
-each pair are tallied, pairs with fewer than 5 are dropped, and the rest are verified on their bits. A list yields its links
+so they share at least 8 - 3 = 5 positional bytes: the guaranteed minimum. A list of the inverted index for a single positional
+byte holds every 256th fingerprint, and a tally over all its pairs would grow with the square of the input; so each list is
+split at once by further positional bytes. The sets of bytes are chosen so that every 5 of the 8 positions contain one of them: a
+pair that reaches the minimum meets in some list. The more distinct fingerprints, the wider the sets (2, 3 or 5 bytes), so lists
+stay short at any size and no width misses a pair. Within a list the shared positional bytes of each pair are tallied, pairs with
+fewer than 5 are dropped, and only the rest are verified on their bits. A list yields its links
 as stars of its connected classes, never all pairs of a class. Lists over ``LONG`` are split by further shared bytes, and
 what is still dense after 5 bytes is probed by the few bit patterns left: exact and linear in the list.
 
@@ -80,12 +82,12 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 
 def linked(a: np.ndarray, b: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
-    """Tally of shared positional bytes first, then the bits."""
-    x = a ^ b
-    differing = np.zeros(x.shape, np.uint8)
-    for p in range(8):
-        differing += (x & np.uint64(0xFF << (8 * p))) != 0
-    return (8 - differing >= 8 - max_bits) & (_bits(x) <= max_bits)
+    """Which pairs are links: the positional bytes they share are tallied, pairs under the guaranteed minimum go, and only those
+    that are left are verified on their bits."""
+    x = np.ascontiguousarray(a ^ b)
+    good = np.count_nonzero(x.view(np.uint8).reshape(-1, 8) == 0, axis=1) >= 8 - max_bits
+    good[good] = _bits(x[good]) <= max_bits
+    return good
 
 
 def _walk(f: np.ndarray) -> list[tuple[int, int]]:
