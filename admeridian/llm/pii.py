@@ -121,7 +121,15 @@ def _outside(text: Column, spans: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+    """The distinct terms in lower case. Where lower-casing keeps the length of a text it is done once for the whole of it."""
+    whole = F.lower(text)
+    words = lambda t: F.regexp_extract_all(t, F.lit(TERM), F.lit(0))
+    return F.array_distinct(F.when(F.length(whole) == F.length(text), words(whole)).otherwise(F.transform(words(text), F.lower)))
+
+
+def event_key(text: Column) -> Column:
+    """128 bits of a text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
 
 def _discloses(n_pair: Column, n_term: Column, n_entity: Column, n_events: Column, disclosure: float, z: float) -> Column:
@@ -133,11 +141,10 @@ def _discloses(n_pair: Column, n_term: Column, n_entity: Column, n_events: Colum
 
 
 def revealing_terms(found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, z: float = Z) -> DataFrame:
-    """(term) of the terms that reveal an entity or a kind. ``found``: row, event, spans, entities, terms."""
+    """(term) of the terms that reveal an entity or a kind. ``found``: row, event, kinds, entities, terms."""
     again = staged(found.groupBy("event").agg(F.min("row").alias("least"), F.count("*").alias("times")).filter("times > 1").select("event", "least"), "repeated")
-    events = found.select("row", "event", "spans", "entities", "terms").join(again, "event", "left").filter("least IS NULL OR least = row")
-    kinds_of = F.transform("spans", lambda s: s["kind"])
-    has = [F.array_contains(kinds_of, i).cast("long").alias(f"k{i}") for i in range(TERM_KIND)]
+    events = found.join(again, "event", "left").filter("least IS NULL OR least = row").drop("event", "least")
+    has = [F.array_contains("kinds", i).cast("long").alias(f"k{i}") for i in range(TERM_KIND)]
     # one event, the document, for all counts; each task sends a term once
     words = events.select(*has, F.explode("terms").alias("term"))
     counts = words.groupBy("term").agg(F.count("*").alias("n_term"), *[F.sum(f"k{i}").alias(f"k{i}") for i in range(TERM_KIND)]).filter(F.col("n_term") >= support)
@@ -165,15 +172,15 @@ def revealing_terms(found: DataFrame, disclosure: float = DISCLOSURE, support: i
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, z: float = Z, with_text: bool = False) -> DataFrame:
     """One row per row: ``doc_id, spans`` (array<start, kind, end> of all kinds) and, if asked for, ``text``."""
-    text = text_or_empty(F.col(text_col))
-    found = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("spans", protected_spans(F.col("text")))
-    found = found.withColumns({"outside": _outside(F.col("text"), F.col("spans")), "entities": entities(F.col("text"), F.col("spans")), "event": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
-    found = found.withColumn("terms", _terms(F.col("outside")))
-    found = staged(found if with_text else found.drop("text"), "personal")  # fixes the row numbers
-    revealing = staged(revealing_terms(found, disclosure, support, z), "revealing")
-    shown = found.select("row", F.explode("terms").alias("term")).join(revealing, "term").groupBy("row").agg(F.collect_set("term").alias("shown"))
-    found = found.drop("terms", "entities", "event").join(shown, "row", "left")
-    places = _spans(F.col("outside"), TERM, lambda hit: F.array_contains("shown", F.lower(hit)))
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).withColumns({"event": event_key(F.col("text")), "spans": protected_spans(F.col("text"))})
+    # what is counted of each text; the table fixes the row numbers, whole texts are read again rather than written
+    counted = texts.select("event", F.array_distinct(F.transform("spans", lambda s: s["kind"])).alias("kinds"), entities(F.col("text"), F.col("spans")).alias("entities"), _terms(_outside(F.col("text"), F.col("spans"))).alias("terms"))
+    counted = staged(counted.withColumn("row", F.monotonically_increasing_id()), "personal")
+    revealing = staged(revealing_terms(counted, disclosure, support, z), "revealing")
+    shown = counted.select("event", "row", F.explode("terms").alias("term")).join(revealing, "term").groupBy("event", "row").agg(F.collect_set("term").alias("shown"))
+    shown = staged(shown.groupBy("event").agg(F.first("shown").alias("shown")), "shown")  # equal texts show equal terms
+    found = texts.join(shown, "event", "left")
+    places = _spans(_outside(F.col("text"), F.col("spans")), TERM, lambda hit: F.array_contains("shown", F.lower(hit)))
     more = F.transform(places, lambda s: F.struct(s["start"].alias("start"), F.lit(TERM_KIND).alias("kind"), s["end"].alias("end")))
     spans = F.when(F.col("shown").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", more)))
     return found.select("doc_id", spans.alias("spans"), *(["text"] if with_text else []))
