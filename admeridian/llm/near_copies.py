@@ -162,6 +162,9 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    pairs = staged(pairs, "candidates")
+    asked = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "asked")
+    sets = sets.join(asked, "node", "left_semi")  # whole sets move only where a pair asks for them
     one = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
     other = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
 
