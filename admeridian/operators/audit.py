@@ -51,7 +51,7 @@ def cpa_change(found: DataFrame, facts: DataFrame) -> DataFrame:
     c = F.col
     lift = div(div("c7_value", "c7_conv"), div("p7_value", "p7_conv"))
     worse = c("value") > c("threshold")
-    no_value = ~((c("c7_conv") > 0) & (c("p7_conv") > 0) & (c("p7_value") > 0))
+    no_value = ~F.coalesce((c("c7_conv") > 0) & (c("p7_conv") > 0) & (c("p7_value") > 0), F.lit(False))
     return stacked(rows, "cpa_change", {
         "T1": vote((F.coalesce("p7_conv", F.lit(0)) < 5) | (c("p7_active") < 3), (c("p7_conv") >= 15) & (c("p7_active") >= 5)), "T2": vote(c("c14x_strategies") > 1, c("c14x_strategies") <= 1),
         "T3": vote((worse & (lift >= 1.5)) | (~worse & (lift <= 0.67)), F.lit(True), no_value), "T4": _spread(div("p7_max_cost", "p7_cost")),
@@ -64,7 +64,7 @@ def cpa_spike(found: DataFrame, facts: DataFrame) -> DataFrame:
     lift = div(div("s7_value", "s7_conv"), div("b30_value", "b30_conv"))
     return stacked(rows, "cpa_spike", {
         "T1": vote(F.coalesce("s7_conv", F.lit(0)) < 5, c("s7_conv") >= 15), "T2": _spread(div("s7_max_cost", "s7_cost")), "T3": vote(c("s30_strategies") > 1, c("s30_strategies") <= 1),
-        "T4": vote(lift >= 2.0, F.lit(True), ~((c("s7_conv") > 0) & (c("b30_conv") > 0) & (c("b30_value") > 0))),
+        "T4": vote(lift >= 2.0, F.lit(True), ~F.coalesce((c("s7_conv") > 0) & (c("b30_conv") > 0) & (c("b30_value") > 0), F.lit(False))),
     })
 
 
@@ -117,6 +117,18 @@ def budget_limited(found: DataFrame, facts: DataFrame) -> DataFrame:
     return stacked(rows, "budget_limited", {"T1": vote(rank > lost + 0.05, lost > rank + 0.10), "T2": vote(cpa > 500, cpa <= 200, F.coalesce("s30_conv", F.lit(0.0)) < 1), "T3": vote(conv < 5, conv >= 20), "T4": vote(ratio < 0.4, ratio >= 0.7, ratio.isNull())})
 
 
+def widened_spikes(found: DataFrame, volatility: DataFrame, tests: DataFrame) -> DataFrame:
+    """False positives among cost spikes under the flat threshold, under one multiplied by the campaign's volatility, and among
+    what the second leaves out. ``volatility``: account_id, campaign_id, threshold_multiplier; a false positive has a test
+    against it."""
+    against = tests.groupBy("signal_id").agg(F.count_if(F.col("verdict") == "disconfirm").alias("wrong"))
+    rows = found.join(volatility.select("account_id", "campaign_id", "threshold_multiplier"), ["account_id", "campaign_id"], "left").join(against, "signal_id")
+    kept = F.col("value") > F.col("threshold") * F.coalesce("threshold_multiplier", F.lit(1.0))
+    sets = F.array(F.lit("flat"), F.when(kept, F.lit("widened")).otherwise("dropped"))
+    out = rows.select(F.explode(sets).alias("threshold"), "wrong").groupBy("threshold").agg(F.count("*").alias("n"), F.count_if(F.col("wrong") > 0).alias("false_positives"), F.sum("wrong").alias("disconfirming_tests"))
+    return out.withColumn("false_positive_rate", F.col("false_positives") / F.col("n"))
+
+
 def run(signals: dict[str, DataFrame], daily: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """All campaign-level harnesses over those of their signals that are given."""
     facts = campaign_facts(daily)

@@ -33,8 +33,20 @@ def verdicts(tests: DataFrame) -> DataFrame:
 
 
 def test_table(tests: DataFrame) -> DataFrame:
-    """Verdict counts of each test."""
-    return tests.groupBy("detector", "test").pivot("verdict", ["confirm", "disconfirm", "inconclusive"]).agg(F.count(F.lit(1))).fillna(0)
+    """Verdict counts of each test, and whether it is to be relied on."""
+    rows = tests.groupBy("detector", "test").pivot("verdict", ["confirm", "disconfirm", "inconclusive"]).agg(F.count(F.lit(1))).fillna(0)
+    yes, no, unknown = F.col("confirm"), F.col("disconfirm"), F.col("inconclusive")
+    call = F.when(no > yes, "unreliable").when((no > 0) & (yes > 0), "mixed").when((no + unknown) == 0, "holds").when((yes + no) == 0, "needs data").otherwise("partial")
+    return rows.withColumn("recommendation", call)
+
+
+def scorecard(votes: DataFrame, detectors: list[str], tolerated: float = 0.15) -> DataFrame:
+    """KEEP, MONITOR or REVISE by the share of likely false positives; NO_SIGNALS for silent detectors."""
+    rows = votes.groupBy("detector").agg(F.count("*").alias("n"), F.avg((F.col("overall") == "likely_false_positive").cast("double")).alias("false_positive_rate"))
+    rate = F.col("false_positive_rate")
+    known = votes.sparkSession.createDataFrame([(d,) for d in detectors], "detector string")
+    call = F.when(rate.isNull(), "NO_SIGNALS").when(rate == 0, "KEEP").when(rate < tolerated, "MONITOR").otherwise("REVISE")
+    return known.join(rows, "detector", "left").fillna(0, ["n"]).withColumn("call", call)
 
 
 def detector_calls(votes: DataFrame, detectors: list[str]) -> DataFrame:

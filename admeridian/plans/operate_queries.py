@@ -59,9 +59,6 @@ QUERIES = {
     "ops07_alerts": _q(lambda t: operate.alerts(t.facts, operate.accuracy(t.resolutions), F.lit("2024-04-01").cast("date"))),
     "bkt01_rolling_origin": _q(lambda t: operate.rolling_origin(t.rows)),
     "pat01_patterns": _q(lambda t: trust.patterns(t.found), "domain", "signal_type", "pattern_type", "severity", "confidence", "n", "n_accounts"),
-    "aud00_verdicts": _q(lambda t: trust.verdicts(t.tests).groupBy("detector", "overall").agg(F.count("*").alias("n"))),
-    "aud01_tests": _q(lambda t: trust.test_table(t.tests)),
-    "aud02_detector_calls": _q(lambda t: trust.detector_calls(trust.verdicts(t.tests), ["cpa_change", "cpa_spike", "cvr_drop", "cvr_change", "budget_capped", "budget_limited", "tracking_break"])),
     "ver01_02_ledger": _q(lambda t: (lambda e: e.groupBy("shard").agg(F.count("*").alias("n"), F.max_by("chain_hash", "seq").alias("head")).join(trust.broken_links(e, t.predictions).groupBy("shard").agg(F.count("*").alias("broken")), "shard", "left"))(trust.ledger(t.predictions))),
     "ver06_spot_check": _q(lambda t: trust.spot_check(t.rows)),
     "ver07_checksums": _q(lambda t: trust.checksums(t.daily_metrics.select("account_id", "campaign_id", "date", "clicks", "cost_micros"))),
@@ -85,31 +82,11 @@ rs1 AS (SELECT o.*, greatest(-1, least(3, (post - pre) / pre)) AS actual FROM rs
 res AS (SELECT *, CASE WHEN actual <= -0.1 THEN 'improved' WHEN actual >= 0.1 THEN 'degraded' ELSE 'neutral' END AS adir, abs(med - actual) AS err, actual - nm AS acost FROM rs1),
 rsv AS (SELECT *, mode = adir AS dok, CASE rec WHEN 'DO_NOT_ACT' THEN acost > 0.1 WHEN 'ACT' THEN acost < -0.1 WHEN 'EITHER' THEN NOT (acost < -0.1) AND NOT (acost > 0.1) ELSE NOT (acost < -0.1) END AS rok FROM res)"""
 _DM = "WITH " + ctes("daily_metrics")
-_sums = ", ".join(f"sum(cost_micros) FILTER ({w}) AS {w}_c, coalesce(sum(conversions) FILTER ({w}), 0) AS {w}_v, sum(conversion_value) FILTER ({w}) AS {w}_w, sum(clicks) FILTER ({w}) AS {w}_k, max(cost_micros) FILTER ({w}) AS {w}_mc, max(clicks) FILTER ({w}) AS {w}_mk" for w in ("c7", "p7", "c3", "c4", "s7", "s14", "q7", "s3", "s4", "s30", "b30"))
 ORACLES = {
     "ops01_register": _w(_ALL, f"{_PRED} SELECT prediction_id, tid AS template_id, episode_id, state, mode AS prediction_direction, round(med, 6) AS prediction_magnitude, round(nm, 6) AS natural_magnitude, round(cost, 6) AS action_cost, rec AS recommendation FROM pred"),
     "ops02_resolve": _w(_ALL, f"{_RES} SELECT prediction_id, w AS window_days, round(actual, 6) AS actual_magnitude, adir AS actual_direction, dok AS direction_correct, CASE WHEN err <= 0.05 THEN 'exact' WHEN err <= 0.1 THEN 'close' WHEN err <= 0.2 THEN 'ballpark' ELSE 'miss' END AS magnitude_score, rok AS recommendation_correct FROM rsv"),
     "ops03_health": _w(_ALL, f"{_RES}, h AS (SELECT tid, count(*) AS n, avg(dok::INT) AS live, avg(rok::INT) AS lr, avg(err) AS e FROM rsv WHERE w = 14 GROUP BY tid) SELECT h.tid AS template_id, h.n AS n_resolved, round(live, 6) AS live, round(lr, 6) AS live_recommendation, round(e, 6) AS mae, round(acc, 6) AS backtest, CASE WHEN h.n >= 10 AND live < acc - 0.15 THEN 'DRIFT' WHEN h.n >= 10 AND live > acc + 0.05 THEN 'IMPROVING' ELSE '' END AS drift_flag, CASE WHEN h.n >= 10 AND live > 0.55 THEN 'ACTIVE' WHEN h.n < 10 OR live BETWEEN 0.45 AND 0.55 THEN 'SHADOW_ONLY' ELSE 'RETIRED' END AS status FROM h JOIN cat USING (tid)"),
     "ops04_accuracy": _w(_ALL, f"{_RES} SELECT coalesce(w::VARCHAR, 'all') AS window_days, coalesce(rec, 'all') AS recommendation, count(*) AS n, round(avg(rok::INT), 6) AS accuracy, round(avg(dok::INT), 6) AS direction_accuracy, round(avg((rec = 'EITHER')::INT), 6) AS abstention FROM rsv GROUP BY CUBE (w, rec)"),
-    "aud01_tests": f"""{_DM}, a AS (SELECT max(date) AS d FROM daily_metrics), x AS (SELECT *, date > d - 7 AND date <= d AS c7, date > d - 14 AND date <= d - 7 AS p7, date > d - 21 AND date <= d - 14 AS c3, date > d - 28 AND date <= d - 21 AS c4, date >= d - 7 AS s7, date >= d - 14 AS s14, date >= d - 14 AND date < d - 7 AS q7, date >= d - 21 AND date < d - 14 AS s3, date >= d - 28 AND date < d - 21 AS s4, date >= d - 30 AS s30, date >= d - 30 AND date < d - 7 AS b30 FROM daily_metrics, a),
-g AS (SELECT account_id, campaign_id, {_sums}, count(DISTINCT CASE WHEN p7 AND cost_micros > 0 THEN date END) AS p7_act, count(DISTINCT CASE WHEN c7 AND cost_micros > 0 THEN date END) AS c7_act, count(DISTINCT CASE WHEN s7 AND cost_micros > 0 THEN date END) AS s7_act, count(search_budget_lost_is) FILTER (s14 AND search_budget_lost_is > 0.2) AS capped, avg(cost_micros / daily_budget_micros) FILTER (s14) AS util,
-  sum(conversions) FILTER (s14 AND search_budget_lost_is IS NOT NULL) AS capconv, sum(conversions) FILTER (s7 AND search_budget_lost_is IS NOT NULL) AS limconv, sum(cost_micros) FILTER (s7 AND search_budget_lost_is IS NOT NULL) AS limcost,
-  avg(search_budget_lost_is) FILTER (s14) AS l14, avg(search_rank_lost_is) FILTER (s14) AS r14, avg(search_budget_lost_is) FILTER (s7) AS l7, avg(search_rank_lost_is) FILTER (s7) AS r7, avg(daily_budget_micros) FILTER (s7) AS bud FROM x GROUP BY ALL),
-h AS (SELECT *, median(bud) OVER (PARTITION BY account_id) AS mbud, s3_v / nullif(s3_k, 0) AS e1, s4_v / nullif(s4_k, 0) AS e2, c3_v / nullif(c3_k, 0) AS e3, c4_v / nullif(c4_k, 0) AS e4 FROM g),
-k AS (SELECT *, CASE WHEN coalesce(e1, 0) > 0 AND coalesce(e2, 0) > 0 THEN (e1 + e2) / 2 WHEN coalesce(e1, 0) > 0 THEN e1 WHEN coalesce(e2, 0) > 0 THEN e2 END AS sb, CASE WHEN coalesce(e3, 0) > 0 AND coalesce(e4, 0) > 0 THEN (e3 + e4) / 2 WHEN coalesce(e3, 0) > 0 THEN e3 WHEN coalesce(e4, 0) > 0 THEN e4 END AS cb,
-  c7_c / nullif(c7_v, 0) AS ccpa, p7_c / nullif(p7_v, 0) AS pcpa, c7_v / nullif(c7_k, 0) AS ccvr, p7_v / nullif(p7_k, 0) AS pcvr, s7_v / nullif(s7_k, 0) AS scvr, q7_v / nullif(q7_k, 0) AS qcvr, (c7_w / nullif(c7_v, 0)) / nullif(p7_w / nullif(p7_v, 0), 0) AS lift FROM h),
-t AS (
-  SELECT 'cpa_change' AS detector, unnest(['T1', 'T2', 'T3', 'T4']) AS test, unnest([CASE WHEN p7_v < 5 OR p7_act < 3 THEN 'disconfirm' WHEN p7_v >= 15 AND p7_act >= 5 THEN 'confirm' ELSE 'inconclusive' END, 'confirm',
-    CASE WHEN NOT (c7_v > 0 AND p7_v > 0 AND p7_w > 0) THEN 'inconclusive' WHEN (ccpa > pcpa AND lift >= 1.5) OR (ccpa <= pcpa AND lift <= 0.67) THEN 'disconfirm' ELSE 'confirm' END, CASE WHEN p7_mc / p7_c > 0.5 THEN 'disconfirm' ELSE 'confirm' END]) AS verdict
-  FROM k WHERE c7_v >= 5 AND p7_v >= 5 AND c7_act >= 3 AND p7_act >= 3 AND c7_mc / c7_c <= 0.5 AND abs(ccpa - pcpa) / pcpa >= 0.25
-  UNION ALL SELECT 'cpa_spike', unnest(['T1', 'T2', 'T3', 'T4']), unnest([CASE WHEN s7_v >= 15 THEN 'confirm' ELSE 'inconclusive' END, 'confirm', 'confirm', CASE WHEN NOT (b30_w > 0) THEN 'inconclusive' ELSE 'confirm' END])
-  FROM k WHERE s7_v >= 5 AND s7_act >= 3 AND s7_mc / s7_c <= 0.5 AND b30_v > 3 AND s7_c / s7_v > b30_c / b30_v * 1.5 AND NOT coalesce(b30_w > 0 AND s7_w / s7_v >= 2 * (b30_w / b30_v), FALSE)
-  UNION ALL SELECT 'cvr_drop', unnest(['T1', 'T2', 'T3', 'T4']), unnest(['confirm', 'confirm', 'inconclusive', CASE WHEN sb IS NULL THEN 'inconclusive' WHEN coalesce(qcvr, 0) > sb * 1.4 THEN 'disconfirm' ELSE 'confirm' END]) FROM k WHERE q7_k > 100 AND s7_k > 100 AND q7_v > 10 AND qcvr > 0.01 AND scvr < qcvr * 0.7
-  UNION ALL SELECT 'cvr_change', unnest(['T1', 'T2', 'T3', 'T4']), unnest(['confirm', 'confirm', CASE WHEN cb IS NULL THEN 'inconclusive' WHEN (ccvr < pcvr AND pcvr > cb * 1.4) OR (ccvr > pcvr AND pcvr > 0 AND pcvr < cb * 0.7) THEN 'disconfirm' ELSE 'confirm' END, 'confirm']) FROM k WHERE c7_k >= 50 AND c7_mk <= 0.5 * c7_k AND p7_k >= 50 AND p7_v >= 5 AND p7_mk <= 0.5 * p7_k AND pcvr >= 0.005 AND abs(ccvr - pcvr) / pcvr >= 0.15
-  UNION ALL SELECT 'budget_capped', unnest(['T1', 'T2', 'T3']), unnest([CASE WHEN util < 0.5 THEN 'disconfirm' WHEN util >= 0.85 THEN 'confirm' ELSE 'inconclusive' END, CASE WHEN coalesce(r14, 0) > coalesce(l14, 0) + 0.1 THEN 'disconfirm' ELSE 'confirm' END, CASE WHEN s14_v >= 15 THEN 'confirm' ELSE 'inconclusive' END]) FROM k WHERE capped >= 3 AND capconv >= 15
-  UNION ALL SELECT 'budget_limited', unnest(['T1', 'T2', 'T3', 'T4']), unnest([CASE WHEN coalesce(r7, 0) > l7 + 0.05 THEN 'disconfirm' WHEN l7 > coalesce(r7, 0) + 0.1 THEN 'confirm' ELSE 'inconclusive' END, CASE WHEN s30_v < 1 THEN 'inconclusive' WHEN s30_c / 1e6 / s30_v > 500 THEN 'disconfirm' WHEN s30_c / 1e6 / s30_v <= 200 THEN 'confirm' ELSE 'inconclusive' END,
-    CASE WHEN s7_v < 5 THEN 'disconfirm' WHEN s7_v >= 20 THEN 'confirm' ELSE 'inconclusive' END, CASE WHEN bud / mbud < 0.4 THEN 'disconfirm' WHEN bud / mbud >= 0.7 THEN 'confirm' ELSE 'inconclusive' END]) FROM k WHERE l7 > 0.25 AND limcost > 500000000 AND limconv >= 5)
-SELECT detector, test, count(*) FILTER (verdict = 'confirm') AS confirm, count(*) FILTER (verdict = 'disconfirm') AS disconfirm, count(*) FILTER (verdict = 'inconclusive') AS inconclusive FROM t GROUP BY ALL""",
     "ver07_checksums": f"{_DM} SELECT CAST(date AS VARCHAR) AS date, count(*) AS n_rows, CAST(sum(('0x' || substr(md5(concat_ws('|', account_id, campaign_id, CAST(clicks AS VARCHAR), CAST(cost_micros AS VARCHAR), CAST(date AS VARCHAR))), 1, 8))::BIGINT) AS BIGINT) AS content FROM daily_metrics GROUP BY 1",
     "obs05_inventory": f"WITH {ctes('accounts', 'daily_metrics', 'change_events', 'keyword_metrics', 'conversion_actions')} " + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows, count(DISTINCT account_id) AS n_accounts FROM {n}" for n in ("accounts", "daily_metrics", "change_events", "keyword_metrics", "conversion_actions")),
     "snk01_upsert_replace": f"{_DM} SELECT CASE WHEN date >= DATE '2024-02-12' THEN 2 ELSE 1 END AS loaded, count(*) AS n, CAST(sum(clicks + CASE WHEN date >= DATE '2024-02-12' THEN 1 ELSE 0 END) AS BIGINT) AS clicks FROM daily_metrics GROUP BY 1",

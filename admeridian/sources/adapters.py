@@ -76,7 +76,7 @@ TABLES: dict[str, str] = {
           CASE WHEN p_size % 9 = 0 THEN 'Page view ' || p_name ELSE p_name END AS action_name,
           CASE WHEN p_size % 5 = 0 THEN 'REMOVED' ELSE 'ENABLED' END AS status, 'WEBPAGE' AS action_type,
           CASE p_size % 6 WHEN 0 THEN 'PURCHASE' WHEN 1 THEN 'PAGE_VIEW' WHEN 2 THEN 'LEAD' WHEN 3 THEN 'SIGNUP' WHEN 4 THEN 'DEFAULT' ELSE 'IMPORTED_LEAD' END AS category,
-          p_partkey % 3 = 0 AS primary_for_goal
+          p_partkey % 3 = 0 AS primary_for_goal, CASE WHEN p_partkey % 10 = 3 THEN 'MANY_PER_CLICK' ELSE 'ONE_PER_CLICK' END AS counting_type
         FROM {part} CROSS JOIN (SELECT count(*) AS n FROM {supplier}) n""",
     "asset_coverage": """
         SELECT account_id, campaign_id, asset_type, CAST(count(*) AS INT) AS asset_count FROM (
@@ -111,6 +111,26 @@ TABLES: dict[str, str] = {
         SELECT 'p' || CAST(user_id % 10 AS STRING) AS ga4_property, 'a' || CAST(user_id % 10 + 1 AS STRING) AS account_id, CAST(ts AS DATE) AS date,
           CASE event_type WHEN 'view' THEN 'view_item' WHEN 'click' THEN 'add_to_cart' WHEN 'signup' THEN 'begin_checkout' ELSE 'purchase' END AS event_name, CAST(count(*) AS INT) AS event_count
         FROM {events} WHERE event_type <> 'error' GROUP BY user_id % 10, CAST(ts AS DATE), event_type""",
+    # the same facts with changes of strategy, budget, names and age, for the audits
+    "shifted_metrics": """
+        SELECT account_id, campaign_id, CASE WHEN account_id LIKE '%4' THEN 'Local ' || campaign_id WHEN account_id LIKE '%6' THEN 'Alpha ' || campaign_id ELSE campaign_name END AS campaign_name, campaign_type, date, impressions, clicks,
+          CASE WHEN account_id LIKE '%8' AND date >= DATE '2024-03-11' THEN cost_micros * 5 ELSE cost_micros END AS cost_micros,
+          CASE WHEN account_id LIKE '%2' THEN conversions * 3 WHEN campaign_id LIKE '%c9' AND date <> DATE '2024-03-20' THEN conversions * 0 ELSE conversions END AS conversions,
+          CASE WHEN account_id LIKE '%5' THEN conversion_value * 0 WHEN account_id LIKE '%1' THEN conversion_value * 16 ELSE conversion_value END AS conversion_value, search_impression_share, search_budget_lost_is,
+          CASE WHEN account_id LIKE '%7' AND date >= DATE '2024-03-11' THEN search_rank_lost_is * 2 ELSE search_rank_lost_is END AS search_rank_lost_is,
+          CASE WHEN campaign_id LIKE '%c4' AND date >= DATE '2024-03-12' THEN 'MANUAL_CPM' ELSE bidding_strategy END AS bidding_strategy,
+          CASE WHEN campaign_id LIKE '%c5' AND date >= DATE '2024-03-12' THEN daily_budget_micros * 2 WHEN campaign_id LIKE '%c3' THEN daily_budget_micros * 0 ELSE daily_budget_micros END AS daily_budget_micros,
+          CASE WHEN campaign_id LIKE '%c6' THEN 'PAUSED' WHEN campaign_id LIKE '%c2' OR campaign_id LIKE '%c1' THEN 'ENABLED' ELSE status END AS status
+        FROM {daily_metrics} WHERE NOT (campaign_id LIKE '%c7' AND date < DATE '2024-03-14') AND NOT (account_id LIKE '%3' AND date < DATE '2024-03-01')""",
+    "shifted_changes": """
+        SELECT account_id, change_id, change_timestamp, CASE WHEN account_id LIKE '%6' THEN 'CONVERSION_UPLOAD' ELSE change_type END AS change_type,
+          CASE WHEN account_id LIKE '%3' THEN 'CONVERSION_ACTION' WHEN account_id LIKE '%4' THEN 'ASSET' ELSE resource_type END AS resource_type, campaign_id, CASE WHEN account_id LIKE '%2' THEN 'human' ELSE actor END AS actor
+        FROM {change_events} WHERE account_id NOT LIKE '%9'""",
+    "shifted_pages": """
+        SELECT ga4_property, account_id, date, landing_page, device, CASE WHEN account_id LIKE '%4' AND date > DATE '2024-01-23' THEN sessions * 3 ELSE sessions END AS sessions,
+          CASE WHEN account_id LIKE '%2' AND date > DATE '2024-01-23' THEN engaged_sessions * 0 WHEN account_id LIKE '%6' AND device = 'mobile' THEN engaged_sessions * 0 WHEN account_id LIKE '%8' THEN sessions
+            WHEN account_id LIKE '%1' AND device = 'desktop' THEN sessions WHEN account_id LIKE '%7' AND device = 'mobile' AND date > DATE '2024-01-23' THEN engaged_sessions * 0 ELSE engaged_sessions END AS engaged_sessions
+        FROM {ga4_landing_pages}""",
     "campaign_final_urls": """
         SELECT DISTINCT account_id, campaign_id, 'SEARCH' AS channel, 'https://www.shop.example.com/Page' || CAST(clicks % 7 AS STRING) || '/?utm=x' AS final_url FROM {daily_metrics}""",
 }
