@@ -107,3 +107,50 @@ def property_map(accounts: DataFrame, properties: DataFrame) -> DataFrame:
     best = shared.groupBy("account_id").agg(F.min_by("ga4_property", F.struct(-F.col("n"), "ga4_property")).alias("fuzzy"))
     rows = a.select("account_id").join(exact, "account_id", "left").join(best, "account_id", "left")
     return rows.select("account_id", F.coalesce("exact", "fuzzy").alias("ga4_property"), F.when(F.col("exact").isNotNull(), "domain").when(F.col("fuzzy").isNotNull(), "name").otherwise("unmatched").alias("match_method"))
+
+
+def accounts(raw: DataFrame, mcc_id: str, today: Column) -> DataFrame:
+    """Accounts as the platform lists them (id, name, currency_code), with defaults and the day they were first seen."""
+    return raw.select(F.col("id").cast("string").alias("account_id"), F.coalesce("name", F.lit("")).alias("account_name"), F.lit(mcc_id).alias("mcc_id"), F.coalesce("currency_code", F.lit("USD")).alias("currency_code"), today.alias("first_seen"), today.alias("last_updated"))
+
+
+def conversion_actions(raw: DataFrame) -> DataFrame:
+    """Conversion actions as text; an action that does not say whether it is primary is none."""
+    names = {"id": "action_id", "name": "action_name", "status": "status", "type": "action_type", "category": "category", "counting_type": "counting_type", "attribution_model": "attribution_model"}
+    return raw.select("account_id", *[F.col(a).cast("string").alias(b) for a, b in names.items()], F.coalesce(F.col("primary_for_goal").cast("boolean"), F.lit(False)).alias("primary_for_goal"))
+
+
+SEGMENT_DIMENSIONS = ("device", "network", "hour", "dow", "geo")
+
+
+def campaign_segments(raw: DataFrame, dimensions: tuple[str, ...] = SEGMENT_DIMENSIONS) -> DataFrame:
+    """Window sums of each campaign by the values of five dimensions, in long form from one pass; removed campaigns are left out,
+    and regions without cost."""
+    long = raw.filter("status <> 'REMOVED'").withColumn("s", F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("segment_value")) for d in dimensions]))).filter("s.dimension <> 'geo' OR cost_micros > 0")
+    sums = [F.sum(c).alias(c) for c in ("impressions", "clicks", "cost_micros", "conversions")]
+    return long.groupBy("account_id", "campaign_id", "s.dimension", "s.segment_value").agg(*sums, F.min("date").alias("window_start"), F.max("date").alias("window_end"))
+
+
+def ad_strength(raw: DataFrame) -> DataFrame:
+    """Ratings of responsive search ads; other ads have none, removed ones do not count."""
+    return raw.filter("ad_type = 'RESPONSIVE_SEARCH_AD' AND status <> 'REMOVED'").select("account_id", "campaign_id", "ad_group_id", "ad_id", "ad_strength")
+
+
+def final_urls(raw: DataFrame) -> DataFrame:
+    """One row per campaign and address, with its path and its host as the pages have them."""
+    return raw.dropDuplicates(["account_id", "campaign_id", "final_url"]).select("account_id", "campaign_id", "final_url", normalised_path(F.col("final_url")).alias("norm_path"), host(F.col("final_url")).alias("domain"))
+
+
+def source_engagement(raw: DataFrame) -> DataFrame:
+    """Engagement per channel; rates are weighted by sessions."""
+    weighted = lambda c: div(F.sum(F.col(c) * F.col("sessions")), F.sum("sessions")).alias(c)
+    return raw.groupBy("ga4_property", "account_id", "channel").agg(F.sum("sessions").alias("sessions"), weighted("engagement_rate"), weighted("session_cvr")).withColumn("bounce_rate", 1 - F.col("engagement_rate"))
+
+
+#: The events of the purchase funnel.
+FUNNEL_EVENTS = ["view_item", "add_to_cart", "begin_checkout", "purchase"]
+
+
+def funnel_events(raw: DataFrame) -> DataFrame:
+    """Counts of the funnel's events per day; days come as yyyyMMdd."""
+    return raw.filter(F.col("event_name").isin(FUNNEL_EVENTS)).groupBy("ga4_property", "account_id", F.to_date("day", "yyyyMMdd").alias("date"), "event_name").agg(F.sum("event_count").alias("event_count"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from admeridian.functions.signals import identifier
@@ -127,3 +127,88 @@ def firing(found: DataFrame, detectors: list[str], noisy: int = 50) -> DataFrame
     known = found.sparkSession.createDataFrame([(d,) for d in detectors], "signal_type string")
     counts = found.groupBy("signal_type").agg(F.count("*").alias("n"))
     return known.join(counts, "signal_type", "left").fillna(0, ["n"]).withColumn("call", F.when(F.col("n") == 0, "SILENT").when(F.col("n") > noisy, "NOISY").otherwise("CREDIBLE"))
+
+
+# --- provenance, versions, events, health ---
+
+
+def resolved_once(entries: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Ledger entries with their outcome and its hash. An entry that has one keeps it; of several new outcomes of an entry the first
+    by its text counts. ``outcomes``: prediction_id, actual_direction, actual_metrics (a struct or map)."""
+    body = F.to_json(F.struct("actual_direction", "actual_metrics"))
+    new = outcomes.select("prediction_id", F.struct(F.sha2(body, 256).alias("hash"), F.col("actual_direction")).alias("r")).groupBy("prediction_id").agg(F.min("r").alias("_r"))
+    old = {c: F.col(c) if c in entries.columns else F.lit(None).cast("string") for c in ("resolution_hash", "actual_direction")}
+    rows = entries.join(new, "prediction_id", "left")
+    open_ = old["resolution_hash"].isNull()
+    return rows.withColumns({"actual_direction": F.when(open_, F.col("_r.actual_direction")).otherwise(old["actual_direction"]), "resolution_hash": F.when(open_, F.col("_r.hash")).otherwise(old["resolution_hash"])}).drop("_r")
+
+
+def template_links(members: DataFrame, version: int = 1) -> DataFrame:
+    """Which episodes formed which magnitude-aware template."""
+    marked = F.when(F.startswith("template_id", F.lit("mag:")), F.col("template_id")).otherwise(F.concat(F.lit("mag:"), "template_id"))
+    return members.select(marked.alias("template_id"), F.lit(version).alias("template_version"), "episode_id")
+
+
+def provenance(predictions: DataFrame, links: DataFrame, baseline: DataFrame) -> DataFrame:
+    """A hash per prediction over its key, the episodes behind its template and the size of the baseline of its state. Episodes
+    enter as a hash of per-block hashes, so that no template's list is gathered whole."""
+    per = episode_digest(links)
+    quiet = baseline.groupBy("state").agg(F.count("*").alias("baseline_n"))
+    rows = predictions.select("prediction_id", "template_id", "state").join(per, "template_id", "left").join(quiet, "state", "left").fillna(0, ["episode_count", "baseline_n"])
+    return rows.withColumn("provenance_hash", F.sha2(F.concat_ws("|", "prediction_id", "template_id", F.coalesce("episodes_hash", F.lit("")), F.col("episode_count").cast("string"), F.col("baseline_n").cast("string")), 256))
+
+
+def episode_digest(links: DataFrame) -> DataFrame:
+    """template_id, episode_count, episodes_hash: ids are dealt to 256 blocks by hash, each block's sorted ids are hashed, then the
+    block hashes in order."""
+    blocks = links.withColumn("_b", F.substring(F.sha2("episode_id", 256), 1, 2)).groupBy("template_id", "_b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("episode_id")), ","), 256).alias("h"))
+    tops = F.transform(F.array_sort(F.collect_list(F.struct("_b", "h"))), lambda x: x["h"])
+    return blocks.groupBy("template_id").agg(F.sum("n").alias("episode_count"), F.sha2(F.array_join(tops, ","), 256).alias("episodes_hash"))
+
+
+def version_snapshot(templates: DataFrame, forecasts: DataFrame, links: DataFrame, version: int, commit: str) -> DataFrame:
+    """template_id, version, version_hash over what a template says and what it rests on."""
+    told = F.concat_ws(":", "metric", *[F.format_number(c, 6) for c in ("median_delta", "iqr_low", "iqr_high")])
+    per = forecasts.groupBy(F.regexp_replace("template_id", "^mag:", "").alias("template_id")).agg(F.array_join(F.array_sort(F.collect_list(told)), ",").alias("_told"))  # at most nine metrics
+    rows = templates.join(per, "template_id", "left").join(episode_digest(links), "template_id", "left")
+    text = F.concat_ws("|", "template_id", F.lit(str(version)), "prediction_direction", F.coalesce("_told", F.lit("")), F.coalesce("episodes_hash", F.lit("")), F.col("n_episodes").cast("string"), F.col("n_accounts").cast("string"), F.format_number("direction_accuracy", 6))
+    return rows.select("template_id", F.lit(version).alias("version"), F.sha2(text, 256).alias("version_hash"), F.lit(commit).alias("code_commit"))
+
+
+def irreproducible(frozen: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Frozen versions that are not made again alike: missing, or with another hash."""
+    now = fresh.select("template_id", "version", F.col("version_hash").alias("_now"))
+    rows = frozen.join(now, ["template_id", "version"], "left").filter(~F.col("version_hash").eqNullSafe(F.col("_now")))
+    return rows.select("template_id", "version", F.when(F.col("_now").isNull(), "missing").otherwise("hash differs").alias("reason"))
+
+
+EVENTS = "event_id string, event_type string, severity string, related_entity string, created_at date, resolved_at date"
+
+
+def drift_events(health: DataFrame, log: DataFrame, today: Column) -> DataFrame:
+    """Events for templates that drift and have no open drift event: appended to the log, a rerun adds nothing."""
+    open_ = log.filter("event_type = 'drift_alert' AND resolved_at IS NULL").select(F.col("related_entity").alias("template_id"))
+    new = health.filter("drift_flag = 'DRIFT'").join(open_, "template_id", "left_anti")
+    return new.select(identifier(F.lit("drift_alert"), "template_id", today).alias("event_id"), F.lit("drift_alert").alias("event_type"), F.lit("warning").alias("severity"), F.col("template_id").alias("related_entity"), today.alias("created_at"), F.lit(None).cast("date").alias("resolved_at"))
+
+
+def event_counts(log: DataFrame, days: int = 7) -> DataFrame:
+    """Open drift alerts, all open events, events of the last days up to the newest; one row."""
+    newest = log.agg(F.max("created_at").alias("_last"))
+    open_ = F.col("resolved_at").isNull()
+    return log.crossJoin(F.broadcast(newest)).agg(F.count_if(open_ & (F.col("event_type") == "drift_alert")).alias("open_drift"), F.count_if(open_).alias("open_events"), F.count_if(F.col("created_at") >= F.date_sub("_last", days)).alias("recent"))
+
+
+#: What each failing costs of 100 points.
+DEDUCTIONS = {"ledger": 40, "checksums": 30, "reproducibility": 20, "drift": 10, "recent": 10, "accuracy": 15, "accuracy_slightly": 5}
+
+
+def health_score(broken: DataFrame, changed: DataFrame, unlike: DataFrame, events: DataFrame, scores: DataFrame, usual_accuracy: float = 0.67) -> DataFrame:
+    """One row: score and status from broken ledger links, changed days, versions that cannot be made again, events, and the
+    accuracy of decisive 14-day calls against the usual one (``scores``: accuracy, one row or none)."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    rows = count(broken, "broken_links").crossJoin(F.broadcast(count(changed, "changed_days"))).crossJoin(F.broadcast(count(unlike, "unlike_versions"))).crossJoin(F.broadcast(events)).crossJoin(F.broadcast(scores.agg(F.coalesce(F.max("accuracy"), F.lit(0.0)).alias("accuracy"))))
+    off = F.col("accuracy") - usual_accuracy
+    lost = sum((F.when(when, F.lit(DEDUCTIONS[k])).otherwise(0) for k, when in (("ledger", F.col("broken_links") > 0), ("checksums", F.col("changed_days") > 0), ("reproducibility", F.col("unlike_versions") > 0), ("drift", F.col("open_drift") > 3), ("recent", F.col("recent") > 5), ("accuracy", off < -0.10), ("accuracy_slightly", (off < -0.05) & (off >= -0.10)))), F.lit(0))
+    rows = rows.withColumn("health_score", F.greatest(F.lit(0), 100 - lost))
+    return rows.withColumn("status", F.when(F.col("health_score") >= 80, "healthy").when(F.col("health_score") >= 50, "degraded").otherwise("critical"))

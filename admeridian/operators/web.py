@@ -184,3 +184,45 @@ def page_trends(pages: DataFrame, min_days: int = 10, min_sessions: int = 200) -
     enough = days.groupBy("account_id", "landing_page").agg(F.count("*").alias("days"), F.sum("sessions").alias("total")).filter((F.col("days") >= min_days) & (F.col("total") >= min_sessions))
     points = days.join(enough, ["account_id", "landing_page"], "left_semi").withColumn("value", div("engaged", "sessions"))
     return trend(points, ["account_id", "landing_page"], F.lit("cvr"), min_days).drop("metric")
+
+
+def with_trajectory(found: DataFrame, trends: DataFrame, column: str = "note") -> DataFrame:
+    """Engagement signals with the course of their page in ``column``: a fall that goes on, or a weakness that has long been
+    there. Notes that already hold one stay as they are; other signals pass unchanged."""
+    kinds = F.col("signal_type").isin("ga4_engagement_drop", "ga4_mobile_engagement_gap")
+    old = F.coalesce(F.col(column), F.lit("")) if column in found.columns else F.lit("")
+    of = trends.select("account_id", F.col("landing_page").alias("_page"), F.col("classification").alias("_course"))
+    rows = found.withColumn("_page", F.col("data")["landing_page"]).join(of, ["account_id", "_page"], "left")
+    course = F.col("_course")
+    meaning = F.when(course == "declining", " (still falling)").when(course.isin("stable", "volatile"), " (not new)").otherwise("")
+    new = F.when(kinds & course.isNotNull() & ~F.contains(old, F.lit("[trend]")), F.concat(old, F.lit(" [trend] "), course, meaning)).otherwise(old)
+    return rows.withColumn(column, new).drop("_page", "_course")
+
+
+def audit_targets(upgrades: DataFrame, urls: DataFrame, properties: DataFrame) -> DataFrame:
+    """Addresses of the pages behind confirmed signals: by the campaigns' own host, else by the account's property.
+    ``upgrades``: account_id, landing_page; ``urls``: account_id, norm_path, domain; ``properties``: account_id, ga4_url."""
+    own = urls.groupBy("account_id", F.col("norm_path").alias("landing_page")).agg(F.max("domain").alias("_own"))
+    mapped = properties.groupBy("account_id").agg(F.max("ga4_url").alias("_mapped"))
+    rows = upgrades.select("account_id", "landing_page").distinct().join(own, ["account_id", "landing_page"], "left").join(mapped, "account_id", "left")
+    host = F.coalesce("_own", "_mapped")
+    return rows.filter(host.isNotNull()).groupBy(F.concat(F.lit("https://"), host, "landing_page").alias("url")).agg(F.min("account_id").alias("account_id"))
+
+
+def addressable(found: DataFrame) -> DataFrame:
+    """How many signals more data about the pages could settle; one row."""
+    n = lambda *kinds: F.count_if(F.col("signal_type").isin(*kinds))
+    cvr, cpa = n("cvr_drop", "cvr_change"), n("cpa_spike", "cpa_change")
+    return found.agg(cvr.alias("cvr_signals"), cpa.alias("cpa_signals"), n("device_mobile_drag").alias("device_mobile_drag"), n("weak_ad_strength").alias("weak_ad_strength"), (cvr + cpa).alias("total_addressable"))
+
+
+def linkage_coverage(daily: DataFrame, accounts: DataFrame, actions: DataFrame) -> DataFrame:
+    """How far active accounts can be linked to their sites: address, imported goals, any and all steps of the funnel; one row."""
+    active = daily.select("account_id").distinct()
+    up = lambda c: F.upper(F.coalesce(F.col(c), F.lit("")))
+    imported = F.contains(up("category"), F.lit("IMPORT")) | F.contains(up("action_type"), F.lit("ANALYT")) | F.contains(up("action_name"), F.lit("GA4")) | F.contains(up("action_name"), F.lit("ANALYTICS"))
+    steps = F.countDistinct(F.when(F.col("category").isin("ADD_TO_CART", "BEGIN_CHECKOUT", "PURCHASE"), F.col("category")))
+    per = actions.groupBy("account_id").agg(F.max(imported).alias("imported"), steps.alias("steps"))
+    sites = accounts.filter("website_url IS NOT NULL AND website_url <> ''").join(active, "account_id", "left_semi").agg(F.count("*").alias("with_website_url"))
+    linked = per.agg(F.count_if("imported").alias("imported_goals"), F.count_if(F.col("steps") > 0).alias("any_funnel_step"), F.count_if(F.col("steps") == 3).alias("whole_funnel"))
+    return active.agg(F.count("*").alias("active_accounts")).crossJoin(F.broadcast(sites)).crossJoin(F.broadcast(linked))
