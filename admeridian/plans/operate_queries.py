@@ -58,7 +58,6 @@ QUERIES = {
     "ops06_daily_cycle": _q(lambda t: operate.daily_cycle(t, F.lit("2024-03-01").cast("date"))["resolutions"].groupBy("window_days", "recommendation").agg(F.count("*").alias("n"))),
     "ops07_alerts": _q(lambda t: operate.alerts(t.facts, operate.accuracy(t.resolutions), F.lit("2024-04-01").cast("date"))),
     "bkt01_rolling_origin": _q(lambda t: simulate.rolling_origin(t.rows)),
-    "pat01_patterns": _q(lambda t: trust.patterns(t.found), "domain", "signal_type", "pattern_type", "severity", "confidence", "n", "n_accounts"),
     "ver01_02_ledger": _q(lambda t: (lambda e: e.groupBy("shard").agg(F.count("*").alias("n"), F.max_by("chain_hash", "seq").alias("head")).join(trust.broken_links(e, t.predictions).groupBy("shard").agg(F.count("*").alias("broken")), "shard", "left"))(trust.ledger(t.predictions))),
     "ver06_spot_check": _q(lambda t: trust.spot_check(t.rows)),
     "ver07_checksums": _q(lambda t: trust.checksums(t.daily_metrics.select("account_id", "campaign_id", "date", "clicks", "cost_micros"))),

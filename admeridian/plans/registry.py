@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from admeridian.plans import account_queries, audit_queries, detector_queries, learn_queries, normalise_queries, operate_queries, web_queries
+from admeridian.plans import account_queries, audit_queries, detector_queries, learn_queries, library_queries, normalise_queries, operate_queries, web_queries
 
-MODULES = [account_queries, detector_queries, learn_queries, web_queries, operate_queries, normalise_queries, audit_queries]
+MODULES = [account_queries, detector_queries, learn_queries, library_queries, web_queries, operate_queries, normalise_queries, audit_queries, library_queries]
 
 
 def queries() -> dict:

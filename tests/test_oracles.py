@@ -35,7 +35,7 @@ def plain(df: pd.DataFrame) -> list[tuple]:
     columns = sorted(df.columns)
 
     def one(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return (0, "")
         return (1, f"{float(v):.6f}") if isinstance(v, int | float) and not isinstance(v, bool) else (2, str(v))
 
