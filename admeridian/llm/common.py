@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +84,17 @@ def text_or_empty(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Texts of one byte a character take the faster ``lower``, which does the same on them."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def one_by_one(column: pa.Array) -> Iterator:
+    """The values of a batch, each made only when its turn comes: whole texts of a batch are never held twice."""
+    return (x.as_py() for x in column)
+
+
+def tidy() -> None:
+    """Gives memory that a worker has freed back to the system: workers outlive their stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other systems have no such call
+        pass

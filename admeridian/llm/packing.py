@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from admeridian.llm.common import fresh_name, staged, text_or_empty
+from admeridian.llm.common import fresh_name, one_by_one, staged, text_or_empty, tidy
 from admeridian.llm.ranking import ranked
 from admeridian.llm.segments import encoder
 
@@ -53,7 +53,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         encode, end = encoder(path, False, 4).encode, int(end_id).to_bytes(4, "little")
         for batch in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(one_by_one(batch.column(1))):
                 payload = encode(text) + end
                 n = len(payload) // 4
                 at, k = 0, 0
@@ -73,6 +73,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if with_ids:
                 columns, names = [*columns, pa.array(ids, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        tidy()
 
     return slim.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length int, ids_crc32 long" + ", ids binary" * with_ids)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from admeridian.llm.common import fresh_path, staged, text_or_empty
+from admeridian.llm.common import fresh_path, one_by_one, staged, text_or_empty, tidy
 from admeridian.llm.segments import encoder
 
 END_ID, FILE_BYTES, BLOCK, READ_BYTES, HEADER = 2, 32 << 20, 20_000, 8 << 20, 16
@@ -86,7 +86,7 @@ def write_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     out = store.open_output_stream(f"{base}/{name}", buffer_size=1 << 20)
                     out.write(MAGIC + width.to_bytes(4, "little") + bytes(4))
                 starts, lengths, places = [], [], []
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for key, text in zip(one_by_one(batch.column(0)), one_by_one(batch.column(1)), strict=True):
                     same, last = (same + 1 if last == (key,) else 0), (key,)
                     places.append(same)
                     payload = encode(text) + end
@@ -100,6 +100,7 @@ def write_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         finally:
             if out is not None:
                 out.close()
+            tidy()
 
     entries = staged(ranged.mapInArrow(write, f"doc_id {kind}, shard int, file string, start long, n_tokens long, place long"), "entries")
     entries = with_ordinals(entries)
