@@ -186,7 +186,7 @@ c1 AS (SELECT *, greatest(-1, least(3, (post_cost - pre_cost) / pre_cost)) AS de
 c3 AS (SELECT x.kind, x.cell, g.f, median(x.delta) AS med FROM c2 x, (SELECT unnest([0, 1, 2, 3, 4]) AS f) g WHERE g.f <> x.fold GROUP BY ALL), c4 AS (SELECT c2.kind, abs(med - delta) AS e FROM c2 JOIN c3 ON c2.kind = c3.kind AND c2.cell = c3.cell AND c2.fold = c3.f)
 SELECT round(avg(e) FILTER (kind = 'm'), 6) AS magnitude_cost_mae, count(*) FILTER (kind = 'm') AS magnitude_n, round(avg(e) FILTER (kind = 'c'), 6) AS category_cost_mae, count(*) FILTER (kind = 'c') AS category_n, coalesce(avg(e) FILTER (kind = 'm') < 0.15, FALSE) AS passes FROM c4"""),
     "pro01_scan": _w(_ALL, f"{_MATCH} SELECT CASE WHEN cpa <= -0.1 THEN 'recommendation' ELSE 'warning' END AS call, account_id, campaign_id, st AS pre_state, cc AS change_category, mb AS magnitude_bucket, mu AS is_multi_action, round(cpa, 6) AS cpa_median, n, template_id FROM ma WHERE cpa <= -0.1 OR cpa >= 0.1"),
-    "pro02_experiments": _w(_ALL, f"""{_MATCH}, kn AS (SELECT * FROM (SELECT pre_state, change_category, magnitude_bucket, row_number() OVER (PARTITION BY pre_state, change_category ORDER BY count(*) DESC, magnitude_bucket) AS rn FROM li GROUP BY ALL) WHERE rn = 1)
+    "pro02_experiments": _w(_ALL, f"""{_MATCH}, kn AS (SELECT * FROM (SELECT pre_state, change_category, magnitude_bucket, row_number() OVER (PARTITION BY pre_state, change_category ORDER BY n DESC, magnitude_bucket) AS rn FROM (SELECT pre_state, change_category, magnitude_bucket, count(*) AS n FROM li GROUP BY ALL)) WHERE rn = 1)
 SELECT pre_state, change_category AS proposed_action, magnitude_bucket AS suggested_magnitude, count(*) AS campaigns_in_gap FROM cp JOIN kn ON pre_state = st WHERE NOT EXISTS (SELECT 1 FROM ma WHERE ma.account_id = cp.account_id AND ma.campaign_id = cp.campaign_id AND ma.cc = change_category) GROUP BY ALL"""),
     "pro03_library": _w(_ALL, f"{_MAGLIB}, {_PARSED} SELECT * FROM li"),
     "pmt06_metric_forecast": _w(_ALL, f"""{_per_metric(False)}, {_CURRENT}, fo AS (SELECT tid AS template_id, metric, median(delta) AS md, count(*) AS n FROM dl GROUP BY ALL), fe AS (SELECT tid AS template_id, metric, avg(err) AS mae FROM de GROUP BY ALL), lb AS (SELECT DISTINCT template_id FROM fo), ac AS (SELECT DISTINCT split_part(template_id, '__', 1) AS cc FROM lb),
