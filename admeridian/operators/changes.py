@@ -35,7 +35,7 @@ def _budget_change(daily: DataFrame, kind: str, given: dict) -> DataFrame:
     rows = rows.withColumns({"cur": div("cur_lost", "cur_days"), "prior": div("prior_lost", "prior_days")}).withColumn("delta", F.col("cur") - F.col("prior"))
     hit = rows.filter((F.col("cur_days") >= th["min_days_with_data"]) & (F.col("prior_days") >= th["min_days_with_data"]) & (F.col("cur_cost") >= th["min_cost_micros"]) & (F.abs("delta") >= th["min_delta_pp"]))
     direction = F.when(F.col("delta") > 0, F.lit("worsening")).otherwise("improving")
-    return signals(hit, kind, BIDDING, "info", F.col("cur"), F.col("prior"), text("Campaign '%s' budget pressure %s", "campaign_name", direction), {"delta_pp": "delta", "direction": direction}, key=("campaign_name",))
+    return signals(hit, kind, BIDDING, "info", F.col("cur"), F.col("prior"), text("%s: the budget presses %s", "campaign_name", direction), {"delta_pp": "delta", "direction": direction}, key=("campaign_name",))
 
 
 def budget_capped_change(daily: DataFrame, **given) -> DataFrame:
@@ -52,7 +52,7 @@ def pmax_low_volume_change(daily: DataFrame, **given) -> DataFrame:
     rows = rows.withColumn("delta", F.col("cur_conv") - F.col("prior_conv")).withColumn("pct", div("delta", "prior_conv"))
     hit = rows.filter((F.col("cur_days") >= th["min_days_with_data"]) & (F.col("prior_days") >= th["min_days_with_data"]) & (F.col("cur_cost") >= th["min_cost_micros"]) & (F.col("prior_conv") > 0) & (F.abs("delta") >= th["min_abs_delta"]) & (F.abs("pct") >= th["min_pct_delta"]))
     direction = F.when(F.col("delta") > 0, F.lit("improving")).otherwise("worsening")
-    return signals(hit, "pmax_low_conv_volume_change", PMAX, "info", F.col("cur_conv"), F.col("prior_conv"), text("PMax '%s' conversion volume %s", "campaign_name", direction), {"pct_delta": "pct", "direction": direction}, key=("campaign_name",))
+    return signals(hit, "pmax_low_conv_volume_change", PMAX, "info", F.col("cur_conv"), F.col("prior_conv"), text("%s: PMax conversions are %s", "campaign_name", direction), {"pct_delta": "pct", "direction": direction}, key=("campaign_name",))
 
 
 def cvr_change(daily: DataFrame, **given) -> DataFrame:
@@ -62,7 +62,7 @@ def cvr_change(daily: DataFrame, **given) -> DataFrame:
     share = th["max_single_day_click_share"]
     hit = rows.filter((F.col("cur_clicks") >= th["min_current_clicks"]) & (F.col("cur_top") <= share * F.col("cur_clicks")) & (F.col("prior_clicks") >= th["min_prior_clicks"]) & (F.col("prior_conv") >= th["min_prior_conv"]) & (F.col("prior_top") <= share * F.col("prior_clicks")) & (F.col("prior") >= th["min_prior_cvr"]) & (F.abs("pct") >= th["min_pct_delta"]))
     direction = F.when(F.col("pct") > 0, F.lit("improving")).otherwise("worsening")
-    return signals(hit, "cvr_change", LANDING, "info", F.col("cur"), F.col("prior"), text("Campaign '%s' CVR %s", "campaign_name", direction), {"pct_delta": "pct", "direction": direction}, key=("campaign_name",))
+    return signals(hit, "cvr_change", LANDING, "info", F.col("cur"), F.col("prior"), text("%s: conversion rate %s", "campaign_name", direction), {"pct_delta": "pct", "direction": direction}, key=("campaign_name",))
 
 
 def cpa_change(daily: DataFrame, **given) -> DataFrame:
@@ -75,7 +75,7 @@ def cpa_change(daily: DataFrame, **given) -> DataFrame:
         both = both & (F.col(f"{p}_conv") >= th["min_conv_per_window"]) & (F.col(f"{p}_active") >= th["min_active_days"]) & (F.col(f"{p}_cost") > 0)
     hit = rows.filter(both & (div("cur_top", "cur_cost") <= th["max_single_day_share"]) & (F.abs("pct") >= th["min_pct_delta"]))
     direction = F.when(F.col("pct") > 0, F.lit("worsening")).otherwise("improving")
-    return signals(hit, "cpa_change", BIDDING, "info", F.col("cur"), F.col("prior"), text("Campaign '%s' CPA %s", "campaign_name", direction), {"pct_delta": "pct", "direction": direction}, key=("campaign_name",))
+    return signals(hit, "cpa_change", BIDDING, "info", F.col("cur"), F.col("prior"), text("%s: cost per conversion %s", "campaign_name", direction), {"pct_delta": "pct", "direction": direction}, key=("campaign_name",))
 
 
 def run_all(daily: DataFrame) -> DataFrame:

@@ -57,9 +57,9 @@ def annotated(found: DataFrame, trends: DataFrame) -> DataFrame:
     rows = rows.join(of(30, 30), ["account_id", "campaign_id", "_metric"], "left").join(of(7, 7), ["account_id", "campaign_id", "_metric"], "left")
     falling = lambda c: F.coalesce(F.col(c).isin("declining", "falling"), F.lit(False))
     context = (
-        F.when(F.col("_class30").isNull(), F.lit("no trend data")).when(falling("_class30"), F.lit("pre-existing decline: may be a continuation, not a new event"))
-        .when(F.col("_class30") == "volatile", F.lit("highly variable: may be normal fluctuation")).when(falling("_class7"), F.lit("stable over 30 days, only recently turning: a new development"))
-        .otherwise(F.concat(F.lit("30-day trend was "), F.col("_class30")))
+        F.when(F.col("_class30").isNull(), F.lit("too few days for a trend")).when(falling("_class30"), F.lit("had been falling for a month before"))
+        .when(F.col("_class30") == "volatile", F.lit("swings this wide are usual here")).when(falling("_class7"), F.lit("level for a month, falling in the last week"))
+        .otherwise(F.concat(F.lit("month: "), F.col("_class30")))
     )
     return rows.withColumns({"trend_context": context, "trend_slope_30d": F.col("_slope30"), "trend_classification_30d": F.coalesce("_class30", F.lit(""))}).select(*found.columns, "trend_context", "trend_slope_30d", "trend_classification_30d")
 

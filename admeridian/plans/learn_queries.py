@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from admeridian.functions.config import BENCHMARK_CPA, SEASONAL
+from admeridian.functions.stats import rnd
 from admeridian.operators import episodes, refinement, segment_learning, templates, trends
 from admeridian.sources.adapters import Tables, ctes
 from admeridian.sources.tables import materialised
@@ -55,9 +56,10 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c).cast("string").alias(c) if kinds[c] == "date" else F.col(c) for c in df.columns])
 
 
-def off_ties(df: DataFrame) -> DataFrame:
-    """Moves doubles off the exact halves that two engines may round to different sides."""
-    return df.withColumns({c: F.col(c) + 3.3e-7 for c, kind in df.dtypes if kind == "double"})
+def settled(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Doubles rounded to nine digits, which takes the engines' last bits away, and then to ``digits``, so that a tie is one and the
+    same number on both sides."""
+    return df.withColumns({c: rnd(rnd(F.col(c), 9), digits) + F.lit(0.0) for c, kind in df.dtypes if kind == "double"})
 
 
 def _q(make, *columns: str, digits: int = 6):
@@ -71,8 +73,8 @@ def _q(make, *columns: str, digits: int = 6):
 _TEMPLATE = ("template_id", "level", "prediction_direction", "prediction_magnitude", "iqr_low", "iqr_high", "n_episodes", "n_accounts")
 
 QUERIES = {
-    "trd02_daily_values": _q(lambda t: trends.daily_values(t.daily_metrics).filter("value IS NOT NULL").groupBy("metric").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))),
-    "trd03_campaign_trends": _q(lambda t: off_ties(trends.campaign_trends(t.daily_metrics)), "account_id", "campaign_id", "metric", "window_days", "n", "slope", "r_squared", "classification", "cv", "current_value", "projected_7d", digits=4),
+    "trd02_daily_values": _q(lambda t: trends.daily_values(t.daily_metrics).filter("value IS NOT NULL")),
+    "trd03_campaign_trends": _q(lambda t: settled(trends.campaign_trends(t.daily_metrics)), "account_id", "campaign_id", "metric", "window_days", "n", "slope", "r_squared", "classification", "cv", "current_value", "projected_7d", digits=4),
     "trd04_volatility": _q(lambda t: trends.with_volatility(trends.campaign_trends(t.daily_metrics)), "account_id", "campaign_id", "metric", "volatility_class", "threshold_multiplier"),
     "trd05_trend_annotation": _q(lambda t: _annotated(t), "account_id", "campaign_id", "signal_type", "trend_classification_30d", "trend_slope_30d"),
     "trd06_class_summary": _q(lambda t: trends.class_summary(trends.campaign_trends(t.daily_metrics))),
@@ -82,7 +84,7 @@ QUERIES = {
     "epi04_window_metrics": _q(lambda t: episodes.window_metrics(episodes.bundles(t.change_events, t.daily_metrics), t.daily_metrics), "episode_id", *[f"{p}_{m}" for p in ("pre", "post") for m in episodes.METRICS]),
     "epi05_confounded": _q(lambda t: episodes.confounded(episodes.bundles(t.change_events, t.daily_metrics))),
     "epi06_07_outcomes": _q(lambda t: t.episodes, "episode_id", "confounded", "outcome_metric", "raw_outcome", "raw_magnitude", "trend_adjusted", "trend_slope", "expected_value", "outcome", "adjusted_magnitude", "trend_contribution_pct"),
-    "epi08_domains": _q(lambda t: t.episodes.groupBy("domain", "confidence_tier").agg(F.count("*").alias("n"))),
+    "epi08_domains": _q(lambda t: t.episodes, "episode_id", "domain", "confidence_tier"),
     "epi09_cards": _q(lambda t: episodes.cards(t.episodes, t.accounts), "change_category", "actor", "n", "accounts", "improved", "degraded", "neutral", "avg_improve", "avg_degrade", "confidence"),
     "sgl04_segments": _q(lambda t: segment_learning.enumerate_segments(t.clean)),
     "sgl05_patterns": _q(lambda t: segment_learning.patterns(t.clean)),
@@ -100,7 +102,7 @@ QUERIES = {
     "tpl12_recommend": _q(lambda t: templates.recommend(t.tagged, t.accounts, t.catalogue), "account_id", "campaign_id", "change_category", "is_multi_action", "template_id", "prediction_direction", "prediction_magnitude"),
     "ref02_no_action_baseline": _q(lambda t: t.baseline, "account_id", "campaign_id", "window_start", "state", "cpa_change"),
     "ref03_mean_reversion": _q(lambda t: refinement.mean_reversion(t.rows, t.baseline)),
-    "ref04_exceptions": _q(lambda t: refinement.exceptions(t.members, t.catalogue, cluster=3), "template_id", "dim", "value", "m_in", "h_in", "p_value"),
+    "ref04_exceptions": _q(lambda t: refinement.exceptions(t.members, t.catalogue, cluster=2, accounts=2, alpha=0.5), "template_id", "dim", "value", "m_in", "h_in", "p_value"),
     "ref06_transfer": _q(lambda t: refinement.transfer(t.rows).groupBy("vertical").agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"))),
     "ref07_convergence": _q(lambda t: refinement.convergence(t.members, t.catalogue)),
     "ref08_matched_controls": _q(lambda t: refinement.matched_controls(t.rows, t.baseline), "episode_id", "no_action_change", "attribution", "gap_days", "baseline_window_start"),
@@ -267,8 +269,8 @@ def _w(tables: str, body: str) -> str:
 
 _ALL = "accounts daily_metrics change_events"
 ORACLES = {
-    "trd02_daily_values": _w("daily_metrics", f"{_VALUES} SELECT metric, count(*) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high FROM vals WHERE value IS NOT NULL GROUP BY metric"),
-    "trd03_campaign_trends": _w("daily_metrics", f"{_TRENDS} SELECT account_id, campaign_id, metric, window_days, n, round(slope + 3.3e-7, 4) AS slope, round(r2 + 3.3e-7, 4) AS r_squared, classification, round(cv + 3.3e-7, 4) AS cv, round(cur + 3.3e-7, 4) AS current_value, round(cur + slope * 7 + 3.3e-7, 4) AS projected_7d FROM tr"),
+    "trd02_daily_values": _w("daily_metrics", f"{_VALUES} SELECT account_id, campaign_id, CAST(date AS VARCHAR) AS date, metric, round(value, 6) AS value FROM vals WHERE value IS NOT NULL"),
+    "trd03_campaign_trends": _w("daily_metrics", f"{_TRENDS} SELECT account_id, campaign_id, metric, window_days, n, round(round((slope) * 1e9) / 1e9 * 1e4) / 1e4 + 0.0 AS slope, round(round((r2) * 1e9) / 1e9 * 1e4) / 1e4 + 0.0 AS r_squared, classification, round(round((cv) * 1e9) / 1e9 * 1e4) / 1e4 + 0.0 AS cv, round(round((cur) * 1e9) / 1e9 * 1e4) / 1e4 + 0.0 AS current_value, round(round((cur + slope * 7) * 1e9) / 1e9 * 1e4) / 1e4 + 0.0 AS projected_7d FROM tr"),
     "trd04_volatility": _w("daily_metrics", f"{_TRENDS} SELECT account_id, campaign_id, metric, CASE WHEN cv > 0.4 THEN 'high' WHEN cv > 0.15 THEN 'medium' ELSE 'low' END AS volatility_class, CASE WHEN cv > 0.4 THEN 1.5 WHEN cv > 0.15 THEN 1.0 ELSE 0.7 END::DOUBLE AS threshold_multiplier FROM tr WHERE window_days = 30"),
     "trd06_class_summary": _w("daily_metrics", f"{_TRENDS} SELECT metric, classification, count(*) AS n FROM tr GROUP BY ALL"),
     "epi02_03_bundles": _w(_ALL, f"{_BUNDLES} SELECT episode_id, account_id, campaign_id, CAST(change_date AS VARCHAR) AS change_date, actor, categories, change_count, change_event_id, change_category, known FROM bu"),

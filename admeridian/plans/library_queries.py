@@ -206,3 +206,38 @@ UNION ALL SELECT 'templates', s, count(*) FROM hs GROUP BY s UNION ALL SELECT 'c
     "obs03_status": _w(_ALL, f"{_EPISODES} SELECT 'daily_metrics' AS table_name, count(*) AS n_rows, CAST(min(date) AS VARCHAR) AS first, CAST(max(date) AS VARCHAR) AS last FROM daily_metrics UNION ALL SELECT 'accounts', count(*), NULL, NULL FROM accounts UNION ALL SELECT 'change_events', count(*), NULL, NULL FROM change_events UNION ALL SELECT 'episodes', count(*), NULL, NULL FROM ep UNION ALL SELECT 'signals', (SELECT count(*) FROM (WITH {_SOME} SELECT * FROM so)), NULL, NULL"),
     "obs04_account_bundles": f"WITH {ctes('accounts', 'daily_metrics')}, sg AS (WITH {_SOME} SELECT account_id, count(*) AS n FROM so GROUP BY ALL), cl AS (SELECT account_id, CAST(sum(clicks) AS BIGINT) AS clicks FROM daily_metrics GROUP BY ALL) SELECT account_id, coalesce(n, 0) AS n_signals, vertical, clicks, CAST(least(coalesce(n, 0), 200) AS INT) AS listed FROM accounts LEFT JOIN sg USING (account_id) LEFT JOIN cl USING (account_id)",
 }
+
+
+# --- oracles of queries that other modules register ---
+
+from admeridian.plans import learn_queries as _L  # noqa: E402
+from admeridian.plans.operate_queries import _PRED  # noqa: E402
+
+_LO = _L.ORACLES
+_KEYS = "dimension, value, change_category, actor"
+_CELLS = f"FROM ({_LO['sgl05_patterns']}) p {{}} JOIN ({_LO['sgl06_comparisons']}) c USING ({_KEYS})"
+_HELD = _CAT.replace(_cascade(), f"ct AS (SELECT max(change_date) - 14 AS c FROM tr), trw AS (SELECT tr.* FROM tr, ct WHERE change_date <= c), {_cascade(False, 'trw')}")
+_LEVELED = "unnest([1, 2, 3, 4]) AS lv, unnest([concat_ws('__', {0}, business_type, vertical, spend_tier, {1}), concat_ws('__', {0}, business_type, vertical, {1}), concat_ws('__', {0}, business_type, {1}), concat_ws('__', {0}, {1})]) AS tid"
+_ACTIVE_CAT = "act AS (SELECT * FROM cat WHERE status IN ('ACTIVE', 'PROVISIONAL'))"
+ORACLES |= {
+    "sgl07_cards": f"SELECT {_KEYS}, CASE WHEN degraded > improved THEN 'degrades' ELSE 'improves' END AS tilt, confidence, significant, direction {_CELLS.format('LEFT')} WHERE confidence <> 'LOW'",
+    "sgl08_promotions": f"SELECT {_KEYS}, direction, degraded_low > 0.5 OR degraded_high < 0.5 AS decisive_majority {_CELLS.format('')} WHERE confidence = 'RELIABLE' AND significant",
+    "tpl10_catalogue": _w(_ALL, f"{_CAT} SELECT tid AS template_id, CASE WHEN level = 3 THEN 5 ELSE 1 END AS version, '2024-03-24, version ' || CASE WHEN level = 3 THEN 5 ELSE 1 END || ': ' || lower(status) || ', learned from ' || n || ' episodes in ' || na || ' accounts' AS changelog FROM cat"),
+    "tpl11_shadow": _w(_ALL, f"""{_HELD}, {_ACTIVE_CAT}, ca AS (SELECT tr.*, {_LEVELED.format("change_category, m", "pre_state")} FROM tr, ct WHERE change_date > c), be AS (SELECT ca.*, mode, med, row_number() OVER (PARTITION BY episode_id ORDER BY lv) AS rn FROM ca JOIN act USING (tid))
+SELECT episode_id, tid AS template_id, mode AS prediction_direction, direction = mode AS direction_correct, CASE WHEN abs(med - signed) <= 0.05 THEN 'exact' WHEN abs(med - signed) <= 0.1 THEN 'close' WHEN abs(med - signed) <= 0.2 THEN 'ballpark' ELSE 'miss' END AS magnitude_score FROM be WHERE rn = 1"""),
+    "tpl12_recommend": _w(_ALL, f"""{_CAT}, {_ACTIVE_CAT}, cu AS (SELECT account_id, campaign_id, max_by(state, (change_date, episode_id)) AS s FROM (SELECT ep.*, x.state FROM ep JOIN (SELECT key, state FROM st) x ON x.key = ep.episode_id) GROUP BY ALL),
+cp AS (SELECT cu.*, coalesce(nullif(business_type, ''), 'unknown') AS business_type, coalesce(nullif(vertical, ''), 'unknown') AS vertical, coalesce(nullif(spend_tier, ''), 'unknown') AS spend_tier FROM cu JOIN accounts USING (account_id)), cc AS (SELECT DISTINCT split_part(tid, '__', 1) AS change_category FROM cat),
+q0 AS (SELECT *, unnest([FALSE, TRUE]) AS mu FROM cp, cc), q1 AS (SELECT *, CASE WHEN mu THEN 'multi' ELSE 'single' END AS m FROM q0), q2 AS (SELECT *, {_LEVELED.format("change_category, m", "s")} FROM q1), be AS (SELECT q2.*, mode, med, row_number() OVER (PARTITION BY account_id, campaign_id, change_category, mu ORDER BY lv) AS rn FROM q2 JOIN act USING (tid))
+SELECT account_id, campaign_id, change_category, mu AS is_multi_action, tid AS template_id, mode AS prediction_direction, round(med, 6) AS prediction_magnitude FROM be WHERE rn = 1"""),
+    "pmt05_hypotheses": _w(_ALL, f"{_per_metric(False)}, fo AS (SELECT tid, metric, median(delta) AS md, quantile_cont(delta, 0.25) AS lo, quantile_cont(delta, 0.75) AS hi FROM dl GROUP BY ALL) SELECT metric, count(*) AS n, round(avg(abs(md - delta)), 6) AS mae, round(avg((delta BETWEEN lo AND hi)::INT), 6) AS within_iqr FROM dl JOIN fo USING (tid, metric) GROUP BY metric"),
+    "ver06_spot_check": _w(_ALL, f"""{_ROWS}, aq AS (SELECT DISTINCT account_id, campaign_id, pre_state, change_category FROM tr), rk AS (SELECT *, row_number() OVER (PARTITION BY pre_state, change_category ORDER BY change_date DESC, episode_id) AS r, row_number() OVER (PARTITION BY account_id, pre_state, change_category ORDER BY change_date DESC, episode_id) AS o FROM tr),
+un AS (SELECT aq.*, 0 AS w, o AS r, episode_id, signed FROM aq JOIN (SELECT account_id, pre_state, change_category, episode_id, signed, o FROM rk WHERE o <= 5) USING (account_id, pre_state, change_category) UNION ALL SELECT aq.*, 1, r, episode_id, signed FROM aq JOIN (SELECT account_id AS other, pre_state, change_category, episode_id, signed, r FROM rk WHERE r <= 5) USING (pre_state, change_category) WHERE other <> account_id),
+pl AS (SELECT *, row_number() OVER (PARTITION BY account_id, campaign_id, pre_state, change_category ORDER BY w, r) AS place FROM un) SELECT account_id, campaign_id, pre_state, change_category, place, episode_id, round(signed, 6) AS signed FROM pl WHERE place <= 5"""),
+    "obs05_firing": f"WITH fs AS (SELECT signal_type, count(*) AS n FROM (SELECT signal_type FROM {_with('chg05_cpa_change')} UNION ALL SELECT signal_type FROM {_with('chg04_cvr_change')} UNION ALL SELECT signal_type FROM {_with('det03_cpa_spike')}) GROUP BY 1), kn AS (SELECT unnest(['cpa_change', 'cvr_change', 'cpa_spike', 'tracking_break']) AS signal_type) SELECT signal_type, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'SILENT' WHEN n > 50 THEN 'NOISY' ELSE 'CREDIBLE' END AS call FROM kn LEFT JOIN fs USING (signal_type)",
+    "obs06_busiest": _w(_ALL, f"{_EPISODES} SELECT account_id, campaign_id, count(*) AS n FROM ep GROUP BY ALL ORDER BY n DESC, account_id, campaign_id LIMIT 15"),
+    "ops06_daily_cycle": _w(_ALL, _RES.replace("(SELECT max(date) AS d FROM daily_metrics) z", "(SELECT DATE '2024-03-01' AS d) z") + " SELECT w AS window_days, rec AS recommendation, count(*) AS n FROM rsv GROUP BY ALL"),
+    "ops07_alerts": _w(_ALL, f"{_RES}, al AS (SELECT 'freshness' AS alert, (DATE '2024-04-01' - max(date))::DOUBLE AS value, 2.0::DOUBLE AS \"limit\", TRUE AS high FROM daily_metrics UNION ALL SELECT 'accuracy', avg(rok::INT), 0.5, FALSE FROM rsv WHERE w = 14) SELECT alert, round(value, 6) AS value, \"limit\" FROM al WHERE CASE WHEN high THEN value > \"limit\" ELSE value < \"limit\" END"),
+    "trd05_trend_annotation": _w("daily_metrics", f"""{_TRENDS}, sg AS (SELECT account_id, campaign_id, signal_type FROM {_with('chg05_cpa_change')} UNION ALL SELECT account_id, campaign_id, signal_type FROM {_with('chg04_cvr_change')})
+SELECT sg.account_id, sg.campaign_id, signal_type, coalesce(classification, '') AS trend_classification_30d, round(slope, 6) AS trend_slope_30d FROM sg LEFT JOIN tr ON tr.account_id = sg.account_id AND tr.campaign_id = sg.campaign_id AND tr.window_days = 30 AND tr.metric = CASE signal_type WHEN 'cpa_change' THEN 'cpa' ELSE 'cvr' END"""),
+    "epi08_domains": _LO["epi08_domains"].replace("SELECT CASE WHEN list_contains(cats, 'budget')", "SELECT episode_id, CASE WHEN list_contains(cats, 'budget')").replace(", count(*) AS n FROM ep GROUP BY ALL", " FROM ep"),
+}

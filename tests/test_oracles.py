@@ -5,7 +5,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from admeridian.plans import learn_queries, operate_queries, registry
+from admeridian.plans import learn_queries, library_queries, operate_queries, registry
 
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 BASE = "region nation customer supplier part orders lineitem events pages".split()
@@ -15,11 +15,12 @@ BASE = "region nation customer supplier part orders lineitem events pages".split
 def shared_chain():
     """One chain of learned tables for all tests of this module; each registered query builds its own."""
     made = {}
-    own = operate_queries.Operated
+    own = library_queries.Library
     one = lambda spark, sf_dir: made.setdefault(sf_dir, own(spark, sf_dir))
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(learn_queries, "Learned", one)
         patch.setattr(operate_queries, "Operated", one)
+        patch.setattr(library_queries, "Library", one)
         yield
 
 
@@ -55,9 +56,16 @@ def test_query_equals_oracle(spark, sf_dir, con, name):
     assert close == 0, [x for x in zip(got[1], want[1], strict=True) if x[0] != x[1]][:3]
 
 
-@pytest.mark.parametrize("name", ["reg01_change_points", "ref04_exceptions", "ref07_convergence", "ver01_02_ledger", "aud01_tests", "pat01_patterns", "bkt01_rolling_origin", "src06_thresholds"])
-def test_query_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() >= 0
+NO_ORACLE = sorted(set(QUERIES) - set(ORACLES))
+
+
+@pytest.mark.parametrize("name", NO_ORACLE)
+def test_query_without_oracle_returns_rows(spark, sf_dir, name):
+    got = QUERIES[name](spark, sf_dir).toPandas()
+    # the smallest tables hold no training set of 50 episodes before a week, no full cell beside another, no account of 20 episodes
+    if name not in ("bkt01_rolling_origin", "ref04_exceptions", "ref06_transfer", "bkt03_disruption", "ver08_irreproducible"):
+        assert len(got), name
+    assert not got.duplicated().any() if not any(isinstance(v, list) for v in got.iloc[:1].to_numpy().ravel()) else True
 
 
 def test_entry(spark):
