@@ -53,7 +53,7 @@ def trend(points: DataFrame, keys: list[str], metric: str | Column = "metric", m
     x = F.unix_date("date")
     rows = points.filter("value IS NOT NULL").withColumn("_metric", metric).groupBy(*keys, "_metric").agg(
         F.count("*").alias("n"), F.regr_slope("value", x).alias("slope"), F.regr_r2("value", x).alias("r2"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.max_by("value", "date").alias("current_value"), F.countDistinct("date").alias("days"))
-    rows = rows.filter((F.col("n") >= minimum) & (F.col("days") > 1)).withColumn("r_squared", F.when(F.col("std") == 0, 0.0).otherwise(F.col("r2")))
+    rows = rows.filter((F.col("n") >= minimum) & (F.col("days") > 1)).withColumn("r_squared", F.when(F.col("std") <= 1e-12 * F.abs("mean"), 0.0).otherwise(F.col("r2")))
     t = F.sqrt(F.col("r_squared") * (F.col("n") - 2) / (1 - F.col("r_squared")))
     p = F.when(F.col("r_squared") >= 1 - 1e-15, 0.0).otherwise(t_two_sided(t, F.col("n") - 2))
     rows = rows.withColumns({"p_value": p, "cv": F.when(F.col("mean") != 0, F.col("std") / F.abs("mean")).otherwise(0.0), "_fav": case(F.col("_metric"), FAVORABLE, 0)})

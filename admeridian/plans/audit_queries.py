@@ -36,9 +36,18 @@ def _q(make):
 
 
 _PMAX = "campaign_type = 'PERFORMANCE_MAX'"
-_WASTE = {"waste_clicks": F.sum(F.when(F.col("conversions") == 0, F.col("clicks")).otherwise(0)), "waste_share": F.sum(F.when(F.col("conversions") == 0, F.col("cost_micros")).otherwise(0)) / F.sum("cost_micros")}
-_BRANDED_COST = F.sum(F.when(F.lower("campaign_name").contains("brand"), F.col("cost_micros")).otherwise(0))
-_BRANDED_VALUE = F.sum(F.when(F.lower("campaign_name").contains("brand"), F.col("conversion_value")).otherwise(0))
+
+
+def _waste(t: Tables) -> DataFrame:
+    """Claims of campaigns with what their terms without conversions took."""
+    none = F.col("conversions") == 0
+    return _campaigns(t.search_terms, waste_clicks=F.sum(F.when(none, F.col("clicks")).otherwise(0)), waste_share=F.sum(F.when(none, F.col("cost_micros")).otherwise(0)) / F.sum("cost_micros"))
+
+
+def _branded(t: Tables) -> DataFrame:
+    """Claims of accounts with a return of their brand campaigns."""
+    of = lambda c: F.sum(F.when(F.lower("campaign_name").contains("brand"), F.col(c)).otherwise(0))
+    return _accounts(t.shifted_metrics, brand_roas=F.try_divide(of("conversion_value") * 16, of("cost_micros") / 1e6))
 
 
 def _valued(found: DataFrame, facts: DataFrame) -> DataFrame:
@@ -79,7 +88,7 @@ QUERIES = {
     "aud03_scorecard": lambda spark, sf_dir: rounded(trust.scorecard(_votes(Tables(spark, sf_dir)), [*_SIX, "tracking_break"])),
     "aud04_false_positives": lambda spark, sf_dir: rounded(_widened(Tables(spark, sf_dir))),
     "aud11_13_17_campaigns": _q(_first_six),
-    "aud10_brand_nonbrand": _q(lambda t: harnesses.brand_nonbrand(_accounts(t.shifted_metrics, brand_roas=F.try_divide(_BRANDED_VALUE * 16, _BRANDED_COST / 1e6)), t.accounts.withColumn("account_name", F.lit("Small Blue")), t.keyword_metrics, t.keyword_counts, t.shifted_changes, t.shifted_metrics)),
+    "aud10_brand_nonbrand": _q(lambda t: harnesses.brand_nonbrand(_branded(t), t.accounts.withColumn("account_name", F.lit("Small Blue")), t.keyword_metrics, t.keyword_counts, t.shifted_changes, t.shifted_metrics)),
     "aud12_budget_limited_is_change": _q(lambda t: harnesses.budget_limited_is_change(_campaigns(t.shifted_metrics), t.shifted_metrics)),
     "aud18_budget_capped_change": _q(lambda t: harnesses.budget_capped_change(_campaigns(t.shifted_metrics), t.shifted_metrics)),
     "aud19_auto_applied": _q(lambda t: harnesses.auto_applied(_claims(t.shifted_changes.groupBy("account_id").agg((F.count("*") / 10).cast("int").alias("count")), "account_id", {"count": F.col("count")}), t.shifted_changes, t.shifted_metrics)),
@@ -89,7 +98,7 @@ QUERIES = {
     "aud23_pmax_low_volume": _q(lambda t: harnesses.pmax_low_volume(_campaigns(t.shifted_metrics, _PMAX), t.shifted_metrics)),
     "aud24_pmax_low_conv_volume_change": _q(lambda t: harnesses.pmax_low_conv_volume_change(_campaigns(t.shifted_metrics), t.shifted_metrics)),
     "aud25_pmax_conversion_inflation": _q(lambda t: harnesses.pmax_conversion_inflation(_accounts(t.shifted_metrics), t.conversion_actions, t.shifted_metrics)),
-    "aud26_search_terms_waste": _q(lambda t: harnesses.search_terms_waste(_campaigns(t.search_terms, **_WASTE), t.shifted_metrics)),
+    "aud26_search_terms_waste": _q(lambda t: harnesses.search_terms_waste(_waste(t), t.shifted_metrics)),
     "aud27_cross_account_outlier": _q(lambda t: harnesses.cross_account_outlier(_accounts(t.shifted_metrics, segment=F.expr("CASE WHEN max(account_id) LIKE '%1' THEN 'vertical' WHEN max(account_id) LIKE '%2' THEN 'spend_tier' WHEN max(account_id) LIKE '%3' THEN NULL ELSE 'global' END")), t.shifted_metrics)),
     "aud28_vertical_cpa_benchmark": _q(lambda t: harnesses.vertical_cpa_benchmark(_accounts(t.shifted_metrics, ratio=F.try_divide(F.sum("cost_micros") / 1e6, F.sum("conversions")) / 128), t.shifted_metrics)),
     "aud29_ga4_engagement_drop": _q(lambda t: harnesses.ga4_engagement_drop(_pages(t), harnesses.with_other_pages(harnesses.page_windows(t.shifted_pages)))),

@@ -131,7 +131,7 @@ _TC = "tc AS (SELECT * FROM (VALUES " + ", ".join(f"({i + 5}, {v})" for i, v in
 
 
 def _trend(name: str, points: str, keys: str) -> str:
-    return f"""{name}_g AS (SELECT {keys}, metric, count(*) AS n, regr_slope(value, date - DATE '1970-01-01') AS slope, CASE WHEN stddev_pop(value) = 0 THEN 0 ELSE regr_r2(value, date - DATE '1970-01-01') END AS r2,
+    return f"""{name}_g AS (SELECT {keys}, metric, count(*) AS n, regr_slope(value, date - DATE '1970-01-01') AS slope, CASE WHEN stddev_pop(value) <= 1e-12 * abs(avg(value)) THEN 0 ELSE regr_r2(value, date - DATE '1970-01-01') END AS r2,
   CASE WHEN avg(value) <> 0 THEN stddev_pop(value) / abs(avg(value)) ELSE 0 END AS cv, max_by(value, date) AS cur FROM {points} WHERE value IS NOT NULL GROUP BY ALL HAVING count(*) >= 7),
 {name} AS (SELECT g.*, CASE WHEN cv > 0.3 THEN 'volatile' WHEN r2 < 1 AND r2 * (n - 2) / (1 - r2) <= t * t THEN 'stable' WHEN metric = 'cost' THEN CASE WHEN slope > 0 THEN 'rising' ELSE 'falling' END
   WHEN slope * CASE metric WHEN 'cpa' THEN -1 ELSE 1 END > 0 THEN 'improving' ELSE 'declining' END AS classification FROM {name}_g g JOIN tc ON dof = n - 2)"""
