@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows of a batch that goes to a Python worker: whole texts and sets of hashes are large, and a batch is held several times over.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _own_dir: list[str] = []
 _paths: list[str] = []
 
@@ -37,11 +41,17 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends there, any executor may be lost."""
+    """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends there, any executor may be lost. Batches for
+    Python workers are kept to ``BATCH_ROWS`` while it is written."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     _paths.append(path)
-    df.write.parquet(path)
+    usual = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, usual)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
