@@ -80,23 +80,28 @@ def transfer(rows: DataFrame, minimum: int = 20) -> DataFrame:
     return T.sharpest(test, trained, ["prediction_direction"], by=["holdout"]).withColumn("correct", F.col("prediction_direction") == F.col("direction"))
 
 
-def convergence(members: DataFrame, templates: DataFrame, top: int = 10, alpha: float = 0.1) -> DataFrame:
-    """Running error of an exponentially smoothed estimate over each template's episodes in order of date."""
-    best = templates.filter("status = 'ACTIVE'").orderBy(F.desc("n_episodes"), "template_id").limit(top).select("template_id", F.col("prediction_direction").alias("usual"))
-    ordered = members.join(F.broadcast(best), "template_id").groupBy("template_id", "usual").agg(F.sort_array(F.collect_list(F.struct("change_date", "episode_id", "signed", "direction"))).alias("seen")).filter(F.size("seen") >= 8)
-    seed = F.array_sort(F.transform(F.slice("seen", 1, 3), lambda x: x["signed"]))[1]
-
-    def step(s: Column, x: Column) -> Column:
-        error = F.abs(s["estimate"] - x["signed"])
-        total = s["total"] + error
-        point = F.struct(s["estimate"].alias("running_estimate"), x["signed"].alias("actual"), (total / (F.size(s["curve"]) + 1)).alias("running_mae"))
-        after = F.when(x["direction"] == F.col("usual"), s["estimate"] * (1 - alpha) + x["signed"] * alpha).otherwise(s["estimate"])
-        return F.struct(after.alias("estimate"), total.alias("total"), F.array_append(s["curve"], point).alias("curve"))
-
-    none = F.expr("array_repeat(named_struct('running_estimate', 0D, 'actual', 0D, 'running_mae', 0D), 0)")
-    curve = F.aggregate("seen", F.struct(seed.alias("estimate"), F.lit(0.0).alias("total"), none.alias("curve")), step, lambda s: s["curve"])
-    rows = ordered.select("template_id", curve.alias("curve"))
-    return rows.select("template_id", F.posexplode("curve").alias("i", "c")).select("template_id", (F.col("i") + 1).alias("observation"), "c.*")
+def convergence(members: DataFrame, templates: DataFrame, top: int = 10, alpha: float = 0.1, block: int = 256) -> DataFrame:
+    """Running error of an exponentially smoothed estimate over each template's episodes in order of date.
+
+    An update maps the estimate e to (1 - alpha) e + alpha x. Within a block of updates the estimate is a closed form in the block's
+    first estimate and a running sum; only one sum per block is folded in order, so no template's episodes are gathered."""
+    keep, by = 1 - alpha, "template_id"
+    best = templates.filter("status = 'ACTIVE'").orderBy(F.desc("n_episodes"), "template_id").limit(top).select(by, F.col("prediction_direction").alias("usual"))
+    order = Window.partitionBy(by).orderBy("change_date", "episode_id")
+    rows = members.join(F.broadcast(best), by).withColumns({"observation": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy(by)), "_hit": (F.col("direction") == F.col("usual")).cast("int")}).filter("_n >= 8")
+    first = rows.filter("observation <= 3").groupBy(by).agg(F.percentile("signed", F.lit(0.5)).alias("_first"))
+    rows = rows.withColumn("_c", F.sum("_hit").over(order)).withColumns({"_b": F.floor((F.col("_c") - 1) / block), "_p": F.pmod(F.col("_c") - 1, F.lit(block))})
+    part = F.when(F.col("_hit") == 1, alpha * F.col("signed") * F.pow(F.lit(keep), -(F.col("_p") + 1))).otherwise(0.0)
+    rows = rows.withColumn("_s", F.sum(part).over(Window.partitionBy(by, "_b").orderBy("observation")))
+    sums = rows.filter("_c > 0").groupBy(by, "_b").agg(F.sum(part).alias("s"))
+    listed = sums.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_b", "s"))).alias("l")).join(first, by)
+    step = lambda e, x: F.array_append(e, F.pow(F.lit(keep), F.lit(block)) * (F.element_at(e, -1) + x["s"]))
+    starts = listed.select(by, F.posexplode(F.aggregate("l", F.array("_first"), step)).alias("_b", "_e"))
+    rows = rows.join(first, by).join(starts, [by, "_b"], "left")
+    after = F.when(F.col("_c") == 0, F.col("_first")).otherwise(F.pow(F.lit(keep), F.col("_p") + 1) * (F.col("_e") + F.col("_s")))
+    rows = rows.withColumn("running_estimate", F.coalesce(F.lag(after).over(order), F.col("_first")))
+    error = F.avg(F.abs(F.col("running_estimate") - F.col("signed"))).over(order)
+    return rows.select(by, "observation", "running_estimate", F.col("signed").alias("actual"), error.alias("running_mae"))
 
 
 def matched_controls(rows: DataFrame, baseline: DataFrame) -> DataFrame:
