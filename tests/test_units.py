@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+import random
+import statistics
 
 import numpy as np
 import pytest
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 from admeridian.functions import stats
 from admeridian.operators import changes, detectors, episodes, refinement, templates, trends, trust, web
+from admeridian.operators.reads import template_conditions
+from admeridian.operators.simulate import account_samples
 from admeridian.sources.tables import insert_ignore, upsert_replace
 from admeridian.streaming.feeds import change_event_feed
 
@@ -171,3 +175,37 @@ def test_paths(spark):
 def test_wilson(spark):
     low, high = spark.range(1).select(*stats.wilson(F.lit(8), F.lit(10))).first()
     assert abs(low - 0.4901625) < 1e-6 and abs(high - 0.9433178) < 1e-6 and not math.isnan(low)
+
+
+@pytest.mark.parametrize("block", [7, 256])
+def test_convergence_equals_a_plain_loop(spark, block):
+    rng = random.Random(3)
+    rows = [(f"t{k % 2}", f"e{k:04d}", dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(80)), rng.uniform(-1, 3), rng.choice(["improved", "degraded"])) for k in range(300)]
+    members = spark.createDataFrame(rows, "template_id string, episode_id string, change_date date, signed double, direction string")
+    usual = {"t0": "improved", "t1": "degraded"}
+    found = spark.createDataFrame([(t, "ACTIVE", d, 150) for t, d in usual.items()], "template_id string, status string, prediction_direction string, n_episodes int")
+    got = {(r.template_id, r.observation): r for r in refinement.convergence(members, found, block=block).collect()}
+    for t, d in usual.items():
+        seen = sorted((x[2], x[1], x[3], x[4]) for x in rows if x[0] == t)
+        estimate, total = statistics.median(x[2] for x in seen[:3]), 0.0
+        for i, (_, _, value, direction) in enumerate(seen, 1):
+            total += abs(estimate - value)
+            r = got[t, i]
+            assert abs(r.running_estimate - estimate) < 1e-9 and r.actual == value and abs(r.running_mae - total / i) < 1e-9
+            if direction == d:
+                estimate = 0.9 * estimate + 0.1 * value
+    assert len(got) == 300
+
+
+def test_template_ids_spell_out_their_conditions(spark):
+    ids = ["mag:budget__mag=medium_increase__single__ecommerce__apparel__25k-100k__stable", "mag:bidding__mag=na__multi__volatile", "budget__single__local__crisis"]
+    got = [tuple(r[0]) for r in spark.createDataFrame([(i,) for i in ids], "id string").select(template_conditions(F.col("id"))).collect()]
+    assert got == [("budget", "medium_increase", False, "ecommerce", "apparel", "25k-100k", "stable"), ("bidding", "na", True, None, None, None, "volatile"), ("budget", None, False, "local", None, None, "crisis")]
+
+
+def test_account_samples_rotate_within_types(spark):
+    accounts = spark.createDataFrame([(f"a{i}", "shop" if i < 6 else "local") for i in range(9)], "account_id string, business_type string")
+    got = {}
+    for r in account_samples(accounts, (3, 20), 2).collect():
+        got.setdefault((r.tier, r.rep), set()).add(r.account_id)
+    assert got == {(3, 0): {"a1", "a2", "a7"}, (3, 1): {"a2", "a3", "a8"}, (20, 0): {f"a{i}" for i in range(9)}}
