@@ -109,7 +109,7 @@ QUERIES = {
     "nrm16_source_engagement": _t(lambda t: normalise.source_engagement(t.ga4_source_engagement.withColumn("channel", F.replace("channel", F.lit("Direct"), F.lit("Organic Search"))).withColumn("session_cvr", F.col("engagement_rate") / 2))),
     "nrm17_funnel_events": _t(lambda t: normalise.funnel_events(t.events.select(F.lit("p1").alias("ga4_property"), F.concat(F.lit("a"), (F.col("user_id") % 10).cast("string")).alias("account_id"), F.date_format("ts", "yyyyMMdd").alias("day"), F.expr("CASE event_type WHEN 'view' THEN 'view_item' WHEN 'click' THEN 'add_to_cart' ELSE event_type END").alias("event_name"), F.lit(1).alias("event_count")))),
     "dim13_linkage_coverage": _t(lambda t: web.linkage_coverage(t.daily_metrics, t.accounts.withColumn("website_url", F.expr("CASE WHEN account_id LIKE '%4' THEN '' ELSE website_url END")), t.conversion_actions.withColumn("category", F.expr("CASE WHEN action_id LIKE '%1' THEN 'ADD_TO_CART' WHEN action_id LIKE '%2' THEN 'BEGIN_CHECKOUT' ELSE category END")))),
-    "ga4_10_trajectory": _t(lambda t: web.with_trajectory(web.engagement_drop(t.ga4_landing_pages, min_sessions=20, drop=0.05), web.page_trends(t.ga4_landing_pages, min_sessions=20)), "account_id", "signal_type", "note"),
+    "ga4_10_trajectory": _t(lambda t: web.with_trajectory(web.engagement_drop(t.ga4_landing_pages, min_sessions=20, drop=0.05), web.page_trends(t.ga4_landing_pages, min_sessions=20)).withColumn("landing_page", F.col("data")["landing_page"]), "account_id", "landing_page", "signal_type", "note"),
     "ga4_11_audit_targets": _t(lambda t: web.audit_targets(t.ga4_landing_pages, normalise.final_urls(t.campaign_final_urls.withColumn("final_url", F.regexp_replace("final_url", "Page", "page"))).filter("account_id NOT LIKE '%3'"), t.ga4_landing_pages.select("account_id", F.concat("ga4_property", F.lit(".example.org")).alias("ga4_url")))),
     "ga4_13_addressable": _q(lambda t: web.addressable(t.some)),
     "mag04_per_metric": _q(lambda t: t.forecasts),
