@@ -8,7 +8,8 @@ linked directly or through others. No bound on the bits of a 64-bit SimHash reac
    posting list is held against the smallest of the list. The verified links join large groups at a cost linear in their size.
 2. Completion: under one order of all shingles, two sets of similarity 4/5 share ``need(smaller)`` shingles among the first
    ``n // 5 + need(n)`` of each. These prefixes are indexed, the shared shingles of each pair that is not yet in one class are
-   tallied, and pairs that reach the minimum are verified. No pair is missed, whatever the order is.
+   tallied, and pairs that reach the minimum are verified: of two classes first the few that share most, then all pairs of classes
+   that are still apart. No pair is missed, whatever the order is.
 
 The order puts common shingles, which many texts hold, last (by a sample; it decides the cost only), then goes by hash. A prefix
 that reaches the common ones holds all the others of its set: two such sets that share none of the others share common ones at
@@ -32,6 +33,8 @@ from admeridian.llm.simhash import SEED, components, links
 WORDS = 5
 #: Rows of a posting list from which it is long; share of sets sampled for common shingles, how often one is seen to be common, most of them.
 LONG, SAMPLE, COMMON, MOST = 64, 16, 4, 1 << 17
+#: Pairs of two classes that are verified first; whatever they leave open is verified afterwards.
+TRIED = 4
 #: Bytes that a worker turns into shingles, and shingles that it hands on, at a time.
 PART = 1 << 20
 
@@ -200,9 +203,23 @@ def similar_roots(sets: DataFrame) -> DataFrame:
     reach = " and ".join(f"floor({x}.n / 5) + {need_sql(x + '.n')} > {x}.n - {x}.n_common" for x in "ab")
     pairs = owned.alias("a").join(owned.alias("b"), F.expr(fits)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.expr(f"a.late or ({reach})").alias("sure"), F.expr(least_need).alias("least_need"))
     tallied = pairs.groupBy("u", "v").agg(F.count("*").alias("n"), F.max("sure").alias("sure"), F.max("least_need").alias("least_need"))
-    tallied = tallied.filter("sure or n >= least_need").select("u", "v")
-    more = staged(_verified(tallied, sets), "more")
-    return components(close.unionByName(more).distinct())
+    tallied = staged(tallied.filter("sure or n >= least_need").select("u", "v", "n"), "tallied")
+    # one text may share shingles with every member of a large class: a few pairs of two classes settle most of them
+    tried = staged(_between_classes(tallied, roots, TRIED), "tried")
+    close = staged(close.unionByName(_verified(tried.select("u", "v"), sets)).distinct(), "closer")
+    rest = _between_classes(tallied, components(close)).join(tried, ["u", "v"], "left_anti")
+    return components(close.unionByName(_verified(rest.select("u", "v"), sets)).distinct())
+
+
+def _between_classes(pairs: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """(u, v) of the ``pairs`` whose nodes are in different classes; if asked for, only the ``most`` of two classes that share most."""
+    of = lambda x: roots.select(F.col("u").alias(x), F.col("v").alias(f"root_{x}"))
+    rows = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").withColumns({x: F.coalesce(x, x[5:]) for x in ("root_u", "root_v")}).filter("root_u <> root_v")
+    if most is None:
+        return rows.select("u", "v")
+    classes = F.least("root_u", "root_v"), F.greatest("root_u", "root_v")
+    best = rows.withColumn("place", F.row_number().over(Window.partitionBy(*classes).orderBy(F.desc("n"), "u", "v")))
+    return best.filter(F.col("place") <= most).select("u", "v")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
