@@ -72,12 +72,12 @@ def mix_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size, cell = F.col(names["size"]), [own["source"], own["class"], own["part"]]
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.md5(text_or_empty(F.col(text_col))))))
     sized = docs.withColumn(names["size"], word_count(F.col(text_col))).withColumn(own["order"], order)
-    keys = {own["source"]: F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")), own["class"]: size_class(size), own["part"]: F.substring(own["order"], 1, 3)}
+    keys = {own["source"]: F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")), own["class"]: size_class(size), own["part"]: F.substring(own["order"], 1, 2)}
     sized = sized.withColumns(keys)
     cells = sized.groupBy(F.col(source_col).alias("source"), *cell).agg(F.count("*").alias("n"), F.sum(size).alias("size"))
     cells = staged(cells, "cells")
     targets = source_targets(cells.select("source", "size"), **shares)
-    earlier = Window.partitionBy(own["source"]).orderBy(F.desc(own["class"]), own["part"]).rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows a class
+    earlier = Window.partitionBy(own["source"]).orderBy(F.desc(own["class"]), own["part"]).rowsBetween(Window.unboundedPreceding, -1)  # at most 256 rows a class
     cells = cells.withColumn(own["before"], F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(targets, F.col("source").eqNullSafe(F.col("of")))
     cells = cells.select(*cell, own["before"], F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]))
     in_cell = Window.partitionBy(*cell).orderBy(F.desc(names["size"]), own["order"], F.xxhash64(text_col))

@@ -21,7 +21,7 @@ WITH sized AS (
   SELECT *, md5('mix-1:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS ord, coalesce('=' || source, '') AS src,
     length(bin(size)) * 16 + (size >> greatest(0, length(bin(size)) - 4)) AS class FROM sized
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY src ORDER BY class DESC, substr(ord, 1, 3), size DESC, ord) AS r,
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY class DESC, substr(ord, 1, 2), size DESC, ord) AS r,
     ('0x' || substr(md5('mix-1:' || src), 1, 13))::UBIGINT::DOUBLE / 4503599627370496 AS start FROM keyed
 ), rated AS (
   SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
