@@ -432,6 +432,16 @@ def test_segments_agree_with_the_library(file, drops, width, library):
         assert list(np.frombuffer(own.encode(t), f"<u{width}")) == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("file, drops, width, library", [("byte_bpe_50k.json", False, 4, BYTE), ("word_bpe_49k.json", True, 2, WORDPIECE)])
+def test_segments_agree_with_the_library_on_whole_documents(spark, sf_dir, file, drops, width, library):
+    from admeridian.llm.segments import SegmentEncoder
+
+    own = SegmentEncoder(public_tokenizers.path(file), drops, width)
+    for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("text").collect():
+        t = r["text"] or ""
+        assert list(np.frombuffer(own.encode(t), f"<u{width}")) == library.encode(t, add_special_tokens=False).ids
+
+
 def test_tokens_side_by_side():
     machine = token_counts.transducer(*token_counts.default_tokenizer())
     rng, ids = np.random.default_rng(4), sorted(machine.whole)
