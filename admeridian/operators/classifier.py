@@ -115,6 +115,6 @@ def classify(rows: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     if overrides is None:
         return out
     manual = overrides.select("account_id", F.col("business_type").alias("_b"), F.col("vertical").alias("_v"))
-    rows = out.join(F.broadcast(manual), "account_id", "left")  # a hand-written list
+    rows = out.join(manual, "account_id", "left")
     fixed = F.col("_b").isNotNull()
     return rows.select("account_id", F.coalesce("_b", "business_type").alias("business_type"), F.when(fixed, F.coalesce("_v", F.lit(""))).otherwise(F.col("vertical")).alias("vertical"), F.when(fixed, 1.0).otherwise(F.col("confidence")).alias("confidence"), F.when(fixed, F.array(F.lit("OVERRIDE"))).otherwise(F.col("rule_trace")).alias("rule_trace"))
