@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from admeridian.llm import exact_dedup, mixing, packing, pii, quality, sharding, simhash, token_counts, token_files, toxicity
-from admeridian.llm.common import documents
+from admeridian.llm import chat, exact_dedup, mixing, packing, pii, quality, search, sharding, simhash, token_counts, token_files, toxicity, trie
+from admeridian.llm.common import documents, staged
 
 
 def op1_best_fit_packing(spark, sf_dir):
@@ -52,6 +52,19 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup_decisions(documents(spark, sf_dir))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_chat_formatting(spark, sf_dir):
+    outputs = chat.format_conversations(chat.with_hostile(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return chat.digests(staged(outputs, "formatted"))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -70,5 +83,8 @@ def queries():
         "op8_token_files": op8_token_files,
         "op9_token_counts": op9_token_counts,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_chat_formatting": op12_chat_formatting,
+        "op13_prefix_trie": op13_prefix_trie,
         "pipeline": pipeline,
     }
