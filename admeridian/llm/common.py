@@ -6,6 +6,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +22,7 @@ BATCH_ROWS = 1_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _own_dir: list[str] = []
-_paths: list[str] = []
+_run: ContextVar[list[str] | None] = ContextVar("run", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +47,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     Python workers are kept to ``BATCH_ROWS`` while it is written."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    _paths.append(path)
+    if _run.get() is not None:
+        _run.get().append(path)
     usual = spark.conf.get(_BATCH)
     spark.conf.set(_BATCH, str(BATCH_ROWS))
     try:
@@ -62,12 +65,23 @@ def drop_staged(df: DataFrame) -> None:
     _delete(df.sparkSession, df.staged_at)
 
 
-def drop_all_staged(spark: SparkSession, keep: tuple[DataFrame, ...] = ()) -> None:
-    """Removes all tables that ``staged`` has made in this process, but for those to ``keep``; for use between jobs."""
-    kept = [df.staged_at for df in keep]
-    for path in [p for p in _paths if p not in kept]:
-        _delete(spark, path)
-    _paths[:] = kept
+@contextmanager
+def own_tables(spark: SparkSession):
+    """Inside, a function that removes all tables which ``staged`` has made inside so far, but for those it is given to keep.
+    Tables made outside, such as those behind another operator's result, are never touched."""
+    made: list[str] = []
+    before = _run.set(made)
+
+    def drop(*keep: DataFrame) -> None:
+        kept = [df.staged_at for df in keep]
+        for path in [p for p in made if p not in kept]:
+            _delete(spark, path)
+        made[:] = kept
+
+    try:
+        yield drop
+    finally:
+        _run.reset(before)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -70,7 +70,6 @@ def rules() -> list[tuple[str, Column]]:
     return [
         ("few_words", c("n_words") < 50),
         ("repeated_windows", 100 * c("n_repeat_words") > 50 * c("n_words")),
-        ("many_words", c("n_words") > 10_000_000),
         ("word_length", (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 20 * c("n_words"))),
         ("symbols", 10 * c("n_symbols") > c("n_words")),
         ("duplicate_lines", 2 * c("n_dup_lines") > c("n_lines")),
@@ -83,7 +82,6 @@ def rules() -> list[tuple[str, Column]]:
 #: Versioned policies: the rules whose failure rejects a text.
 POLICIES = {
     "base-v1": ("few_words", "repeated_windows"),
-    "web-v2": ("few_words", "repeated_windows", "many_words", "word_length", "symbols", "duplicate_lines", "shouting", "exclamations", "digits"),
     "web-v1": ("few_words", "repeated_windows", "word_length", "symbols", "duplicate_lines", "shouting", "exclamations", "digits"),
 }
 

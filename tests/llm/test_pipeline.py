@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from admeridian.llm import toxicity
+from admeridian.llm import exact_dedup, toxicity
 from tests.llm.test_near_copies import brute_kept
 from tests.llm.test_operators import lower
 
@@ -42,6 +42,13 @@ def test_stages_on_edge_rows(spark, sf_dir, edge_docs, empty_docs):
     assert docs.columns == edge_docs.columns
 
 
+def test_run_leaves_tables_of_others_alone(spark, sf_dir):
+    earlier = exact_dedup.dedup_decisions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    before = earlier.count()
+    corpus_pipeline.run(spark, sf_dir).count()
+    assert earlier.count() == before > 0
+
+
 def test_run(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).toPandas()
     parts = got.sort_values(["sequence_id", "offset"])
