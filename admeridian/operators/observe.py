@@ -96,16 +96,16 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def account_bundles(accounts: DataFrame, summary: DataFrame, signals: DataFrame, most: int = 200) -> DataFrame:
-    """One JSON text per account: its profile, its 30 days, its signals (the ``most`` with the smallest ids of an account that has
-    more; their number is given)."""
-    ranked = signals.withColumn("_r", F.row_number().over(Window.partitionBy("account_id").orderBy("signal_id"))).filter(F.col("_r") <= most)
-    own = ranked.groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("signal_id", "signal_type", "severity", "message"))).alias("signals"))
+def account_bundles(accounts: DataFrame, summary: DataFrame, signals: DataFrame, page: int = 200) -> DataFrame:
+    """JSON texts of each account: its profile, its 30 days and all its signals in order of their ids, ``page`` of them a text; an
+    account has as many texts (``part`` from 0) as its signals need, one at least, so that no text grows without bound."""
+    numbered = signals.withColumn("_r", F.row_number().over(Window.partitionBy("account_id").orderBy("signal_id"))).withColumn("part", F.expr(f"CAST((_r - 1) div {page} AS INT)"))
+    own = numbered.groupBy("account_id", "part").agg(F.array_sort(F.collect_list(F.struct("signal_id", "signal_type", "severity", "message"))).alias("signals"))
     n = signals.groupBy("account_id").agg(F.count("*").alias("n_signals"))
     profile = [c for c in accounts.columns if c != "account_id"]
     month = [c for c in summary.columns if c != "account_id"]
-    rows = accounts.join(summary.select("account_id", F.struct(*month).alias("performance_30d")), "account_id", "left").join(own, "account_id", "left").join(n, "account_id", "left").fillna(0, ["n_signals"])
-    return rows.select("account_id", "n_signals", F.to_json(F.struct(F.struct("account_id", *profile).alias("account"), "performance_30d", "signals")).alias("bundle"))
+    rows = accounts.join(summary.select("account_id", F.struct(*month).alias("performance_30d")), "account_id", "left").join(own, "account_id", "left").join(n, "account_id", "left").fillna(0, ["n_signals", "part"])
+    return rows.select("account_id", "part", "n_signals", F.to_json(F.struct(F.struct("account_id", *profile).alias("account"), "performance_30d", "signals")).alias("bundle"))
 
 
 def trace(tagged: DataFrame, signals: DataFrame, changes: DataFrame, assigned: DataFrame, forecasts: DataFrame, baseline: DataFrame, controls: DataFrame, decisions: DataFrame, resolved: DataFrame) -> DataFrame:

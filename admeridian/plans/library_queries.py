@@ -132,7 +132,7 @@ QUERIES = {
     "obs01_trace": _q(lambda t: observe.trace(t.tagged, t.some, t.change_events, t.members, t.plain_forecasts, t.baseline, refinement.matched_controls(t.rows, t.baseline), refinement.should_act(t.tagged, t.accounts, t.catalogue, t.baseline, refinement.matched_controls(t.rows, t.baseline)), t.resolved), "account_id", "campaign_id", "episode_id", "state", "n_signals", "resource_type", "change_category", "template_id", "metrics_forecast", "do_nothing_forecast", "decided_by", "metrics_resolved", "outcome"),
     "obs02_scorecard": _q(lambda t: observe.scorecard(t.facts, t.ga4_landing_pages, detectors.with_confidence(t.some), t.tagged, t.catalogue, t.predictions, t.resolutions, t.resolved, web.page_trends(t.ga4_landing_pages, min_sessions=20))),
     "obs03_status": _q(lambda t: observe.status(t.daily_metrics, accounts=t.accounts, change_events=t.change_events, episodes=t.episodes, signals=t.some)),
-    "obs04_account_bundles": _q(lambda t: observe.account_bundles(t.accounts.select("account_id", "account_name", "vertical"), t.facts.groupBy("account_id").agg(F.sum("clicks").alias("clicks")), t.some).select("account_id", "n_signals", F.get_json_object("bundle", "$.account.vertical").alias("vertical"), F.get_json_object("bundle", "$.performance_30d.clicks").cast("long").alias("clicks"), F.coalesce(F.json_array_length(F.get_json_object("bundle", "$.signals")), F.lit(0)).alias("listed"))),
+    "obs04_account_bundles": _q(lambda t: observe.account_bundles(t.accounts.select("account_id", "account_name", "vertical"), t.facts.groupBy("account_id").agg(F.sum("clicks").alias("clicks")), t.some).select("account_id", "part", "n_signals", F.get_json_object("bundle", "$.account.vertical").alias("vertical"), F.get_json_object("bundle", "$.performance_30d.clicks").cast("long").alias("clicks"), F.coalesce(F.json_array_length(F.get_json_object("bundle", "$.signals")), F.lit(0)).alias("listed"))),
     "bkt02_learning_curve": _q(lambda t: simulate.learning_curve(t.rows, t.accounts, (20, 50, 100), 3)),
     "bkt02_samples": _t(lambda t: simulate.account_samples(t.accounts, (20, 50), 3)),
     "bkt03_disruption": _q(lambda t: simulate.disruption(t.rows, trends.disrupted_weeks(trends.regimes(t.facts)).select("week"))),
@@ -204,7 +204,7 @@ SELECT prediction_id, CASE WHEN prediction_id < '4' THEN 'neutral' ELSE adir END
 SELECT 'monitored' AS section, 'accounts' AS key, (SELECT count(DISTINCT account_id) FROM daily_metrics)::DOUBLE AS value UNION ALL SELECT 'monitored', 'episodes', (SELECT count(*) FROM ep) UNION ALL SELECT 'monitored', 'predictions', (SELECT count(*) FROM pred) UNION ALL SELECT 'resolved', CAST(w AS VARCHAR), count(*) FROM rsv GROUP BY w
 UNION ALL SELECT 'templates', s, count(*) FROM hs GROUP BY s UNION ALL SELECT 'calls', r, n FROM c UNION ALL SELECT 'accuracy', r, round(acc, 6) FROM c"""),
     "obs03_status": _w(_ALL, f"{_EPISODES} SELECT 'daily_metrics' AS table_name, count(*) AS n_rows, CAST(min(date) AS VARCHAR) AS first, CAST(max(date) AS VARCHAR) AS last FROM daily_metrics UNION ALL SELECT 'accounts', count(*), NULL, NULL FROM accounts UNION ALL SELECT 'change_events', count(*), NULL, NULL FROM change_events UNION ALL SELECT 'episodes', count(*), NULL, NULL FROM ep UNION ALL SELECT 'signals', (SELECT count(*) FROM (WITH {_SOME} SELECT * FROM so)), NULL, NULL"),
-    "obs04_account_bundles": f"WITH {ctes('accounts', 'daily_metrics')}, sg AS (WITH {_SOME} SELECT account_id, count(*) AS n FROM so GROUP BY ALL), cl AS (SELECT account_id, CAST(sum(clicks) AS BIGINT) AS clicks FROM daily_metrics GROUP BY ALL) SELECT account_id, coalesce(n, 0) AS n_signals, vertical, clicks, CAST(least(coalesce(n, 0), 200) AS INT) AS listed FROM accounts LEFT JOIN sg USING (account_id) LEFT JOIN cl USING (account_id)",
+    "obs04_account_bundles": f"WITH {ctes('accounts', 'daily_metrics')}, sg AS (WITH {_SOME} SELECT account_id, count(*) AS n FROM so GROUP BY ALL), cl AS (SELECT account_id, CAST(sum(clicks) AS BIGINT) AS clicks FROM daily_metrics GROUP BY ALL) SELECT account_id, CAST(part AS INT) AS part, n_signals, vertical, clicks, CAST(least(n_signals - 200 * part, 200) AS INT) AS listed FROM (SELECT account_id, coalesce(n, 0) AS n_signals, vertical, clicks, unnest(range(greatest(1, (coalesce(n, 0) + 199) // 200))) AS part FROM accounts LEFT JOIN sg USING (account_id) LEFT JOIN cl USING (account_id))",
 }
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from admeridian.llm import exact_dedup, mixing, near_copies, packing, toxicity
-from admeridian.llm.common import documents, drop_all_staged, staged
+from admeridian.llm.common import documents, own_tables, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage. What a stage has written for itself goes when its result stands."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        drop_all_staged(spark, keep=(docs,))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with own_tables(spark) as drop:
+        for name, stage in STAGES[:-1]:
+            docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            drop(docs)
+        return STAGES[-1][1](spark, docs, sf_dir)
