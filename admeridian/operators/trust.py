@@ -1,4 +1,4 @@
-"""Trust: patterns of signals, audit votes, hash-chained ledger, checksums, inventory."""
+"""Trust: patterns of signals, audit votes, checksums, inventory, provenance, versions, events, health."""
 
 from __future__ import annotations
 
@@ -58,43 +58,7 @@ def detector_calls(votes: DataFrame, detectors: list[str]) -> DataFrame:
     return known.join(rows.withColumn("call", call), "detector", "left").fillna(0, ["n", "false_positive", "bad", "good"]).fillna("NO_SIGNALS", ["call"])
 
 
-# --- ledger ---
-
-
-def ledger(predictions: DataFrame, known: DataFrame | None = None, shard: str = "registered_at", digits: int = 2) -> DataFrame:
-    """Entries with payload and chain hashes. Each shard (a registration date and the first ``digits`` hex digits of the id's hash) is
-    a chain of its own, in the order of the ids, so that a day of any size is 16 ** digits short chains; ``heads`` chains their
-    ends. Payloads are hashed in parallel, only 64-character hashes are chained."""
-    rows = predictions if known is None else predictions.join(known.select("prediction_id"), "prediction_id", "left_anti")
-    body = F.to_json(F.struct(*sorted(rows.columns)))
-    part = F.substring(F.sha2(F.col("prediction_id").cast("string"), 256), 1, digits) if digits else F.lit("")
-    rows = rows.select("prediction_id", F.concat_ws("/", F.col(shard).cast("string"), part).alias("shard"), F.sha2(body, 256).alias("payload_hash"))
-    chain = rows.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("prediction_id", "payload_hash"))).alias("e"))
-    start = F.struct(F.sha2("shard", 256).alias("last"), F.expr("array_repeat('', 0)").alias("all"))
-    step = lambda s, x: F.struct(F.sha2(F.concat(s["last"], x["payload_hash"]), 256).alias("last"), F.array_append(s["all"], F.sha2(F.concat(s["last"], x["payload_hash"]), 256)).alias("all"))
-    hashes = F.aggregate("e", start, step, lambda s: s["all"])
-    out = chain.select("shard", F.posexplode(F.arrays_zip(F.col("e"), hashes.alias("h"))).alias("seq", "x"))
-    return out.select("shard", "seq", F.col("x.e.prediction_id").alias("prediction_id"), F.col("x.e.payload_hash").alias("payload_hash"), F.col("x.h").alias("chain_hash"))
-
-
-def heads(entries: DataFrame) -> DataFrame:
-    """(day, n, head): one hash over the ends of a day's chains, in order."""
-    ends = entries.groupBy("shard").agg(F.max_by("chain_hash", "seq").alias("head"), F.count("*").alias("n"))
-    day = F.split_part("shard", F.lit("/"), F.lit(1)).alias("day")
-    tops = F.transform(F.array_sort(F.collect_list(F.struct("shard", "head"))), lambda x: x["head"])
-    return ends.groupBy(day).agg(F.sum("n").alias("n"), F.sha2(F.array_join(tops, ""), 256).alias("head"))
-
-
-def broken_links(entries: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
-    """Entries whose chain hash does not follow from the entry before, or whose payload has changed."""
-    w = Window.partitionBy("shard").orderBy("seq")
-    before = F.coalesce(F.lag("chain_hash").over(w), F.sha2(F.col("shard").cast("string"), 256))
-    rows = entries.withColumn("_ok", F.sha2(F.concat(before, F.col("payload_hash")), 256) == F.col("chain_hash"))
-    bad = rows.filter(~F.col("_ok")).select("shard", "seq", "prediction_id", F.lit("chain").alias("reason"))
-    if predictions is not None:
-        now = predictions.select("prediction_id", F.sha2(F.to_json(F.struct(*sorted(predictions.columns))), 256).alias("_now"))
-        bad = bad.unionByName(entries.join(now, "prediction_id").filter("_now <> payload_hash").select("shard", "seq", "prediction_id", F.lit("payload").alias("reason")))
-    return bad
+# --- checksums and checks ---
 
 
 def checksums(facts: DataFrame, date: str = "date") -> DataFrame:

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from admeridian.operators import changes, detectors, normalise, observe, operate, proactive, reads, refinement, simulate, templates, trends, trust, web
+from admeridian.operators import changes, detectors, ledger, normalise, observe, operate, proactive, reads, refinement, simulate, templates, trends, trust, web
 from admeridian.plans import detector_queries
 from admeridian.plans.learn_queries import _ALL, _BASE, _CAT, _EPISODES, _ROWS, _STATES, _TRENDS, Learned, _cascade, _per_metric, _w, rounded
 from admeridian.plans.operate_queries import _RES, Operated
@@ -63,13 +63,12 @@ _SIGNAL = ("account_id", "campaign_id", "signal_type", "severity")
 
 
 def _ledger_health(t: Library) -> DataFrame:
-    entries = materialised(trust.ledger(t.predictions), "ledger")
     day = trust.checksums(t.facts.select("account_id", "date", "clicks"))
     snapshot = trust.version_snapshot(t.catalogue, t.forecasts, t.links, 1, "none")
     log = t.spark.createDataFrame([], trust.EVENTS)
     log = log.unionByName(trust.drift_events(t.health, log, F.lit("2024-03-24").cast("date")))
     scores = operate.accuracy(t.resolutions).filter("window_days = '14' AND recommendation = 'all'").select("accuracy")
-    return trust.health_score(trust.broken_links(entries, t.predictions), trust.changed_days(day, day), trust.irreproducible(snapshot, snapshot), trust.event_counts(log), scores)
+    return trust.health_score(ledger.broken(t.ledger, t.told), trust.changed_days(day, day), trust.irreproducible(snapshot, snapshot), trust.event_counts(log), scores)
 
 
 def _frozen(t: Library) -> DataFrame:

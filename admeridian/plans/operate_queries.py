@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from admeridian.functions.config import resolve_thresholds
-from admeridian.operators import audit, changes, detectors, operate, simulate, trust
+from admeridian.operators import audit, changes, detectors, ledger, operate, simulate, trust
 from admeridian.plans.learn_queries import _ALL, _BASE, _CAT, Learned, _w, rounded
 from admeridian.sources.adapters import Tables, ctes
 from admeridian.sources.tables import insert_ignore, materialised, upsert_columns, upsert_replace
@@ -23,6 +23,15 @@ class Operated(Learned):
     def resolutions(self) -> DataFrame:
         return materialised(operate.resolve(self.predictions, self.facts), "resolutions")
 
+    @cached_property
+    def told(self) -> DataFrame:
+        """What is entered of a prediction."""
+        return self.predictions.select("prediction_id", "template_id", "episode_id", "recommendation", "registered_at")
+
+    @cached_property
+    def ledger(self) -> ledger.Ledger:
+        return _grown(self)
+
     @cached_property
     def found(self) -> DataFrame:
         d = self.facts
@@ -42,11 +51,33 @@ def _q(make, *columns: str):
     return lambda spark, sf_dir: (lambda d: rounded(d.select(*columns) if columns else d))(make(Operated(spark, sf_dir)))
 
 
+def _grown(t) -> ledger.Ledger:
+    """The ledger of all predictions, entered in three runs; the last one repeats ids of the first two with other contents."""
+    rows = t.told
+    first = ledger.append(rows.filter("prediction_id < '6'"))
+    second = ledger.append(rows.filter("prediction_id >= '6'"), first)
+    return ledger.append(rows.filter("prediction_id < '8'").withColumn("recommendation", F.lit("changed")), second)
+
+
 def _chained(t) -> DataFrame:
-    """Each day's ledger, and how many of its links a check finds broken."""
-    entries = materialised(trust.ledger(t.predictions), "ledger")
-    bad = trust.broken_links(entries, t.predictions).groupBy(F.split_part("shard", F.lit("/"), F.lit(1)).alias("day")).agg(F.count("*").alias("broken"))
-    return trust.heads(entries).join(bad, "day", "left").fillna(0, ["broken"])
+    """Each day's tree and head, and how many of its hashes a check finds broken."""
+    bad = ledger.broken(t.ledger, t.told).groupBy(F.col("day").alias("bad_day")).agg(F.count("*").alias("broken"))
+    heads = t.ledger.heads
+    return heads.join(bad, heads["day"].eqNullSafe(bad["bad_day"]), "left").fillna(0, ["broken"]).select("day", "n", "root", "head", "broken")
+
+
+def _faults(t) -> DataFrame:
+    """Predictions that were changed or removed after they had been entered, by day and kind."""
+    now = t.told.filter("prediction_id NOT LIKE '%7'").withColumn("recommendation", F.expr("CASE WHEN prediction_id LIKE '%3' THEN 'EDITED' ELSE recommendation END"))
+    return ledger.broken(t.ledger, now).groupBy("day", "reason").agg(F.count("*").alias("n"))
+
+
+def _proofs(t) -> DataFrame:
+    """Inclusion proofs of the predictions of one week, checked against the heads alone; some of them have been edited."""
+    asked = t.told.filter("registered_at >= DATE '2024-02-12' AND registered_at < DATE '2024-02-19'")
+    proofs = materialised(ledger.proof(t.ledger, asked), "proofs")
+    edited = asked.withColumn("recommendation", F.expr("CASE WHEN prediction_id LIKE '%3' THEN 'EDITED' ELSE recommendation END"))
+    return ledger.proven(edited, proofs, t.ledger.heads).join(proofs.groupBy("prediction_id").agg(F.count("*").alias("n_hashes")), "prediction_id")
 
 
 def _halves(t):
@@ -66,6 +97,8 @@ QUERIES = {
     "ops07_alerts": _q(lambda t: operate.alerts(t.facts, operate.accuracy(t.resolutions), F.lit("2024-04-01").cast("date"))),
     "bkt01_rolling_origin": _q(lambda t: simulate.rolling_origin(t.rows)),
     "ver01_02_ledger": _q(lambda t: _chained(t)),
+    "ver02_faults": _q(_faults),
+    "ver02_proofs": _q(_proofs),
     "ver06_spot_check": _q(lambda t: trust.spot_check(t.rows)),
     "ver07_checksums": _q(lambda t: trust.checksums(t.daily_metrics.select("account_id", "campaign_id", "date", "clicks", "cost_micros"))),
     "obs05_inventory": _q(lambda t: trust.inventory({n: getattr(t, n) for n in ("accounts", "daily_metrics", "change_events", "keyword_metrics", "conversion_actions")})),
@@ -87,12 +120,25 @@ rs0 AS (SELECT o.prediction_id, o.w, sum(x.cost_micros) FILTER (x.date < o.chang
 rs1 AS (SELECT o.*, greatest(-1, least(3, (post - pre) / pre)) AS actual FROM rs0 JOIN ops o USING (prediction_id, w) WHERE pre > 0 AND post IS NOT NULL),
 res AS (SELECT *, CASE WHEN actual <= -0.1 THEN 'improved' WHEN actual >= 0.1 THEN 'degraded' ELSE 'neutral' END AS adir, abs(med - actual) AS err, actual - nm AS acost FROM rs1),
 rsv AS (SELECT *, mode = adir AS dok, CASE rec WHEN 'DO_NOT_ACT' THEN acost > 0.1 WHEN 'ACT' THEN acost < -0.1 WHEN 'EITHER' THEN NOT (acost < -0.1) AND NOT (acost > 0.1) ELSE NOT (acost < -0.1) END AS rok FROM res)"""
+def _merkle(rows: str) -> str:
+    """The trees and heads over a table of (day, prediction_id, payload)."""
+    out = f"lf AS (SELECT day, prediction_id, sha256(prediction_id) AS key, sha256('leaf' || sha256(prediction_id) || sha256(payload)) AS hash FROM {rows}), n6 AS (SELECT day, key AS prefix, 1 AS n, hash FROM lf)"
+    for level in range(ledger.DEPTH, -1, -1):
+        out += f", n{level} AS (SELECT day, substr(prefix, 1, {level}) AS prefix, sum(n) AS n, CASE count(*) WHEN 1 THEN any_value(hash) ELSE sha256('node' || string_agg(prefix || hash, ',' ORDER BY prefix)) END AS hash FROM n{level + 1} GROUP BY day, substr(prefix, 1, {level}))"
+    return out + ", hd AS (SELECT day, n, hash AS root, list_reduce(list_prepend('genesis', list(hash) OVER (ORDER BY day)), lambda a, x: sha256(a || x)) AS head FROM n0)"
+
+
+_TOLD = f"""{_PRED}, told AS (SELECT change_date AS day, prediction_id, to_json({{'episode_id': episode_id, 'prediction_id': prediction_id, 'recommendation': rec, 'registered_at': change_date, 'template_id': tid}}) AS payload FROM pred), {_merkle('told')}"""
+_SIBLINGS = " + ".join(f"(count(DISTINCT substr(key, 1, {level + 1 if level < ledger.DEPTH else 64})) OVER (PARTITION BY day, substr(key, 1, {level})) - 1)" for level in range(ledger.DEPTH, -1, -1))
 _DM = "WITH " + ctes("daily_metrics")
 ORACLES = {
     "ops01_register": _w(_ALL, f"{_PRED} SELECT prediction_id, tid AS template_id, episode_id, state, mode AS prediction_direction, round(med, 6) AS prediction_magnitude, round(nm, 6) AS natural_magnitude, round(cost, 6) AS action_cost, rec AS recommendation FROM pred"),
     "ops02_resolve": _w(_ALL, f"{_RES} SELECT prediction_id, w AS window_days, round(actual, 6) AS actual_magnitude, adir AS actual_direction, dok AS direction_correct, CASE WHEN err <= 0.05 THEN 'exact' WHEN err <= 0.1 THEN 'close' WHEN err <= 0.2 THEN 'ballpark' ELSE 'miss' END AS magnitude_score, rok AS recommendation_correct FROM rsv"),
     "ops03_health": _w(_ALL, f"{_RES}, h AS (SELECT tid, count(*) AS n, avg(dok::INT) AS live, avg(rok::INT) AS lr, avg(err) AS e FROM rsv WHERE w = 14 GROUP BY tid) SELECT h.tid AS template_id, h.n AS n_resolved, round(live, 6) AS live, round(lr, 6) AS live_recommendation, round(e, 6) AS mae, round(acc, 6) AS backtest, CASE WHEN h.n >= 10 AND live < acc - 0.15 THEN 'DRIFT' WHEN h.n >= 10 AND live > acc + 0.05 THEN 'IMPROVING' ELSE '' END AS drift_flag, CASE WHEN h.n >= 10 AND live > 0.55 THEN 'ACTIVE' WHEN h.n < 10 OR live BETWEEN 0.45 AND 0.55 THEN 'SHADOW_ONLY' ELSE 'RETIRED' END AS status FROM h JOIN cat USING (tid)"),
     "ops04_accuracy": _w(_ALL, f"{_RES} SELECT coalesce(w::VARCHAR, 'all') AS window_days, coalesce(rec, 'all') AS recommendation, count(*) AS n, round(avg(rok::INT), 6) AS accuracy, round(avg(dok::INT), 6) AS direction_accuracy, round(avg((rec = 'EITHER')::INT), 6) AS abstention FROM rsv GROUP BY CUBE (w, rec)"),
+    "ver01_02_ledger": _w(_ALL, f"{_TOLD} SELECT CAST(day AS VARCHAR) AS day, CAST(n AS BIGINT) AS n, root, head, 0 AS broken FROM hd"),
+    "ver02_faults": _w(_ALL, f"{_PRED} SELECT CAST(change_date AS VARCHAR) AS day, CASE WHEN prediction_id LIKE '%7' THEN 'gone' ELSE 'payload' END AS reason, count(*) AS n FROM pred WHERE prediction_id LIKE '%7' OR prediction_id LIKE '%3' GROUP BY ALL"),
+    "ver02_proofs": _w(_ALL, f"{_TOLD} SELECT prediction_id, prediction_id NOT LIKE '%3' AS proven, 1 + {_SIBLINGS} AS n_hashes FROM lf WHERE day >= DATE '2024-02-12' AND day < DATE '2024-02-19'"),
     "ver07_checksums": f"{_DM} SELECT CAST(date AS VARCHAR) AS date, count(*) AS n_rows, CAST(sum(('0x' || substr(md5(concat_ws('|', account_id, campaign_id, CAST(clicks AS VARCHAR), CAST(cost_micros AS VARCHAR), CAST(date AS VARCHAR))), 1, 8))::BIGINT) AS BIGINT) AS content FROM daily_metrics GROUP BY 1",
     "obs05_inventory": f"WITH {ctes('accounts', 'daily_metrics', 'change_events', 'keyword_metrics', 'conversion_actions')} " + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows, count(DISTINCT account_id) AS n_accounts FROM {n}" for n in ("accounts", "daily_metrics", "change_events", "keyword_metrics", "conversion_actions")),
     "snk01_upsert_replace": f"{_DM} SELECT CASE WHEN date >= DATE '2024-02-12' THEN 2 ELSE 1 END AS loaded, count(*) AS n, CAST(sum(clicks + CASE WHEN date >= DATE '2024-02-12' THEN 1 ELSE 0 END) AS BIGINT) AS clicks FROM daily_metrics GROUP BY 1",

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from admeridian.functions import stats
-from admeridian.operators import changes, detectors, episodes, refinement, templates, trends, trust, web
+from admeridian.operators import changes, detectors, episodes, refinement, templates, trends, web
 from admeridian.operators.reads import template_conditions
 from admeridian.operators.simulate import account_samples
 from admeridian.sources.tables import insert_ignore, upsert_replace
@@ -156,16 +156,6 @@ def test_feed_adds_each_event_once(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == [("a", "1", 5), ("a", "2", 6), ("b", "3", 7)]
 
 
-def test_ledger_shows_tampering(spark):
-    rows = spark.createDataFrame([(f"p{i}", dt.date(2024, 1, 1 + i % 2), i) for i in range(6)], "prediction_id string, registered_at date, x int")
-    entries = trust.ledger(rows)
-    assert trust.broken_links(entries, rows).count() == 0
-    forged = entries.withColumn("payload_hash", F.when(F.col("prediction_id") == "p2", F.lit("0")).otherwise(F.col("payload_hash")))
-    assert {r.prediction_id for r in trust.broken_links(forged).collect()} == {"p2"}
-    changed = rows.withColumn("x", F.when(F.col("prediction_id") == "p3", 99).otherwise(F.col("x")))
-    assert {(r.prediction_id, r.reason) for r in trust.broken_links(entries, changed).collect()} == {("p3", "payload")}
-
-
 def test_paths(spark):
     cases = {"https://x.com/A/b/?q=1": "/a/b", "/Shop/": "/shop", "": "/", None: "/", "http://x.com": "/", "/?a": "/"}
     df = spark.createDataFrame([(k,) for k in cases], "u string")
