@@ -67,19 +67,6 @@ def exceptions(members: DataFrame, templates: DataFrame, top: int = 10, dims: tu
     return cells.filter(F.col("p_value") < alpha).withColumn("flips", F.col("exception_direction") != F.col("base"))
 
 
-def transfer(rows: DataFrame, minimum: int = 20) -> DataFrame:
-    """Leave one account out: each large account's episodes with what templates trained on all others say. Trainings are told
-    apart by the held-out account; an account's training reads only episodes of the actions and states that it has itself, as no
-    other template could fit it."""
-    held = rows.groupBy("account_id").agg(F.count("*").alias("n")).filter(F.col("n") >= minimum).select(F.col("account_id").alias("holdout"))
-    slim = rows.select("episode_id", "account_id", "direction", *T.LEVELS[0])
-    test = slim.join(held, slim["account_id"] == held["holdout"])
-    shared = ["change_category", "is_multi_action", "pre_state"]  # keys of every level
-    train = slim.join(test.select("holdout", *shared).distinct(), shared).filter("account_id <> holdout")
-    trained = T.active_directions(T.cascade(train, by=["holdout"]), by=["holdout"])
-    return T.sharpest(test, trained, ["prediction_direction"], by=["holdout"]).withColumn("correct", F.col("prediction_direction") == F.col("direction"))
-
-
 def convergence(members: DataFrame, templates: DataFrame, top: int = 10, alpha: float = 0.1, block: int = 256) -> DataFrame:
     """Running error of an exponentially smoothed estimate over each template's episodes in order of date.
 

@@ -6,19 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from admeridian.operators import templates as T
-
-
-def predicted_ranges(rows: DataFrame, ranges: DataFrame, min_train: int) -> DataFrame:
-    """``ranges`` (range_id, lo, hi) with how templates trained on all before ``lo`` predict the episodes of [lo, hi). Ranges with
-    too few episodes before them are left out; there are few, each a training of its own."""
-    slim = rows.select("episode_id", "account_id", "direction", "change_date", *T.LEVELS[0])
-    before = slim.groupBy("change_date").agg(F.count("*").alias("_n")).crossJoin(F.broadcast(ranges)).filter("change_date < lo")  # days x ranges
-    enough = before.groupBy("range_id", "lo", "hi").agg(F.sum("_n").alias("n_train")).filter(F.col("n_train") >= min_train)
-    train = slim.join(F.broadcast(enough), F.col("change_date") < F.col("lo"))
-    test = slim.join(F.broadcast(enough), (F.col("change_date") >= F.col("lo")) & (F.col("change_date") < F.col("hi")))
-    trained = T.active_directions(T.cascade(train, by=["range_id"]), by=["range_id"])
-    hits = T.sharpest(test, trained, ["prediction_direction"], by=["range_id"])
-    return hits.groupBy("range_id").agg(F.count("*").alias("matched"), F.avg((F.col("prediction_direction") == F.col("direction")).cast("double")).alias("accuracy"))
+from admeridian.operators.heldout import predicted_ranges
 
 
 def rolling_origin(rows: DataFrame, step_days: int = 7, min_train: int = 50) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from admeridian.functions.config import BENCHMARK_CPA, SEASONAL
 from admeridian.functions.stats import rnd
-from admeridian.operators import episodes, refinement, segment_learning, templates, trends
+from admeridian.operators import episodes, heldout, refinement, segment_learning, templates, trends
 from admeridian.sources.adapters import Tables, ctes
 from admeridian.sources.tables import materialised
 
@@ -103,7 +103,7 @@ QUERIES = {
     "ref02_no_action_baseline": _q(lambda t: t.baseline, "account_id", "campaign_id", "window_start", "state", "cpa_change"),
     "ref03_mean_reversion": _q(lambda t: refinement.mean_reversion(t.rows, t.baseline)),
     "ref04_exceptions": _q(lambda t: refinement.exceptions(t.members, t.catalogue, cluster=2, accounts=2, alpha=0.5), "template_id", "dim", "value", "m_in", "h_in", "p_value"),
-    "ref06_transfer": _q(lambda t: refinement.transfer(t.rows).groupBy("vertical").agg(F.count("*").alias("n"), F.avg(F.col("correct").cast("double")).alias("accuracy"))),
+    "ref06_transfer": _q(lambda t: heldout.transfer(t.rows).groupBy("vertical").agg(F.sum("n").alias("n"), (F.sum("n_correct") / F.sum("n")).alias("accuracy"))),
     "ref07_convergence": _q(lambda t: refinement.convergence(t.members, t.catalogue)),
     "ref08_matched_controls": _q(lambda t: refinement.matched_controls(t.rows, t.baseline), "episode_id", "no_action_change", "attribution", "gap_days", "baseline_window_start"),
     "ref11_should_act": _q(lambda t: refinement.should_act(t.tagged, t.accounts, t.catalogue, t.baseline, refinement.matched_controls(t.rows, t.baseline)), "account_id", "campaign_id", "change_category", "is_multi_action", "action_cost", "decision"),
@@ -233,6 +233,26 @@ def _cascade(mag: bool = False, rows: str = "tr", name: str = "mem") -> str:
     return ", ".join(out) + f", {name} AS ({union})"
 
 
+def _levels() -> list[str]:
+    return [f"concat_ws('__', change_category, m, {x}pre_state)" for x in ("business_type, vertical, spend_tier, ", "business_type, vertical, ", "business_type, ", "")]
+
+
+def _held(by: str, train: str, test: str) -> str:
+    """Trainings told apart by a column: the active templates of each under folds by hash, and what they say of the test episodes."""
+    out, left = [], train
+    for i, tid in enumerate(_levels()):
+        out.append(f"h_k{i} AS (SELECT *, {tid} AS tid FROM {left}), h_c{i} AS (SELECT {by}, tid FROM h_k{i} GROUP BY ALL HAVING count(*) >= 10 AND count(DISTINCT account_id) >= 3), h_r{i} AS (SELECT * EXCLUDE (tid) FROM h_k{i} ANTI JOIN h_c{i} USING ({by}, tid))")
+        left = f"h_r{i}"
+    first = lambda d, u, z: f"WHEN {d} >= {u} AND {d} >= {z} THEN {{0}} WHEN {u} >= {z} THEN {{1}} ELSE {{2}} END"
+    return ", ".join(out) + f""", h_m AS ({' UNION ALL '.join(f'SELECT {by}, tid, episode_id, direction FROM h_k{i} SEMI JOIN h_c{i} USING ({by}, tid)' for i in range(4))}),
+h_d AS (SELECT {by}, tid, ('0x' || substr(md5(episode_id), 1, 8))::BIGINT % 5 AS f, count(*) FILTER (direction = 'degraded') AS d, count(*) FILTER (direction = 'improved') AS u, count(*) FILTER (direction = 'neutral') AS z FROM h_m GROUP BY ALL),
+h_t AS (SELECT *, sum(d) OVER w AS ad, sum(u) OVER w AS au, sum(z) OVER w AS az FROM h_d WINDOW w AS (PARTITION BY {by}, tid)),
+h_a AS (SELECT {by}, tid, any_value(CASE {first('ad', 'au', 'az').format("'degraded'", "'improved'", "'neutral'")}) AS said FROM h_t GROUP BY ALL HAVING sum(CASE {first('(ad - d)', '(au - u)', '(az - z)').format('d', 'u', 'z')}) / sum(d + u + z) >= 0.55),
+h_e AS (SELECT {by}, episode_id, vertical, direction, unnest([0, 1, 2, 3]) AS lv, unnest([{', '.join(_levels())}]) AS tid FROM {test}),
+h_p AS (SELECT *, row_number() OVER (PARTITION BY {by}, episode_id ORDER BY lv) AS rn FROM h_e JOIN h_a USING ({by}, tid)),
+told AS (SELECT {by}, vertical, (direction = said)::INT AS ok FROM h_p WHERE rn = 1)"""
+
+
 def _mode(keys: str, rows: str, name: str) -> str:
     return f"{name} AS (SELECT * FROM (SELECT {keys}, direction AS mode, row_number() OVER (PARTITION BY {keys} ORDER BY count(*) DESC, direction) AS rn FROM {rows} GROUP BY {keys}, direction) WHERE rn = 1)"
 
@@ -294,6 +314,7 @@ ORACLES = {
     "ref12_categories": _w(_ALL, f"{_CAT}, {_BASE}, y AS (SELECT state, median(chg0) AS nm FROM ba GROUP BY ALL), z AS (SELECT tid, nm, med - nm AS at0 FROM cat JOIN y ON state = string_split(tid, '__')[-1] WHERE status IN ('ACTIVE', 'PROVISIONAL')) SELECT tid AS template_id, round(nm, 6) AS natural_magnitude, round(at0, 6) AS action_attributable_magnitude, CASE WHEN at0 <= -0.1 THEN 'act_now' WHEN at0 >= 0.1 THEN 'dont_do_this' ELSE 'do_nothing' END AS call FROM z"),
     "pmt02_per_metric": _w(_ALL, f"{_per_metric(False)} SELECT tid AS template_id, metric, round(median(delta), 6) AS median_delta, round(quantile_cont(delta, 0.25), 6) AS iqr_low, round(quantile_cont(delta, 0.75), 6) AS iqr_high, round(avg(err), 6) AS mae, count(*) AS n FROM de GROUP BY ALL"),
     "pmt03_predictability": _w(_ALL, f"{_per_metric(False)} SELECT metric, round(avg(err), 6) AS mae, round(avg(CASE WHEN err <= 0.1 THEN 1.0 ELSE 0.0 END), 6) AS exact_close_share, count(*) AS n, CASE WHEN avg(err) < 0.1 THEN 'STRONG' WHEN avg(err) < 0.15 THEN 'MODERATE' ELSE 'WEAK' END AS tier FROM de GROUP BY metric"),
+    "ref06_transfer": _w(_ALL, f"{_ROWS}, ho AS (SELECT account_id AS holdout FROM tr GROUP BY ALL HAVING count(*) >= 20), htr AS (SELECT ho.holdout, tr.* FROM tr, ho WHERE account_id <> holdout), hte AS (SELECT ho.holdout, tr.* FROM tr JOIN ho ON account_id = holdout), {_held('holdout', 'htr', 'hte')} SELECT vertical, count(*) AS n, round(avg(ok), 6) AS accuracy FROM told GROUP BY ALL"),
     "mag03_cascade": _w(_ALL, f"{_ROWS}, {_cascade(True)} SELECT episode_id, tid AS template_id, level FROM mem"),
     "mag05_predictability": _w(_ALL, f"{_per_metric(True)} SELECT metric, round(avg(err), 6) AS mae, round(avg(CASE WHEN err <= 0.1 THEN 1.0 ELSE 0.0 END), 6) AS exact_close_share, count(*) AS n, CASE WHEN avg(err) < 0.1 THEN 'STRONG' WHEN avg(err) < 0.15 THEN 'MODERATE' ELSE 'WEAK' END AS tier FROM de GROUP BY metric"),
     "mag07_distribution": _w(_ALL, f"{_ROWS} SELECT magnitude_bucket, count(*) AS n, count(*) FILTER (change_category = 'budget') AS n_budget FROM tr GROUP BY ALL"),

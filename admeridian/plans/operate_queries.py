@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from admeridian.functions.config import resolve_thresholds
 from admeridian.operators import audit, changes, detectors, ledger, operate, simulate, trust
-from admeridian.plans.learn_queries import _ALL, _BASE, _CAT, Learned, _w, rounded
+from admeridian.plans.learn_queries import _ALL, _BASE, _CAT, _ROWS, Learned, _held, _w, rounded
 from admeridian.sources.adapters import Tables, ctes
 from admeridian.sources.tables import insert_ignore, materialised, upsert_columns, upsert_replace
 
@@ -137,6 +137,7 @@ ORACLES = {
     "ops03_health": _w(_ALL, f"{_RES}, h AS (SELECT tid, count(*) AS n, avg(dok::INT) AS live, avg(rok::INT) AS lr, avg(err) AS e FROM rsv WHERE w = 14 GROUP BY tid) SELECT h.tid AS template_id, h.n AS n_resolved, round(live, 6) AS live, round(lr, 6) AS live_recommendation, round(e, 6) AS mae, round(acc, 6) AS backtest, CASE WHEN h.n >= 10 AND live < acc - 0.15 THEN 'DRIFT' WHEN h.n >= 10 AND live > acc + 0.05 THEN 'IMPROVING' ELSE '' END AS drift_flag, CASE WHEN h.n >= 10 AND live > 0.55 THEN 'ACTIVE' WHEN h.n < 10 OR live BETWEEN 0.45 AND 0.55 THEN 'SHADOW_ONLY' ELSE 'RETIRED' END AS status FROM h JOIN cat USING (tid)"),
     "ops04_accuracy": _w(_ALL, f"{_RES} SELECT coalesce(w::VARCHAR, 'all') AS window_days, coalesce(rec, 'all') AS recommendation, count(*) AS n, round(avg(rok::INT), 6) AS accuracy, round(avg(dok::INT), 6) AS direction_accuracy, round(avg((rec = 'EITHER')::INT), 6) AS abstention FROM rsv GROUP BY CUBE (w, rec)"),
     "ver01_02_ledger": _w(_ALL, f"{_TOLD} SELECT CAST(day AS VARCHAR) AS day, CAST(n AS BIGINT) AS n, root, head, 0 AS broken FROM hd"),
+    "bkt01_rolling_origin": _w(_ALL, f"{_ROWS}, cu AS (SELECT CAST(unnest(generate_series(lo + 7, hi, INTERVAL 7 DAY)) AS DATE) AS cutoff FROM (SELECT min(change_date) AS lo, max(change_date) AS hi FROM tr)), ctr AS (SELECT cutoff, tr.* FROM tr, cu WHERE change_date < cutoff), en AS (SELECT cutoff FROM ctr GROUP BY ALL HAVING count(*) >= 50), btr AS (SELECT ctr.* FROM ctr SEMI JOIN en USING (cutoff)), bte AS (SELECT cutoff, tr.* FROM tr, en WHERE change_date >= cutoff AND change_date < cutoff + 7), {_held('cutoff', 'btr', 'bte')} SELECT CAST(cutoff AS VARCHAR) AS cutoff, count(*) AS matched, round(avg(ok), 6) AS accuracy FROM told GROUP BY ALL"),
     "ver02_faults": _w(_ALL, f"{_PRED} SELECT CAST(change_date AS VARCHAR) AS day, CASE WHEN prediction_id LIKE '%7' THEN 'gone' ELSE 'payload' END AS reason, count(*) AS n FROM pred WHERE prediction_id LIKE '%7' OR prediction_id LIKE '%3' GROUP BY ALL"),
     "ver02_proofs": _w(_ALL, f"{_TOLD} SELECT prediction_id, prediction_id NOT LIKE '%3' AS proven, 1 + {_SIBLINGS} AS n_hashes FROM lf WHERE day >= DATE '2024-02-12' AND day < DATE '2024-02-19'"),
     "ver07_checksums": f"{_DM} SELECT CAST(date AS VARCHAR) AS date, count(*) AS n_rows, CAST(sum(('0x' || substr(md5(concat_ws('|', account_id, campaign_id, CAST(clicks AS VARCHAR), CAST(cost_micros AS VARCHAR), CAST(date AS VARCHAR))), 1, 8))::BIGINT) AS BIGINT) AS content FROM daily_metrics GROUP BY 1",
