@@ -18,8 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows of a batch that goes to a Python worker: whole texts and sets of hashes are large, and a batch is held several times over.
-BATCH_ROWS = 1_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_BYTES = 1_000, "8m"
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
 
 _own_dir: list[str] = []
 _run: ContextVar[list[str] | None] = ContextVar("run", default=None)
@@ -44,17 +44,19 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends there, any executor may be lost. Batches for
-    Python workers are kept to ``BATCH_ROWS`` while it is written."""
+    Python workers are kept to ``BATCH_ROWS`` and ``BATCH_BYTES`` while it is written."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     if _run.get() is not None:
         _run.get().append(path)
-    usual = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    usual = {k: spark.conf.get(k) for k in _BATCH}
+    for k, v in _BATCH.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_BATCH, usual)
+        for k, v in usual.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

@@ -5,7 +5,9 @@ linked directly or through others. No bound on the bits of a 64-bit SimHash reac
 0.8), so candidates come from two indexes and every link is verified on the whole sets:
 
 1. SimHash: fingerprints over the same shingles go through the byte-position index of ``simhash``; with it, each member of a long
-   posting list is held against the smallest of the list. The verified links join large groups at a cost linear in their size.
+   posting list is held against the smallest of the list, and then, round by round, against a few ``HUBS`` of the list that are
+   not yet of its class: those with the fewest shingles that are not common, so the least altered of a group of copies, which are
+   near to more of the others than any. The verified links join large groups at a cost linear in their size.
 2. Completion: under one order of all shingles, two sets of similarity 4/5 share ``need(smaller)`` shingles among the first
    ``n // 5 + need(n)`` of each. These prefixes are indexed, the shared shingles of each pair that is not yet in one class are
    tallied, and pairs that reach the minimum are verified: of two classes first the few that share most, then all pairs of classes
@@ -35,8 +37,10 @@ WORDS = 5
 LONG, SAMPLE, COMMON, MOST = 64, 16, 4, 1 << 17
 #: Pairs of two classes that are verified first; whatever they leave open is verified afterwards.
 TRIED = 4
+#: Members of a long list that all others are held against, in each round.
+HUBS = (4, 16)
 #: Bytes that a worker turns into shingles, and shingles that it hands on, at a time.
-PART = 1 << 20
+PART = 1 << 18
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> tuple[np.ndarray, int]:
@@ -195,31 +199,46 @@ def similar_roots(sets: DataFrame) -> DataFrame:
     stars = postings.filter(F.col("size") > LONG).select(F.col("node").alias("u"), F.col("least").alias("v"))
     close = staged(_verified(_ordered(same.unionByName(near).unionByName(stars)), sets), "close")
     roots = components(close)
-    owned = postings.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
-    owned = staged(owned.select("shingle", "node", "n", "n_common", "late", F.coalesce("root", "node").alias("root")), "owned")
-    fits = "a.shingle = b.shingle and a.node > b.node and a.root <> b.root and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n"
+    fits = "a.shingle = b.shingle and a.root <> b.root and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n"
     fits += " and (not a.late or 9 * least(a.n_common, b.n_common) >= 4 * (a.n + b.n))"
+    long = postings.filter(F.col("size") > LONG)
+    for k, many in enumerate(HUBS):
+        lists = staged(_owned(long, roots), "long")
+        # nodes are dealt to as many parts by hash, the same in all lists; the best of each part is a hub
+        best = F.struct((F.col("n") - F.col("n_common")).alias("rare"), "node", "n", "n_common", "root")
+        part = F.pmod(F.xxhash64(F.lit(k), "node"), F.lit(many))
+        hubs = lists.groupBy("shingle", part.alias("part")).agg(F.min(best).alias("h")).select("shingle", "h.node", "h.n", "h.n_common", "h.root")
+        pairs = lists.alias("a").join(hubs.alias("b"), F.expr(fits)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+        roots = components(roots.select("u", "v").unionByName(_verified(_ordered(pairs), sets)).distinct())
+    owned = staged(_owned(postings, roots), "owned")
+    fits += " and a.node > b.node"
     least_need = need_sql("least(a.n, b.n)")
     reach = " and ".join(f"floor({x}.n / 5) + {need_sql(x + '.n')} > {x}.n - {x}.n_common" for x in "ab")
-    pairs = owned.alias("a").join(owned.alias("b"), F.expr(fits)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.expr(f"a.late or ({reach})").alias("sure"), F.expr(least_need).alias("least_need"))
-    tallied = pairs.groupBy("u", "v").agg(F.count("*").alias("n"), F.max("sure").alias("sure"), F.max("least_need").alias("least_need"))
-    tallied = staged(tallied.filter("sure or n >= least_need").select("u", "v", "n"), "tallied")
+    pairs = owned.alias("a").join(owned.alias("b"), F.expr(fits)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.root").alias("root_u"), F.col("b.root").alias("root_v"), F.expr(f"a.late or ({reach})").alias("sure"), F.expr(least_need).alias("least_need"))
+    tallied = pairs.groupBy("u", "v", "root_u", "root_v").agg(F.count("*").alias("n"), F.max("sure").alias("sure"), F.max("least_need").alias("least_need"))
+    tallied = staged(tallied.filter("sure or n >= least_need").select("u", "v", "n", "root_u", "root_v"), "tallied")
     # one text may share shingles with every member of a large class: a few pairs of two classes settle most of them
-    tried = staged(_between_classes(tallied, roots, TRIED), "tried")
-    close = staged(close.unionByName(_verified(tried.select("u", "v"), sets)).distinct(), "closer")
-    rest = _between_classes(tallied, components(close)).join(tried, ["u", "v"], "left_anti")
-    return components(close.unionByName(_verified(rest.select("u", "v"), sets)).distinct())
-
-
-def _between_classes(pairs: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
-    """(u, v) of the ``pairs`` whose nodes are in different classes; if asked for, only the ``most`` of two classes that share most."""
-    of = lambda x: roots.select(F.col("u").alias(x), F.col("v").alias(f"root_{x}"))
-    rows = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").withColumns({x: F.coalesce(x, x[5:]) for x in ("root_u", "root_v")}).filter("root_u <> root_v")
-    if most is None:
-        return rows.select("u", "v")
     classes = F.least("root_u", "root_v"), F.greatest("root_u", "root_v")
-    best = rows.withColumn("place", F.row_number().over(Window.partitionBy(*classes).orderBy(F.desc("n"), "u", "v")))
-    return best.filter(F.col("place") <= most).select("u", "v")
+    best = tallied.withColumn("place", F.row_number().over(Window.partitionBy(*classes).orderBy(F.desc("n"), "u", "v")))
+    tried = staged(best.filter(F.col("place") <= TRIED).select("u", "v"), "tried")
+    roots = components(roots.unionByName(_verified(tried, sets)).distinct())
+    rest = _between_classes(tallied, roots).join(tried, ["u", "v"], "left_anti")
+    return components(roots.unionByName(_verified(rest.select("u", "v"), sets)).distinct())
+
+
+def _owned(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    """The postings with the class of each node."""
+    rows = postings.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
+    return rows.select("shingle", "node", "n", "n_common", "late", F.coalesce("root", "node").alias("root"))
+
+
+def _between_classes(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v) of the ``pairs`` of nodes in different classes; ``root_u`` and ``root_v`` are the classes of before."""
+    before = pairs.select("root_u", "root_v").distinct()  # classes once apart, few beside the pairs
+    of = lambda x: roots.select(F.col("u").alias(f"root_{x}"), F.col("v").alias(f"now_{x}"))
+    now = before.join(of("u"), "root_u", "left").join(of("v"), "root_v", "left")
+    apart = now.filter("coalesce(now_u, root_u) <> coalesce(now_v, root_v)").select("root_u", "root_v")
+    return pairs.join(apart, ["root_u", "root_v"], "left_semi").select("u", "v")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
