@@ -13,7 +13,9 @@ rare term has to be seen with c more purely than a common one. Terms that reveal
 
 Only DataFrame and SQL functions are used. Term counts, overall and with each kind, come from one aggregate over the corpus,
 pre-aggregated in each task. Values are paired only with terms that are rare enough to reveal them, in documents that hold both;
-values of fewer than ``SUPPORT`` events take no part.
+values of fewer than ``SUPPORT`` events take no part. Of the values, and of the terms, that stand in the same set of documents one
+is paired for all, so that a long list of addresses is not paired with itself. Places in a text come from sums of lengths, and its
+parts are joined once, so time grows with a text's length however many spans it has.
 
 Defined results: a null or empty text has no spans; positions are code points, ends exclusive; spans of different kinds may
 overlap; repeated rows get equal spans; an empty table gives an empty table; ids may be null.
@@ -34,6 +36,9 @@ DISCLOSURE, SUPPORT, Z = 0.9, 3, 2.0
 #: Different characters, letters and digits that a credential has at least.
 SECRET_DISTINCT, SECRET_LETTERS, SECRET_DIGITS = 10, 3, 3
 
+#: Code points of a block in which a place of a long text is found.
+BLOCK = 1024
+
 #: The base patterns, each with a guard that lets a match start only where a run starts or the last match ended.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -45,21 +50,36 @@ PATTERNS = {
 TERM = r"\p{L}{3,}"
 
 
-def _spans(text: Column, pattern: str, wanted=None) -> Column:
-    """array<start, end, hit> of all matches, or of the ``wanted`` ones: the pieces between matches give their places."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
+def _let(value: Column, of) -> Column:
+    """``of`` a value that is worked out once, however often ``of`` reads it and in whatever inner function."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _scan(values: Column, op) -> Column:
+    """``op`` of each number of an array with all before it, in steps of doubling width: no array is grown in a fold."""
+
+    def wider(so_far: Column, k: Column) -> Column:
+        width = F.call_function("shiftleft", F.lit(1), k)
+        earlier = F.concat(F.array_repeat(F.lit(0), width), F.slice(so_far, F.lit(1), F.size(so_far) - width))
+        return F.zip_with(so_far, earlier, op)
+
+    def scanned(own: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.length(F.bin(F.size(own) - 1)) - 1)
+        return F.when(F.size(own) > 1, F.aggregate(steps, own, wider)).otherwise(own)
+
+    return _let(values, scanned)
+
+
+def _spans(text: Column, pattern: str) -> Column:
+    """array<start, end, hit> of all matches: the lengths of the pieces between matches, summed up, give their places."""
     none = F.expr("array_repeat(named_struct('start', 0, 'end', 0, 'hit', ''), 0)")
 
-    def step(state: Column, e: Column) -> Column:
-        start = state["at"] + F.length(e["piece"])
-        end = start + F.length(e["hit"])
-        more = F.array_append(state["spans"], F.struct(start.alias("start"), end.alias("end"), e["hit"].alias("hit")))
-        return F.struct(end.alias("at"), (F.when(wanted(e["hit"]), more).otherwise(state["spans"]) if wanted else more).alias("spans"))
+    def placed(own: Column) -> Column:
+        steps = F.zip_with(F.slice(own["pieces"], F.lit(1), F.size(own["hits"])), own["hits"], lambda piece, hit: F.length(piece) + F.length(hit))
+        return F.zip_with(_scan(steps, lambda x, y: x + y), own["hits"], lambda end, hit: F.struct((end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("hit")))
 
-    both = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(hits)).alias("piece"), hits.alias("hit"))
-    folded = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
-    return F.when(F.rlike(text, F.lit(pattern)), folded).otherwise(none)
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("pieces"))
+    return F.when(F.rlike(text, F.lit(pattern)), _let(found, placed)).otherwise(none)
 
 
 def _luhn(digits: Column) -> Column:
@@ -87,37 +107,49 @@ def _valid(kind: str, hit: Column) -> Column:
     return (n >= 9) & (n <= 15) if kind == "phone" else F.lit(True)
 
 
-def protected_spans(text: Column) -> Column:
-    """array<start, kind, end> of base spans and credentials, by start, then kind; ``kind`` is a place in ``KINDS``."""
+def protected_values(text: Column) -> Column:
+    """array<start, kind, end, entity> of base spans and credentials, by start, then kind; ``kind`` is a place in ``KINDS``,
+    ``entity`` a number for the span's value: letters in one case, cards and phones by their digits."""
 
     def of(i: int, kind: str) -> Column:
         kept = F.filter(_spans(text, PATTERNS[kind]), lambda s: _valid(kind, s["hit"]))
-        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end")))
+        value = (lambda hit: F.regexp_replace(hit, "[^0-9]", "")) if kind in ("card", "phone") else F.lower
+        return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"), F.xxhash64(F.lit(i), value(s["hit"])).alias("entity")))
 
     return F.array_sort(F.concat(*[of(i, kind) for i, kind in enumerate(KINDS[:TERM_KIND])]))
 
 
-def entities(text: Column, spans: Column) -> Column:
-    """One number for each span's value: letters in one case, cards and phones by their digits."""
+def places(values: Column) -> Column:
+    return F.transform(values, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
-    def value(s: Column) -> Column:
-        raw = F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"]))
-        return F.xxhash64(s["kind"], F.when(s["kind"].isin(KINDS.index("card"), KINDS.index("phone")), F.regexp_replace(raw, "[^0-9]", "")).otherwise(raw))
 
-    return F.array_distinct(F.transform(spans, value))
+def _joined(text: Column, spans: Column, part) -> Column:
+    """The text with ``part(span, before, piece)`` for each span, in order: ``before`` is the end of all spans before it, and
+    ``piece(a, b)`` the text from a to b, found by blocks, as a place in a long string takes time to find."""
+
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / BLOCK).cast("int")
+        some = F.slice(blocks, first + 1, F.floor((b - 1) / BLOCK).cast("int") - first + 1)
+        return F.when(b > a, F.substring(F.array_join(some, ""), a - first * BLOCK + 1, b - a)).otherwise("")
+
+    def whole(own: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(own["reached"], F.lit(1), F.size(own["spans"]) - 1))
+        parts = F.zip_with(own["spans"], before, lambda s, at: part(s, at, lambda a, b: piece(own["blocks"], a, b)))
+        return F.concat(F.array_join(parts, ""), piece(own["blocks"], F.element_at(own["reached"], -1), own["length"]))
+
+    reached = _scan(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+    known = F.struct(spans.alias("spans"), reached.alias("reached"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"), F.length(text).alias("length"))
+    return F.when(F.size(spans) > 0, _let(known, whole)).otherwise(text)
 
 
 def _outside(text: Column, spans: Column) -> Column:
     """The text with blanks in place of its protected spans, so that every other character keeps its place."""
 
-    def cut(state: Column, s: Column) -> Column:
-        start = F.greatest(s["start"], state["at"])
-        kept = F.concat(state["text"], F.substring(text, state["at"] + 1, start - state["at"]), F.repeat(F.lit(" "), s["end"] - start))
-        return F.when(s["end"] > state["at"], F.struct(s["end"].alias("at"), kept.alias("text"))).otherwise(state)
+    def part(s: Column, before: Column, piece) -> Column:
+        blank = F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], before)))
+        return F.concat(piece(before, s["start"]), blank)
 
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    blanked = F.aggregate(spans, first, cut, lambda s: F.concat(s["text"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, blanked).otherwise(text)
+    return _joined(text, spans, part)
 
 
 def _terms(text: Column) -> Column:
@@ -140,14 +172,22 @@ def _discloses(n_pair: Column, n_term: Column, n_entity: Column, n_events: Colum
     return F.log(low) - F.log(prior) >= disclosure * -F.log(prior)
 
 
+DOCUMENTS = ("docs_a", "docs_b")
+
+
+def _documents() -> list[Column]:
+    """128 bits of the set of documents of a group."""
+    return [F.bit_xor(F.xxhash64(F.lit(i), "row")).alias(name) for i, name in enumerate(DOCUMENTS)]
+
+
 def revealing_terms(found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, z: float = Z) -> DataFrame:
     """(term) of the terms that reveal an entity or a kind. ``found``: row, event, kinds, entities, terms."""
     again = staged(found.groupBy("event").agg(F.min("row").alias("least"), F.count("*").alias("times")).filter("times > 1").select("event", "least"), "repeated")
     events = found.join(again, "event", "left").filter("least IS NULL OR least = row").drop("event", "least")
     has = [F.array_contains("kinds", i).cast("long").alias(f"k{i}") for i in range(TERM_KIND)]
     # one event, the document, for all counts; each task sends a term once
-    words = events.select(*has, F.explode("terms").alias("term"))
-    counts = words.groupBy("term").agg(F.count("*").alias("n_term"), *[F.sum(f"k{i}").alias(f"k{i}") for i in range(TERM_KIND)]).filter(F.col("n_term") >= support)
+    words = events.select("row", *has, F.explode("terms").alias("term"))
+    counts = words.groupBy("term").agg(F.count("*").alias("n_term"), *_documents(), *[F.sum(f"k{i}").alias(f"k{i}") for i in range(TERM_KIND)]).filter(F.col("n_term") >= support)
     counts = staged(counts, "terms")
     total = staged(events.agg(F.count("*").alias("n_events"), *[F.coalesce(F.sum(h), F.lit(0)).alias(f"all_k{i}") for i, h in enumerate(has)]), "kinds")  # one row
     pairs = F.array(*[F.struct(F.col(f"k{i}").alias("n_pair"), F.col(f"all_k{i}").alias("n_entity")) for i in range(TERM_KIND)])
@@ -155,33 +195,38 @@ def revealing_terms(found: DataFrame, disclosure: float = DISCLOSURE, support: i
 
     held = events.filter(F.size("entities") > 0).select("row", "entities", "terms")
     values = held.select("row", F.explode("entities").alias("entity"))
-    often = values.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= support)
+    often = values.groupBy("entity").agg(F.count("*").alias("n_entity"), *_documents()).filter(F.col("n_entity") >= support)
+    # values that stand in the same documents are revealed alike, and terms that do reveal alike: one of each such group is paired
+    often = often.groupBy("n_entity", *DOCUMENTS).agg(F.min("entity").alias("entity")).drop(*DOCUMENTS)
     values = staged(values.join(often, "entity"), "values")
     # p(c|t) is at most n_entity / n_term: commoner terms cannot reach the threshold
     most = lambda n, of: F.pow(n, F.lit(disclosure)) * F.pow(of, F.lit(1 - disclosure))
     bound = values.agg(F.coalesce(F.max("n_entity"), F.lit(0)).alias("largest"))
-    rare = counts.select("term", "n_term").crossJoin(F.broadcast(total.select("n_events"))).crossJoin(F.broadcast(bound)).filter(F.col("n_term") <= most(F.col("largest"), F.col("n_events")))
+    alike = staged(counts.groupBy("n_term", *DOCUMENTS).agg(F.min("term").alias("term")).drop(*DOCUMENTS), "alike")
+    rare = alike.crossJoin(F.broadcast(total.select("n_events"))).crossJoin(F.broadcast(bound)).filter(F.col("n_term") <= most(F.col("largest"), F.col("n_events")))
     near = held.join(values.select("row").distinct(), "row", "left_semi").select("row", F.explode("terms").alias("term")).join(rare, "term")
     both = near.join(values, "row").filter(F.col("n_term") <= most(F.col("n_entity"), F.col("n_events")))
     by_value = both.groupBy("term", "entity", "n_term", "n_entity", "n_events").agg(F.count("*").alias("n_pair"))
 
     columns = ["term", "n_term", "n_events", "n_pair", "n_entity"]
     scored = by_kind.select(*columns).unionByName(by_value.select(*columns)).filter(F.col("n_pair") >= support)
-    return scored.filter(_discloses(F.col("n_pair"), F.col("n_term"), F.col("n_entity"), F.col("n_events"), disclosure, z)).select("term").distinct()
+    reveals = scored.filter(_discloses(F.col("n_pair"), F.col("n_term"), F.col("n_entity"), F.col("n_events"), disclosure, z)).select("term").distinct()
+    group = counts.join(reveals, "term").select("n_term", *DOCUMENTS).distinct()
+    return counts.join(group, ["n_term", *DOCUMENTS], "left_semi").select("term")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT, z: float = Z, with_text: bool = False) -> DataFrame:
     """One row per row: ``doc_id, spans`` (array<start, kind, end> of all kinds) and, if asked for, ``text``."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).withColumns({"event": event_key(F.col("text")), "spans": protected_spans(F.col("text"))})
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).withColumns({"event": event_key(F.col("text")), "values": protected_values(F.col("text"))}).withColumn("spans", places(F.col("values")))
     # what is counted of each text; the table fixes the row numbers, whole texts are read again rather than written
-    counted = texts.select("event", F.array_distinct(F.transform("spans", lambda s: s["kind"])).alias("kinds"), entities(F.col("text"), F.col("spans")).alias("entities"), _terms(_outside(F.col("text"), F.col("spans"))).alias("terms"))
+    counted = texts.select("event", F.array_distinct(F.transform("spans", lambda s: s["kind"])).alias("kinds"), F.array_distinct(F.transform("values", lambda s: s["entity"])).alias("entities"), _terms(_outside(F.col("text"), F.col("spans"))).alias("terms"))
     counted = staged(counted.withColumn("row", F.monotonically_increasing_id()), "personal")
     revealing = staged(revealing_terms(counted, disclosure, support, z), "revealing")
     shown = counted.select("event", "row", F.explode("terms").alias("term")).join(revealing, "term").groupBy("event", "row").agg(F.collect_set("term").alias("shown"))
     shown = staged(shown.groupBy("event").agg(F.first("shown").alias("shown")), "shown")  # equal texts show equal terms
     found = texts.join(shown, "event", "left")
-    places = _spans(_outside(F.col("text"), F.col("spans")), TERM, lambda hit: F.array_contains("shown", F.lower(hit)))
-    more = F.transform(places, lambda s: F.struct(s["start"].alias("start"), F.lit(TERM_KIND).alias("kind"), s["end"].alias("end")))
+    shown_at = F.filter(_spans(_outside(F.col("text"), F.col("spans")), TERM), lambda s: F.array_contains("shown", F.lower(s["hit"])))
+    more = F.transform(shown_at, lambda s: F.struct(s["start"].alias("start"), F.lit(TERM_KIND).alias("kind"), s["end"].alias("end")))
     spans = F.when(F.col("shown").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", more)))
     return found.select("doc_id", spans.alias("spans"), *(["text"] if with_text else []))
 
@@ -202,14 +247,11 @@ def personal_data_digest(docs: DataFrame, **options) -> DataFrame:
 
 
 def sanitised(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, text``: protected spans become ``[KIND]``, revealing terms go; of overlapping spans the earlier wins."""
+    """``doc_id, text``: protected spans become ``[KIND]``, revealing terms go; spans that overlap become one, named by the first."""
     found = find_personal_data(docs, with_text=True, **options)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS[:TERM_KIND]], F.lit(""))
 
-    def cut(state: Column, s: Column) -> Column:
-        kept = F.concat(state["text"], F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]), F.element_at(names, s["kind"] + 1))
-        return F.when(s["start"] >= state["at"], F.struct(s["end"].alias("at"), kept.alias("text"))).otherwise(state)
+    def part(s: Column, before: Column, piece) -> Column:
+        return F.when(s["start"] >= before, F.concat(piece(before, s["start"]), F.element_at(names, s["kind"] + 1))).otherwise("")
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    rest = lambda s: F.concat(s["text"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
-    return found.select("doc_id", F.aggregate("spans", start, cut, rest).alias("text"))
+    return found.select("doc_id", _joined(F.col("text"), F.col("spans"), part).alias("text"))
