@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from admeridian.functions.config import resolve_thresholds
 from admeridian.operators import audit, changes, detectors, ledger, operate, simulate, trust
 from admeridian.plans.learn_queries import _ALL, _BASE, _CAT, _ROWS, Learned, _held, _w, rounded
+from admeridian.sources import store
 from admeridian.sources.adapters import Tables, ctes
 from admeridian.sources.tables import insert_ignore, materialised, upsert_columns, upsert_replace
 
@@ -88,7 +89,20 @@ def _halves(t):
     return old, new
 
 
+def _stored(spark, sf_dir, load):
+    """The first load of daily facts as a stored table, and what ``load`` makes of it; the rows as they are stored."""
+    old, new = _halves(Tables(spark, sf_dir))
+    table = store.create(spark, old.schema, ("account_id", "campaign_id"), buckets=8)
+    table.replace(old.filter("date < DATE '2024-03-01'"), "loaded")
+    load(table, old, new)
+    rows = materialised(table.read(), "stored")
+    spark.sql(f"DROP TABLE {table.name}")
+    return rounded(rows.select("account_id", "campaign_id", "date", "clicks", "loaded"))
+
+
 QUERIES = {
+    "snk01_stored_days": lambda spark, sf_dir: _stored(spark, sf_dir, lambda table, old, new: table.replace(new.filter("date < DATE '2024-03-08'"), "loaded")),
+    "snk02_stored_insert": lambda spark, sf_dir: _stored(spark, sf_dir, lambda table, old, new: table.add(new)),
     "ops01_register": _q(lambda t: t.predictions, "prediction_id", "template_id", "episode_id", "state", "prediction_direction", "prediction_magnitude", "natural_magnitude", "action_cost", "recommendation"),
     "ops02_resolve": _q(lambda t: t.resolutions, "prediction_id", "window_days", "actual_magnitude", "actual_direction", "direction_correct", "magnitude_score", "recommendation_correct"),
     "ops03_health": _q(lambda t: operate.health(t.resolutions, t.catalogue)),
@@ -142,6 +156,8 @@ ORACLES = {
     "ver02_proofs": _w(_ALL, f"{_TOLD} SELECT prediction_id, prediction_id NOT LIKE '%3' AS proven, 1 + {_SIBLINGS} AS n_hashes FROM lf WHERE day >= DATE '2024-02-12' AND day < DATE '2024-02-19'"),
     "ver07_checksums": f"{_DM} SELECT CAST(date AS VARCHAR) AS date, count(*) AS n_rows, CAST(sum(('0x' || substr(md5(concat_ws('|', account_id, campaign_id, CAST(clicks AS VARCHAR), CAST(cost_micros AS VARCHAR), CAST(date AS VARCHAR))), 1, 8))::BIGINT) AS BIGINT) AS content FROM daily_metrics GROUP BY 1",
     "obs05_inventory": f"WITH {ctes('accounts', 'daily_metrics', 'change_events', 'keyword_metrics', 'conversion_actions')} " + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows, count(DISTINCT account_id) AS n_accounts FROM {n}" for n in ("accounts", "daily_metrics", "change_events", "keyword_metrics", "conversion_actions")),
+    "snk01_stored_days": f"{_DM} SELECT account_id, campaign_id, CAST(date AS VARCHAR) AS date, clicks + (date >= DATE '2024-02-12')::INT AS clicks, 1 + (date >= DATE '2024-02-12')::INT AS loaded FROM daily_metrics WHERE date < DATE '2024-03-08'",
+    "snk02_stored_insert": f"{_DM} SELECT account_id, campaign_id, CAST(date AS VARCHAR) AS date, clicks + (date >= DATE '2024-03-01')::INT AS clicks, 1 + (date >= DATE '2024-03-01')::INT AS loaded FROM daily_metrics",
     "snk01_upsert_replace": f"{_DM} SELECT CASE WHEN date >= DATE '2024-02-12' THEN 2 ELSE 1 END AS loaded, count(*) AS n, CAST(sum(clicks + CASE WHEN date >= DATE '2024-02-12' THEN 1 ELSE 0 END) AS BIGINT) AS clicks FROM daily_metrics GROUP BY 1",
     "snk02_insert_ignore": f"{_DM} SELECT CASE WHEN date >= DATE '2024-03-01' THEN 2 ELSE 1 END AS loaded, count(*) AS n, CAST(sum(clicks + CASE WHEN date >= DATE '2024-03-01' THEN 1 ELSE 0 END) AS BIGINT) AS clicks FROM daily_metrics GROUP BY 1",
     "snk03_upsert_columns": f"WITH {ctes('accounts')}, b AS (SELECT 'a' || CAST(CAST(substr(account_id, 2) AS INT) + 3 AS VARCHAR) AS account_id, nullif(vertical, '') AS vertical FROM accounts) SELECT coalesce(a.account_id, b.account_id) AS account_id, coalesce(b.vertical, a.vertical) AS vertical, CAST(coalesce(a.first_seen, DATE '2024-05-01') AS VARCHAR) AS first_seen, coalesce(a.mcc_id, 'm2') AS mcc_id FROM accounts a FULL JOIN b ON a.account_id = b.account_id",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from admeridian.sources.store import Stored
 from admeridian.sources.tables import insert_ignore
 
 
@@ -25,3 +26,12 @@ def change_event_feed(spark: SparkSession, source: str, schema: StructType, targ
 
     query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def stored_feed(table: Stored, source: str, checkpoint: str) -> None:
+    """Adds the rows of all files of ``source`` that an earlier run has not seen to a stored table. A batch reads and writes the days it
+    brings, no others; one that is repeated adds nothing."""
+    spark = table.spark
+    schema = spark.table(table.name).schema
+    query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(lambda batch, batch_id: table.add(batch) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
