@@ -30,6 +30,18 @@ def _right(call: Column, cost: Column) -> Column:
     return F.when(call == "DO_NOT_ACT", hurt).when(call == "ACT", helped).when(call == "EITHER", ~helped & ~hurt).otherwise(~helped)
 
 
+def cost_per_conversion(micros: Column, conversions: Column) -> Column:
+    return div(micros / 1e6, conversions)
+
+
+def scored(rows: DataFrame, *more: str) -> DataFrame:
+    """The verdicts on predictions whose cost per conversion before and after is known (``pre``, ``post``)."""
+    rows = rows.filter("pre > 0 AND post IS NOT NULL").withColumn("actual_magnitude", winsorised((F.col("post") - F.col("pre")) / F.col("pre")))
+    rows = rows.withColumns({"actual_direction": T.direction(F.col("actual_magnitude")), "magnitude_error": F.abs(F.col("prediction_magnitude") - F.col("actual_magnitude")), "actual_action_cost": F.col("actual_magnitude") - F.col("natural_magnitude")})
+    return rows.select("prediction_id", "template_id", "recommendation", "window_days", "actual_magnitude", "actual_direction", (F.col("prediction_direction") == F.col("actual_direction")).alias("direction_correct"), "magnitude_error", T.error_bucket(F.col("magnitude_error")).alias("magnitude_score"), "actual_action_cost",
+                       _right(F.col("recommendation"), F.col("actual_action_cost")).alias("recommendation_correct"), *more)
+
+
 def resolve(predictions: DataFrame, daily: DataFrame, resolved: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
     """One row per prediction and window that has closed by ``as_of`` (default: the data anchor) and is not yet in ``resolved``."""
     at = daily.agg(F.max("date").alias("as_of"))
@@ -44,12 +56,8 @@ def resolve(predictions: DataFrame, daily: DataFrame, resolved: DataFrame | None
     keys = [c for c in open_.columns if c != "as_of"]
     joined = open_.drop("as_of").join(facts, ["account_id", "campaign_id"]).filter(near)
     before = F.col("date") < F.col("registered_at")
-    cpa = lambda side: div(F.sum(F.when(side, F.col("cost_micros"))) / 1e6, F.sum(F.when(side, F.col("conversions"))))
-    rows = joined.groupBy(*keys).agg(cpa(before).alias("pre"), cpa(~before).alias("post")).filter("pre > 0 AND post IS NOT NULL")
-    rows = rows.withColumn("actual_magnitude", winsorised((F.col("post") - F.col("pre")) / F.col("pre")))
-    rows = rows.withColumns({"actual_direction": T.direction(F.col("actual_magnitude")), "magnitude_error": F.abs(F.col("prediction_magnitude") - F.col("actual_magnitude")), "actual_action_cost": F.col("actual_magnitude") - F.col("natural_magnitude")})
-    return rows.select("prediction_id", "template_id", "recommendation", "window_days", "actual_magnitude", "actual_direction", (F.col("prediction_direction") == F.col("actual_direction")).alias("direction_correct"), "magnitude_error", T.error_bucket(F.col("magnitude_error")).alias("magnitude_score"), "actual_action_cost",
-                       _right(F.col("recommendation"), F.col("actual_action_cost")).alias("recommendation_correct"))
+    cpa = lambda side: cost_per_conversion(F.sum(F.when(side, F.col("cost_micros"))), F.sum(F.when(side, F.col("conversions"))))
+    return scored(joined.groupBy(*keys).agg(cpa(before).alias("pre"), cpa(~before).alias("post")))
 
 
 def health(resolved: DataFrame, templates: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,8 @@ from admeridian.operators import audit, changes, detectors, ledger, operate, sim
 from admeridian.plans.learn_queries import _ALL, _BASE, _CAT, _ROWS, Learned, _held, _w, rounded
 from admeridian.sources import store
 from admeridian.sources.adapters import Tables, ctes
-from admeridian.sources.tables import insert_ignore, materialised, upsert_columns, upsert_replace
+from admeridian.sources.tables import insert_ignore, materialised, shared_dir, upsert_columns, upsert_replace
+from admeridian.streaming import resolver
 
 
 class Operated(Learned):
@@ -100,7 +102,25 @@ def _stored(spark, sf_dir, load):
     return rounded(rows.select("account_id", "campaign_id", "date", "clicks", "loaded"))
 
 
+def _streamed(t) -> DataFrame:
+    """Predictions and facts as loads of three spans of days, taken in by three runs of the stream; facts of every 50th day and campaign
+    come five days late. The verdicts equal those of the batch over all facts."""
+    late = F.pmod(F.crc32(F.concat("account_id", "campaign_id", F.col("date").cast("string")).cast("binary")), F.lit(50)) == 0
+    last = t.facts.agg(F.max("date").alias("_last"))
+    known = t.facts.crossJoin(F.broadcast(last)).withColumn("known_on", F.when(late, F.least(F.date_add("date", 5), F.col("_last"))).otherwise(F.col("date")))
+    feed = materialised(resolver.events(t.predictions, known, "known_on"), "feed")
+    folder = f"{shared_dir(t.spark)}/admeridian/stream-{uuid.uuid4().hex}"
+    target = resolver.table(t.spark)
+    for first, after in (("2000-01-01", "2024-02-10"), ("2024-02-10", "2024-03-02"), ("2024-03-02", "2100-01-01")):
+        feed.filter(f"as_of >= DATE '{first}' AND as_of < DATE '{after}'").repartition(2).write.mode("append").parquet(f"{folder}/loads")
+        resolver.run(t.spark, f"{folder}/loads", target, f"{folder}/state")
+    out = materialised(resolver.resolutions(target, t.predictions), "streamed")
+    t.spark.sql(f"DROP TABLE {target.name}")
+    return out
+
+
 QUERIES = {
+    "ops06_stream": _q(_streamed, "prediction_id", "window_days", "actual_magnitude", "actual_direction", "direction_correct", "magnitude_score", "recommendation_correct"),
     "snk01_stored_days": lambda spark, sf_dir: _stored(spark, sf_dir, lambda table, old, new: table.replace(new.filter("date < DATE '2024-03-08'"), "loaded")),
     "snk02_stored_insert": lambda spark, sf_dir: _stored(spark, sf_dir, lambda table, old, new: table.add(new)),
     "ops01_register": _q(lambda t: t.predictions, "prediction_id", "template_id", "episode_id", "state", "prediction_direction", "prediction_magnitude", "natural_magnitude", "action_cost", "recommendation"),
@@ -148,6 +168,7 @@ _DM = "WITH " + ctes("daily_metrics")
 ORACLES = {
     "ops01_register": _w(_ALL, f"{_PRED} SELECT prediction_id, tid AS template_id, episode_id, state, mode AS prediction_direction, round(med, 6) AS prediction_magnitude, round(nm, 6) AS natural_magnitude, round(cost, 6) AS action_cost, rec AS recommendation FROM pred"),
     "ops02_resolve": _w(_ALL, f"{_RES} SELECT prediction_id, w AS window_days, round(actual, 6) AS actual_magnitude, adir AS actual_direction, dok AS direction_correct, CASE WHEN err <= 0.05 THEN 'exact' WHEN err <= 0.1 THEN 'close' WHEN err <= 0.2 THEN 'ballpark' ELSE 'miss' END AS magnitude_score, rok AS recommendation_correct FROM rsv"),
+    "ops06_stream": _w(_ALL, f"{_RES} SELECT prediction_id, w AS window_days, round(actual, 6) AS actual_magnitude, adir AS actual_direction, dok AS direction_correct, CASE WHEN err <= 0.05 THEN 'exact' WHEN err <= 0.1 THEN 'close' WHEN err <= 0.2 THEN 'ballpark' ELSE 'miss' END AS magnitude_score, rok AS recommendation_correct FROM rsv"),
     "ops03_health": _w(_ALL, f"{_RES}, h AS (SELECT tid, count(*) AS n, avg(dok::INT) AS live, avg(rok::INT) AS lr, avg(err) AS e FROM rsv WHERE w = 14 GROUP BY tid) SELECT h.tid AS template_id, h.n AS n_resolved, round(live, 6) AS live, round(lr, 6) AS live_recommendation, round(e, 6) AS mae, round(acc, 6) AS backtest, CASE WHEN h.n >= 10 AND live < acc - 0.15 THEN 'DRIFT' WHEN h.n >= 10 AND live > acc + 0.05 THEN 'IMPROVING' ELSE '' END AS drift_flag, CASE WHEN h.n >= 10 AND live > 0.55 THEN 'ACTIVE' WHEN h.n < 10 OR live BETWEEN 0.45 AND 0.55 THEN 'SHADOW_ONLY' ELSE 'RETIRED' END AS status FROM h JOIN cat USING (tid)"),
     "ops04_accuracy": _w(_ALL, f"{_RES} SELECT coalesce(w::VARCHAR, 'all') AS window_days, coalesce(rec, 'all') AS recommendation, count(*) AS n, round(avg(rok::INT), 6) AS accuracy, round(avg(dok::INT), 6) AS direction_accuracy, round(avg((rec = 'EITHER')::INT), 6) AS abstention FROM rsv GROUP BY CUBE (w, rec)"),
     "ver01_02_ledger": _w(_ALL, f"{_TOLD} SELECT CAST(day AS VARCHAR) AS day, CAST(n AS BIGINT) AS n, root, head, 0 AS broken FROM hd"),
