@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows of a batch that goes to a Python worker: whole texts and sets of hashes are large, and a batch is held several times over.
-BATCH_ROWS, BATCH_BYTES = 1_000, "8m"
-_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+#: Rows and bytes of a batch that goes to a Python worker, and what Spark has by itself: whole texts and sets of hashes are large, and
+#: a batch is held several times over.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("1000", "10000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("8m", "67108864b")}
 
 _own_dir: list[str] = []
 _run: ContextVar[list[str] | None] = ContextVar("run", default=None)
@@ -42,21 +42,22 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/admeridian/{label}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session send small batches to Python workers, unless it has been given sizes of its own. Every operator here that
+    runs Python comes by this; the sizes bound memory and change no result."""
+    for key, (small, usual) in BATCHES.items():
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, small)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends there, any executor may be lost. Batches for
-    Python workers are kept to ``BATCH_ROWS`` and ``BATCH_BYTES`` while it is written."""
+    """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends there, any executor may be lost."""
     spark = df.sparkSession
+    small_batches(spark)
     path = fresh_path(spark, label)
     if _run.get() is not None:
         _run.get().append(path)
-    usual = {k: spark.conf.get(k) for k in _BATCH}
-    for k, v in _BATCH.items():
-        spark.conf.set(k, v)
-    try:
-        df.write.parquet(path)
-    finally:
-        for k, v in usual.items():
-            spark.conf.set(k, v)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from admeridian.llm.common import small_batches
+
 BLANK = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
 
@@ -93,6 +95,7 @@ def policy_mask(policy: str) -> int:
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, the measurements and ``failed_bits`` of each row."""
+    small_batches(docs.sparkSession)
     table = docs.select(F.col(id_col).alias("doc_id"), measured(F.col(text_col)).alias("m")).select("doc_id", "m.*")
     bits = sum((F.when(failed, F.lit(1 << i)).otherwise(0) for i, (_, failed) in enumerate(rules())), F.lit(0))
     return table.withColumn("failed_bits", bits.cast("long"))

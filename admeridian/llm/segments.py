@@ -16,6 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from admeridian.llm.common import tidy
+
 #: White space as Unicode and both libraries have it (Python's own notion also holds U+001C to U+001F).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
@@ -55,12 +57,16 @@ class SegmentEncoder:
             if token not in special:
                 ended = bool(suffix) and token.endswith(suffix)
                 ranks[bytes(chars[c] for c in (token[: -len(suffix)] if ended else token)) + WORD_END * ended] = i
+        suffix_end = WORD_END if suffix else b""
+        del model
         core = tiktoken.Encoding("own", pat_str=".", mergeable_ranks=ranks, special_tokens={})
         self.merge = core._core_bpe.encode_single_piece
+        del core, ranks  # the tables of the file and of the ranks are large
+        tidy()
         #: The patterns of the two vocabularies' pretokenizers.
         words = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" if drops_white else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.words = regex.compile(words).findall
-        self.lower, self.end = drops_white, WORD_END if suffix else b""
+        self.lower, self.end = drops_white, suffix_end
         self.cut = (NON_BLANK if drops_white else SEGMENT).findall
         self.code, self.dtype = ("H" if width == 2 else "I"), f"<u{width}"
         self.limit = memo

@@ -11,7 +11,7 @@ as stars of its connected classes, never all pairs of a class. Lists over ``LONG
 what is still dense after 5 bytes is probed by the few bit patterns left: exact and linear in the list.
 
 Equal fingerprints are one node from the start. Links of different nodes are joined to classes by alternating large-star and
-small-star rounds, each written to the shared folder.
+small-star rounds, each written to the shared folder; once at most ``FEW`` links are left, one task joins them.
 
 Defined results: null, empty and blank texts have fingerprint zero, which links like any other; texts of fewer words than a
 shingle are one shingle; a class is named by its smallest id (null only if it has no other); rows that share an id are one
@@ -33,6 +33,8 @@ from admeridian.llm.common import drop_staged, fresh_name, staged, text_or_empty
 
 WORDS, SEED, MAX_BITS, LONG, BLOCK = 3, 42, 3, 4096, 1 << 16
 MIN_BYTES = 8 - MAX_BITS
+#: Links that one task joins to classes.
+FEW = 1 << 17
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -198,6 +200,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = staged(edges, "edges")
     now = _signature(edges)
     while now[0]:
+        if now[0] <= FEW:
+            return _joined(edges)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -213,6 +217,32 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _joined(edges: DataFrame) -> DataFrame:
+    """The same of a few links, in one task."""
+
+    def of(batches):
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not held:
+            return
+        nodes, ends = np.unique(np.stack([np.concatenate(x) for x in zip(*held, strict=True)]), return_inverse=True)
+        above = list(range(len(nodes)))
+
+        def top(x):
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        for a, b in ends.reshape(2, -1).T.tolist():
+            a, b = top(a), top(b)
+            above[max(a, b)] = min(a, b)
+        root = nodes[[top(x) for x in range(len(nodes))]]
+        other = root != nodes
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(root[other])], names=["u", "v"])
+
+    return staged(edges.select("u", "v").repartition(1).mapInArrow(of, "u long, v long"), "classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per row: ``doc_id, fp`` (the fingerprint as a signed long) and ``component_id``."""
     table = staged(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), words).alias("fp")), "fingerprints")

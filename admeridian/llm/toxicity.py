@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from admeridian.llm.common import one_by_one, staged, text_or_empty, tidy
+from admeridian.llm.common import one_by_one, small_batches, staged, text_or_empty, tidy
 
 TRAIN_ROWS, VOCABULARY, FOLDS, STEPS = 8_000, 20_000, 5, 300
 #: A word is chosen if it stands in so many documents and its share of toxic ones is so many deviations off.
@@ -168,6 +168,7 @@ def document_scores(text: Column, model: dict[str, float]) -> Column:
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted, worst, worst_score``."""
+    small_batches(docs.sparkSession)
     model = model_of(train(docs, labels, id_col, text_col))
     out = docs.select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col)) == 0).alias("held_out"), document_scores(F.col(text_col), model).alias("s"))
     return out.select("doc_id", "held_out", "s.score", (F.col("s.score") >= 0.5).cast("int").alias("predicted"), "s.worst", "s.worst_score")
@@ -175,5 +176,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score under 0.5, with all their columns."""
+    small_batches(docs.sparkSession)
     model = model_of(train(docs, labels, id_col, text_col))
     return docs.filter(document_scores(F.col(text_col), model)["score"] < 0.5)

@@ -6,7 +6,7 @@ from fractions import Fraction
 import corpus_pipeline
 import pytest
 
-from admeridian.llm import near_copies
+from admeridian.llm import near_copies, simhash
 from tests.llm.test_operators import WORD, key, lower
 
 
@@ -59,8 +59,9 @@ def reworded():
     return [(i, " ".join(w)) for i, w in enumerate(rows)]
 
 
-@pytest.mark.parametrize("long, common", [(64, 4), (4, 1), (64, 10**9)])
-def test_stage_keeps_one_of_each_similar_class(spark, sf_dir, monkeypatch, long, common):
+@pytest.mark.parametrize("long, common, few", [(64, 4, 1 << 17), (4, 1, 0), (64, 10**9, 100)])
+def test_stage_keeps_one_of_each_similar_class(spark, sf_dir, monkeypatch, long, common, few):
+    monkeypatch.setattr(simhash, "FEW", few)
     monkeypatch.setattr(near_copies, "LONG", long)
     monkeypatch.setattr(near_copies, "COMMON", common)
     rows = reworded()
