@@ -62,10 +62,30 @@ def detector_calls(votes: DataFrame, detectors: list[str]) -> DataFrame:
 
 
 def checksums(facts: DataFrame, date: str = "date") -> DataFrame:
-    """Rows and an order-free content sum of each day."""
-    columns = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(facts.columns)]
-    part = F.conv(F.substring(F.md5(F.concat_ws("|", *columns)), 1, 8), 16, 10).cast("long")
-    return facts.groupBy(F.col(date).cast("date").alias("date")).agg(F.count("*").alias("n_rows"), F.sum(part).alias("content"))
+    """Rows and an order-free content sum of each day. A field is told from its neighbours by its length, null from the empty text."""
+    text = lambda c: F.col(c).cast("string")
+    fields = [F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in sorted(facts.columns)]
+    part = F.conv(F.substring(F.md5(F.concat(*fields)), 1, 15), 16, 10).cast("decimal(20,0)")
+    return facts.groupBy(F.col(date).cast("date").alias("date")).agg(F.count("*").alias("n_rows"), F.sum(part).cast("string").alias("content"))
+
+
+def checksums_of(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(table_name, date, n_rows, content) over several tables; each comes with the column that dates its rows."""
+    out = None
+    for name, (rows, date) in tables.items():
+        one = checksums(rows, date).select(F.lit(name).alias("table_name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def flagged(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The checksums of a run with what the run before had of the same table and day, and whether its content has changed. A day that
+    is new has not changed, one that is gone has no content."""
+    old = before.select("table_name", F.col("date").alias("_date"), F.col("n_rows").alias("n_before"), F.col("content").alias("previous"))
+    same = (after["table_name"] == old["table_name"]) & after["date"].eqNullSafe(old["_date"])
+    rows = after.join(old, same, "full_outer")
+    changed = F.col("previous").isNotNull() & ~F.col("content").eqNullSafe(F.col("previous"))
+    return rows.select(F.coalesce(after["table_name"], old["table_name"]).alias("table_name"), F.coalesce("date", "_date").alias("date"), "n_rows", "content", "n_before", "previous", changed.alias("changed"))
 
 
 def changed_days(before: DataFrame, after: DataFrame) -> DataFrame:

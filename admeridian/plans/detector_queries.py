@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from admeridian.functions.guidance import GUIDANCE
 from admeridian.operators import changes, detectors, dimensions
 from admeridian.sources.adapters import Tables, ctes
 
@@ -43,7 +44,7 @@ QUERIES = {
     "det24_search_terms_waste": _signals(lambda t: detectors.search_terms_waste(t.search_terms)),
     "det25_vertical_cpa_benchmark": _signals(lambda t: detectors.vertical_cpa_benchmark(t.daily_metrics, t.accounts, high_multiple=1.2)),
     "det26_skip_overrides": _signals(lambda t: detectors.without_skipped(detectors.pmax_low_volume(t.daily_metrics), t.accounts)),
-    "det27_confidence": lambda spark, sf_dir: (lambda t: detectors.with_confidence(detectors.tracking_break(t.daily_metrics).unionByName(detectors.pmax_low_volume(t.daily_metrics))).groupBy("signal_type", "confidence_tier").agg(F.count("*").alias("n")))(Tables(spark, sf_dir)),
+    "det27_confidence": lambda spark, sf_dir: (lambda t: detectors.with_confidence(detectors.tracking_break(t.daily_metrics).unionByName(detectors.pmax_low_volume(t.daily_metrics))).groupBy("signal_type", "confidence_tier", "cannot_rule_out", "check_next").agg(F.count("*").alias("n"), F.count("what_we_know").alias("known")))(Tables(spark, sf_dir)),
     "det28_run_all": lambda spark, sf_dir: detectors.run_all(Tables(spark, sf_dir)).groupBy("signal_type").agg(F.count("*").alias("n"), F.countDistinct("signal_id").alias("ids")),
     "chg01_budget_capped_change": _signals(lambda t: changes.budget_capped_change(t.daily_metrics, min_delta_pp=0.03)),
     "chg02_budget_limited_is_change": _signals(lambda t: changes.budget_limited_is_change(t.daily_metrics, min_days_with_data=3, min_delta_pp=0.05)),
@@ -87,6 +88,11 @@ low AS (SELECT * FROM pm JOIN age USING (account_id, campaign_id) WHERE conv < 3
 _BREAK = """day AS (SELECT account_id, date, sum(conversions) AS conv, sum(clicks) AS clicks FROM daily_metrics, a WHERE date >= d - 14 GROUP BY ALL),
 br AS (SELECT x.account_id, x.conv, y.conv AS prior FROM day x JOIN day y ON x.account_id = y.account_id AND x.date = y.date + 1 WHERE y.conv > 5 AND x.conv < y.conv * 0.2 AND x.clicks > y.clicks * 0.7)"""
 
+def _told(kind: str) -> str:
+    quoted = ["'" + x.replace("'", "''") + "'" for x in GUIDANCE[kind]]
+    return f"{quoted[0]} AS cannot_rule_out, {quoted[1]} AS check_next"
+
+
 ORACLES = {
     "det01_tracking_break": _one("daily_metrics", f", {_BREAK} {_sig(chr(39) + 'tracking_break' + chr(39), chr(39) + 'critical' + chr(39), 'conv', 'prior * 0.2')} FROM br"),
     "det02_low_quality_score": _one("daily_metrics keyword_metrics", f"{_sig(chr(39) + 'low_quality_score' + chr(39), chr(39) + 'warning' + chr(39), 'quality_score', '5')} FROM keyword_metrics WHERE quality_score < 5 AND cost_micros > 200000000 AND impressions > 100 ORDER BY cost_micros DESC, account_id, keyword_id, keyword_metrics.campaign_id LIMIT 50"),
@@ -141,7 +147,7 @@ g AS (SELECT account_id, campaign_id, campaign_name, sum(cost_micros) AS t, sum(
 {_sig("'search_terms_waste'", "'warning'", 'w / 1e6', '100', _C)} FROM g WHERE w >= 100000000 AND w >= 0.15 * t AND k >= 30"""),
     "det25_vertical_cpa_benchmark": _one("daily_metrics accounts", f", g AS (SELECT account_id, vertical, sum(cost_micros) / nullif(sum(conversions), 0) / 1e6 AS cpa FROM daily_metrics JOIN accounts USING (account_id), a WHERE date >= d - 30 GROUP BY ALL HAVING sum(conversions) > 30 AND sum(cost_micros) > 3000000000) {_sig(chr(39) + 'vertical_cpa_benchmark' + chr(39), chr(39) + 'warning' + chr(39), 'cpa', '1.2 * (' + _BENCH + ')')} FROM g WHERE cpa > 1.2 * ({_BENCH})"),
     "det26_skip_overrides": _one("daily_metrics accounts", f", {_LOW} {_sig(chr(39) + 'pmax_low_conv_volume' + chr(39), chr(39) + 'warning' + chr(39), 'conv', '30', _C)} FROM low LEFT JOIN accounts USING (account_id) WHERE business_type IS DISTINCT FROM 'nonprofit'"),
-    "det27_confidence": _one("daily_metrics", f", {_BREAK}, {_LOW} SELECT * FROM (SELECT 'tracking_break' AS signal_type, 'CONFIRMED' AS confidence_tier, count(*) AS n FROM br UNION ALL SELECT 'pmax_low_conv_volume', 'SUGGESTIVE', count(*) FROM low) WHERE n > 0"),
+    "det27_confidence": _one("daily_metrics", f", {_BREAK}, {_LOW} SELECT *, n AS known FROM (SELECT 'tracking_break' AS signal_type, 'CONFIRMED' AS confidence_tier, {_told('tracking_break')}, count(*) AS n FROM br UNION ALL SELECT 'pmax_low_conv_volume', 'SUGGESTIVE', {_told('pmax_low_conv_volume')}, count(*) FROM low) WHERE n > 0"),
     "chg01_budget_capped_change": _pair(14, "avg(search_budget_lost_is) AS c, count(*) AS cn", "avg(search_budget_lost_is) AS p, count(*) AS pn", "cn >= 5 AND pn >= 5 AND abs(c - p) >= 0.03", _sig("'budget_capped_change'", "'info'", "c", "p", _C), "search_budget_lost_is IS NOT NULL"),
     "chg02_budget_limited_is_change": _pair(7, "avg(search_budget_lost_is) AS c, count(*) AS cn, sum(cost_micros) AS cost", "avg(search_budget_lost_is) AS p, count(*) AS pn", "cn >= 3 AND pn >= 3 AND cost >= 250000000 AND abs(c - p) >= 0.05", _sig("'budget_limited_is_change'", "'info'", "c", "p", _C), "search_budget_lost_is IS NOT NULL"),
     "chg03_pmax_low_volume_change": _pair(14, "sum(conversions) AS c, sum(cost_micros) AS cost, count(*) AS cn", "sum(conversions) AS p, count(*) AS pn", "cn >= 4 AND pn >= 4 AND cost >= 500000000 AND p > 0 AND abs(c - p) >= 5 AND abs(c - p) / p >= 0.25", _sig("'pmax_low_conv_volume_change'", "'info'", "c", "p", _C), "campaign_type = 'PERFORMANCE_MAX' AND status = 'ENABLED'"),

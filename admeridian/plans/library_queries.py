@@ -71,6 +71,16 @@ def _ledger_health(t: Library) -> DataFrame:
     return trust.health_score(ledger.broken(t.ledger, t.told), trust.changed_days(day, day), trust.irreproducible(snapshot, snapshot), trust.event_counts(log), scores)
 
 
+def _faulty_health(t: Library) -> DataFrame:
+    """After predictions have been edited and removed, facts of two days corrected, and versions edited."""
+    now = t.told.filter("prediction_id NOT LIKE '%7'").withColumn("recommendation", F.expr("CASE WHEN prediction_id LIKE '%3' THEN 'EDITED' ELSE recommendation END"))
+    d = t.facts.select("account_id", "date", "clicks")
+    after = d.withColumn("clicks", F.expr("clicks + CASE WHEN date IN (DATE '2024-02-20', DATE '2024-03-02') THEN 1 ELSE 0 END"))
+    log = t.spark.createDataFrame([], trust.EVENTS)
+    scores = operate.accuracy(t.resolutions).filter("window_days = '14' AND recommendation = 'all'").select("accuracy")
+    return trust.health_score(ledger.broken(t.ledger, now), trust.changed_days(trust.checksums(d), trust.checksums(after)), _frozen(t), trust.event_counts(log), scores)
+
+
 def _frozen(t: Library) -> DataFrame:
     """Versions of which some have been edited and one is gone."""
     frozen = trust.version_snapshot(t.catalogue, t.forecasts, t.links, 1, "none")
@@ -115,7 +125,8 @@ QUERIES = {
     "mag06_budget_cost_error": _q(lambda t: proactive.budget_cost_error(t.rows)),
     "pmt06_metric_forecast": _q(lambda t: proactive.metric_forecast(t.tagged, t.accounts, t.plain_forecasts), "account_id", "campaign_id", "change_category", "is_multi_action", "template_id", "metric", "median_delta", "mae", "n"),
     "pro01_scan": _q(lambda t: proactive.scan(t.matches)),
-    "pro02_experiments": _q(lambda t: proactive.experiments(t.tagged, t.accounts, t.forecasts, t.matches)),
+    "pro02_experiments": _q(lambda t: proactive.experiments(t.tagged, t.accounts, t.forecasts, t.matches.filter("size(split(template_id, '__')) > 4"))),  # gaps are actions that the campaign's own kind of business has not tried
+    "ver10_health_faults": _q(_faulty_health, "broken_links", "changed_days", "status"),
     "pro03_library": _q(lambda t: proactive.library_conditions(t.forecasts)),
     "ver03_resolved_once": _q(_outcomes),
     "ver04_template_links": _q(lambda t: t.links),
@@ -186,7 +197,8 @@ c3 AS (SELECT x.kind, x.cell, g.f, median(x.delta) AS med FROM c2 x, (SELECT unn
 SELECT round(avg(e) FILTER (kind = 'm'), 6) AS magnitude_cost_mae, count(*) FILTER (kind = 'm') AS magnitude_n, round(avg(e) FILTER (kind = 'c'), 6) AS category_cost_mae, count(*) FILTER (kind = 'c') AS category_n, coalesce(avg(e) FILTER (kind = 'm') < 0.15, FALSE) AS passes FROM c4"""),
     "pro01_scan": _w(_ALL, f"{_MATCH} SELECT CASE WHEN cpa <= -0.1 THEN 'recommendation' ELSE 'warning' END AS call, account_id, campaign_id, st AS pre_state, cc AS change_category, mb AS magnitude_bucket, mu AS is_multi_action, round(cpa, 6) AS cpa_median, n, template_id FROM ma WHERE cpa <= -0.1 OR cpa >= 0.1"),
     "pro02_experiments": _w(_ALL, f"""{_MATCH}, kn AS (SELECT * FROM (SELECT pre_state, change_category, magnitude_bucket, row_number() OVER (PARTITION BY pre_state, change_category ORDER BY n DESC, magnitude_bucket) AS rn FROM (SELECT pre_state, change_category, magnitude_bucket, count(*) AS n FROM li GROUP BY ALL)) WHERE rn = 1)
-SELECT pre_state, change_category AS proposed_action, magnitude_bucket AS suggested_magnitude, count(*) AS campaigns_in_gap FROM cp JOIN kn ON pre_state = st WHERE NOT EXISTS (SELECT 1 FROM ma WHERE ma.account_id = cp.account_id AND ma.campaign_id = cp.campaign_id AND ma.cc = change_category) GROUP BY ALL"""),
+SELECT pre_state, change_category AS proposed_action, magnitude_bucket AS suggested_magnitude, count(*) AS campaigns_in_gap FROM cp JOIN kn ON pre_state = st WHERE NOT EXISTS (SELECT 1 FROM ma WHERE ma.account_id = cp.account_id AND ma.campaign_id = cp.campaign_id AND ma.cc = change_category AND len(string_split(ma.template_id, '__')) > 4) GROUP BY ALL"""),
+    "ver10_health_faults": _w(_ALL, f"{_RES} SELECT (SELECT count(*) FROM pred WHERE prediction_id LIKE '%7' OR prediction_id LIKE '%3') AS broken_links, (SELECT count(DISTINCT date) FROM daily_metrics WHERE date IN (DATE '2024-02-20', DATE '2024-03-02')) AS changed_days, 'critical' AS status"),
     "pro03_library": _w(_ALL, f"{_MAGLIB}, {_PARSED} SELECT * FROM li"),
     "pmt06_metric_forecast": _w(_ALL, f"""{_per_metric(False)}, {_CURRENT}, fo AS (SELECT tid AS template_id, metric, median(delta) AS md, count(*) AS n FROM dl GROUP BY ALL), fe AS (SELECT tid AS template_id, metric, avg(err) AS mae FROM de GROUP BY ALL), lb AS (SELECT DISTINCT template_id FROM fo), ac AS (SELECT DISTINCT split_part(template_id, '__', 1) AS cc FROM lb),
 q0 AS (SELECT *, unnest([FALSE, TRUE]) AS mu FROM cp, ac), q1 AS (SELECT *, cc || '__' || CASE WHEN mu THEN 'multi' ELSE 'single' END AS pre FROM q0), q2 AS (SELECT *, unnest([1, 2, 3, 4]) AS lv, unnest([concat_ws('__', pre, bt, ve, ti, st), concat_ws('__', pre, bt, ve, st), concat_ws('__', pre, bt, st), concat_ws('__', pre, st)]) AS template_id FROM q1),

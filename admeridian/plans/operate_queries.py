@@ -91,6 +91,26 @@ def _halves(t):
     return old, new
 
 
+def _dated(t) -> dict:
+    """The four tables whose days are summed up, each with its date."""
+    return {
+        "daily_metrics": (t.daily_metrics.select("account_id", "campaign_id", "date", "clicks", "cost_micros"), "date"),
+        "change_events": (t.change_events.select("account_id", "change_id", "actor", "resource_type", F.to_date("change_timestamp").alias("date")), "date"),
+        "search_terms": (t.search_terms.select("account_id", "search_term", "clicks", "cost_micros", "window_end"), "window_end"),
+        "ga4_landing_pages": (t.ga4_landing_pages.select("account_id", "date", "landing_page", "device", "sessions"), "date"),
+    }
+
+
+def _changed(t) -> DataFrame:
+    """A second run after facts of some days have been corrected, events of one account have been lost and pages have come."""
+    tables = _dated(t)
+    before = {k: v for k, v in tables.items()} | {"ga4_landing_pages": (tables["ga4_landing_pages"][0].filter("date < DATE '2024-02-01'"), "date")}
+    after = dict(tables)
+    after["daily_metrics"] = (tables["daily_metrics"][0].withColumn("clicks", F.expr("clicks + CASE WHEN date IN (DATE '2024-02-20', DATE '2024-03-02') AND account_id = 'a3' THEN 1 ELSE 0 END")), "date")
+    after["change_events"] = (tables["change_events"][0].filter("account_id <> 'a5'"), "date")
+    return trust.flagged(trust.checksums_of(before), trust.checksums_of(after)).groupBy("table_name", "changed").agg(F.count("*").alias("days"), F.sum("n_rows").alias("n_rows"), F.sum("n_before").alias("n_before"))
+
+
 def _stored(spark, sf_dir, load):
     """The first load of daily facts as a stored table, and what ``load`` makes of it; the rows as they are stored."""
     old, new = _halves(Tables(spark, sf_dir))
@@ -134,7 +154,8 @@ QUERIES = {
     "ver02_faults": _q(_faults),
     "ver02_proofs": _q(_proofs),
     "ver06_spot_check": _q(lambda t: trust.spot_check(t.rows)),
-    "ver07_checksums": _q(lambda t: trust.checksums(t.daily_metrics.select("account_id", "campaign_id", "date", "clicks", "cost_micros"))),
+    "ver07_checksums": _q(lambda t: trust.checksums_of(_dated(t))),
+    "ver07_changed_days": _q(_changed),
     "obs05_inventory": _q(lambda t: trust.inventory({n: getattr(t, n) for n in ("accounts", "daily_metrics", "change_events", "keyword_metrics", "conversion_actions")})),
     "obs05_firing": _q(lambda t: trust.firing(t.found, ["cpa_change", "cvr_change", "cpa_spike", "tracking_break"])),
     "obs06_busiest": _q(lambda t: t.episodes.groupBy("account_id", "campaign_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "account_id", "campaign_id").limit(15)),
@@ -164,6 +185,16 @@ def _merkle(rows: str) -> str:
 
 _TOLD = f"""{_PRED}, told AS (SELECT change_date AS day, prediction_id, to_json({{'episode_id': episode_id, 'prediction_id': prediction_id, 'recommendation': rec, 'registered_at': change_date, 'template_id': tid}}) AS payload FROM pred), {_merkle('told')}"""
 _SIBLINGS = " + ".join(f"(count(DISTINCT substr(key, 1, {level + 1 if level < ledger.DEPTH else 64})) OVER (PARTITION BY day, substr(key, 1, {level})) - 1)" for level in range(ledger.DEPTH, -1, -1))
+def _part(*columns: str) -> str:
+    fields = " || ".join(f"coalesce(len(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in sorted(columns))
+    return f"('0x' || substr(md5({fields}), 1, 15))::BIGINT AS part"
+
+
+_DATED = f"""{ctes('daily_metrics', 'change_events', 'search_terms', 'ga4_landing_pages')}, dated AS (
+SELECT 'daily_metrics' AS table_name, date, {_part('account_id', 'campaign_id', 'date', 'clicks', 'cost_micros')} FROM daily_metrics
+UNION ALL SELECT 'change_events', date, {_part('account_id', 'change_id', 'actor', 'resource_type', 'date')} FROM (SELECT *, CAST(change_timestamp AS DATE) AS date FROM change_events)
+UNION ALL SELECT 'search_terms', window_end, {_part('account_id', 'search_term', 'clicks', 'cost_micros', 'window_end')} FROM search_terms
+UNION ALL SELECT 'ga4_landing_pages', date, {_part('account_id', 'date', 'landing_page', 'device', 'sessions')} FROM ga4_landing_pages)"""
 _DM = "WITH " + ctes("daily_metrics")
 ORACLES = {
     "ops01_register": _w(_ALL, f"{_PRED} SELECT prediction_id, tid AS template_id, episode_id, state, mode AS prediction_direction, round(med, 6) AS prediction_magnitude, round(nm, 6) AS natural_magnitude, round(cost, 6) AS action_cost, rec AS recommendation FROM pred"),
@@ -175,7 +206,12 @@ ORACLES = {
     "bkt01_rolling_origin": _w(_ALL, f"{_ROWS}, cu AS (SELECT CAST(unnest(generate_series(lo + 7, hi, INTERVAL 7 DAY)) AS DATE) AS cutoff FROM (SELECT min(change_date) AS lo, max(change_date) AS hi FROM tr)), ctr AS (SELECT cutoff, tr.* FROM tr, cu WHERE change_date < cutoff), en AS (SELECT cutoff FROM ctr GROUP BY ALL HAVING count(*) >= 50), btr AS (SELECT ctr.* FROM ctr SEMI JOIN en USING (cutoff)), bte AS (SELECT cutoff, tr.* FROM tr, en WHERE change_date >= cutoff AND change_date < cutoff + 7), {_held('cutoff', 'btr', 'bte')} SELECT CAST(cutoff AS VARCHAR) AS cutoff, count(*) AS matched, round(avg(ok), 6) AS accuracy FROM told GROUP BY ALL"),
     "ver02_faults": _w(_ALL, f"{_PRED} SELECT CAST(change_date AS VARCHAR) AS day, CASE WHEN prediction_id LIKE '%7' THEN 'gone' ELSE 'payload' END AS reason, count(*) AS n FROM pred WHERE prediction_id LIKE '%7' OR prediction_id LIKE '%3' GROUP BY ALL"),
     "ver02_proofs": _w(_ALL, f"{_TOLD} SELECT prediction_id, prediction_id NOT LIKE '%3' AS proven, 1 + {_SIBLINGS} AS n_hashes FROM lf WHERE day >= DATE '2024-02-12' AND day < DATE '2024-02-19'"),
-    "ver07_checksums": f"{_DM} SELECT CAST(date AS VARCHAR) AS date, count(*) AS n_rows, CAST(sum(('0x' || substr(md5(concat_ws('|', account_id, campaign_id, CAST(clicks AS VARCHAR), CAST(cost_micros AS VARCHAR), CAST(date AS VARCHAR))), 1, 8))::BIGINT) AS BIGINT) AS content FROM daily_metrics GROUP BY 1",
+    "ver07_checksums": f"WITH {_DATED} SELECT table_name, CAST(date AS VARCHAR) AS date, count(*) AS n_rows, CAST(sum(part) AS VARCHAR) AS content FROM dated GROUP BY ALL",
+    "ver07_changed_days": f"""WITH {_DATED}, ev AS (SELECT CAST(change_timestamp AS DATE) AS date, count(*) AS n, count(*) FILTER (account_id <> 'a5') AS n1 FROM change_events GROUP BY ALL),
+d AS (SELECT 'daily_metrics' AS table_name, date, count(*) AS n_rows, count(*) AS n_before, count(*) FILTER (account_id = 'a3' AND date IN (DATE '2024-02-20', DATE '2024-03-02')) > 0 AS changed FROM daily_metrics GROUP BY date
+  UNION ALL SELECT 'change_events', date, CASE WHEN n1 > 0 THEN n1 END, n, n1 < n FROM ev UNION ALL SELECT 'search_terms', window_end, count(*), count(*), FALSE FROM search_terms GROUP BY window_end
+  UNION ALL SELECT 'ga4_landing_pages', date, count(*), CASE WHEN date < DATE '2024-02-01' THEN count(*) END, FALSE FROM ga4_landing_pages GROUP BY date)
+SELECT table_name, changed, count(*) AS days, CAST(sum(n_rows) AS BIGINT) AS n_rows, CAST(sum(n_before) AS BIGINT) AS n_before FROM d GROUP BY ALL""",
     "obs05_inventory": f"WITH {ctes('accounts', 'daily_metrics', 'change_events', 'keyword_metrics', 'conversion_actions')} " + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows, count(DISTINCT account_id) AS n_accounts FROM {n}" for n in ("accounts", "daily_metrics", "change_events", "keyword_metrics", "conversion_actions")),
     "snk01_stored_days": f"{_DM} SELECT account_id, campaign_id, CAST(date AS VARCHAR) AS date, clicks + (date >= DATE '2024-02-12')::INT AS clicks, 1 + (date >= DATE '2024-02-12')::INT AS loaded FROM daily_metrics WHERE date < DATE '2024-03-08'",
     "snk02_stored_insert": f"{_DM} SELECT account_id, campaign_id, CAST(date AS VARCHAR) AS date, clicks + (date >= DATE '2024-03-01')::INT AS clicks, 1 + (date >= DATE '2024-03-01')::INT AS loaded FROM daily_metrics",
