@@ -6,7 +6,7 @@ Everything is set-based: bundles are one aggregate of the event log; the days ar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from admeridian.functions.config import case
@@ -77,11 +77,15 @@ def window_metrics(rows: DataFrame, daily: DataFrame) -> DataFrame:
 
 
 def confounded(rows: DataFrame) -> DataFrame:
-    """episode_id of bundles with another bundle of the same campaign within the week that pulls a lever of its own."""
-    a = rows.select("episode_id", "account_id", "campaign_id", "change_date", "categories")
-    b = rows.select(F.col("episode_id").alias("other_id"), "account_id", "campaign_id", F.col("change_date").alias("other_date"), F.col("categories").alias("other"))
-    near = F.col("other_date").between(F.col("change_date"), F.date_add("change_date", POST - 1))
-    return a.join(b, ["account_id", "campaign_id"]).filter(near & (F.col("episode_id") != F.col("other_id")) & (F.size(F.array_except("other", "categories")) > 0)).select("episode_id").distinct()
+    """episode_id of bundles with another bundle of the same campaign within the week that pulls a lever of its own. The levers of a
+    campaign's day are one set, those of a week the union of its days': no two bundles are ever paired."""
+    kinds = sorted({*CATEGORY.values(), "other"})
+    bits = sum((F.when(F.array_contains("categories", c), F.lit(1 << i)).otherwise(0) for i, c in enumerate(kinds)), F.lit(0))
+    own = rows.select("episode_id", "account_id", "campaign_id", "change_date", bits.alias("own"))
+    days = own.groupBy("account_id", "campaign_id", "change_date").agg(F.bit_or("own").alias("day"))
+    week = Window.partitionBy("account_id", "campaign_id").orderBy(F.unix_date("change_date")).rangeBetween(0, POST - 1)
+    days = days.withColumn("week", F.bit_or("day").over(week))
+    return own.join(days, ["account_id", "campaign_id", "change_date"]).filter(F.col("week").bitwiseAND(F.bitwise_not("own")) != 0).select("episode_id")
 
 
 def _outcome(rows: DataFrame) -> DataFrame:

@@ -99,11 +99,27 @@ def page_texts(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def property_map(accounts: DataFrame, properties: DataFrame) -> DataFrame:
-    """account_id, ga4_property, match_method: by equal host, else by at least two shared words of four letters or more."""
-    a = accounts.select("account_id", host(F.col("website_url")).alias("host"), F.array_distinct(F.regexp_extract_all(F.lower("account_name"), F.lit("[a-z0-9]{4,}"), F.lit(0))).alias("words"))
-    p = properties.select("ga4_property", host(F.col("url")).alias("host"), F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit("[a-z0-9]{4,}"), F.lit(0))).alias("words"))
+    """account_id, ga4_property, match_method: by equal host, else by at least two shared words of four letters or more (most shared
+    words first, then the smallest property).
+
+    Of two shared words at most one is the commonest of its name, so names meet on all of their words but the commonest; a word that
+    stands in every name brings no two names together. Pairs that meet are then held against all their words."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{4,}"), F.lit(0))).alias("words")
+    a = accounts.select("account_id", host(F.col("website_url")).alias("host"), words("account_name"))
+    p = properties.select("ga4_property", host(F.col("url")).alias("host"), words("name"))
     exact = a.filter("host IS NOT NULL").join(p.select("host", "ga4_property"), "host").groupBy("account_id").agg(F.min("ga4_property").alias("exact"))
-    shared = a.join(exact, "account_id", "left_anti").select("account_id", F.explode("words").alias("w")).join(p.select("ga4_property", F.explode("words").alias("w")), "w").groupBy("account_id", "ga4_property").agg(F.count("*").alias("n")).filter("n >= 2")
+    a_words, p_words = a.join(exact, "account_id", "left_anti").select("account_id", "words"), p.select("ga4_property", "words")
+    often = a_words.select(F.explode("words").alias("w")).unionByName(p_words.select(F.explode("words").alias("w"))).groupBy("w").agg(F.count("*").alias("n"))
+
+    def rarer(rows: DataFrame, key: str) -> DataFrame:
+        """(key, w): all words but the commonest; of equals the last by name counts as commoner."""
+        found = rows.select(key, F.explode("words").alias("w")).join(often, "w")
+        top = found.groupBy(key).agg(F.max(F.struct("n", "w"))["w"].alias("top"))
+        return found.join(top, key).filter("w <> top").select(key, "w")
+
+    met = rarer(a_words, "account_id").join(rarer(p_words, "ga4_property"), "w").select("account_id", "ga4_property").distinct()
+    n = F.size(F.array_intersect("words", "p_words"))
+    shared = met.join(a_words, "account_id").join(p_words.withColumnRenamed("words", "p_words"), "ga4_property").withColumn("n", n).filter("n >= 2")
     best = shared.groupBy("account_id").agg(F.min_by("ga4_property", F.struct(-F.col("n"), "ga4_property")).alias("fuzzy"))
     rows = a.select("account_id").join(exact, "account_id", "left").join(best, "account_id", "left")
     return rows.select("account_id", F.coalesce("exact", "fuzzy").alias("ga4_property"), F.when(F.col("exact").isNotNull(), "domain").when(F.col("fuzzy").isNotNull(), "name").otherwise("unmatched").alias("match_method"))

@@ -31,11 +31,19 @@ QUERIES = {
     "nrm14_landing_pages": _q(lambda t: N.landing_pages(t.ga4_landing_pages.withColumns({"day": F.date_format("date", "yyyyMMdd"), "device": F.upper("device"), "landing_page": F.regexp_replace("landing_page", "[34]$", "/?q=1")}).drop("date"))),
     "nrm18_property_health": _q(lambda t: N.property_health(t.ga4_landing_pages, t.ga4_landing_pages.select(F.concat("ga4_property", F.expr("CASE WHEN device = 'tablet' THEN 'x' ELSE '' END")).alias("ga4_property")), 0.5)),
     "nrm19_page_texts": _q(lambda t: N.page_texts(t.pages).select("page_id", "title")),
-    "nrm20_property_map": _q(lambda t: N.property_map(t.accounts.withColumn("account_name", F.concat(F.lit("north wind "), "vertical")), t.accounts.select(F.concat(F.lit("p"), F.substring("account_id", 2, 9)).alias("ga4_property"), F.expr("CASE WHEN account_id LIKE '%1' THEN website_url ELSE '' END").alias("url"), F.concat(F.lit("north gate "), "vertical").alias("name"))).groupBy("match_method").agg(F.count("*").alias("n"))),
+    "nrm20_property_map": _q(lambda t: N.property_map(t.accounts.withColumn("account_name", F.concat(F.lit("north "), F.element_at(F.array(F.lit("wind"), F.lit("gate"), F.lit("river side")), F.substring("account_id", 2, 9).cast("int") % 3 + 1), F.lit(" "), "vertical")), t.accounts.select(F.concat(F.lit("p"), F.substring("account_id", 2, 9)).alias("ga4_property"), F.expr("CASE WHEN account_id LIKE '%1' THEN website_url ELSE '' END").alias("url"), F.concat(F.lit("north gate "), "vertical").alias("name")))),
 }
 
 _K = f"WITH {ctes('keyword_metrics')}"
+_HOST = "regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce({0}, ''))), '^[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', ''), '^www[.]', '')"
+_KNOWN_HOST = f"CASE WHEN {_HOST} <> '' AND contains({_HOST}, '.') AND {_HOST} NOT IN ({', '.join(repr(x) for x in sorted(N.IGNORED_HOSTS))}) THEN {_HOST} END"
+_WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]{{4,}}'))"
 ORACLES = {
+    "nrm20_property_map": f"""WITH {ctes('accounts')}, a AS (SELECT account_id, {_KNOWN_HOST.format('website_url')} AS host, {_WORDS.format("'north ' || ['wind', 'gate', 'river side'][CAST(substr(account_id, 2) AS INT) % 3 + 1] || ' ' || vertical")} AS words FROM accounts),
+p AS (SELECT 'p' || substr(account_id, 2) AS ga4_property, {_KNOWN_HOST.format("CASE WHEN account_id LIKE '%1' THEN website_url ELSE '' END")} AS host, {_WORDS.format("'north gate ' || vertical")} AS words FROM accounts),
+ex AS (SELECT account_id, min(ga4_property) AS exact FROM a JOIN p USING (host) GROUP BY ALL), sh AS (SELECT account_id, ga4_property, len(list_intersect(a.words, p.words)) AS n FROM a, p WHERE len(list_intersect(a.words, p.words)) >= 2),
+be AS (SELECT account_id, ga4_property AS fuzzy FROM sh QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY n DESC, ga4_property) = 1)
+SELECT account_id, coalesce(exact, fuzzy) AS ga4_property, CASE WHEN exact IS NOT NULL THEN 'domain' WHEN fuzzy IS NOT NULL THEN 'name' ELSE 'unmatched' END AS match_method FROM a LEFT JOIN ex USING (account_id) LEFT JOIN be USING (account_id)""",
     "nrm01_daily": f"WITH {ctes('daily_metrics')} SELECT CASE campaign_type WHEN 'SHOPPING' THEN 'PERFORMANCE_MAX' WHEN 'PERFORMANCE_MAX' THEN 'UNKNOWN' ELSE campaign_type END AS campaign_type, bidding_strategy, 0::BIGINT AS daily_budget_micros, count(*) AS n, count(search_budget_lost_is) AS n_lost FROM daily_metrics GROUP BY ALL",
     "nrm03_change_events": "SELECT 'a' || o_custkey AS account_id, substr(sha256('a' || o_custkey || ':' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ':r/' || o_orderkey), 1, 16) AS change_id, CAST(o_custkey % 12 AS VARCHAR) AS campaign_id, CASE WHEN o_orderkey % 3 = 0 THEN 'auto_applied' WHEN o_orderstatus = 'F' THEN 'human' ELSE 'unknown' END AS actor, CASE WHEN o_orderstatus = 'F' THEN 'x@example.com' ELSE '' END AS actor_email FROM orders",
     "nrm05_assets": f"{_K} SELECT account_id, campaign_id, match_type AS asset_type, count(*) AS asset_count FROM keyword_metrics GROUP BY ALL",
