@@ -6,18 +6,18 @@ from admeridian.operators import classifier
 
 SCHEMA = "account_id string, account_name string, website_url string, campaigns string, shopping int, app int, categories map<string,long>, title string, description string"
 CASES = {
-    "smart home, no pets": (("LOCKLY", "", "202411 - Shopify - Search - Competitor Keywords", 0, 0, {"PURCHASE": 1, "PAGE_VIEW": 1, "SUBMIT_LEAD_FORM": 1}), {"ecommerce"}, "smart_home"),
-    "tutors": (("Prep For Success Tutors", "", "CL - Performance Max - LSAT Tutors Search - Non-Brand - LSAT", 0, 0, {"CONVERTED_LEAD": 1, "BOOK_APPOINTMENT": 2, "PHONE_CALL_LEAD": 1, "CONTACT": 1}), {"lead_gen"}, "education_test_prep"),
-    "exchange app": (("Binance.US", "", "HM_APP_Android_first_deposit (v1) HM_SNO_NB_Buy Crypto", 0, 1, {"DOWNLOAD": 2, "PURCHASE": 3}), {"app"}, "fintech_crypto"),
-    "cart is no car": (("JECT", "", "Comma8_AddToCart_Miami_PMax", 0, 0, {"PURCHASE": 1, "DEFAULT": 1, "PHONE_CALL_LEAD": 2}), {"ecommerce", "lead_gen"}, ""),
-    "known brand": (("MacKenzie-Childs", "", "HM_PMX_Branded_ShopOnly", 0, 0, {"PHONE_CALL_LEAD": 1, "PAGE_VIEW": 1, "CONTACT": 1}), {"ecommerce"}, "home_goods"),
-    "country clubs": (("Invited, USA", "", "club:ALISO VIEJO COUNTRY CLUB_id:01401_div:GCC", 0, 0, {"SUBMIT_LEAD_FORM": 3}), {"lead_gen"}, "hospitality_country_club"),
-    "collectibles": (("Funko", "", "US | DTC | Funko | Anime | Blended | Pmax", 0, 1, {"PAGE_VIEW": 1, "SUBSCRIBE_PAID": 1, "DEFAULT": 1}), {"ecommerce"}, "collectibles"),
-    "grant": (("LACMA - Grant", "", "LACMA Awareness", 0, 0, {"SIGNUP": 1, "SUBMIT_LEAD_FORM": 1}), {"nonprofit"}, "nonprofit"),
+    "home, not pets": (("Doorwise", "", "Spring 7 / smart lock / generic", 0, 0, {"PURCHASE": 2, "PAGE_VIEW": 3}), {"ecommerce"}, "smart_home"),
+    "tutors": (("Quill and Slate Tutors", "", "MCAT tutor - generic - search", 0, 0, {"CONVERTED_LEAD": 2, "BOOK_APPOINTMENT": 1, "PHONE_CALL_LEAD": 2}), {"lead_gen"}, "education_test_prep"),
+    "exchange app": (("Kraken North", "", "app_ios_first_deposit bitcoin", 0, 1, {"DOWNLOAD": 3, "PURCHASE": 1}), {"app"}, "fintech_crypto"),
+    "cart is no car": (("ZQX", "", "Wave2_AddToCart_Leeds", 0, 0, {"PURCHASE": 1, "DEFAULT": 2, "PHONE_CALL_LEAD": 2}), {"ecommerce", "lead_gen"}, ""),
+    "decor": (("Hearthmoss Home Decor", "", "branded shop", 0, 0, {"PHONE_CALL_LEAD": 1, "PAGE_VIEW": 2}), {"ecommerce"}, "home_goods"),
+    "country clubs": (("Fernhollow Group", "", "area:FERNHOLLOW COUNTRY CLUB_nr:77_tee time", 0, 0, {"SUBMIT_LEAD_FORM": 4}), {"lead_gen"}, "hospitality_country_club"),
+    "collectibles": (("Tin Heron Toys", "", "EU | figures | blended", 0, 1, {"PAGE_VIEW": 2, "DEFAULT": 1}), {"ecommerce"}, "collectibles"),
+    "grant": (("Old Mill Museum - Grant", "", "Old Mill visits", 0, 0, {"SIGNUP": 1, "SUBMIT_LEAD_FORM": 1}), {"nonprofit"}, "nonprofit"),
     "nothing": ((None, None, None, None, None, None), {"unknown"}, ""),
-    "address": (("Some Ambiguous Brand", "binance.us", "", 0, 0, {"PURCHASE": 1}), {"app"}, "fintech_crypto"),
-    "hyphens": (("Some Brand", "better-life-partners.com", "", 0, 0, {"BOOK_APPOINTMENT": 1}), {"lead_gen"}, ""),
-    "lock address": (("Anonymous Brand", "lockly.com", "", 0, 0, {"PURCHASE": 1}), {"ecommerce"}, "smart_home"),
+    "address": (("Unclear Trading Name", "coinbase-mirror.example", "", 0, 0, {"PURCHASE": 1}), {"app"}, "fintech_crypto"),
+    "hyphens": (("Plain Name", "three-oak-partners.example", "", 0, 0, {"BOOK_APPOINTMENT": 1}), {"lead_gen"}, ""),
+    "part of an address": (("Plain Name", "northskincare.example", "", 0, 0, {"PURCHASE": 1}), {"ecommerce"}, "beauty"),
 }
 
 
@@ -34,12 +34,13 @@ def test_case(found, case):
 
 
 def test_trace_and_confidence(found):
-    assert any("NAME[" in x for x in found["smart home, no pets"].rule_trace) and any("CONV[PURCHASE" in x for x in found["smart home, no pets"].rule_trace)
+    assert any("CAMP[" in x for x in found["home, not pets"].rule_trace) and any("CONV[PURCHASE" in x for x in found["home, not pets"].rule_trace)
+    assert any("NAME[" in x for x in found["tutors"].rule_trace)
     assert any("URL[" in x for x in found["address"].rule_trace) and found["nothing"].confidence == 0.0
 
 
 def test_override_wins(spark):
-    rows = spark.createDataFrame([("x", "Binance", None, None, None, None, None, None, None)], SCHEMA)
+    rows = spark.createDataFrame([("x", "Kraken North", None, None, None, None, None, None, None)], SCHEMA)
     over = spark.createDataFrame([("x", "saas", "software")], "account_id string, business_type string, vertical string")
     r = classifier.classify(rows, over).first()
     assert (r.business_type, r.vertical, r.confidence, r.rule_trace) == ("saas", "software", 1.0, ["OVERRIDE"])

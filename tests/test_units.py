@@ -1,6 +1,7 @@
 """Edge cases and numeric references of single operators."""
 
 import datetime as dt
+import json
 import math
 import random
 import statistics
@@ -10,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from admeridian.functions import stats
-from admeridian.operators import changes, detectors, episodes, refinement, templates, trends, web
+from admeridian.functions.guidance import GUIDANCE
+from admeridian.operators import changes, detectors, episodes, normalise, observe, refinement, templates, trends, web
 from admeridian.operators.reads import template_conditions
 from admeridian.operators.simulate import account_samples
 from admeridian.sources.tables import insert_ignore, upsert_replace
@@ -121,6 +123,52 @@ def test_bundles_confounders_and_scopes(spark):
     assert got["c1", 16, "human"].outcome == "improved" and got["c2", 21, "x"].change_category == "other"
 
 
+def test_confounders_of_a_busy_campaign(spark):
+    rng = random.Random(8)
+    kinds = ["budget", "bidding", "asset", "structure"]
+    rows = [(f"e{i}", "a", "c" if i % 3 else "d", D0 + dt.timedelta(rng.randrange(40)), sorted(rng.sample(kinds, rng.choice([1, 1, 2])))) for i in range(60)]
+    rows += [(f"q{i}", "a", "quiet", D0 + dt.timedelta(3 * i), ["budget"]) for i in range(20)] + [("far", "a", "quiet", D0 + dt.timedelta(90), ["asset"])]
+    want = {a for a, k, c, d, own in rows for b, k2, c2, d2, other in rows if a != b and (k, c) == (k2, c2) and 0 <= (d2 - d).days < 7 and set(other) - set(own)}
+    table = spark.createDataFrame(rows, "episode_id string, account_id string, campaign_id string, change_date date, categories array<string>")
+    assert {r.episode_id for r in episodes.confounded(table).collect()} == want and 0 < len(want) < len(rows) - 20
+    plan = episodes.confounded(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "array_except" not in plan
+    many = spark.range(100_000).selectExpr("concat('e', id) AS episode_id", "'a' AS account_id", "'hot' AS campaign_id", "date_add(DATE '2024-01-01', CAST(id % 300 AS INT)) AS change_date", "IF(id % 2 = 0, array('budget'), array('asset')) AS categories")
+    assert episodes.confounded(many).count() == 100_000 - 333  # nothing follows the last day
+
+
+def test_property_map_by_shared_words(spark):
+    rng = random.Random(9)
+    words = ["north", *[f"word{i}" for i in range(12)]]
+    name = lambda: " ".join(["north", *rng.sample(words[1:], rng.randrange(4))])
+    a = [(f"a{i}", name(), "shop%d.example.com" % i if i % 4 == 0 else None) for i in range(40)]
+    p = [(f"p{i}", name(), "https://www.shop%d.example.com/x" % i if i % 8 == 0 else "") for i in range(40)]
+    p.append(("p99", None, None))
+    hosts, want = {u.split("//www.")[1].split("/")[0]: k for k, _, u in p if u}, {}
+    for k, n, u in a:
+        if u in hosts:
+            want[k] = (hosts[u], "domain")
+            continue
+        scored = sorted((-len(set(n.split()) & set((m or "").split())), q) for q, m, _ in p)
+        want[k] = (scored[0][1], "name") if scored[0][0] <= -2 else (None, "unmatched")
+    got = normalise.property_map(spark.createDataFrame(a, "account_id string, account_name string, website_url string"), spark.createDataFrame(p, "ga4_property string, name string, url string"))
+    assert {r.account_id: (r.ga4_property, r.match_method) for r in got.collect()} == want
+
+
+def test_bundle_pages_hold_every_signal(spark):
+    accounts = spark.createDataFrame([("a", "x"), ("b", "y")], "account_id string, vertical string")
+    summary = spark.createDataFrame([("a", 5)], "account_id string, clicks long")
+    found = spark.range(1000).selectExpr("concat('s', id) AS signal_id", "'a' AS account_id", "'k' AS signal_type", "'info' AS severity", "'m' AS message")
+    rows = observe.account_bundles(accounts, summary, found).collect()
+    own = [json.loads(r.bundle) for r in rows if r.account_id == "a"]
+    assert sorted(x["signal_id"] for b in own for x in b["signals"]) == sorted(f"s{i}" for i in range(1000)) and len(own) == 5
+    assert [(r.part, r.n_signals) for r in rows if r.account_id == "b"] == [(0, 0)]
+
+
+def test_guidance_covers_every_known_kind():
+    assert set(detectors.TIERS) <= set(GUIDANCE)
+
+
 def test_cascade_counts_what_is_left(spark):
     def row(i, account, vertical, tier):
         return (f"e{i:03}", account, "budget", False, "saas", vertical, tier, "stable", -0.2, "improved")
