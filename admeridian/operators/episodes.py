@@ -115,6 +115,26 @@ def pre_trends(rows: DataFrame, daily: DataFrame, lookback: int = 14) -> DataFra
     return found.filter(F.col("classification").isin("improving", "declining", "rising", "falling")).select("episode_id", "slope")
 
 
+def _told(rows: DataFrame) -> dict[str, Column]:
+    """How an episode reads: what moved, what else may have moved it, and what to look at. Numbers are rounded half up."""
+    whole = lambda x: F.floor(x + 0.5).cast("long")
+    text, pre, post = F.format_string, F.col("pre_value"), F.col("post_value")
+    share = whole(100 * F.col("change"))
+    moved = (
+        F.when((F.col("pre_conversions") == 0) | (F.col("post_conversions") == 0), "too few conversions on one side to read an outcome")
+        .when(F.col("outcome_metric") == "cpa", text("cost per conversion from $%d to $%d (%d%%)", whole(pre), whole(post), share))
+        .when(F.col("outcome_metric") == "cvr", text("conversions per thousand clicks from %d to %d (%d%%)", whole(1000 * pre), whole(1000 * post), share))
+        .otherwise("neither cost per conversion nor conversion rate moved in a way that can be read")
+    )
+    several = ~F.col("known") & (F.size("categories") > 1)
+    doubts = F.array_compact(F.array(
+        F.when(F.col("external"), "another bundle on the same campaign within the week"), F.when(several, "which of its several levers did it"),
+        F.when(~F.col("trend_adjusted"), "a movement that had begun before"), F.lit("season and competition"),
+    ))
+    check = F.concat(F.when(F.col("external"), "Tell the overlapping bundles apart. ").otherwise(""), text("Look at the days before %s.", F.col("change_date").cast("string")))
+    return {"outcome_detail": moved, "cannot_rule_out": F.array_join(doubts, "; "), "check_next": check}
+
+
 def build(changes: DataFrame, daily: DataFrame) -> DataFrame:
     """All episodes with outcome, trend adjustment and confidence."""
     parts = bundles(changes, daily)
@@ -126,7 +146,7 @@ def build(changes: DataFrame, daily: DataFrame) -> DataFrame:
     adjusted = ~F.col("confounded") & F.col("outcome_metric").isNotNull() & (F.col("pre_value") >= floor) & (F.col("post_value") >= floor)
     rows = rows.withColumn("trend_adjusted", adjusted)
     slope = F.when(adjusted, F.coalesce("slope", F.lit(0.0))).otherwise(0.0)
-    rows = rows.withColumn("trend_slope", slope).drop("slope", "_external")
+    rows = rows.withColumns({"trend_slope": slope, "external": external}).drop("slope", "_external")
     rows = rows.withColumn("expected_value", F.when(adjusted, F.col("pre_value") + F.col("trend_slope") * POST).otherwise(0.0))
     net = div(F.col("post_value") - F.col("expected_value"), "pre_value")
     better = F.when(F.col("outcome_metric") == "cpa", -net).otherwise(net)
@@ -143,6 +163,7 @@ def build(changes: DataFrame, daily: DataFrame) -> DataFrame:
         .when(label.contains("creative") | label.contains("asset") | has("ad_creative") | has("asset"), "creative").otherwise("campaign_structure")
     )
     quiet = ~F.col("confounded") & (F.col("pre_conversions") != 0) & (F.col("post_conversions") != 0) & F.col("outcome_metric").isNull()
+    rows = rows.withColumns(_told(rows))
     description = F.format_string("%dx %s (%s) on %s", "change_count", "change_category", "actor", F.col("change_date").cast("string"))
     return rows.withColumns({"domain": domain, "confidence_tier": F.when(quiet, "CONFIRMED").otherwise("SUGGESTIVE"), "change_description": description})
 

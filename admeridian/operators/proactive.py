@@ -56,6 +56,28 @@ def experiments(tagged: DataFrame, accounts: DataFrame, forecasts: DataFrame, fo
     return open_.groupBy("pre_state", F.col("change_category").alias("proposed_action"), "suggested_magnitude").agg(F.count("*").alias("campaigns_in_gap"))
 
 
+def report(campaigns: DataFrame, found: DataFrame, gaps: DataFrame, top: int = 10) -> DataFrame:
+    """The report of a scan as rows: how much it covers, the strongest warnings and recommendations, and the largest gaps. ``campaigns``:
+    those whose state is known; ``found``: of ``scan``; ``gaps``: of ``experiments``."""
+    empty = {"account_id": "string", "campaign_id": "string", "change_category": "string", "magnitude_bucket": "string", "pre_state": "string", "cpa_median": "double"}
+    count = lambda df, *keys: (df.select(*keys).distinct() if keys else df).agg(F.count("*").alias("n"))
+    of = lambda call: found.filter(F.col("call") == call)
+    facts = [("campaigns scanned", count(campaigns)), ("with a recommendation", count(of("recommendation"), "account_id", "campaign_id")), ("with a warning", count(of("warning"), "account_id", "campaign_id")), ("experiments", count(gaps))]
+    parts = [df.select(F.lit("coverage").alias("section"), F.lit(i + 1).alias("place"), F.lit(name).alias("what"), "n") for i, (name, df) in enumerate(facts)]
+    for call, order in (("warning", F.desc("cpa_median")), ("recommendation", F.asc("cpa_median"))):
+        best = of(call).orderBy(order, F.desc("n"), "account_id", "campaign_id", "change_category", "magnitude_bucket", "is_multi_action").limit(top)
+        what = F.concat_ws(" ", "magnitude_bucket", "change_category", F.when(F.col("is_multi_action"), "with others"))
+        parts.append(best.select("account_id", "campaign_id", "change_category", "magnitude_bucket", "pre_state", "cpa_median", "is_multi_action", F.lit(call).alias("section"), what.alias("what"), "n"))
+    largest = gaps.orderBy(F.desc("campaigns_in_gap"), "pre_state", "proposed_action").limit(top)
+    parts.append(largest.select(F.lit("experiment").alias("section"), F.col("proposed_action").alias("change_category"), F.col("suggested_magnitude").alias("magnitude_bucket"), "pre_state", F.concat_ws(" ", "suggested_magnitude", "proposed_action").alias("what"), F.col("campaigns_in_gap").alias("n")))
+    out = parts[0].select("section", "place", "what", "n", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()])
+    for p in parts[1:]:
+        out = out.unionByName(p.drop("is_multi_action"), allowMissingColumns=True)
+    # the few rows of a section in the order above
+    w = Window.partitionBy("section").orderBy("place", F.when(F.col("section") == "warning", -F.col("cpa_median")).otherwise(F.col("cpa_median")), F.desc("n"), "account_id", "campaign_id", "pre_state", "change_category", "magnitude_bucket", "what")
+    return out.withColumn("place", F.row_number().over(w))
+
+
 def metric_forecast(tagged: DataFrame, accounts: DataFrame, forecasts: DataFrame) -> DataFrame:
     """For each campaign and action the sharpest template that has per-metric forecasts, metric by metric."""
     library = forecasts.select("template_id").distinct()

@@ -84,6 +84,7 @@ QUERIES = {
     "epi04_window_metrics": _q(lambda t: episodes.window_metrics(episodes.bundles(t.change_events, t.daily_metrics), t.daily_metrics), "episode_id", *[f"{p}_{m}" for p in ("pre", "post") for m in episodes.METRICS]),
     "epi05_confounded": _q(lambda t: episodes.confounded(episodes.bundles(t.change_events, t.daily_metrics))),
     "epi06_07_outcomes": _q(lambda t: t.episodes, "episode_id", "confounded", "outcome_metric", "raw_outcome", "raw_magnitude", "trend_adjusted", "trend_slope", "expected_value", "outcome", "adjusted_magnitude", "trend_contribution_pct"),
+    "epi08_texts": _q(lambda t: t.episodes, "episode_id", "outcome_detail", "cannot_rule_out", "check_next"),
     "epi08_domains": _q(lambda t: t.episodes, "episode_id", "domain", "confidence_tier"),
     "epi09_cards": _q(lambda t: episodes.cards(t.episodes, t.accounts), "change_category", "actor", "n", "accounts", "improved", "degraded", "neutral", "avg_improve", "avg_degrade", "confidence"),
     "sgl04_segments": _q(lambda t: segment_learning.enumerate_segments(t.clean)),
@@ -297,6 +298,12 @@ ORACLES = {
     "epi04_window_metrics": _w(_ALL, f"{_BUNDLES}, {_METRICS} SELECT episode_id, {', '.join(f'{p}_{m}' for p in ('pre', 'post') for m in episodes.METRICS)} FROM em"),
     "epi05_confounded": _w(_ALL, f"{_BUNDLES}, {_CONF} SELECT * FROM conf"),
     "epi06_07_outcomes": _w(_ALL, f"{_EPISODES} SELECT episode_id, confounded, outcome_metric, raw_outcome, round(abs(chg), 6) AS raw_magnitude, adj AS trend_adjusted, round(slope, 6) AS trend_slope, round(expv, 6) AS expected_value, outcome, round(magnitude, 6) AS adjusted_magnitude, round(share, 6) AS trend_contribution_pct FROM ep"),
+    "epi08_texts": _w(_ALL, f"""{_EPISODES} SELECT episode_id, CASE WHEN pre_conversions = 0 OR post_conversions = 0 THEN 'too few conversions on one side to read an outcome'
+  WHEN outcome_metric = 'cpa' THEN 'cost per conversion from $' || CAST(floor(pv + 0.5) AS BIGINT) || ' to $' || CAST(floor(qv + 0.5) AS BIGINT) || ' (' || CAST(floor(100 * chg + 0.5) AS BIGINT) || '%)'
+  WHEN outcome_metric = 'cvr' THEN 'conversions per thousand clicks from ' || CAST(floor(1000 * pv + 0.5) AS BIGINT) || ' to ' || CAST(floor(1000 * qv + 0.5) AS BIGINT) || ' (' || CAST(floor(100 * chg + 0.5) AS BIGINT) || '%)'
+  ELSE 'neither cost per conversion nor conversion rate moved in a way that can be read' END AS outcome_detail,
+concat_ws('; ', CASE WHEN episode_id IN (SELECT episode_id FROM conf) THEN 'another bundle on the same campaign within the week' END, CASE WHEN NOT known AND len(cats) > 1 THEN 'which of its several levers did it' END, CASE WHEN NOT adj THEN 'a movement that had begun before' END, 'season and competition') AS cannot_rule_out,
+CASE WHEN episode_id IN (SELECT episode_id FROM conf) THEN 'Tell the overlapping bundles apart. ' ELSE '' END || 'Look at the days before ' || CAST(change_date AS VARCHAR) || '.' AS check_next FROM ep"""),
     "epi08_domains": _w(_ALL, f"{_EPISODES} SELECT CASE WHEN list_contains(cats, 'budget') OR change_category LIKE '%budget%' OR change_category LIKE '%bidding%' THEN 'bidding_strategy' WHEN list_contains(cats, 'targeting_keyword') OR change_category LIKE '%targeting%' THEN 'non_branded_search' WHEN list_contains(cats, 'ad_creative') OR change_category LIKE '%creative%' THEN 'creative' ELSE 'campaign_structure' END AS domain, CASE WHEN NOT confounded AND pre_conversions <> 0 AND post_conversions <> 0 AND outcome_metric IS NULL THEN 'CONFIRMED' ELSE 'SUGGESTIVE' END AS confidence_tier, count(*) AS n FROM ep GROUP BY ALL"),
     "epi09_cards": _w(_ALL, f"{_EPISODES}, ca AS (SELECT change_category, count(*) AS n, count(DISTINCT account_id) AS accounts, count(*) FILTER (outcome = 'improved') AS improved, count(*) FILTER (outcome = 'degraded') AS degraded, count(*) FILTER (outcome = 'neutral') AS neutral, round(coalesce(avg(magnitude) FILTER (outcome = 'improved'), 0), 6) AS avg_improve, round(coalesce(avg(magnitude) FILTER (outcome = 'degraded'), 0), 6) AS avg_degrade, CASE WHEN count(*) FILTER (actor = 'human') > count(*) FILTER (actor = 'auto_applied') THEN 'human' ELSE 'auto_applied' END AS actor FROM ep WHERE outcome <> 'confounded' GROUP BY change_category HAVING count(*) >= 10) SELECT *, CASE WHEN n >= 30 AND accounts >= 8 THEN 'RELIABLE' WHEN accounts >= 4 THEN 'DIRECTIONAL' ELSE 'LOW' END AS confidence FROM ca"),
     "sgl04_segments": _w(_ALL, f"{_EPISODES}, {_CLEAN} SELECT dimension, value, count(DISTINCT account_id) AS n_accounts, count(*) AS n_episodes FROM sl1 GROUP BY ALL HAVING count(DISTINCT account_id) >= 3"),

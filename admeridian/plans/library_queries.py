@@ -71,6 +71,11 @@ def _ledger_health(t: Library) -> DataFrame:
     return trust.health_score(ledger.broken(t.ledger, t.told), trust.changed_days(day, day), trust.irreproducible(snapshot, snapshot), trust.event_counts(log), scores)
 
 
+def _proactive_report(t: Library) -> DataFrame:
+    own = t.matches.filter("size(split(template_id, '__')) > 4")
+    return proactive.report(proactive._campaigns(t.tagged, t.accounts), proactive.scan(t.matches), proactive.experiments(t.tagged, t.accounts, t.forecasts, own))
+
+
 def _faulty_health(t: Library) -> DataFrame:
     """After predictions have been edited and removed, facts of two days corrected, and versions edited."""
     now = t.told.filter("prediction_id NOT LIKE '%7'").withColumn("recommendation", F.expr("CASE WHEN prediction_id LIKE '%3' THEN 'EDITED' ELSE recommendation END"))
@@ -126,6 +131,7 @@ QUERIES = {
     "pmt06_metric_forecast": _q(lambda t: proactive.metric_forecast(t.tagged, t.accounts, t.plain_forecasts), "account_id", "campaign_id", "change_category", "is_multi_action", "template_id", "metric", "median_delta", "mae", "n"),
     "pro01_scan": _q(lambda t: proactive.scan(t.matches)),
     "pro02_experiments": _q(lambda t: proactive.experiments(t.tagged, t.accounts, t.forecasts, t.matches.filter("size(split(template_id, '__')) > 4"))),  # gaps are actions that the campaign's own kind of business has not tried
+    "snk05_proactive_report": _q(_proactive_report, "section", "place", "what", "n", "campaign_id", "pre_state", "cpa_median"),
     "ver10_health_faults": _q(_faulty_health, "broken_links", "changed_days", "status"),
     "pro03_library": _q(lambda t: proactive.library_conditions(t.forecasts)),
     "ver03_resolved_once": _q(_outcomes),
@@ -198,6 +204,15 @@ SELECT round(avg(e) FILTER (kind = 'm'), 6) AS magnitude_cost_mae, count(*) FILT
     "pro01_scan": _w(_ALL, f"{_MATCH} SELECT CASE WHEN cpa <= -0.1 THEN 'recommendation' ELSE 'warning' END AS call, account_id, campaign_id, st AS pre_state, cc AS change_category, mb AS magnitude_bucket, mu AS is_multi_action, round(cpa, 6) AS cpa_median, n, template_id FROM ma WHERE cpa <= -0.1 OR cpa >= 0.1"),
     "pro02_experiments": _w(_ALL, f"""{_MATCH}, kn AS (SELECT * FROM (SELECT pre_state, change_category, magnitude_bucket, row_number() OVER (PARTITION BY pre_state, change_category ORDER BY n DESC, magnitude_bucket) AS rn FROM (SELECT pre_state, change_category, magnitude_bucket, count(*) AS n FROM li GROUP BY ALL)) WHERE rn = 1)
 SELECT pre_state, change_category AS proposed_action, magnitude_bucket AS suggested_magnitude, count(*) AS campaigns_in_gap FROM cp JOIN kn ON pre_state = st WHERE NOT EXISTS (SELECT 1 FROM ma WHERE ma.account_id = cp.account_id AND ma.campaign_id = cp.campaign_id AND ma.cc = change_category AND len(string_split(ma.template_id, '__')) > 4) GROUP BY ALL"""),
+    "snk05_proactive_report": _w(_ALL, f"""{_MATCH}, kn AS (SELECT * FROM (SELECT pre_state, change_category, magnitude_bucket, row_number() OVER (PARTITION BY pre_state, change_category ORDER BY n DESC, magnitude_bucket) AS rn FROM (SELECT pre_state, change_category, magnitude_bucket, count(*) AS n FROM li GROUP BY ALL)) WHERE rn = 1), gp AS (SELECT pre_state, change_category AS proposed_action, magnitude_bucket AS suggested_magnitude, count(*) AS campaigns_in_gap FROM cp JOIN kn ON pre_state = st WHERE NOT EXISTS (SELECT 1 FROM ma WHERE ma.account_id = cp.account_id AND ma.campaign_id = cp.campaign_id AND ma.cc = change_category AND len(string_split(ma.template_id, '__')) > 4) GROUP BY ALL),
+sc AS (SELECT CASE WHEN cpa <= -0.1 THEN 'recommendation' ELSE 'warning' END AS section, *, concat_ws(' ', mb, cc, CASE WHEN mu THEN 'with others' END) AS what FROM ma WHERE cpa <= -0.1 OR cpa >= 0.1),
+al AS (SELECT 'coverage' AS section, 1 AS p, 'campaigns scanned' AS what, (SELECT count(*) FROM cp) AS n, NULL AS account_id, NULL AS campaign_id, NULL AS pre_state, NULL AS cpa, NULL AS cc, NULL AS mb
+  UNION ALL SELECT 'coverage', 2, 'with a recommendation', (SELECT count(DISTINCT (account_id, campaign_id)) FROM sc WHERE section = 'recommendation'), NULL, NULL, NULL, NULL, NULL, NULL
+  UNION ALL SELECT 'coverage', 3, 'with a warning', (SELECT count(DISTINCT (account_id, campaign_id)) FROM sc WHERE section = 'warning'), NULL, NULL, NULL, NULL, NULL, NULL
+  UNION ALL SELECT 'coverage', 4, 'experiments', (SELECT count(*) FROM gp), NULL, NULL, NULL, NULL, NULL, NULL
+  UNION ALL SELECT section, 0, what, n, account_id, campaign_id, st, cpa, cc, mb FROM sc QUALIFY row_number() OVER (PARTITION BY section ORDER BY CASE section WHEN 'warning' THEN -cpa ELSE cpa END, n DESC, account_id, campaign_id, cc, mb, mu) <= 10
+  UNION ALL SELECT 'experiment', 0, concat_ws(' ', suggested_magnitude, proposed_action), campaigns_in_gap, NULL, NULL, pre_state, NULL, proposed_action, suggested_magnitude FROM gp QUALIFY row_number() OVER (ORDER BY campaigns_in_gap DESC, pre_state, proposed_action) <= 10)
+SELECT section, CAST(row_number() OVER (PARTITION BY section ORDER BY p, CASE section WHEN 'warning' THEN -cpa ELSE cpa END, n DESC, account_id, campaign_id, pre_state, cc, mb, what) AS INT) AS place, what, n, campaign_id, pre_state, round(cpa, 6) AS cpa_median FROM al"""),
     "ver10_health_faults": _w(_ALL, f"{_RES} SELECT (SELECT count(*) FROM pred WHERE prediction_id LIKE '%7' OR prediction_id LIKE '%3') AS broken_links, (SELECT count(DISTINCT date) FROM daily_metrics WHERE date IN (DATE '2024-02-20', DATE '2024-03-02')) AS changed_days, 'critical' AS status"),
     "pro03_library": _w(_ALL, f"{_MAGLIB}, {_PARSED} SELECT * FROM li"),
     "pmt06_metric_forecast": _w(_ALL, f"""{_per_metric(False)}, {_CURRENT}, fo AS (SELECT tid AS template_id, metric, median(delta) AS md, count(*) AS n FROM dl GROUP BY ALL), fe AS (SELECT tid AS template_id, metric, avg(err) AS mae FROM de GROUP BY ALL), lb AS (SELECT DISTINCT template_id FROM fo), ac AS (SELECT DISTINCT split_part(template_id, '__', 1) AS cc FROM lb),
