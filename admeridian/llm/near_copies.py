@@ -122,6 +122,7 @@ def _common(sets: DataFrame) -> np.ndarray:
         for batch in batches:
             for part in _in_parts(_binaries(batch.column(0)), len):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).view(np.int64))], names=["shingle"])
+        tidy()
 
     seen = sets.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("hashes").mapInArrow(shingles, "shingle long")
     rows = seen.groupBy("shingle").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(MOST).collect()

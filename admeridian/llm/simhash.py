@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from admeridian.llm.common import drop_staged, fresh_name, staged, text_or_empty
+from admeridian.llm.common import drop_staged, fresh_name, staged, text_or_empty, tidy
 
 WORDS, SEED, MAX_BITS, LONG, BLOCK = 3, 42, 3, 4096, 1 << 16
 MIN_BYTES = 8 - MAX_BITS
@@ -183,6 +183,8 @@ def links(nodes: DataFrame, fp: str = "fp") -> DataFrame:
             pending.append(tuple(x[cut:] for x in own))
         if pending:
             yield settle(*(np.concatenate(x) for x in zip(*pending, strict=True)))
+        pending = []
+        tidy()
 
     return postings.mapInArrow(pairs, "u long, v long").distinct()
 
@@ -239,6 +241,7 @@ def _joined(edges: DataFrame) -> DataFrame:
         root = nodes[[top(x) for x in range(len(nodes))]]
         other = root != nodes
         yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(root[other])], names=["u", "v"])
+        tidy()
 
     return staged(edges.select("u", "v").repartition(1).mapInArrow(of, "u long, v long"), "classes")
 
