@@ -242,4 +242,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, small: int = SMALL, groups
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, **options) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
-    return pack(token_pieces(docs, id_col, text_col, with_ids=with_ids, **options))
+    pieces = token_pieces(docs, id_col, text_col, with_ids=with_ids, **options)
+    return pack(staged(pieces, "cut"))  # written, so that no task needs two Python workers at once
