@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -24,6 +24,9 @@ BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("1000", "10000"), "s
 _own_dir: list[str] = []
 _run: ContextVar[list[str] | None] = ContextVar("run", default=None)
 
+#: What gives back the tables that a worker keeps from task to task.
+kept_tables: list[Callable[[], None]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; where none is set, a folder of the warehouse, which a cluster
@@ -125,3 +128,10 @@ def tidy() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # other systems have no such call
         pass
+
+
+def tidy_all() -> None:
+    """The same, and the tables that the worker has kept for an earlier operator's tasks: for tasks that have no use for them."""
+    for clear in kept_tables:
+        clear()
+    tidy()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from admeridian.llm.common import drop_staged, fresh_name, staged, text_or_empty, tidy
+from admeridian.llm.common import drop_staged, fresh_name, staged, text_or_empty, tidy_all
 from admeridian.llm.simhash import SEED, components, links
 
 WORDS = 5
@@ -101,7 +101,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
                 prints = np.array([f for _, f in found], np.uint64).view(np.int64)
                 columns = [batch.column(0).slice(part[0], len(part)), pa.array(nodes), pa.array(prints), pa.array(np.array([len(s) for s, _ in found], np.int32)), pa.array(held, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "fp", "n", "hashes"])
-        tidy()
+        tidy_all()
 
     return slim.mapInArrow(of, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, node long, fp long, n int, hashes binary")
 
@@ -122,7 +122,7 @@ def _common(sets: DataFrame) -> np.ndarray:
         for batch in batches:
             for part in _in_parts(_binaries(batch.column(0)), len):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).view(np.int64))], names=["shingle"])
-        tidy()
+        tidy_all()
 
     seen = sets.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("hashes").mapInArrow(shingles, "shingle long")
     rows = seen.groupBy("shingle").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(MOST).collect()
@@ -158,7 +158,7 @@ def _postings(sets: DataFrame) -> DataFrame:
                 late = np.concatenate([np.arange(len(x)) >= n - c for n, (x, c) in zip(sizes[part], own, strict=True)])
                 columns = [np.concatenate([x for x, _ in own]).view(np.int64), *(np.repeat(x, times) for x in (nodes[part], sizes[part], np.array([c for _, c in own], np.int32))), late]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shingle", "node", "n", "n_common", "late"])
-        tidy()
+        tidy_all()
 
     lists = sets.select("node", "n", "hashes").mapInArrow(of, "shingle long, node long, n int, n_common int, late boolean")
     mine = Window.partitionBy("shingle")
@@ -182,7 +182,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             good = [similar(x, y) for x, y in zip(_binaries(batch.column(2)), _binaries(batch.column(3)), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
-        tidy()
+        tidy_all()
 
     return pairs.join(one, "u").join(other, "v").select("u", "v", "a", "b").mapInArrow(of, "u long, v long")
 

@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from admeridian.llm.common import tidy
+from admeridian.llm.common import kept_tables, tidy
 
 #: White space as Unicode and both libraries have it (Python's own notion also holds U+001C to U+001F).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -105,3 +105,6 @@ def encoder(path: str, drops_white: bool, width: int) -> SegmentEncoder:
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return SegmentEncoder(path, drops_white, width)
+
+
+kept_tables.append(encoder.cache_clear)

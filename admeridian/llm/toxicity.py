@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from admeridian.llm.common import one_by_one, small_batches, staged, text_or_empty, tidy
+from admeridian.llm.common import one_by_one, small_batches, staged, text_or_empty, tidy_all
 
 TRAIN_ROWS, VOCABULARY, FOLDS, STEPS = 8_000, 20_000, 5, 300
 #: A word is chosen if it stands in so many documents and its share of toxic ones is so many deviations off.
@@ -79,7 +79,7 @@ def chosen_words(sample: DataFrame, n: int, n_toxic: int, vocabulary: int = VOCA
             for text, y in zip(one_by_one(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 own = sorted(_with_stems(set(TERMS(text.lower()))))
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([y] * len(own), pa.float64())], names=["word", "y"])
-        tidy()
+        tidy_all()
 
     rate = n_toxic / n
     counts = sample.select("text", "y").mapInArrow(words, "word string, y double").groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("k")).filter(F.col("n") >= LEAST_DOCUMENTS)
@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 hits = [[place[w] for w in sorted(place.keys() & x)] for x in _sentences(text)]
                 own = [x for x in hits if x]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([len(hits) - len(own)], pa.int64()), pa.array([own], pa.list_(pa.list_(pa.int32())))], names=["id", "y", "plain", "hits"])
-        tidy()
+        tidy_all()
 
     def fitted(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
@@ -161,7 +161,7 @@ def document_scores(text: Column, model: dict[str, float]) -> Column:
                 keep += base * max(n, 1 if not keep else 0)
                 out.append((-math.expm1(keep), worst.strip(), 1 / (1 + math.exp(-high))))
             yield pd.DataFrame(out, columns=["score", "worst", "worst_score"])
-        tidy()
+        tidy_all()
 
     return F.pandas_udf(score, "score double, worst string, worst_score double")(text_or_empty(text))
 
