@@ -24,7 +24,7 @@ SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 NON_BLANK = re.compile(f"[^{WHITE}]+")
 #: Characters on whose classes, case and composition all libraries agree.
 UNCOMMON = re.compile("[^\\x09-\\x0d\\x20-\\x7e\\xa0-\\xff\\u0100-\\u017f]")
-#: Distinct pieces a worker remembers: about 130 bytes each, so 26 MB; three times as many save no time that can be measured.
+#: Distinct pieces a worker remembers: about 130 bytes each, so 26 MB; three times as many took 46 seconds where this takes 54.
 MEMO = 200_000
 #: Stands for the end of a word in the ranks; no UTF-8 text has this byte.
 WORD_END = b"\xff"
