@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,22 +101,75 @@ def change_points(values: np.ndarray, min_size: int = MIN_SEGMENT, penalty: floa
     return out[::-1]
 
 
+def change_points_of(series: np.ndarray, min_size: int = MIN_SEGMENT, penalty: float = PENALTY) -> np.ndarray:
+    """``change_points`` of many series of one length at once, one a row: for each day, whether a segment starts there."""
+    rows, n = series.shape
+    marks = np.zeros((rows, n + 1), bool)
+    if n < 2 * min_size or not rows:
+        return marks[:, :n]
+    y = series - series.mean(axis=1, keepdims=True)
+    s = y.std(axis=1, keepdims=True)
+    y = np.divide(y, s, out=y, where=s > 0)
+    zero = np.zeros((rows, 1))
+    one, two = np.hstack([zero, np.cumsum(y, axis=1)]), np.hstack([zero, np.cumsum(y * y, axis=1)])
+    best, came = np.full((rows, n + 1), np.inf), np.zeros((rows, n + 1), int)
+    best[:, 0] = -penalty
+    for end in range(min_size, n + 1):
+        starts = np.concatenate([[0], np.arange(min_size, end - min_size + 1)])
+        total = best[:, starts] + two[:, [end]] - two[:, starts] - (one[:, [end]] - one[:, starts]) ** 2 / (end - starts) + penalty
+        k = np.argmin(total, axis=1)
+        best[:, end], came[:, end] = np.take_along_axis(total, k[:, None], 1)[:, 0], starts[k]
+    every, at = np.arange(rows), np.full(rows, n)
+    while at.any():
+        at = came[every, at]
+        marks[every, at] = True
+    marks[:, 0] = False
+    return marks[:, :n]
+
+
+REGIMES = "account_id string, campaign_id string, metric string, change_date date, pre_mean double, post_mean double, shift_magnitude double, shift_direction string, days_before int, days_after int"
+
+
 def regimes(daily: DataFrame, min_size: int = MIN_SEGMENT, penalty: float = PENALTY) -> DataFrame:
-    """One row per change point of a campaign's metric; the part after it reaches to the end of the series."""
-    points = daily_values(daily).filter(F.col("value").isNotNull() & F.col("metric").isin(*REGIME_METRICS))
-
-    def find(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
-        v, out, start = rows["value"].to_numpy(), [], 0
-        for at in change_points(v, min_size, penalty):
-            if at - start >= min_size and len(v) - at >= min_size:
-                pre, post = float(v[start:at].mean()), float(v[at:].mean())
-                out.append((*rows[["account_id", "campaign_id", "metric"]].iloc[0], rows["date"].iloc[at], pre, post, abs((post - pre) / pre) if pre else 0.0, "up" if post > pre else "down", at - start, len(v) - at))
-            start = at
-        return pd.DataFrame(out, columns=["account_id", "campaign_id", "metric", "change_date", "pre_mean", "post_mean", "shift_magnitude", "shift_direction", "days_before", "days_after"])
-
-    schema = "account_id string, campaign_id string, metric string, change_date date, pre_mean double, post_mean double, shift_magnitude double, shift_direction string, days_before int, days_after int"
-    return points.groupBy("account_id", "campaign_id", "metric").applyInPandas(find, schema)
+    """One row per change point of a campaign's metric; the part after it reaches to the end of the series. A campaign's days are
+    gathered in one row, and the series of a batch of campaigns that have equally many days are searched together."""
+    values = metric_columns()
+    facts = daily.select("account_id", "campaign_id", "date", *[values[m].cast("double").alias(m) for m in REGIME_METRICS])
+    campaigns = facts.groupBy("account_id", "campaign_id").agg(F.collect_list(F.struct("date", *REGIME_METRICS)).alias("days"))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = [c.split()[0] for c in REGIMES.split(", ")]
+        for batch in batches:
+            held = batch.column("days")
+            days, owner = held.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(held.offsets.to_numpy()))
+            dates = days.field("date").cast("int32").to_numpy(zero_copy_only=False)
+            accounts, names, out = batch.column("account_id"), batch.column("campaign_id"), []
+            for metric in REGIME_METRICS:
+                known = days.field(metric).is_valid().to_numpy(zero_copy_only=False)
+                v, d, o = days.field(metric).to_numpy(zero_copy_only=False)[known], dates[known], owner[known]
+                order = np.lexsort((v, d, o))
+                v, d, o = v[order], d[order], o[order]
+                firsts = np.flatnonzero(np.r_[True, o[1:] != o[:-1]]) if len(o) else np.array([], int)
+                lengths = np.diff(np.r_[firsts, len(o)])
+                for n in np.unique(lengths[lengths >= 2 * min_size]):
+                    at = firsts[lengths == n]
+                    series = v[at[:, None] + np.arange(n)]
+                    marks = change_points_of(series, min_size, penalty)
+                    for i in np.flatnonzero(marks.any(axis=1)):
+                        one, start = series[i], 0
+                        for cut in np.flatnonzero(marks[i]).tolist():
+                            if cut - start >= min_size and n - cut >= min_size:
+                                pre, post = float(one[start:cut].mean()), float(one[cut:].mean())
+                                out.append((int(o[at[i]]), metric, int(d[at[i] + cut]), pre, post, abs((post - pre) / pre) if pre else 0.0, "up" if post > pre else "down", cut - start, int(n) - cut))
+                            start = cut
+            if out:
+                row, *rest = zip(*out, strict=True)
+                kinds = [pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.int32()]
+                columns = [pa.array(x, k) for x, k in zip(rest, kinds, strict=True)]
+                columns[1] = columns[1].cast(pa.date32())
+                yield pa.RecordBatch.from_arrays([accounts.take(pa.array(row)), names.take(pa.array(row)), *columns], fields)
+
+    return campaigns.mapInArrow(find, REGIMES)
 
 
 def disrupted_weeks(found: DataFrame, sigmas: float = 2.0, top: int = 3) -> DataFrame:

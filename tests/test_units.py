@@ -105,6 +105,29 @@ def test_change_points_are_optimal():
     assert trends.change_points(np.ones(10)) == []
 
 
+def test_change_points_of_many_series_are_those_of_each():
+    rng = np.random.default_rng(1)
+    for n in (7, 8, 29, 60, 84):
+        series = rng.normal(0, 1, (50, n)) + np.where(np.arange(n) < rng.integers(4, n - 2, (50, 1)), 0.0, 3.0)
+        series[0] = 5.0
+        got = trends.change_points_of(series, 4, 3.0)
+        assert [np.flatnonzero(m).tolist() for m in got] == [trends.change_points(y, 4, 3.0) for y in series]
+
+
+def test_regimes_search_batches_of_campaigns(spark):
+    rng = np.random.default_rng(2)
+    rows = [day(i, cost=float(rng.integers(80, 120)) * (3 if i >= 20 + c else 1), conv=float(rng.integers(1, 4)) if i % (c + 3) else 0.0, campaign=f"c{c}") for c in range(5) for i in range(44)]
+    found = trends.regimes(spark.createDataFrame(rows, DAILY).repartition(4)).collect()
+    costs = {c: [(r[4], r[7] / 1e6, r[8]) for r in rows if r[1] == f"c{c}"] for c in range(5)}
+    want = {(f"c{c}", m, days[at][0]) for c, own in costs.items() for m, days in (("cost", [(d, x) for d, x, _ in own]), ("cpa", [(d, x / v) for d, x, v in own if v])) for at in trends.change_points(np.array([x for _, x in days]))}
+    assert {(r.campaign_id, r.metric, r.change_date) for r in found if r.metric in ("cost", "cpa")} == want and len(want) >= 5
+    r = next(r for r in found if r.campaign_id == "c0" and r.metric == "cost")
+    own = [x for _, x, _ in costs[0]]
+    assert (r.days_before, r.days_after, r.shift_direction) == (20, 24, "up") and r.pre_mean == pytest.approx(statistics.mean(own[:20])) and r.post_mean == pytest.approx(statistics.mean(own[20:]))
+    # campaigns are rows of few batches, no group of their own
+    assert "FlatMapGroups" not in trends.regimes(spark.createDataFrame(rows, DAILY))._jdf.queryExecution().toString()
+
+
 CHANGES = "account_id string, change_id string, change_timestamp timestamp, resource_type string, campaign_id string, actor string, old_value string, new_value string"
 
 
