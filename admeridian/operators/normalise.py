@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from admeridian.functions.config import case
 from admeridian.functions.windows import div
 from admeridian.operators.web import normalised_path
+from admeridian.sources.tables import materialised
 
 #: Channel and bidding names of the platform.
 CHANNEL = {"SEARCH": "SEARCH", "PERFORMANCE_MAX": "PERFORMANCE_MAX", "SHOPPING": "SHOPPING", "DISPLAY": "DISPLAY", "VIDEO": "VIDEO", "DEMAND_GEN": "DEMAND_GEN", "MULTI_CHANNEL": "PERFORMANCE_MAX"}
@@ -102,25 +103,30 @@ def property_map(accounts: DataFrame, properties: DataFrame) -> DataFrame:
     """account_id, ga4_property, match_method: by equal host, else by at least two shared words of four letters or more (most shared
     words first, then the smallest property).
 
-    Of two shared words at most one is the commonest of its name, so names meet on all of their words but the commonest; a word that
-    stands in every name brings no two names together. Pairs that meet are then held against all their words."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{4,}"), F.lit(0))).alias("words")
+    Only the sets of words count, so each set of either side is held once, with the smallest property that has it: names that many
+    share meet once. Of two shared words at most one is the commonest of its set, so sets meet on all of their words but the
+    commonest; a word that stands in every name brings no two together. Sets that meet are then held against all their words."""
+    words = lambda c: F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{4,}"), F.lit(0)))).alias("words")
     a = accounts.select("account_id", host(F.col("website_url")).alias("host"), words("account_name"))
     p = properties.select("ga4_property", host(F.col("url")).alias("host"), words("name"))
-    exact = a.filter("host IS NOT NULL").join(p.select("host", "ga4_property"), "host").groupBy("account_id").agg(F.min("ga4_property").alias("exact"))
-    a_words, p_words = a.join(exact, "account_id", "left_anti").select("account_id", "words"), p.select("ga4_property", "words")
-    often = a_words.select(F.explode("words").alias("w")).unionByName(p_words.select(F.explode("words").alias("w"))).groupBy("w").agg(F.count("*").alias("n"))
-
-    def rarer(rows: DataFrame, key: str) -> DataFrame:
-        """(key, w): all words but the commonest; of equals the last by name counts as commoner."""
-        found = rows.select(key, F.explode("words").alias("w")).join(often, "w")
-        top = found.groupBy(key).agg(F.max(F.struct("n", "w"))["w"].alias("top"))
-        return found.join(top, key).filter("w <> top").select(key, "w")
-
-    met = rarer(a_words, "account_id").join(rarer(p_words, "ga4_property"), "w").select("account_id", "ga4_property").distinct()
+    hosts = p.filter("host IS NOT NULL").groupBy("host").agg(F.min("ga4_property").alias("exact"))
+    exact = a.filter("host IS NOT NULL").join(hosts, "host").groupBy("account_id").agg(F.min("exact").alias("exact"))
+    several = F.size("words") >= 2
+    a_sets = materialised(a.join(exact, "account_id", "left_anti").filter(several).select("words").distinct(), "account-words")
+    p_sets = materialised(p.filter(several).groupBy("words").agg(F.min("ga4_property").alias("ga4_property")), "property-words")
+    often = a_sets.select(F.explode("words").alias("w")).unionByName(p_sets.select(F.explode("words").alias("w"))).groupBy("w").agg(F.count("*").alias("n"))
+
+    def rarer(sets: DataFrame) -> DataFrame:
+        """(words, w): all words of a set but the commonest; of equals the last by name counts as commoner."""
+        found = sets.select("words", F.explode("words").alias("w")).join(often, "w")
+        top = found.groupBy("words").agg(F.max(F.struct("n", "w"))["w"].alias("top"))
+        return found.join(top, "words").filter("w <> top").select("words", "w")
+
+    theirs = rarer(p_sets).withColumnRenamed("words", "p_words")
     n = F.size(F.array_intersect("words", "p_words"))
-    shared = met.join(a_words, "account_id").join(p_words.withColumnRenamed("words", "p_words"), "ga4_property").withColumn("n", n).filter("n >= 2")
-    best = shared.groupBy("account_id").agg(F.min_by("ga4_property", F.struct(-F.col("n"), "ga4_property")).alias("fuzzy"))
+    met = rarer(a_sets).join(theirs, "w").select("words", "p_words").distinct().withColumn("n", n).filter("n >= 2")
+    best = met.join(p_sets.withColumnRenamed("words", "p_words"), "p_words").groupBy("words").agg(F.min_by("ga4_property", F.struct(-F.col("n"), "ga4_property")).alias("_fuzzy"))
+    best = a.select("account_id", "words").join(best, "words").groupBy("account_id").agg(F.min("_fuzzy").alias("fuzzy"))
     rows = a.select("account_id").join(exact, "account_id", "left").join(best, "account_id", "left")
     return rows.select("account_id", F.coalesce("exact", "fuzzy").alias("ga4_property"), F.when(F.col("exact").isNotNull(), "domain").when(F.col("fuzzy").isNotNull(), "name").otherwise("unmatched").alias("match_method"))
 

@@ -178,6 +178,16 @@ def test_property_map_by_shared_words(spark):
     assert {r.account_id: (r.ga4_property, r.match_method) for r in got.collect()} == want
 
 
+def test_equal_names_meet_once(spark):
+    a = [(f"a{i:03}", f"north gate {'legal' if i % 2 else 'beauty'}", "") for i in range(300)]
+    p = [(f"p{i:03}", "north gate legal" if i % 3 else "gate north", "") for i in range(300)]
+    got = normalise.property_map(spark.createDataFrame(a, "account_id string, account_name string, website_url string"), spark.createDataFrame(p, "ga4_property string, name string, url string"))
+    assert {(r.account_id, r.ga4_property) for r in got.collect()} == {(f"a{i:03}", "p001" if i % 2 else "p000") for i in range(300)}
+    read = "-".join(f.split("/")[-2].rsplit("-", 1)[0] for f in sorted(got.inputFiles()))
+    sets = [spark.read.parquet(f).count() for f in got.inputFiles() if "words-" in f]
+    assert "account-words" in read and "property-words" in read and sum(sets) == 4
+
+
 def test_bundle_pages_hold_every_signal(spark):
     accounts = spark.createDataFrame([("a", "x"), ("b", "y")], "account_id string, vertical string")
     summary = spark.createDataFrame([("a", 5)], "account_id string, clicks long")
