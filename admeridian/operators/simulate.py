@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from admeridian.operators import templates as T
 from admeridian.operators.heldout import predicted_ranges
+from admeridian.sources.tables import materialised
 
 
 def rolling_origin(rows: DataFrame, step_days: int = 7, min_train: int = 50) -> DataFrame:
@@ -22,6 +23,7 @@ def disruption(rows: DataFrame, weeks: DataFrame) -> DataFrame:
     spans = {"before": (-14, 0), "during": (0, 7), "after": (7, 21)}
     parts = F.array(*[F.struct(F.lit(k).alias("part"), F.date_add("week", a).alias("lo"), F.date_add("week", b).alias("hi")) for k, (a, b) in spans.items()])
     ranges = weeks.select("week", F.explode(parts).alias("p")).select("week", "p.*").withColumn("range_id", F.concat_ws("|", F.col("week").cast("string"), "part"))
+    ranges = materialised(ranges, "disruption-ranges")  # read three times; the search for change points behind it is done once
     found = predicted_ranges(rows, ranges.select("range_id", "lo", "hi"), T.MIN_EPISODES)
     return ranges.select("range_id", "week", "part").join(found, "range_id", "left").drop("range_id")
 
