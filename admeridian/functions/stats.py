@@ -46,20 +46,30 @@ def t_two_sided(t: Column, dof: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - area)
 
 
+def trend_sums() -> list[Column]:
+    """Aggregates of ``value`` over ``date`` that a trend is made of; days without a value do not count."""
+    x, day = F.unix_date("date"), F.when(F.col("value").isNotNull(), F.col("date"))
+    return [F.count("value").alias("n"), F.regr_slope("value", x).alias("slope"), F.regr_r2("value", x).alias("r2"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.max_by("value", day).alias("current_value"), (F.min(day) < F.max(day)).alias("days")]
+
+
+def with_trend(rows: DataFrame, metric: Column, minimum: int = MIN_POINTS) -> DataFrame:
+    """Rows of ``trend_sums`` with p_value, r_squared, cv, classification, and ``found``: whether they make a trend."""
+    rows = rows.withColumns({"found": (F.col("n") >= minimum) & F.coalesce("days", F.lit(False)), "r_squared": F.when(F.col("std") <= 1e-12 * F.abs("mean"), 0.0).otherwise(F.col("r2"))})
+    t = F.sqrt(F.col("r_squared") * (F.col("n") - 2) / (1 - F.col("r_squared")))
+    p = F.when(~F.col("found"), F.lit(None)).when(F.col("r_squared") >= 1 - 1e-15, 0.0).otherwise(t_two_sided(t, F.col("n") - 2))
+    rows = rows.withColumns({"p_value": p, "cv": F.when(F.col("mean") != 0, F.col("std") / F.abs("mean")).otherwise(0.0), "_fav": case(metric, FAVORABLE, 0)})
+    sign = F.col("slope") * F.col("_fav")
+    label = F.when(F.col("cv") > VOLATILE_CV, "volatile").when(F.col("p_value") >= SIGNIFICANT_P, "stable").when(F.col("_fav") == 0, F.when(F.col("slope") > 0, "rising").otherwise("falling")).when(sign > 0, "improving").otherwise("declining")
+    return rows.withColumn("classification", label)
+
+
 def trend(points: DataFrame, keys: list[str], metric: str | Column = "metric", minimum: int = MIN_POINTS) -> DataFrame:
     """Least-squares trend of ``value`` over ``date`` for each key: slope, p_value, r_squared, cv, current_value, projected_7d,
     classification, n. Series of fewer than ``minimum`` points, or on one day, have none."""
     metric = F.col(metric) if isinstance(metric, str) else metric
-    x = F.unix_date("date")
-    rows = points.filter("value IS NOT NULL").withColumn("_metric", metric).groupBy(*keys, "_metric").agg(
-        F.count("*").alias("n"), F.regr_slope("value", x).alias("slope"), F.regr_r2("value", x).alias("r2"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.max_by("value", "date").alias("current_value"), F.countDistinct("date").alias("days"))
-    rows = rows.filter((F.col("n") >= minimum) & (F.col("days") > 1)).withColumn("r_squared", F.when(F.col("std") <= 1e-12 * F.abs("mean"), 0.0).otherwise(F.col("r2")))
-    t = F.sqrt(F.col("r_squared") * (F.col("n") - 2) / (1 - F.col("r_squared")))
-    p = F.when(F.col("r_squared") >= 1 - 1e-15, 0.0).otherwise(t_two_sided(t, F.col("n") - 2))
-    rows = rows.withColumns({"p_value": p, "cv": F.when(F.col("mean") != 0, F.col("std") / F.abs("mean")).otherwise(0.0), "_fav": case(F.col("_metric"), FAVORABLE, 0)})
-    sign = F.col("slope") * F.col("_fav")
-    label = F.when(F.col("cv") > VOLATILE_CV, "volatile").when(F.col("p_value") >= SIGNIFICANT_P, "stable").when(F.col("_fav") == 0, F.when(F.col("slope") > 0, "rising").otherwise("falling")).when(sign > 0, "improving").otherwise("declining")
-    return rows.select(*keys, *([F.col("_metric").alias("metric")] if "metric" not in keys else []), "n", "slope", "p_value", "r_squared", label.alias("classification"), "cv", "current_value", (F.col("current_value") + F.col("slope") * 7).alias("projected_7d"))
+    rows = points.filter("value IS NOT NULL").withColumn("_metric", metric).groupBy(*keys, "_metric").agg(*trend_sums())
+    rows = with_trend(rows, F.col("_metric"), minimum).filter("found")
+    return rows.select(*keys, *([F.col("_metric").alias("metric")] if "metric" not in keys else []), "n", "slope", "p_value", "r_squared", "classification", "cv", "current_value", (F.col("current_value") + F.col("slope") * 7).alias("projected_7d"))
 
 
 def wilson(k: Column, n: Column, z: float = 1.959963985) -> tuple[Column, Column]:

@@ -13,6 +13,7 @@ from admeridian.functions.config import case
 from admeridian.functions.signals import identifier
 from admeridian.functions.stats import rnd, trend
 from admeridian.functions.windows import div
+from admeridian.sources.tables import materialised
 
 PRE, POST, MIN_DAYS = 7, 7, 4
 
@@ -54,21 +55,36 @@ def bundles(changes: DataFrame, daily: DataFrame) -> DataFrame:
 METRICS = ("impressions", "clicks", "cost", "conversions", "conversion_value", "days", "cvr", "cpa", "roas")
 
 
+def days_of(daily: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Sums of ``columns`` by campaign and day, dealt by campaign, and by account and day, dealt by account: what follows on a campaign
+    or an account moves no fact again."""
+    sums = [F.sum(c).alias(c) for c in columns]
+    slim = daily.select("account_id", "campaign_id", "date", *columns)
+    facts = slim.repartition("account_id", "campaign_id").groupBy("account_id", "campaign_id", "date").agg(*sums)
+    account = slim.groupBy("account_id", "date").agg(*sums).repartition("account_id")
+    return facts, account
+
+
+def beside(keys: DataFrame, facts: DataFrame, account: DataFrame, near: Column, fold) -> DataFrame:
+    """``fold(pairs, by)`` of keys with the days that are ``near``: of their campaign, or, for a ``campaign_id`` of '', of the whole
+    account. ``by`` is what the pairs lie by; aggregates that have it among their keys need no exchange."""
+    own = keys.filter("campaign_id <> ''").join(facts, ["account_id", "campaign_id"]).filter(near)
+    whole = keys.filter("campaign_id = ''").drop("campaign_id").join(account, "account_id").filter(near)
+    return fold(own, ["account_id", "campaign_id"]).unionByName(fold(whole, ["account_id"]))
+
+
 def window_metrics(rows: DataFrame, daily: DataFrame) -> DataFrame:
     """``rows`` with ``pre_*`` and ``post_*`` metrics; the day of change belongs to the time after. 0 stands for undefined."""
-    facts = daily.select("account_id", "campaign_id", "date", "impressions", "clicks", "cost_micros", "conversions", "conversion_value")
+    facts, account = days_of(daily, "impressions", "clicks", "cost_micros", "conversions", "conversion_value")
     near = F.col("date").between(F.date_sub("change_date", PRE), F.date_add("change_date", POST - 1))
-    keys = rows.select("episode_id", "account_id", "campaign_id", "change_date")
-    own = keys.filter("campaign_id <> ''").join(facts, ["account_id", "campaign_id"]).filter(near)
-    whole = keys.filter("campaign_id = ''").drop("campaign_id").join(facts.drop("campaign_id"), "account_id").filter(near)
-    cols = ["episode_id", "change_date", "date", "impressions", "clicks", "cost_micros", "conversions", "conversion_value"]
     before = F.col("date") < F.col("change_date")
     aggs = []
     for name, side in (("pre", before), ("post", ~before)):
         total = lambda c, side=side: F.coalesce(F.sum(F.when(side, F.col(c))), F.lit(0))
         aggs += [total("impressions").alias(f"{name}_impressions"), total("clicks").alias(f"{name}_clicks"), (total("cost_micros") / 1e6).alias(f"{name}_raw_cost"), total("conversions").cast("double").alias(f"{name}_conversions"),
-                 total("conversion_value").cast("double").alias(f"{name}_raw_value"), F.countDistinct(F.when(side, F.col("date"))).alias(f"{name}_days")]
-    sums = own.select(*cols).unionByName(whole.select(*cols)).groupBy("episode_id").agg(*aggs)
+                 total("conversion_value").cast("double").alias(f"{name}_raw_value"), F.count_if(side).alias(f"{name}_days")]
+    keys = rows.select("episode_id", "account_id", "campaign_id", "change_date")
+    sums = beside(keys, facts, account, near, lambda pairs, by: pairs.groupBy(*by, "episode_id").agg(*aggs).drop(*by))
     for p in ("pre", "post"):
         cost, value, conv, clicks = (F.col(f"{p}_{x}") for x in ("raw_cost", "raw_value", "conversions", "clicks"))
         zero = lambda x, n: F.coalesce(rnd(x, n), F.lit(0.0))
@@ -103,15 +119,11 @@ def _outcome(rows: DataFrame) -> DataFrame:
 def pre_trends(rows: DataFrame, daily: DataFrame, lookback: int = 14) -> DataFrame:
     """episode_id, slope: the daily slope of the outcome metric before the change, where it is a real direction. Days of an
     account-wide episode are summed over its campaigns first."""
-    facts = daily.groupBy("account_id", "campaign_id", "date").agg(F.sum("clicks").alias("clicks"), F.sum("cost_micros").alias("cost"), F.sum("conversions").alias("conv"))
-    account = facts.groupBy("account_id", "date").agg(F.sum("clicks").alias("clicks"), F.sum("cost").alias("cost"), F.sum("conv").alias("conv"))
-    keys = rows.filter("outcome_metric IS NOT NULL").select("episode_id", "account_id", "campaign_id", "change_date", "outcome_metric")
+    facts, account = days_of(daily, "clicks", "cost_micros", "conversions")
+    keys = rows.filter("outcome_metric IS NOT NULL").select("episode_id", "account_id", "campaign_id", "change_date", F.col("outcome_metric").alias("metric"))
     near = (F.col("date") >= F.date_sub("change_date", lookback)) & (F.col("date") < F.col("change_date"))
-    own = keys.filter("campaign_id <> ''").join(facts, ["account_id", "campaign_id"]).filter(near)
-    whole = keys.filter("campaign_id = ''").join(account, "account_id").filter(near)
-    value = F.when(F.col("outcome_metric") == "cpa", div(F.col("cost") / 1e6, "conv")).otherwise(div("conv", "clicks"))
-    cols = ["episode_id", F.col("outcome_metric").alias("metric"), "date", value.alias("value")]
-    found = trend(own.select(*cols).unionByName(whole.select(*cols)), ["episode_id", "metric"])
+    value = F.when(F.col("metric") == "cpa", div(F.col("cost_micros") / 1e6, "conversions")).otherwise(div("conversions", "clicks"))
+    found = beside(keys, facts, account, near, lambda pairs, by: trend(pairs.select(*by, "episode_id", "metric", "date", value.alias("value")), [*by, "episode_id", "metric"]).drop(*by))
     return found.filter(F.col("classification").isin("improving", "declining", "rising", "falling")).select("episode_id", "slope")
 
 
@@ -137,8 +149,8 @@ def _told(rows: DataFrame) -> dict[str, Column]:
 
 def build(changes: DataFrame, daily: DataFrame) -> DataFrame:
     """All episodes with outcome, trend adjustment and confidence."""
-    parts = bundles(changes, daily)
-    rows = _outcome(window_metrics(parts, daily))
+    parts = materialised(bundles(changes, daily), "bundles")
+    rows = materialised(_outcome(window_metrics(parts, daily)), "outcomes")
     rows = rows.join(confounded(parts).withColumn("_external", F.lit(True)), "episode_id", "left").join(pre_trends(rows, daily), "episode_id", "left")
     external = F.coalesce("_external", F.lit(False))
     rows = rows.withColumn("confounded", external | (~F.col("known") & (F.size("categories") > 1)))

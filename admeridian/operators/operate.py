@@ -9,6 +9,7 @@ from admeridian.functions.stats import winsorised
 from admeridian.functions.windows import div
 from admeridian.operators import refinement
 from admeridian.operators import templates as T
+from admeridian.operators.episodes import days_of
 
 WINDOWS = (7, 14, 30)
 
@@ -45,19 +46,21 @@ def scored(rows: DataFrame, *more: str) -> DataFrame:
 def resolve(predictions: DataFrame, daily: DataFrame, resolved: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
     """One row per prediction and window that has closed by ``as_of`` (default: the data anchor) and is not yet in ``resolved``."""
     at = daily.agg(F.max("date").alias("as_of"))
-    open_ = predictions.filter("campaign_id <> ''").withColumn("window_days", F.explode(F.array(*[F.lit(w) for w in WINDOWS]))).crossJoin(F.broadcast(at))
+    made = predictions.filter("campaign_id <> ''").crossJoin(F.broadcast(at))
     if as_of is not None:
-        open_ = open_.withColumn("as_of", as_of)
-    open_ = open_.filter(F.date_add("registered_at", F.col("window_days")) <= F.col("as_of"))
+        made = made.withColumn("as_of", as_of)
+    closed = lambda w: F.date_add("registered_at", w) <= F.col("as_of")
+    made = made.filter(closed(min(WINDOWS)))
+    # a prediction meets its days once for all windows, where the days lie
+    facts = days_of(daily, "cost_micros", "conversions")[0]
+    near = F.col("date").between(F.date_sub("registered_at", 7), F.date_add("registered_at", max(WINDOWS) - 1))
+    part = lambda side: cost_per_conversion(F.sum(F.when(side, F.col("cost_micros"))), F.sum(F.when(side, F.col("conversions"))))
+    after = lambda w: (F.col("date") >= F.col("registered_at")) & (F.col("date") < F.date_add("registered_at", w))
+    sums = made.join(facts, ["account_id", "campaign_id"]).filter(near).groupBy(*made.columns).agg(part(F.col("date") < F.col("registered_at")).alias("pre"), *[part(after(w)).alias(f"_{w}") for w in WINDOWS])
+    open_ = sums.withColumn("_w", F.explode(F.array(*[F.struct(F.lit(w).alias("window_days"), F.col(f"_{w}").alias("post")) for w in WINDOWS]))).select("*", "_w.*").filter(closed(F.col("window_days")))
     if resolved is not None:
         open_ = open_.join(resolved.select("prediction_id", "window_days"), ["prediction_id", "window_days"], "left_anti")
-    facts = daily.select("account_id", "campaign_id", "date", "cost_micros", "conversions")
-    near = F.col("date").between(F.date_sub("registered_at", 7), F.date_add("registered_at", F.col("window_days") - 1))
-    keys = [c for c in open_.columns if c != "as_of"]
-    joined = open_.drop("as_of").join(facts, ["account_id", "campaign_id"]).filter(near)
-    before = F.col("date") < F.col("registered_at")
-    cpa = lambda side: cost_per_conversion(F.sum(F.when(side, F.col("cost_micros"))), F.sum(F.when(side, F.col("conversions"))))
-    return scored(joined.groupBy(*keys).agg(cpa(before).alias("pre"), cpa(~before).alias("post")))
+    return scored(open_)
 
 
 def health(resolved: DataFrame, templates: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from admeridian.functions.stats import fisher_greater, winsorised
 from admeridian.functions.windows import div
 from admeridian.operators import templates as T
+from admeridian.operators.episodes import days_of
+from admeridian.sources.tables import materialised
 
 PRE, POST, MATCH_DAYS, ACT, AVOID = 7, 7, 60, 0.10, 0.20
 
@@ -17,16 +19,18 @@ def no_action_baseline(daily: DataFrame, changes: DataFrame, accounts: DataFrame
     span = daily.filter("campaign_id <> ''").groupBy("account_id", "campaign_id").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.countDistinct("date").alias("days")).filter(F.col("days") >= PRE + POST)
     low, high = F.date_add("first", PRE), F.date_sub("last", POST)
     anchors = span.filter(low <= high).select("account_id", "campaign_id", F.explode(F.sequence(low, high, F.expr("INTERVAL 7 DAYS"))).alias("at"))
-    events = changes.filter("campaign_id <> ''").select("account_id", "campaign_id", F.to_date("change_timestamp").alias("day")).distinct()
-    # each event day silences the at most two anchors within a week of it
-    busy = events.withColumn("at", F.explode(F.sequence(F.date_sub("day", POST - 1), F.date_add("day", PRE)))).select("account_id", "campaign_id", "at").distinct()
-    quiet = anchors.join(busy, ["account_id", "campaign_id", "at"], "left_anti")
-    facts = daily.groupBy("account_id", "campaign_id", "date").agg(F.sum("cost_micros").alias("micros"), F.sum("conversions").alias("conv"))
+    events = changes.filter("campaign_id <> ''").select("account_id", "campaign_id", F.to_date("change_timestamp").alias("day"))
+    # a campaign's days of change are one short list, held against its anchors where they lie
+    busy = events.groupBy("account_id", "campaign_id").agg(F.collect_set("day").alias("busy"))
+    close = F.exists("busy", lambda d: d.between(F.date_sub("at", PRE), F.date_add("at", POST - 1)))
+    quiet = anchors.join(busy, ["account_id", "campaign_id"], "left").filter(~F.coalesce(close, F.lit(False))).drop("busy")
+    facts = days_of(daily, "cost_micros", "conversions")[0].withColumnsRenamed({"cost_micros": "micros", "conversions": "conv"})
     near = quiet.join(facts, ["account_id", "campaign_id"]).filter(F.col("date").between(F.date_sub("at", PRE), F.date_add("at", POST - 1)))
     before = F.col("date") < F.col("at")
     part = lambda side: div(F.sum(F.when(side, F.col("micros"))) / 1e6, F.sum(F.when(side, F.col("conv"))))
     rows = near.groupBy("account_id", "campaign_id", "at").agg(part(before).alias("pre_cpa"), part(~before).alias("post_cpa")).filter("pre_cpa > 0 AND post_cpa IS NOT NULL")
     rows = rows.withColumn("key", F.concat_ws("|", "account_id", "campaign_id", F.col("at").cast("string")))
+    rows = materialised(rows, "quiet-weeks")  # read twice, for their days and for their state
     rows = T.with_state(rows, rows.select("key", "account_id", "campaign_id", "at"), daily, accounts, "key", "pre_cpa", "at")
     return rows.select("account_id", "campaign_id", F.col("pre_state").alias("state"), F.date_sub("at", PRE).alias("window_start"), F.date_add("at", POST).alias("window_end"), "pre_cpa", "post_cpa", winsorised((F.col("post_cpa") - F.col("pre_cpa")) / F.col("pre_cpa")).alias("cpa_change"))
 

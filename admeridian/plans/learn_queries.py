@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from admeridian.functions.config import BENCHMARK_CPA, SEASONAL
 from admeridian.functions.stats import rnd
 from admeridian.operators import episodes, heldout, refinement, segment_learning, templates, trends
-from admeridian.sources.adapters import Tables, ctes
+from admeridian.sources.adapters import TABLES, Tables, ctes, spark_sql
 from admeridian.sources.tables import materialised
 
 
@@ -19,7 +19,10 @@ class Learned(Tables):
 
     @cached_property
     def facts(self) -> DataFrame:
-        return materialised(self.daily_metrics, "daily")
+        """The daily facts, an account's together and in order: sums by account and day are made before anything is moved, and what
+        is moved is packed tighter. Line items are dealt by account instead of by account, campaign and day, so nothing is moved more."""
+        rows = self.spark.sql(spark_sql(TABLES["daily_metrics"]), lineitem=self.lineitem.repartition("l_suppkey"))
+        return materialised(rows.sortWithinPartitions("account_id", "campaign_id", "date"), "daily")
 
     @cached_property
     def episodes(self) -> DataFrame:

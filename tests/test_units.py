@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import math
 import random
+import re
 import statistics
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from admeridian.functions import stats
 from admeridian.functions.guidance import GUIDANCE
-from admeridian.operators import changes, detectors, episodes, normalise, observe, refinement, templates, trends, web
+from admeridian.operators import changes, detectors, episodes, normalise, observe, operate, refinement, templates, trends, web
 from admeridian.operators.reads import template_conditions
 from admeridian.operators.simulate import account_samples
 from admeridian.sources.tables import insert_ignore, upsert_replace
@@ -128,6 +129,27 @@ def test_regimes_search_batches_of_campaigns(spark):
     assert "FlatMapGroups" not in trends.regimes(spark.createDataFrame(rows, DAILY))._jdf.queryExecution().toString()
 
 
+def exchanges(df):
+    """What the exchanges of a plan deal by."""
+    return re.findall(r"hashpartitioning\(([^)]*?), \d+\)", df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1])
+
+
+def test_days_beside_a_change_are_not_moved_again(spark):
+    daily = spark.createDataFrame([day(i, cost=100.0 + i, conv=2.0) for i in range(60)], DAILY)
+    at = D0 + dt.timedelta(days=30)
+    keys = spark.createDataFrame([("k1", "a1", "c1", at), ("k2", "a1", "", at)], "episode_id string, account_id string, campaign_id string, change_date date")
+    states = templates.context(keys.withColumnsRenamed({"episode_id": "key", "change_date": "at"}), daily)
+    made = keys.select(F.col("episode_id").alias("prediction_id"), "account_id", "campaign_id", F.col("change_date").alias("registered_at"), F.lit("t").alias("template_id"), F.lit("ACT").alias("recommendation"), F.lit("improved").alias("prediction_direction"), F.lit(0.1).alias("prediction_magnitude"), F.lit(0.1).alias("natural_magnitude"))
+    for found, key in ((episodes.window_metrics(keys, daily).drop("episode_id"), "episode_id"), (states, "key"), (operate.resolve(made, daily), "prediction_id")):
+        dealt = exchanges(found)
+        assert dealt
+        # pairs of a change and a day stay where the days lie; only finished rows may be dealt by the change
+        wide = [x for x in dealt if x.split("#")[0] in (key, "account_id") and key in x and "," in x]
+        assert not wide, wide
+    assert {r.key: round(r.avg_cpa, 6) for r in states.collect()} == {"k1": 57.25, "k2": 57.25}
+    assert [(r.window_days, r.prediction_id) for r in operate.resolve(made, daily).orderBy("window_days").collect()] == [(7, "k1"), (14, "k1")]
+
+
 CHANGES = "account_id string, change_id string, change_timestamp timestamp, resource_type string, campaign_id string, actor string, old_value string, new_value string"
 
 
