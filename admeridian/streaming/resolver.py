@@ -1,7 +1,7 @@
 """Predictions resolved as a stream, with timers in event time.
 
-Loads come in order of their date ``as_of``: predictions as they are registered, daily facts as they are known. Each campaign keeps
-its open predictions and the sums of its recent days. A prediction opens three timers, one for each of ``operate.WINDOWS``; when the
+Loads come in order of their date ``as_of``: predictions as they are registered, daily facts as they are known. Each account keeps
+the open predictions and the sums of the recent days of its campaigns, so a run takes a step an account, not a step a campaign. A prediction opens three timers, one for each of ``operate.WINDOWS``; when the
 clock, the latest ``as_of`` of the stream, reaches the end of a window, its sums before and after are emitted, whether or not the
 campaign has facts that day. A fact that comes later, or that corrects an earlier one, changes sums that have been emitted: they are
 emitted again as the next ``revision``. The verdicts on these sums are the batch operator's own.
@@ -55,37 +55,61 @@ def _sums(facts: dict[int, list], at: int, window: int) -> list:
     return out
 
 
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = json.loads(state.get[0]) if state.exists else {"open": {}, "facts": {}}
-    facts, made = {int(d): x for d, x in held["facts"].items()}, held["open"]
-    now = _day(state.getCurrentWatermarkMs()) + LATE
-    for frame in frames:
-        for r in frame.itertuples(index=False):
-            now = max(now, r.as_of.toordinal())
-            if r.kind == "prediction":
-                made.setdefault(r.prediction_id, {"at": r.date.toordinal(), "told": {}})
-            else:
-                facts[r.date.toordinal()] = [int(r.cost_micros), float(r.conversions)]
+def _told(facts: dict[int, list], made: dict, now: int, touched: list[int]) -> tuple[list, list[int]]:
+    """What a campaign emits, and the days on which its open windows end. Windows that were told and hold none of the ``touched`` days
+    are not summed again."""
     rows, due = [], []
+    first, last = (min(touched), max(touched)) if touched else (0, -1)
     for name, p in made.items():
         for w in operate.WINDOWS:
             if p["at"] + w > now:
                 due.append(p["at"] + w)
                 continue
-            sums, told = _sums(facts, p["at"], w), p["told"].get(str(w))
+            told = p["told"].get(str(w))
+            if told is not None and (last < p["at"] - BEFORE or first >= p["at"] + w):
+                continue
+            sums = _sums(facts, p["at"], w)
             if told is None or told[1] != sums:
                 revision = 0 if told is None else told[0] + 1
                 p["told"][str(w)] = [revision, sums]
                 rows.append((name, w, revision, dt.date.fromordinal(now), *sums))
-    made = {k: p for k, p in made.items() if p["at"] + max(operate.WINDOWS) + KEPT > now}
-    oldest = min([now - KEPT, *(p["at"] - BEFORE for p in made.values())])
-    facts = {d: x for d, x in facts.items() if d >= oldest}
-    if made or facts:
-        state.update((json.dumps({"open": made, "facts": facts}),))
+    return rows, due
+
+
+def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One account: ``held`` has the open predictions and the days of each of its campaigns, and when it is next due."""
+    held = json.loads(state.get[0]) if state.exists else {}
+    now = _day(state.getCurrentWatermarkMs()) + LATE
+    touched: dict[str, list[int]] = {}
+    for frame in frames:
+        now = max(now, frame["as_of"].max().toordinal()) if len(frame) else now
+        for r in frame[["kind", "campaign_id", "prediction_id", "date", "cost_micros", "conversions"]].itertuples(index=False):
+            own = held.setdefault(r.campaign_id, {"open": {}, "facts": {}, "due": 0})
+            days, day = touched.setdefault(r.campaign_id, []), r.date.toordinal()
+            if r.kind == "prediction":
+                own["open"].setdefault(r.prediction_id, {"at": day, "told": {}})
+            else:
+                own["facts"][str(day)] = [int(r.cost_micros), float(r.conversions)]
+                days.append(day)
+    rows = []
+    for campaign in [c for c, own in held.items() if c in touched or own["due"] <= now]:
+        own = held[campaign]
+        facts, made = {int(d): x for d, x in own["facts"].items()}, own["open"]
+        out, due = _told(facts, made, now, touched.get(campaign, []))
+        rows += out
+        made = {k: p for k, p in made.items() if p["at"] + max(operate.WINDOWS) + KEPT > now}
+        oldest = min([now - KEPT, *(p["at"] - BEFORE for p in made.values())])
+        facts = {str(d): x for d, x in facts.items() if d >= oldest}
+        if made or facts:
+            held[campaign] = {"open": made, "facts": facts, "due": min(due, default=now + KEPT)}
+        else:
+            del held[campaign]
+    if held:
+        state.update((json.dumps(held),))
         # a timer goes off when the watermark, LATE days behind the clock, has passed it
-        next_day = min(due, default=now + KEPT)
+        next_day = min(own["due"] for own in held.values())
         state.setTimeoutTimestamp(int((dt.datetime.fromordinal(next_day - LATE) - dt.datetime(1970, 1, 1)).total_seconds() * 1000) - 1)
-    else:
+    elif state.exists:
         state.remove()
     if rows:
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in SUMS.split(", ")]).astype({"pre_micros": "Int64", "post_micros": "Int64"})
@@ -100,7 +124,7 @@ def run(spark: SparkSession, source: str, target: store.Stored, checkpoint: str,
     """Takes in all loads in the folder ``source`` that no earlier run with this ``checkpoint`` has seen, ``files`` at a time."""
     reader = spark.readStream.schema(EVENTS)
     feed = (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(source)
-    watched = feed.withWatermark("as_of", f"{LATE} days").groupBy("account_id", "campaign_id")
+    watched = feed.withWatermark("as_of", f"{LATE} days").groupBy("account_id")
     sums = watched.applyInPandasWithState(_step, SUMS, "held string", "append", GroupStateTimeout.EventTimeTimeout)
     query = sums.writeStream.foreachBatch(lambda batch, batch_id: target.add(batch) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -76,3 +76,14 @@ def test_a_correction_is_a_further_revision(spark, tables, tmp_path):
     assert {("p120", 7), ("p120", 14), ("p127", 7), ("p110", 30)} <= again
     assert lines(resolver.resolutions(target, own)) == lines(operate.resolve(own, fixed.unionByName(facts.filter("campaign_id = 'c0' AND date = DATE '2024-02-29'")), as_of=F.lit(D0 + dt.timedelta(60))))
     spark.sql(f"DROP TABLE {target.name}")
+
+
+def test_a_step_takes_an_account_and_sums_only_what_a_load_touches(spark, tables, tmp_path, monkeypatch):
+    facts = {d: [d, 1.0] for d in range(100)}
+    made = {"p": {"at": 50, "told": {}}, "q": {"at": 20, "told": {}}}
+    rows, due = resolver._told(facts, made, 58, [99])
+    assert [(r[0], r[1], r[2]) for r in rows] == [("p", 7, 0), ("q", 7, 0), ("q", 14, 0), ("q", 30, 0)] and sorted(due) == [64, 80]
+    asked, whole = [], resolver._sums
+    monkeypatch.setattr(resolver, "_sums", lambda f, at, w: asked.append((at, w)) or whole(f, at, w))
+    facts[30] = [7, 7.0]
+    assert [(r[0], r[1], r[2]) for r in resolver._told(facts, made, 58, [30])[0]] == [("q", 14, 1), ("q", 30, 1)] and asked == [(20, 14), (20, 30)]
