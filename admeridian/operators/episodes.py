@@ -2,10 +2,13 @@
 
 Everything is set-based: bundles are one aggregate of the event log; the days around them come by an equality join on
 (account, campaign) with a band on the date, aggregated at once; account-wide bundles take a second branch on the account.
+All lies by account: events, days and bundles are dealt by it once, and no step after that moves them.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from admeridian.functions.config import case
 from admeridian.functions.signals import identifier
 from admeridian.functions.stats import rnd, trend
 from admeridian.functions.windows import div
-from admeridian.sources.tables import materialised
+from admeridian.sources.tables import by_account, dealt
 
 PRE, POST, MIN_DAYS = 7, 7, 4
 
@@ -38,12 +41,26 @@ def category(resource: Column) -> Column:
     return case(F.upper(F.coalesce(resource, F.lit(""))), CATEGORY, "other")
 
 
-def bundles(changes: DataFrame, daily: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Days:
+    """Sums by campaign and day and by account and day, both stored as they are dealt by account; steps that take daily facts take
+    them too, and move no day."""
+
+    facts: DataFrame
+    account: DataFrame
+
+
+def bundles(changes: DataFrame, daily: DataFrame | Days) -> DataFrame:
     """One row per account, campaign, day and actor, for days with a full week of facts on either side."""
-    span = daily.agg(F.date_add(F.min("date"), PRE).alias("first"), F.date_sub(F.max("date"), POST).alias("last"))
+    span = (daily.facts if isinstance(daily, Days) else daily).agg(F.date_add(F.min("date"), PRE).alias("first"), F.date_sub(F.max("date"), POST).alias("last"))
     events = changes.select("account_id", F.coalesce("campaign_id", F.lit("")).alias("campaign_id"), F.to_date("change_timestamp").alias("change_date"), "actor", category(F.col("resource_type")).alias("category"), "change_id")
     events = events.crossJoin(F.broadcast(span)).filter("first < last AND change_date BETWEEN first AND last")
-    rows = events.groupBy("account_id", "campaign_id", "change_date", "actor").agg(F.array_sort(F.collect_set("category")).alias("categories"), F.count("*").alias("change_count"), F.min("change_id").alias("change_event_id"))
+    # the categories are few and known: a bit each
+    kinds = sorted({*CATEGORY.values(), "other"})
+    events = by_account(events.withColumn("bit", case(F.col("category"), {c: 1 << i for i, c in enumerate(kinds)})).drop("category"))
+    rows = events.groupBy("account_id", "campaign_id", "change_date", "actor").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("change_count"), F.min("change_id").alias("change_event_id"))
+    named_bits = F.array_compact(F.array(*[F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, c) for i, c in enumerate(kinds)]))
+    rows = rows.select("account_id", "campaign_id", "change_date", "actor", named_bits.alias("categories"), "change_count", "change_event_id")
     key = F.array_join("categories", "+")
     auto = F.col("actor") == "auto_applied"
     named = F.when(auto, case(key, AUTO_BUNDLES)).otherwise(case(key, HUMAN_BUNDLES))
@@ -55,9 +72,11 @@ def bundles(changes: DataFrame, daily: DataFrame) -> DataFrame:
 METRICS = ("impressions", "clicks", "cost", "conversions", "conversion_value", "days", "cvr", "cpa", "roas")
 
 
-def days_of(daily: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+def days_of(daily: DataFrame | Days, *columns: str) -> tuple[DataFrame, DataFrame]:
     """Sums of ``columns`` by campaign and day, dealt by campaign, and by account and day, dealt by account: what follows on a campaign
-    or an account moves no fact again."""
+    or an account moves no fact again. Stored days stay as they lie."""
+    if isinstance(daily, Days):
+        return daily.facts.select("account_id", "campaign_id", "date", *columns), daily.account.select("account_id", "date", *columns)
     sums = [F.sum(c).alias(c) for c in columns]
     slim = daily.select("account_id", "campaign_id", "date", *columns)
     facts = slim.repartition("account_id", "campaign_id").groupBy("account_id", "campaign_id", "date").agg(*sums)
@@ -65,15 +84,31 @@ def days_of(daily: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     return facts, account
 
 
+def laid(daily: DataFrame, summed: bool = False) -> Days:
+    """The days of all that is summed over them, stored as they are dealt. ``summed``: a campaign's day is one row of ``daily``."""
+    columns = ("impressions", "clicks", "cost_micros", "conversions", "conversion_value")
+    facts = daily.select("account_id", "campaign_id", "date", *columns) if summed else days_of(daily, *columns)[0]
+    facts = dealt(facts, "days", "campaign_id", "date")
+    return Days(facts, dealt(facts.groupBy("account_id", "date").agg(*[F.sum(c).alias(c) for c in columns]), "account-days", "date"))
+
+
 def beside(keys: DataFrame, facts: DataFrame, account: DataFrame, near: Column, fold) -> DataFrame:
     """``fold(pairs, by)`` of keys with the days that are ``near``: of their campaign, or, for a ``campaign_id`` of '', of the whole
-    account. ``by`` is what the pairs lie by; aggregates that have it among their keys need no exchange."""
+    account. ``by`` is what the pairs lie by; aggregates that have it among their keys need no exchange, and keep the account for
+    what follows."""
     own = keys.filter("campaign_id <> ''").join(facts, ["account_id", "campaign_id"]).filter(near)
     whole = keys.filter("campaign_id = ''").drop("campaign_id").join(account, "account_id").filter(near)
     return fold(own, ["account_id", "campaign_id"]).unionByName(fold(whole, ["account_id"]))
 
 
-def window_metrics(rows: DataFrame, daily: DataFrame) -> DataFrame:
+def met(rows: DataFrame, found: DataFrame, key: str, daily: DataFrame | Days, how: str) -> DataFrame:
+    """``rows`` with what was ``found`` for their ``key``; beside stored days they meet by account as well, where they lie."""
+    more = [c for c in found.columns if c not in ("account_id", key)]
+    joined = by_account(rows).join(found, ["account_id", key], how) if isinstance(daily, Days) else rows.join(found.drop("account_id"), key, how)
+    return joined.select(*rows.columns, *more)
+
+
+def window_metrics(rows: DataFrame, daily: DataFrame | Days) -> DataFrame:
     """``rows`` with ``pre_*`` and ``post_*`` metrics; the day of change belongs to the time after. 0 stands for undefined."""
     facts, account = days_of(daily, "impressions", "clicks", "cost_micros", "conversions", "conversion_value")
     near = F.col("date").between(F.date_sub("change_date", PRE), F.date_add("change_date", POST - 1))
@@ -84,24 +119,40 @@ def window_metrics(rows: DataFrame, daily: DataFrame) -> DataFrame:
         aggs += [total("impressions").alias(f"{name}_impressions"), total("clicks").alias(f"{name}_clicks"), (total("cost_micros") / 1e6).alias(f"{name}_raw_cost"), total("conversions").cast("double").alias(f"{name}_conversions"),
                  total("conversion_value").cast("double").alias(f"{name}_raw_value"), F.count_if(side).alias(f"{name}_days")]
     keys = rows.select("episode_id", "account_id", "campaign_id", "change_date")
-    sums = beside(keys, facts, account, near, lambda pairs, by: pairs.groupBy(*by, "episode_id").agg(*aggs).drop(*by))
+    sums = beside(keys, facts, account, near, lambda pairs, by: pairs.groupBy(*by, "episode_id").agg(*aggs).drop("campaign_id"))
     for p in ("pre", "post"):
         cost, value, conv, clicks = (F.col(f"{p}_{x}") for x in ("raw_cost", "raw_value", "conversions", "clicks"))
         zero = lambda x, n: F.coalesce(rnd(x, n), F.lit(0.0))
         sums = sums.withColumns({f"{p}_cost": rnd(cost, 2), f"{p}_conversion_value": rnd(value, 2), f"{p}_cvr": zero(div(conv, clicks), 4), f"{p}_cpa": zero(div(cost, conv), 2), f"{p}_roas": zero(div(value, cost), 2)})
-    return rows.join(sums.select("episode_id", *[f"{p}_{m}" for p in ("pre", "post") for m in METRICS]), "episode_id").filter((F.col("pre_days") >= MIN_DAYS) & (F.col("post_days") >= MIN_DAYS))
+    found = [f"{p}_{m}" for p in ("pre", "post") for m in METRICS]
+    sums = sums.filter((F.col("pre_days") >= MIN_DAYS) & (F.col("post_days") >= MIN_DAYS)).select("account_id", "episode_id", *found)
+    return met(rows, sums, "episode_id", daily, "inner")
 
 
-def confounded(rows: DataFrame) -> DataFrame:
-    """episode_id of bundles with another bundle of the same campaign within the week that pulls a lever of its own. The levers of a
-    campaign's day are one set, those of a week the union of its days': no two bundles are ever paired."""
+def _levers(categories: str = "categories") -> Column:
+    """A bit for each lever of a bundle."""
     kinds = sorted({*CATEGORY.values(), "other"})
-    bits = sum((F.when(F.array_contains("categories", c), F.lit(1 << i)).otherwise(0) for i, c in enumerate(kinds)), F.lit(0))
-    own = rows.select("episode_id", "account_id", "campaign_id", "change_date", bits.alias("own"))
-    days = own.groupBy("account_id", "campaign_id", "change_date").agg(F.bit_or("own").alias("day"))
+    return sum((F.when(F.array_contains(categories, c), F.lit(1 << i)).otherwise(0) for i, c in enumerate(kinds)), F.lit(0))
+
+
+def _weeks(rows: DataFrame) -> DataFrame:
+    """account_id, campaign_id, change_date, week: the levers of a campaign's day are one set, those of the week from it the union of
+    its days'."""
+    days = rows.withColumn("own", _levers()).groupBy("account_id", "campaign_id", "change_date").agg(F.bit_or("own").alias("day"))
     week = Window.partitionBy("account_id", "campaign_id").orderBy(F.unix_date("change_date")).rangeBetween(0, POST - 1)
-    days = days.withColumn("week", F.bit_or("day").over(week))
-    return own.join(days, ["account_id", "campaign_id", "change_date"]).filter(F.col("week").bitwiseAND(F.bitwise_not("own")) != 0).select("episode_id")
+    return days.withColumn("week", F.bit_or("day").over(week)).drop("day")
+
+
+def _others() -> Column:
+    """Whether the week pulls a lever that the bundle does not."""
+    return F.col("week").bitwiseAND(F.bitwise_not("own")) != 0
+
+
+def confounded(rows: DataFrame) -> DataFrame:
+    """episode_id of bundles with another bundle of the same campaign within the week that pulls a lever of its own. No two bundles are
+    ever paired."""
+    own = rows.select("episode_id", "account_id", "campaign_id", "change_date", _levers().alias("own"))
+    return own.join(_weeks(rows), ["account_id", "campaign_id", "change_date"]).filter(_others()).select("episode_id")
 
 
 def _outcome(rows: DataFrame) -> DataFrame:
@@ -116,15 +167,15 @@ def _outcome(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"raw_outcome": F.when(better > 0.10, "improved").when(better < -0.10, "degraded").otherwise("neutral"), "raw_magnitude": F.abs("change")})
 
 
-def pre_trends(rows: DataFrame, daily: DataFrame, lookback: int = 14) -> DataFrame:
-    """episode_id, slope: the daily slope of the outcome metric before the change, where it is a real direction. Days of an
+def pre_trends(rows: DataFrame, daily: DataFrame | Days, lookback: int = 14) -> DataFrame:
+    """account_id, episode_id, slope: the daily slope of the outcome metric before the change, where it is a real direction. Days of an
     account-wide episode are summed over its campaigns first."""
     facts, account = days_of(daily, "clicks", "cost_micros", "conversions")
     keys = rows.filter("outcome_metric IS NOT NULL").select("episode_id", "account_id", "campaign_id", "change_date", F.col("outcome_metric").alias("metric"))
     near = (F.col("date") >= F.date_sub("change_date", lookback)) & (F.col("date") < F.col("change_date"))
     value = F.when(F.col("metric") == "cpa", div(F.col("cost_micros") / 1e6, "conversions")).otherwise(div("conversions", "clicks"))
-    found = beside(keys, facts, account, near, lambda pairs, by: trend(pairs.select(*by, "episode_id", "metric", "date", value.alias("value")), [*by, "episode_id", "metric"]).drop(*by))
-    return found.filter(F.col("classification").isin("improving", "declining", "rising", "falling")).select("episode_id", "slope")
+    found = beside(keys, facts, account, near, lambda pairs, by: trend(pairs.select(*by, "episode_id", "metric", "date", value.alias("value")), [*by, "episode_id", "metric"]).drop("campaign_id"))
+    return found.filter(F.col("classification").isin("improving", "declining", "rising", "falling")).select("account_id", "episode_id", "slope")
 
 
 def _told(rows: DataFrame) -> dict[str, Column]:
@@ -147,11 +198,14 @@ def _told(rows: DataFrame) -> dict[str, Column]:
     return {"outcome_detail": moved, "cannot_rule_out": F.array_join(doubts, "; "), "check_next": check}
 
 
-def build(changes: DataFrame, daily: DataFrame) -> DataFrame:
+def build(changes: DataFrame, daily: DataFrame | Days) -> DataFrame:
     """All episodes with outcome, trend adjustment and confidence."""
-    parts = materialised(bundles(changes, daily), "bundles")
-    rows = materialised(_outcome(window_metrics(parts, daily)), "outcomes")
-    rows = rows.join(confounded(parts).withColumn("_external", F.lit(True)), "episode_id", "left").join(pre_trends(rows, daily), "episode_id", "left")
+    parts = dealt(bundles(changes, daily), "bundles", "campaign_id")
+    rows = dealt(_outcome(window_metrics(parts, daily)), "outcomes", "campaign_id")
+    names = rows.columns
+    # all bundles make the week, those with an outcome look it up
+    weeks = rows.withColumn("own", _levers()).join(_weeks(parts), ["account_id", "campaign_id", "change_date"], "left").withColumn("_external", _others())
+    rows = met(weeks.select(*names, "_external"), pre_trends(rows, daily), "episode_id", daily, "left")
     external = F.coalesce("_external", F.lit(False))
     rows = rows.withColumn("confounded", external | (~F.col("known") & (F.size("categories") > 1)))
     floor = F.when(F.col("outcome_metric") == "cpa", 1.0).otherwise(0.005)

@@ -9,7 +9,8 @@ from admeridian.functions.stats import winsorised
 from admeridian.functions.windows import div
 from admeridian.operators import refinement
 from admeridian.operators import templates as T
-from admeridian.operators.episodes import days_of
+from admeridian.operators.episodes import Days, days_of
+from admeridian.sources.tables import by_account
 
 WINDOWS = (7, 14, 30)
 
@@ -43,16 +44,17 @@ def scored(rows: DataFrame, *more: str) -> DataFrame:
                        _right(F.col("recommendation"), F.col("actual_action_cost")).alias("recommendation_correct"), *more)
 
 
-def resolve(predictions: DataFrame, daily: DataFrame, resolved: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
+def resolve(predictions: DataFrame, daily: DataFrame | Days, resolved: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
     """One row per prediction and window that has closed by ``as_of`` (default: the data anchor) and is not yet in ``resolved``."""
-    at = daily.agg(F.max("date").alias("as_of"))
-    made = predictions.filter("campaign_id <> ''").crossJoin(F.broadcast(at))
+    facts = days_of(daily, "cost_micros", "conversions")[0]
+    at = (daily.facts if isinstance(daily, Days) else daily).agg(F.max("date").alias("as_of"))
+    made = predictions.filter("campaign_id <> ''")
+    made = (by_account(made) if isinstance(daily, Days) else made).crossJoin(F.broadcast(at))
     if as_of is not None:
         made = made.withColumn("as_of", as_of)
     closed = lambda w: F.date_add("registered_at", w) <= F.col("as_of")
     made = made.filter(closed(min(WINDOWS)))
     # a prediction meets its days once for all windows, where the days lie
-    facts = days_of(daily, "cost_micros", "conversions")[0]
     near = F.col("date").between(F.date_sub("registered_at", 7), F.date_add("registered_at", max(WINDOWS) - 1))
     part = lambda side: cost_per_conversion(F.sum(F.when(side, F.col("cost_micros"))), F.sum(F.when(side, F.col("conversions"))))
     after = lambda w: (F.col("date") >= F.col("registered_at")) & (F.col("date") < F.date_add("registered_at", w))
@@ -90,5 +92,5 @@ def alerts(daily: DataFrame, scores: DataFrame, today: Column, stale_days: int =
 def daily_cycle(t, as_of: Column | None = None, resolved: DataFrame | None = None) -> dict[str, DataFrame]:
     """Register, resolve, judge: the same inputs give the same rows, so a rerun replaces what it wrote."""
     predictions = register(t.rows if as_of is None else t.rows.filter(F.col("change_date") <= as_of), t.catalogue, t.baseline)
-    fresh = resolve(predictions, t.facts, resolved, as_of)
+    fresh = resolve(predictions, t.days, resolved, as_of)
     return {"predictions": predictions, "resolutions": fresh, "health": health(fresh, t.catalogue), "accuracy": accuracy(fresh)}

@@ -8,29 +8,30 @@ from pyspark.sql import functions as F
 from admeridian.functions.stats import fisher_greater, winsorised
 from admeridian.functions.windows import div
 from admeridian.operators import templates as T
-from admeridian.operators.episodes import days_of
-from admeridian.sources.tables import materialised
+from admeridian.operators.episodes import Days, days_of
+from admeridian.sources.tables import by_account, dealt
 
 PRE, POST, MATCH_DAYS, ACT, AVOID = 7, 7, 60, 0.10, 0.20
 
 
-def no_action_baseline(daily: DataFrame, changes: DataFrame, accounts: DataFrame) -> DataFrame:
+def no_action_baseline(daily: DataFrame | Days, changes: DataFrame, accounts: DataFrame) -> DataFrame:
     """Adjacent weeks without any change of the campaign: state at the start and the natural change of the cost per conversion."""
-    span = daily.filter("campaign_id <> ''").groupBy("account_id", "campaign_id").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.countDistinct("date").alias("days")).filter(F.col("days") >= PRE + POST)
+    facts = days_of(daily, "cost_micros", "conversions")[0].withColumnsRenamed({"cost_micros": "micros", "conversions": "conv"})
+    # a campaign's day is one row
+    span = facts.filter("campaign_id <> ''").groupBy("account_id", "campaign_id").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("date").alias("days")).filter(F.col("days") >= PRE + POST)
     low, high = F.date_add("first", PRE), F.date_sub("last", POST)
     anchors = span.filter(low <= high).select("account_id", "campaign_id", F.explode(F.sequence(low, high, F.expr("INTERVAL 7 DAYS"))).alias("at"))
-    events = changes.filter("campaign_id <> ''").select("account_id", "campaign_id", F.to_date("change_timestamp").alias("day"))
+    events = by_account(changes.filter("campaign_id <> ''").select("account_id", "campaign_id", F.to_date("change_timestamp").alias("day")))
     # a campaign's days of change are one short list, held against its anchors where they lie
     busy = events.groupBy("account_id", "campaign_id").agg(F.collect_set("day").alias("busy"))
     close = F.exists("busy", lambda d: d.between(F.date_sub("at", PRE), F.date_add("at", POST - 1)))
     quiet = anchors.join(busy, ["account_id", "campaign_id"], "left").filter(~F.coalesce(close, F.lit(False))).drop("busy")
-    facts = days_of(daily, "cost_micros", "conversions")[0].withColumnsRenamed({"cost_micros": "micros", "conversions": "conv"})
     near = quiet.join(facts, ["account_id", "campaign_id"]).filter(F.col("date").between(F.date_sub("at", PRE), F.date_add("at", POST - 1)))
     before = F.col("date") < F.col("at")
     part = lambda side: div(F.sum(F.when(side, F.col("micros"))) / 1e6, F.sum(F.when(side, F.col("conv"))))
     rows = near.groupBy("account_id", "campaign_id", "at").agg(part(before).alias("pre_cpa"), part(~before).alias("post_cpa")).filter("pre_cpa > 0 AND post_cpa IS NOT NULL")
     rows = rows.withColumn("key", F.concat_ws("|", "account_id", "campaign_id", F.col("at").cast("string")))
-    rows = materialised(rows, "quiet-weeks")  # read twice, for their days and for their state
+    rows = dealt(rows, "quiet-weeks", "campaign_id")  # read twice, for their days and for their state
     rows = T.with_state(rows, rows.select("key", "account_id", "campaign_id", "at"), daily, accounts, "key", "pre_cpa", "at")
     return rows.select("account_id", "campaign_id", F.col("pre_state").alias("state"), F.date_sub("at", PRE).alias("window_start"), F.date_add("at", POST).alias("window_end"), "pre_cpa", "post_cpa", winsorised((F.col("post_cpa") - F.col("pre_cpa")) / F.col("pre_cpa")).alias("cpa_change"))
 
@@ -172,16 +173,20 @@ def _percent_bucket(p: Column) -> Column:
 
 def with_magnitude(rows: DataFrame, changes: DataFrame) -> DataFrame:
     """``magnitude_bucket`` by the amounts in the bundle's first event, else by the size of the batch."""
-    events = changes.select("account_id", F.col("change_id").alias("change_event_id"), "old_value", "new_value")
-    rows = rows.join(events, ["account_id", "change_event_id"], "left")
+    events = by_account(changes).select("account_id", F.col("change_id").alias("change_event_id"), "old_value", "new_value")
     bucket = None
-    for pattern in (r"amount_micros:\s*(\d+)", r"target_roas:\s*([\d.]+)", r"target_cpa_micros:\s*(\d+)"):
-        number = lambda c, pattern=pattern: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), pattern, 1), F.lit("")).try_cast("double")
-        old, new = number(F.col("old_value")), number(F.col("new_value"))
+    patterns = (r"amount_micros:\s*(\d+)", r"target_roas:\s*([\d.]+)", r"target_cpa_micros:\s*(\d+)")
+    number = lambda c, pattern: F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), pattern, 1), F.lit("")).try_cast("double")
+    rows = by_account(rows).join(events, ["account_id", "change_event_id"], "left")
+    # each text is searched once, and not again for every bound of a bucket
+    found_in = {f"_{c}{i}": number(F.col(c), p) for i, p in enumerate(patterns) for c in ("old_value", "new_value")}
+    rows = rows.withColumns(found_in)
+    for i in range(len(patterns)):
+        old, new = F.col(f"_old_value{i}"), F.col(f"_new_value{i}")
         hit = (old > 0) & (new > 0)
         found = _percent_bucket((new - old) / old)
         bucket = F.when(hit, found) if bucket is None else bucket.when(hit, found)
     n = F.col("change_count")
     batch = F.when(n <= 5, "small_batch").when(n <= 20, "medium_batch").otherwise("large_batch")
     bucket = bucket.when(F.col("change_category").isin("targeting_keyword", "asset", "ad_creative"), batch).otherwise("na")
-    return rows.withColumn("magnitude_bucket", bucket).drop("old_value", "new_value")
+    return rows.withColumn("magnitude_bucket", bucket).drop("old_value", "new_value", *found_in)

@@ -11,7 +11,7 @@ from admeridian.functions.config import BENCHMARK_CPA, SEASONAL
 from admeridian.functions.stats import rnd
 from admeridian.operators import episodes, heldout, refinement, segment_learning, templates, trends
 from admeridian.sources.adapters import TABLES, Tables, ctes, spark_sql
-from admeridian.sources.tables import materialised
+from admeridian.sources.tables import dealt, materialised
 
 
 class Learned(Tables):
@@ -24,17 +24,21 @@ class Learned(Tables):
         rows = self.spark.sql(spark_sql(TABLES["daily_metrics"]), lineitem=self.lineitem.repartition("l_suppkey"))
         return materialised(rows.sortWithinPartitions("account_id", "campaign_id", "date"), "daily")
 
+    @cached_property
+    def days(self) -> episodes.Days:
+        return episodes.laid(self.facts, summed=True)  # the facts are grouped by what names a campaign, and by day
+
     @cached_property
     def episodes(self) -> DataFrame:
-        return materialised(episodes.build(self.change_events, self.facts), "episodes")
+        return dealt(episodes.build(self.change_events, self.days), "episodes", "campaign_id")
 
     @cached_property
     def tagged(self) -> DataFrame:
-        return materialised(templates.tag_states(self.episodes, self.facts, self.accounts), "tagged")
+        return dealt(templates.tag_states(self.episodes, self.days, self.accounts), "tagged", "campaign_id")
 
     @cached_property
     def rows(self) -> DataFrame:
-        return materialised(refinement.with_magnitude(templates.refine(templates.template_episodes(self.tagged, self.accounts), self.facts), self.change_events), "template-episodes")
+        return dealt(refinement.with_magnitude(templates.refine(templates.template_episodes(self.tagged, self.accounts), self.facts), self.change_events), "template-episodes", "campaign_id")
 
     @cached_property
     def members(self) -> DataFrame:
@@ -46,7 +50,7 @@ class Learned(Tables):
 
     @cached_property
     def baseline(self) -> DataFrame:
-        return materialised(refinement.no_action_baseline(self.facts, self.change_events, self.accounts), "baseline")
+        return dealt(refinement.no_action_baseline(self.days, self.change_events, self.accounts), "baseline", "campaign_id")
 
     @cached_property
     def clean(self) -> DataFrame:

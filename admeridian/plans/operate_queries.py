@@ -13,18 +13,19 @@ from admeridian.operators import audit, changes, detectors, ledger, operate, sim
 from admeridian.plans.learn_queries import _ALL, _BASE, _CAT, _ROWS, Learned, _held, _w, rounded
 from admeridian.sources import store
 from admeridian.sources.adapters import Tables, ctes
-from admeridian.sources.tables import insert_ignore, materialised, shared_dir, upsert_columns, upsert_replace
+from admeridian.sources.tables import as_it_lies, dealt, insert_ignore, materialised, shared_dir, upsert_columns, upsert_replace
 from admeridian.streaming import resolver
 
 
 class Operated(Learned):
     @cached_property
     def predictions(self) -> DataFrame:
-        return materialised(operate.register(self.rows, self.catalogue, self.baseline), "predictions")
+        return dealt(operate.register(self.rows, self.catalogue, self.baseline), "predictions", "campaign_id")
 
     @cached_property
     def resolutions(self) -> DataFrame:
-        return materialised(operate.resolve(self.predictions, self.facts), "resolutions")
+        with as_it_lies(self.spark):
+            return materialised(operate.resolve(self.predictions, self.days), "resolutions")
 
     @cached_property
     def told(self) -> DataFrame:

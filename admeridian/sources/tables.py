@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+PARTIAL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +33,36 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_account(df: DataFrame) -> DataFrame:
+    """``df`` dealt by account; what lies so already is not moved. Joins and groups that have the account among their keys move nothing."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "account_id")
+
+
+@contextmanager
+def as_it_lies(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile joins rows that lie by account as they lie, also where a join has further keys. As a rule Spark would deal
+    both sides anew by all keys."""
+    usual = spark.conf.get(PARTIAL_KEYS)
+    spark.conf.set(PARTIAL_KEYS, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(PARTIAL_KEYS, usual)
+
+
+def dealt(df: DataFrame, label: str, *order: str) -> DataFrame:
+    """``materialised``, in buckets by account: what is read lies as ``by_account`` deals, in order of account and ``order``."""
+    spark = df.sparkSession
+    name = f"dealt_{uuid.uuid4().hex}"
+    keys = ["account_id", *order]
+    rows = by_account(df).sortWithinPartitions(*keys).write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "account_id").sortBy(*keys)
+    with as_it_lies(spark):
+        rows.option("path", f"{shared_dir(spark)}/admeridian/{label}-{name}").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of the catalogue alone, the files stay
+    return out
+
+
 # --- upserts ---
 
 
