@@ -442,6 +442,25 @@ def test_segments_agree_with_the_library_on_whole_documents(spark, sf_dir, file,
         assert list(np.frombuffer(own.encode(t), f"<u{width}")) == library.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("file, drops, width, library", [("byte_bpe_50k.json", False, 4, BYTE), ("word_bpe_49k.json", True, 2, WORDPIECE)])
+def test_segments_merge_a_frequent_word_once(file, drops, width, library):
+    from admeridian.llm.segments import SegmentEncoder
+
+    own = SegmentEncoder(public_tokenizers.path(file), drops, width, memo=40)
+    merge, merged = own.merge, Counter()
+
+    def counted(word):
+        merged[word] += 1
+        return merge(word)
+
+    own.merge = counted
+    for i in range(300):
+        text = f" often, often. often; often-often{i} x{chr(97 + i % 26)}{chr(97 + i // 26)}"
+        assert list(np.frombuffer(own.encode(text), f"<u{width}")) == library.encode(text, add_special_tokens=False).ids
+    # whatever stands beside it, and however many other words have come
+    assert max(n for word, n in merged.items() if b"often" in word) == 1
+
+
 def test_tokens_side_by_side():
     machine = token_counts.transducer(*token_counts.default_tokenizer())
     rng, ids = np.random.default_rng(4), sorted(machine.whole)
