@@ -86,10 +86,14 @@ def best_and_worst(catalogue: DataFrame, top: int = 10) -> DataFrame:
     return best.unionByName(worst)
 
 
-def audit_export(resolved: DataFrame, predictions: DataFrame) -> DataFrame:
-    """One row per resolved metric prediction, nothing derived: whoever audits computes accuracy anew."""
-    calls = predictions.select("episode_id", "recommendation", "state", "prediction_direction")
-    return resolved.join(calls, "episode_id", "left").select("prediction_id", "episode_id", "template_id", "metric", F.col("median_delta").alias("predicted_median"), "iqr_low", "iqr_high", F.col("delta").alias("actual_delta"), F.col("error").alias("abs_error"), "within_iqr", "recommendation", "state", "prediction_direction", "registered_at")
+CALL = ("recommendation", "state", "prediction_direction")
+
+
+def audit_export(resolved: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
+    """One row per resolved metric prediction, nothing derived: whoever audits computes accuracy anew. Without ``predictions`` the
+    rows carry the columns of their ``CALL``."""
+    rows = resolved if predictions is None else resolved.join(predictions.select("episode_id", *CALL), "episode_id", "left")
+    return rows.select("prediction_id", "episode_id", "template_id", "metric", F.col("median_delta").alias("predicted_median"), "iqr_low", "iqr_high", F.col("delta").alias("actual_delta"), F.col("error").alias("abs_error"), "within_iqr", "recommendation", "state", "prediction_direction", "registered_at")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

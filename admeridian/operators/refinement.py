@@ -143,9 +143,10 @@ def per_metric(members: DataFrame) -> DataFrame:
     rows = metric_deltas(members)
     w = Window.partitionBy("template_id", "metric")
     rows = rows.withColumn("n", F.count("*").over(w)).filter(F.col("n") >= T.MIN_EPISODES)
-    q = rows.groupBy("template_id", "metric").agg(F.percentile("delta", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
-    errors = T.fold_predictions(rows.drop("n"), value="delta", extra=["metric"]).groupBy("template_id", "metric").agg(F.avg("magnitude_error").alias("mae"))
-    return q.join(errors, ["template_id", "metric"]).select("template_id", "metric", F.col("q")[1].alias("median_delta"), F.col("q")[0].alias("iqr_low"), F.col("q")[2].alias("iqr_high"), "mae", "n")
+    # cells of so many episodes have folds, so every row comes back with its prediction, where it lies
+    told = T.fold_predictions(rows.drop("n"), value="delta", extra=["metric"])
+    q = told.groupBy("template_id", "metric").agg(F.percentile("actual_magnitude", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"), F.avg("magnitude_error").alias("mae"))
+    return q.select("template_id", "metric", F.col("q")[1].alias("median_delta"), F.col("q")[0].alias("iqr_low"), F.col("q")[2].alias("iqr_high"), "mae", "n")
 
 
 def predictability(members: DataFrame) -> DataFrame:
@@ -155,16 +156,30 @@ def predictability(members: DataFrame) -> DataFrame:
     return out.withColumn("tier", F.when(F.col("mae") < 0.10, "STRONG").when(F.col("mae") < 0.15, "MODERATE").otherwise("WEAK"))
 
 
+def _hypothesis_id() -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", "episode_id", "template_id", "metric"), 256), 1, 16)
+
+
 def metric_hypotheses(members: DataFrame, forecasts: DataFrame) -> DataFrame:
     """One prediction per episode and metric of its template; known before the outcome."""
-    pid = F.substring(F.sha2(F.concat_ws("|", "episode_id", "template_id", "metric"), 256), 1, 16)
-    return members.select("episode_id", "template_id", "change_date").join(forecasts, "template_id").select(pid.alias("prediction_id"), "episode_id", "template_id", "metric", "median_delta", "iqr_low", "iqr_high", F.col("change_date").alias("registered_at"))
+    return members.select("episode_id", "template_id", "change_date").join(forecasts, "template_id").select(_hypothesis_id().alias("prediction_id"), "episode_id", "template_id", "metric", "median_delta", "iqr_low", "iqr_high", F.col("change_date").alias("registered_at"))
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"error": F.abs(F.col("median_delta") - F.col("delta")), "within_iqr": F.col("delta").between(F.col("iqr_low"), F.col("iqr_high"))})
 
 
 def resolved_hypotheses(hypotheses: DataFrame, members: DataFrame) -> DataFrame:
     actual = metric_deltas(members).select("episode_id", "metric", "delta")
-    rows = hypotheses.join(actual, ["episode_id", "metric"])
-    return rows.withColumns({"error": F.abs(F.col("median_delta") - F.col("delta")), "within_iqr": F.col("delta").between(F.col("iqr_low"), F.col("iqr_high"))})
+    return _judged(hypotheses.join(actual, ["episode_id", "metric"]))
+
+
+def resolved_members(members: DataFrame, forecasts: DataFrame, *more: str) -> DataFrame:
+    """``resolved_hypotheses`` of the ``metric_hypotheses`` of ``members`` with one template an episode, with ``account_id`` and ``more``
+    of their columns: forecasts are few and sent to the members, which are not moved."""
+    told = forecasts.select("template_id", "metric", "median_delta", "iqr_low", "iqr_high")
+    actual = metric_deltas(members).select("account_id", "episode_id", "template_id", "metric", "delta", F.col("change_date").alias("registered_at"), *more)
+    return _judged(actual.join(F.broadcast(told), ["template_id", "metric"]).withColumn("prediction_id", _hypothesis_id()))
 
 
 def _percent_bucket(p: Column) -> Column:

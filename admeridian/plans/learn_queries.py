@@ -42,7 +42,7 @@ class Learned(Tables):
 
     @cached_property
     def members(self) -> DataFrame:
-        return materialised(templates.cascade(self.rows), "members")
+        return dealt(templates.cascade(self.rows), "members", "campaign_id")
 
     @cached_property
     def catalogue(self) -> DataFrame:
@@ -118,7 +118,7 @@ QUERIES = {
     "ref12_categories": _q(lambda t: refinement.categorised(refinement.with_natural(t.catalogue, t.baseline)), "template_id", "natural_magnitude", "action_attributable_magnitude", "call"),
     "pmt02_per_metric": _q(lambda t: refinement.per_metric(t.members)),
     "pmt03_predictability": _q(lambda t: refinement.predictability(t.members)),
-    "pmt05_hypotheses": _q(lambda t: refinement.resolved_hypotheses(refinement.metric_hypotheses(t.members, refinement.per_metric(t.members)), t.members).groupBy("metric").agg(F.count("*").alias("n"), F.avg("error").alias("mae"), F.avg(F.col("within_iqr").cast("double")).alias("within_iqr"))),
+    "pmt05_hypotheses": _q(lambda t: refinement.resolved_members(t.members, refinement.per_metric(t.members)).groupBy("metric").agg(F.count("*").alias("n"), F.avg("error").alias("mae"), F.avg(F.col("within_iqr").cast("double")).alias("within_iqr"))),
     "mag03_cascade": _q(lambda t: templates.cascade(t.rows, templates.with_bucket(templates.LEVELS)), "episode_id", "template_id", "level"),
     "mag05_predictability": _q(lambda t: refinement.predictability(templates.cascade(t.rows, templates.with_bucket(templates.LEVELS)))),
     "mag07_distribution": _q(lambda t: t.rows.groupBy("magnitude_bucket").agg(F.count("*").alias("n"), F.count_if(F.col("change_category") == "budget").alias("n_budget"))),

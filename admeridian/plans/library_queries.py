@@ -12,7 +12,7 @@ from admeridian.plans import detector_queries
 from admeridian.plans.learn_queries import _ALL, _BASE, _CAT, _EPISODES, _ROWS, _STATES, _TRENDS, Learned, _cascade, _per_metric, _w, rounded
 from admeridian.plans.operate_queries import _RES, Operated
 from admeridian.sources.adapters import Tables, ctes
-from admeridian.sources.tables import materialised
+from admeridian.sources.tables import dealt, materialised
 
 
 class Library(Operated):
@@ -36,7 +36,7 @@ class Library(Operated):
 
     @cached_property
     def resolved(self) -> DataFrame:
-        return materialised(refinement.resolved_hypotheses(refinement.metric_hypotheses(self.members, self.plain_forecasts), self.members), "resolved-hypotheses")
+        return materialised(refinement.resolved_members(self.members, self.plain_forecasts), "resolved-hypotheses")
 
     @cached_property
     def matches(self) -> DataFrame:
@@ -71,6 +71,13 @@ def _ledger_health(t: Library) -> DataFrame:
     return trust.health_score(ledger.broken(t.ledger, t.told), trust.changed_days(day, day), trust.irreproducible(snapshot, snapshot), trust.event_counts(log), scores)
 
 
+def _exported(t: Library) -> DataFrame:
+    """An episode meets its call by account, where both lie, before its metrics make nine rows of it."""
+    calls = t.predictions.select("account_id", "episode_id", *observe.CALL)
+    called = dealt(t.members.join(calls, ["account_id", "episode_id"], "left"), "called-members", "campaign_id")
+    return observe.audit_export(refinement.resolved_members(called, t.plain_forecasts, *observe.CALL))
+
+
 def _proactive_report(t: Library) -> DataFrame:
     own = t.matches.filter("size(split(template_id, '__')) > 4")
     return proactive.report(proactive._campaigns(t.tagged, t.accounts), proactive.scan(t.matches), proactive.experiments(t.tagged, t.accounts, t.forecasts, own))
@@ -140,7 +147,7 @@ QUERIES = {
     "ver08_irreproducible": _q(_frozen),
     "ver09_drift_events": _q(lambda t: trust.drift_events(t.health, t.spark.createDataFrame([("x", "drift_alert", "warning", "none", None, None)], trust.EVENTS), F.lit("2024-03-24").cast("date"))),
     "ver10_health_score": _q(_ledger_health),
-    "snk04_audit_export": _q(lambda t: observe.audit_export(t.resolved, t.predictions), "episode_id", "template_id", "metric", "predicted_median", "actual_delta", "abs_error", "within_iqr", "recommendation", "state", "prediction_direction"),
+    "snk04_audit_export": _q(_exported, "episode_id", "template_id", "metric", "predicted_median", "actual_delta", "abs_error", "within_iqr", "recommendation", "state", "prediction_direction"),
     "snk05_template_report": _q(lambda t: observe.best_and_worst(t.catalogue), "section", "template_id", "direction_accuracy", "n_episodes"),
     "ops05_live_state": _q(lambda t: observe.live_state(t.facts, t.episodes, t.predictions, t.resolutions, t.health)),
     "ops05_strongest_calls": _q(lambda t: observe.strongest_calls(t.predictions, t.resolutions)),

@@ -2,10 +2,13 @@
 
 import datetime as dt
 import re
+import statistics
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from admeridian.operators import episodes, operate
+from admeridian.operators import episodes, observe, operate, refinement, templates
 from admeridian.sources.tables import PARTIAL_KEYS, as_it_lies, dealt
 
 D0 = dt.date(2024, 3, 1)
@@ -50,3 +53,40 @@ def test_stored_days_give_the_rows_of_plain_ones(spark):
         assert lines(operate.resolve(dealt(told, "told"), days)) == lines(operate.resolve(told, rows))
     assert lines(episodes.laid(daily, summed=True).facts) == lines(episodes.laid(daily).facts)
     assert dealt(keys.limit(0), "none").count() == 0
+
+
+def test_folds_are_read_off_one_order(spark):
+    rng = np.random.default_rng(3)
+    sizes = {"a": 1, "b": 2, "c": 3, "d": 4, "e": 11, "f": 57}
+    rows = [(f"e{t}{i:03d}", f"a{i % 4}", t, str(rng.choice(["improved", "degraded", "neutral"])), float(rng.integers(-8, 9)) / 8 if rng.random() < 0.7 else float(rng.normal())) for t, n in sizes.items() for i in range(n)]
+    members = spark.createDataFrame(rows, "episode_id string, account_id string, template_id string, direction string, signed double")
+    found = templates.fold_predictions(members)
+    # moved once, and not repeated for the folds
+    assert plan(found).count("Exchange hashpartitioning") == 1 and "Generate" not in plan(found)
+    want = {}
+    for t in sizes:
+        own = sorted(r for r in rows if r[2] == t)
+        k = min(5, len(own))
+        for i, r in enumerate(own):
+            others = [x for j, x in enumerate(own) if j % k != i % k]
+            if others:
+                counts = Counter(x[3] for x in others)
+                want[r[0]] = (min(counts, key=lambda d: (-counts[d], d)), statistics.median(x[4] for x in others))
+    got = {r["episode_id"]: (r["predicted_direction"], r["predicted_magnitude"]) for r in found.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[e][0] == want[e][0] and abs(got[e][1] - want[e][1]) < 1e-12 for e in want)
+
+
+def test_members_are_resolved_where_they_lie(spark):
+    values = [c for m in refinement.METRICS if m != "ctr" for c in (f"pre_{m}", f"post_{m}")]
+    rows = [(f"e{i}", f"a{i % 3}", f"t{i % 4}", D0, "ACT", *[float((i * k) % 5) for k in range(len(values))]) for i in range(40)]
+    members = spark.createDataFrame(rows, "episode_id string, account_id string, template_id string, change_date date, recommendation string, " + ", ".join(f"{c} double" for c in values))
+    forecasts = spark.createDataFrame([(f"t{i}", m, 0.1 * i, -0.2, 0.5, 0.3, 12) for i in range(3) for m in refinement.METRICS[i:]], "template_id string, metric string, median_delta double, iqr_low double, iqr_high double, mae double, n long")
+    got = refinement.resolved_members(members, forecasts, "recommendation")
+    assert "hashpartitioning" not in plan(got)
+    want = refinement.resolved_hypotheses(refinement.metric_hypotheses(members, forecasts), members)
+    lines = lambda df: sorted(map(repr, df.select(*want.columns).collect()))
+    assert lines(got) == lines(want) and len(lines(want)) > 100
+    calls = members.select("episode_id", "recommendation", F.lit("s").alias("state"), F.lit("improved").alias("prediction_direction"))
+    carried = got.withColumns({"state": F.lit("s"), "prediction_direction": F.lit("improved")})
+    assert sorted(map(repr, observe.audit_export(carried).collect())) == sorted(map(repr, observe.audit_export(want, calls).collect()))
