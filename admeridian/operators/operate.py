@@ -10,7 +10,7 @@ from admeridian.functions.windows import div
 from admeridian.operators import refinement
 from admeridian.operators import templates as T
 from admeridian.operators.episodes import Days, days_of
-from admeridian.sources.tables import by_account
+from admeridian.sources.tables import as_it_lies, by_account, dealt, materialised
 
 WINDOWS = (7, 14, 30)
 
@@ -92,5 +92,10 @@ def alerts(daily: DataFrame, scores: DataFrame, today: Column, stale_days: int =
 def daily_cycle(t, as_of: Column | None = None, resolved: DataFrame | None = None) -> dict[str, DataFrame]:
     """Register, resolve, judge: the same inputs give the same rows, so a rerun replaces what it wrote."""
     predictions = register(t.rows if as_of is None else t.rows.filter(F.col("change_date") <= as_of), t.catalogue, t.baseline)
-    fresh = resolve(predictions, t.days, resolved, as_of)
+    if isinstance(t.days, Days):
+        predictions = dealt(predictions, "cycle-predictions", "campaign_id")
+        with as_it_lies(predictions.sparkSession):
+            fresh = materialised(resolve(predictions, t.days, resolved, as_of), "cycle-resolutions")
+    else:
+        fresh = resolve(predictions, t.days, resolved, as_of)
     return {"predictions": predictions, "resolutions": fresh, "health": health(fresh, t.catalogue), "accuracy": accuracy(fresh)}

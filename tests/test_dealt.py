@@ -90,3 +90,13 @@ def test_members_are_resolved_where_they_lie(spark):
     calls = members.select("episode_id", "recommendation", F.lit("s").alias("state"), F.lit("improved").alias("prediction_direction"))
     carried = got.withColumns({"state": F.lit("s"), "prediction_direction": F.lit("improved")})
     assert sorted(map(repr, observe.audit_export(carried).collect())) == sorted(map(repr, observe.audit_export(want, calls).collect()))
+
+
+def test_the_daily_cycle_moves_no_days(spark, sf_dir):
+    from admeridian.plans.operate_queries import Operated
+
+    t = Operated(spark, sf_dir)
+    found = operate.daily_cycle(t, F.lit("2024-03-01").cast("date"))["resolutions"]
+    assert "hashpartitioning" not in plan(found)
+    plain = operate.resolve(t.predictions.filter("registered_at <= DATE '2024-03-01'"), t.facts, None, F.lit("2024-03-01").cast("date"))
+    assert sorted(map(repr, found.select("prediction_id", "window_days", "actual_direction").collect())) == sorted(map(repr, plain.select("prediction_id", "window_days", "actual_direction").collect()))
