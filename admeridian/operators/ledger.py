@@ -42,7 +42,9 @@ class Ledger:
 
 
 def empty(spark: SparkSession) -> Ledger:
-    return Ledger(*[spark.createDataFrame([], x) for x in (ENTRIES, NODES, HEADS)])
+    """No rows that Spark knows to be none: nothing is joined with them."""
+    none = lambda fields: spark.sql("SELECT " + ", ".join("CAST(NULL AS {1}) AS {0}".format(*f.split()) for f in fields.split(",")) + " WHERE false")
+    return Ledger(*[none(x) for x in (ENTRIES, NODES, HEADS)])
 
 
 def canonical(columns: list[str]) -> Column:

@@ -122,3 +122,11 @@ def test_proofs(spark, rows, whole):
 def test_empty(spark, rows):
     none = ledger.append(rows.filter("x < 0"))
     assert [x.count() for x in (none.entries, none.nodes, none.heads)] == [0, 0, 0] and reasons(none, rows) == set()
+
+
+def test_a_first_run_is_joined_with_nothing(spark, rows):
+    none = ledger.empty(spark)
+    assert [x.columns for x in (none.entries, none.nodes, none.heads)] == [[f.split()[0] for f in x.split(", ")] for x in (ledger.ENTRIES, ledger.NODES, ledger.HEADS)]
+    assert [x.count() for x in (none.entries, none.nodes, none.heads)] == [0, 0, 0]
+    fresh = ledger._joined(ledger.entries_of(rows), none.entries.select("prediction_id"), ["prediction_id"], "left_anti")
+    assert "Join" not in fresh._jdf.queryExecution().optimizedPlan().toString()
