@@ -20,8 +20,10 @@ class Learned(Tables):
     @cached_property
     def facts(self) -> DataFrame:
         """The daily facts, an account's together and in order: sums by account and day are made before anything is moved, and what
-        is moved is packed tighter. Line items are dealt by account instead of by account, campaign and day, so nothing is moved more."""
-        rows = self.spark.sql(spark_sql(TABLES["daily_metrics"]), lineitem=self.lineitem.repartition("l_suppkey"))
+        is moved is packed tighter. Line items are dealt by account instead of by account, campaign and day, so nothing is moved more,
+        into a stated number of parts: packed as they are, parts that Spark merges by their size hold too many days to sum and sort."""
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = self.spark.sql(spark_sql(TABLES["daily_metrics"]), lineitem=self.lineitem.repartition(parts, "l_suppkey"))
         return materialised(rows.sortWithinPartitions("account_id", "campaign_id", "date"), "daily")
 
     @cached_property

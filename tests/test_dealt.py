@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from admeridian.operators import episodes, observe, operate, refinement, templates
+from admeridian.plans.learn_queries import Learned
 from admeridian.sources.tables import PARTIAL_KEYS, as_it_lies, dealt
 
 D0 = dt.date(2024, 3, 1)
@@ -100,3 +101,12 @@ def test_the_daily_cycle_moves_no_days(spark, sf_dir):
     assert "hashpartitioning" not in plan(found)
     plain = operate.resolve(t.predictions.filter("registered_at <= DATE '2024-03-01'"), t.facts, None, F.lit("2024-03-01").cast("date"))
     assert sorted(map(repr, found.select("prediction_id", "window_days", "actual_direction").collect())) == sorted(map(repr, plain.select("prediction_id", "window_days", "actual_direction").collect()))
+
+
+def test_facts_are_summed_in_as_many_parts_as_stated(spark, sf_dir):
+    facts = Learned(spark, sf_dir).facts
+    # parts of these few days that Spark may merge are one; a part without an account has no file
+    assert 1 < len(facts.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lying = facts.select("account_id", F.input_file_name().alias("file")).distinct()
+    assert lying.groupBy("account_id").count().filter("count > 1").count() == 0
+    assert facts.groupBy("account_id", "campaign_id", "date").count().filter("count > 1").count() == 0
