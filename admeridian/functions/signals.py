@@ -13,13 +13,13 @@ def identifier(*parts: Column | str, length: int = 12) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) if isinstance(p, Column) else F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]), 256), 1, length)
 
 
-def signals(rows: DataFrame, kind: str | Column, domain: str, severity: str | Column, value: Column, threshold: Column, message: Column, data: dict[str, Column | str], campaign: bool = True, key: tuple[str, ...] = ()) -> DataFrame:
+def signals(rows: DataFrame, kind: str | Column, domain: str | Column, severity: str | Column, value: Column, threshold: Column, message: Column, data: dict[str, Column | str], campaign: bool = True, key: tuple[str, ...] = ()) -> DataFrame:
     """One signal per row; ``data`` becomes a map of strings; ``key`` adds columns to the id."""
-    kind, severity = (F.lit(x) if isinstance(x, str) else x for x in (kind, severity))
+    kind, domain, severity = (F.lit(x) if isinstance(x, str) else x for x in (kind, domain, severity))
     items = [x for k, v in data.items() for x in (F.lit(k), (F.col(v) if isinstance(v, str) else v).cast("string"))]
     out = rows.withColumns({"_campaign": F.col("campaign_id") if campaign else F.lit(""), "_kind": kind})
     return out.select(
-        identifier("_kind", "account_id", "_campaign", *key).alias("signal_id"), "account_id", F.col("_campaign").alias("campaign_id"), F.lit(domain).alias("domain"), F.col("_kind").alias("signal_type"),
+        identifier("_kind", "account_id", "_campaign", *key).alias("signal_id"), "account_id", F.col("_campaign").alias("campaign_id"), domain.alias("domain"), F.col("_kind").alias("signal_type"),
         severity.alias("severity"), value.cast("double").alias("value"), threshold.cast("double").alias("threshold"), message.alias("message"), F.create_map(*items).alias("data"),
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from admeridian.functions.signals import signals, text
 from admeridian.functions.windows import anchored, div, since, sum_if, within
 from admeridian.operators.detectors import BIDDING, CREATIVE, LANDING
+from admeridian.sources.tables import by_keys
 
 RECENT, BASELINE = 7, 21
 
@@ -16,13 +17,14 @@ RECENT, BASELINE = 7, 21
 
 
 def segment_features(segments: DataFrame, strength: DataFrame) -> DataFrame:
-    """One row per campaign: shares and gaps by device, network, hour, weekday, place and ad strength; null where unknown."""
+    """One row per campaign: shares and gaps by device, network, hour, weekday, place and ad strength; null where unknown. Segments
+    are dealt by campaign once; what lies so already is not moved."""
     keys = ["account_id", "campaign_id"]
     dim, val = F.col("dimension"), F.col("segment_value")
     is_ = lambda d, extra=None: (dim == d) if extra is None else (dim == d) & extra
     mobile, partner, search = val == "MOBILE", val.contains("PARTNER"), val.isin("SEARCH", "GOOGLE_SEARCH")
     total = F.sum("cost_micros").over(Window.partitionBy(*keys, "dimension"))
-    rows = segments.withColumn("dead", (F.col("conversions") == 0) & (div("cost_micros", total) >= 0.05)).withColumn("geo_cpa", F.when((dim == "geo") & (F.col("conversions") > 0) & (F.col("cost_micros") > 0), F.col("cost_micros") / 1e6 / F.col("conversions")))
+    rows = by_keys(segments, *keys).withColumn("dead", (F.col("conversions") == 0) & (div("cost_micros", total) >= 0.05)).withColumn("geo_cpa", F.when((dim == "geo") & (F.col("conversions") > 0) & (F.col("cost_micros") > 0), F.col("cost_micros") / 1e6 / F.col("conversions")))
     pick = lambda name, cond, c: sum_if(cond, c).alias(name)
     g = rows.groupBy(*keys).agg(
         pick("dev_clicks", is_("device"), "clicks"), pick("mob_clicks", is_("device", mobile), "clicks"), pick("mob_conv", is_("device", mobile), "conversions"), pick("non_clicks", is_("device", ~mobile), "clicks"), pick("non_conv", is_("device", ~mobile), "conversions"),
@@ -57,20 +59,19 @@ def segment_attributes(features: DataFrame) -> DataFrame:
 
 
 def segment_signals(features: DataFrame, mobile_share: float = 0.6, gap: float = 2.0, partners_share: float = 0.15, partners_ratio: float = 1.5, geo_cv: float = 1.0, weak: float = 0.5) -> DataFrame:
+    """One signal per campaign and kind that holds; the features are read once for all kinds."""
     f = F.col
-    one = lambda cond, kind, domain, severity, value, limit: signals(features.filter(cond), kind, domain, severity, value, F.lit(limit), text("%s in campaign %s", F.lit(kind), "campaign_id"), {"value": value})
+    one = lambda cond, kind, domain, severity, value, limit: F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(domain).alias("domain"), F.lit(severity).alias("severity"), value.alias("value"), F.lit(float(limit)).alias("limit")))
     dead = F.greatest(F.coalesce("hour_dead_zone_spend_share", F.lit(0.0)), F.coalesce("dow_dead_zone_spend_share", F.lit(0.0)))
-    parts = [
+    kinds = F.array(
         one((f("mobile_traffic_share") > mobile_share) & (f("mobile_cvr_gap") >= gap), "device_mobile_drag", BIDDING, "warning", f("mobile_cvr_gap"), gap),
         one((f("search_partners_spend_share") > partners_share) & (f("partners_cpa_ratio") >= partners_ratio), "search_partners_waste", BIDDING, "warning", f("partners_cpa_ratio"), partners_ratio),
         one(f("has_dead_zones"), "dead_zone_spend", BIDDING, "info", dead, 0.10),
         one(f("geo_cpa_variance") > geo_cv, "geo_cpa_outlier", BIDDING, "info", f("geo_cpa_variance"), geo_cv),
         one((f("n_rsa") >= 3) & (f("poor_ad_share") > weak), "weak_ad_strength", CREATIVE, "warning", f("poor_ad_share"), weak),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    )
+    rows = features.select("account_id", "campaign_id", F.explode(F.array_compact(kinds)).alias("_s")).select("account_id", "campaign_id", "_s.*")
+    return signals(rows, f("kind"), f("domain"), f("severity"), f("value"), f("limit"), text("%s in campaign %s", "kind", "campaign_id"), {"value": "value"})
 
 
 # --- landing pages ---

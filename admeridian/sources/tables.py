@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -33,9 +33,14 @@ def materialised(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_keys(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """``df`` dealt by ``keys``; what lies so already is not moved. Groups that have them among their keys and joins by them move nothing."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def by_account(df: DataFrame) -> DataFrame:
     """``df`` dealt by account; what lies so already is not moved. Joins and groups that have the account among their keys move nothing."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "account_id")
+    return by_keys(df, "account_id")
 
 
 @contextmanager
